@@ -33,8 +33,8 @@ def write_splits(df: DataFrame, path: str, buckets: int | None = None) -> None:
     )
 
 
-def _one_row(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    df.coalesce(1).write.mode(mode).option("ignoreNullFields", "false").json(path)
+def _one_row(df: DataFrame, path: str) -> None:
+    df.coalesce(1).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
 def write_metadata(model: FeatureModel, spark: SparkSession, path: str) -> None:
@@ -48,12 +48,17 @@ def _metrics(values: Mapping[str, float]) -> tuple:
     return tuple(None if values.get(m) is None else float(values[m]) for m in METRIC_NAMES)
 
 
+def append_log(rows: DataFrame, path: str) -> None:
+    """Append rows as JSON lines, one per epoch."""
+    rows.write.mode("append").option("ignoreNullFields", "false").json(path)
+
+
 def append_epoch_log(
     spark: SparkSession, path: str, epoch: int, train: Mapping, val: Mapping, lr: float
 ) -> None:
     """Append one JSON line for an epoch."""
     row = (epoch, _metrics(train), _metrics(val), float(lr))
-    _one_row(spark.createDataFrame([row], EPOCH_LOG), path, "append")
+    append_log(spark.createDataFrame([row], EPOCH_LOG).coalesce(1), path)
 
 
 def write_run_config(spark: SparkSession, path: str, config, d_in: int, **more) -> None:
