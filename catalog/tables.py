@@ -179,15 +179,16 @@ def s8_append_epoch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return no_nan(read, "train_loss")
 
 
-def _metrics_sql(by: str) -> str:
-    """The eight metrics of the two-task view in SQL, per ``by`` (a column, or a constant)."""
+def metrics_sql(by: str, view: str = "two_task", prefix: str = "") -> str:
+    """CTEs for the eight metrics of logits ``z1, z2`` and labels ``y1, y2`` of a view, per ``by`` (a
+    column, or a constant)."""
 
     def task(name: str, z: str, y: str, w: float) -> str:
         return f"""
 {name}_rows AS (
   SELECT {by} AS g, 1 / (1 + exp(-{z})) AS p, {y} AS y,
          (1 - {y}) * {z} + (1 + ({w} - 1) * {y}) * (ln(1 + exp(-abs({z}))) + greatest(-{z}, 0)) AS loss
-  FROM two_task),
+  FROM {view}),
 {name}_scores AS (
   SELECT g, p, sum(y) AS pos, sum(1 - y) AS neg,
          sum(loss) AS losses, sum(CASE WHEN (p >= 0.5) = (y = 1) THEN 1 ELSE 0 END) AS hits, count(*) AS n
@@ -201,16 +202,17 @@ def _metrics_sql(by: str) -> str:
          END AS auc
   FROM {name}_order GROUP BY g)"""
 
-    return f"""{TWO_TASK_SQL}, {task("inc", "z1", "y1", 3.0)}, {task("nm", "z2", "y2", 2.0)},
-metrics AS (
-  SELECT inc.g, inc.loss + nm.loss AS loss, inc.loss AS inc_loss, inc.acc AS inc_acc, inc.auc AS inc_auc,
-         nm.loss AS nm_loss, nm.acc AS nm_acc, nm.auc AS nm_auc,
-         CASE WHEN inc.auc IS NULL THEN nm.auc WHEN nm.auc IS NULL THEN inc.auc
-              ELSE (inc.auc + nm.auc) / 2 END AS combined_auc
-  FROM inc JOIN nm ON inc.g = nm.g)"""
+    one, two = f"{prefix}inc", f"{prefix}nm"
+    return f"""{task(one, "z1", "y1", 3.0)}, {task(two, "z2", "y2", 2.0)},
+{prefix}metrics AS (
+  SELECT a.g, a.loss + b.loss AS loss, a.loss AS inc_loss, a.acc AS inc_acc, a.auc AS inc_auc,
+         b.loss AS nm_loss, b.acc AS nm_acc, b.auc AS nm_auc,
+         CASE WHEN a.auc IS NULL THEN b.auc WHEN b.auc IS NULL THEN a.auc
+              ELSE (a.auc + b.auc) / 2 END AS combined_auc
+  FROM {one} a JOIN {two} b ON a.g = b.g)"""
 
 
-_ROUNDED_METRICS = ", ".join(f"round({m}, 6) AS {m}" for m in METRIC_NAMES)
+ROUNDED_METRICS = ", ".join(f"round({m}, 6) AS {m}" for m in METRIC_NAMES)
 
 
 def _two_task_report(df: DataFrame, by=()) -> DataFrame:
@@ -219,7 +221,7 @@ def _two_task_report(df: DataFrame, by=()) -> DataFrame:
 
 @query(
     "s10_test_report",
-    f"WITH {_metrics_sql('1')} SELECT {_ROUNDED_METRICS}, CAST(0.5 AS DOUBLE) AS best FROM metrics",
+    f"WITH {TWO_TASK_SQL}, {metrics_sql('1')} SELECT {ROUNDED_METRICS}, CAST(0.5 AS DOUBLE) AS best FROM metrics",
 )
 def s10_test_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "report")
@@ -234,7 +236,7 @@ def s10_test_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "s12_read_report",
-    f"""WITH {_metrics_sql('source')}
+    f"""WITH {TWO_TASK_SQL}, {metrics_sql('source')}
     SELECT g AS source, round(loss, 6) AS loss, round(combined_auc, 6) AS combined_auc FROM metrics""",
 )
 def s12_read_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -308,14 +310,14 @@ def p4_normalize_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _flag_sql(c: str) -> str:
+def flag_sql(c: str) -> str:
     return (
         f"coalesce(CAST(regexp_matches(replace(replace(replace(lower({c}), ' ', ''), ',', ''), '.', ''), "
         "'>=?50k|>50000|50000\\+') AS INTEGER), 0)"
     )
 
 
-def _never_sql(c: str) -> str:
+def never_sql(c: str) -> str:
     strip = lambda s: f"regexp_replace({s}, '^\\s+|\\s+$', '', 'g')"
     words = f"replace(replace({strip(f'lower({c})')}, '-', ' '), '.', '')"
     quotes = "^[''\"]+|[''\"]+$"
@@ -334,7 +336,7 @@ def _income_stats_sql() -> str:
     parts = [
         f"SELECT '{c}' AS name, CAST(min({v}) AS BIGINT) AS lo, CAST(max({v}) AS BIGINT) AS hi FROM targets"
         for c in _TARGET_COLUMNS
-        for v in [f"trunc({c})" if c in _TARGET_NUMBERS else _flag_sql(c)]
+        for v in [f"trunc({c})" if c in _TARGET_NUMBERS else flag_sql(c)]
     ]
     return " UNION ALL ".join(parts)
 
@@ -363,7 +365,7 @@ def p5_find_income_column(spark: SparkSession, sf_dir: str) -> DataFrame:
     "p6_find_marital_column",
     f"""WITH {TARGETS_SQL}, stats AS ("""
     + " UNION ALL ".join(
-        f"SELECT '{c}' AS name, CAST(sum({_never_sql(f'CAST({c} AS VARCHAR)')}) AS BIGINT) AS n FROM targets"
+        f"SELECT '{c}' AS name, CAST(sum({never_sql(f'CAST({c} AS VARCHAR)')}) AS BIGINT) AS n FROM targets"
         for c in _TARGET_COLUMNS
     )
     + ") SELECT name, n, name = 'status' AS chosen FROM stats",
@@ -381,7 +383,7 @@ def p6_find_marital_column(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "p7_income_label",
-    f"WITH {TARGETS_SQL} SELECT key, {_flag_sql('earns')} AS from_text, bit AS from_number, "
+    f"WITH {TARGETS_SQL} SELECT key, {flag_sql('earns')} AS from_text, bit AS from_number, "
     "0 AS from_other FROM targets",
 )
 def p7_income_label(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -394,7 +396,7 @@ def p7_income_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "p8_never_married_label",
-    f"WITH {TARGETS_SQL} SELECT key, {_never_sql('status')} AS label FROM targets",
+    f"WITH {TARGETS_SQL} SELECT key, {never_sql('status')} AS label FROM targets",
 )
 def p8_never_married_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = targets(spark, sf_dir)

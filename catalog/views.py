@@ -48,7 +48,9 @@ census AS (
          CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE o_totalprice END AS price,
          CASE WHEN o_orderkey % 13 = 5 THEN NULL ELSE c_acctbal END AS balance,
          CASE WHEN o_orderkey % 17 = 0 THEN NULL ELSE o_orderpriority END AS priority,
-         CASE WHEN o_orderkey % 17 = 3 THEN NULL ELSE CAST(c_nationkey AS VARCHAR) END AS nation,
+         CASE WHEN o_orderkey % 17 = 3 THEN NULL
+              WHEN o_orderkey % 211 = 1 THEN 'x' || CAST(o_orderkey AS VARCHAR)
+              ELSE CAST(c_nationkey AS VARCHAR) END AS nation,
          CAST(o_orderstatus = 'F' AS INTEGER) AS y_income,
          CAST(c_mktsegment = 'BUILDING' AS INTEGER) AS y_never_married
   FROM orders JOIN customer ON o_custkey = c_custkey)"""
@@ -90,7 +92,10 @@ split AS (
 
 
 def census(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders with their customers: two numeric and two text features with gaps, two labels."""
+    """Orders with their customers: two numeric and two text features with gaps, two labels.
+
+    A part of the nations is replaced by values of one row each, which are rare or unseen.
+    """
     orders = table(spark, sf_dir, "orders")
     customers = table(spark, sf_dir, "customer")
     key = F.col("o_orderkey")
@@ -99,7 +104,10 @@ def census(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(key % 13 != 0, F.col("o_totalprice")).alias("price"),
         F.when(key % 13 != 5, F.col("c_acctbal")).alias("balance"),
         F.when(key % 17 != 0, F.col("o_orderpriority")).alias("priority"),
-        F.when(key % 17 != 3, F.col("c_nationkey").cast("string")).alias("nation"),
+        F.when(key % 17 == 3, F.lit(None))
+        .when(key % 211 == 1, F.concat(F.lit("x"), key.cast("string")))
+        .otherwise(F.col("c_nationkey").cast("string"))
+        .alias("nation"),
         (F.col("o_orderstatus") == "F").cast("int").alias("y_income"),
         (F.col("c_mktsegment") == "BUILDING").cast("int").alias("y_never_married"),
     )

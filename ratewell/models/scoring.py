@@ -81,6 +81,29 @@ class MultiTaskModel:
 
         return self._map(df, keep, added, compute)
 
+    def expert_outputs(self, df: DataFrame, keep: Sequence[str] = ("key",), level: int = 1) -> DataFrame:
+        """The output vector of every expert of a level, one array per expert."""
+        vectors = T.ArrayType(T.ArrayType(T.DoubleType()))
+
+        def compute(config, params, x):
+            _, levels = forward(config, params, x)
+            out = levels[level - 1]["out"].transpose(1, 0, 2)
+            return [pa.array(out.tolist(), pa.list_(pa.list_(pa.float64())))]
+
+        return self._map(df, keep, [T.StructField("experts", vectors)], compute)
+
+    def mixes(self, df: DataFrame, keep: Sequence[str] = ("key",), level: int = 1) -> DataFrame:
+        """What each task's gate makes of the experts of a level."""
+        added = [T.StructField(f"mix_{t}", T.ArrayType(T.DoubleType())) for t in TASKS]
+
+        def compute(config, params, x):
+            _, levels = forward(config, params, x)
+            at = levels[level - 1]
+            mixed = [np.einsum("ne,enm->nm", at["gates"][t], at["out"]) for t in TASKS]
+            return [pa.array(list(m), pa.list_(pa.float64())) for m in mixed]
+
+        return self._map(df, keep, added, compute)
+
     def table(self, spark: SparkSession) -> DataFrame:
         """The parameters as rows of at most 65,536 values."""
         rows = [

@@ -229,6 +229,20 @@ def total_gradient(rows: DataFrame) -> tuple[np.ndarray, int]:
     return np.concatenate(parts), rows_seen
 
 
+def batch_gradient(
+    batch: DataFrame,
+    model: MultiTaskModel,
+    pos_weights: Sequence[float] = (1.0, 1.0),
+    task_weights: Sequence[float] = (1.0, 1.0),
+    seed: Sequence[int] = (0,),
+) -> dict[str, np.ndarray]:
+    """Gradient by every trained parameter of the mean loss over a batch."""
+    total, rows = total_gradient(step_rows(batch, model, pos_weights, task_weights, seed))
+    names = model.config.trained()
+    named = _unflat(total / rows, {n: model.params[n] for n in names}, names)
+    return {n: named[n] for n in names}
+
+
 @dataclass
 class FitResult:
     """The best model, the log of the run and, with a test split, its report."""
