@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ratewell.operators.columns import column_kinds, nan_to_null, quoted
-from ratewell.operators.quantiles import exact_quantiles
+from ratewell.operators.quantiles import exact_quantiles, quantiles_and
 from ratewell.session import materialize
 
 _INLINE_CATEGORIES = 64  # searched in line, faster than a join
@@ -64,21 +64,22 @@ def impute_medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
 def fit_numeric(df: DataFrame, columns: Sequence[str]) -> list[NumericColumn]:
     """Median, and mean and population deviation after imputation by it.
 
-    The moments of the present values are merged with those of the imputed ones, so imputation
-    needs no scan of its own.
+    The moments come with the first scan for the medians: those of the present values are merged
+    with those of the imputed ones, so imputation needs no scan of its own.
     """
-    medians = impute_medians(df, columns)
-    if not medians:
-        return []
-    values = {c: nan_to_null(df, c).cast("double") for c in medians}
-    row = df.agg(
+    values = [nan_to_null(df, c).cast("double") for c in columns]
+    moments = [
         F.count(F.lit(1)).alias("rows"),
-        *[F.count(v).alias(f"n_{i}") for i, v in enumerate(values.values())],
-        *[F.avg(v).alias(f"mean_{i}") for i, v in enumerate(values.values())],
-        *[F.var_pop(v).alias(f"var_{i}") for i, v in enumerate(values.values())],
-    ).first()
+        *[F.count(v).alias(f"n_{i}") for i, v in enumerate(values)],
+        *[F.avg(v).alias(f"mean_{i}") for i, v in enumerate(values)],
+        *[F.var_pop(v).alias(f"var_{i}") for i, v in enumerate(values)],
+    ]
+    quantiles, row = quantiles_and(df, {c: [0.5] for c in columns}, moments)
     fitted = []
-    for i, (c, median) in enumerate(medians.items()):
+    for i, c in enumerate(columns):
+        median = quantiles[c][0.5]
+        if median is None:
+            continue
         share = row[f"n_{i}"] / row["rows"]
         apart = row[f"mean_{i}"] - median
         mean = share * row[f"mean_{i}"] + (1 - share) * median

@@ -2,26 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ratewell.operators.columns import nan_to_null, require_columns
 
 
-def item_stats(ratings: DataFrame, item: str = "movie_id", rating: str = "rating") -> DataFrame:
-    """Number of ratings and mean rating per item; null ratings are not counted.
-
-    One partial and one final aggregate, so a hot item is reduced before the shuffle.
-    """
+def _per_item(ratings: DataFrame, item: str, rating: str) -> DataFrame:
     require_columns(ratings, [item, rating])
     value = nan_to_null(ratings, rating)
     return (
         ratings.where(F.col(item).isNotNull())
         .groupBy(item)
-        .agg(F.count(value).alias("count"), F.avg(value).alias("mean"))
+        .agg(
+            F.count(value).alias("count"),
+            F.avg(value).alias("mean"),
+            F.count(F.lit(1)).alias("rows"),
+        )
     )
 
 
+def _most_popular(stats: DataFrame, n: int, item: str) -> DataFrame:
+    return stats.orderBy(*_popularity(item)).limit(n)
+
+
+def _popularity(item: str) -> list[Column]:
+    return [F.desc("count"), F.desc_nulls_last("mean"), F.asc(item)]
+
+
+def item_stats(ratings: DataFrame, item: str = "movie_id", rating: str = "rating") -> DataFrame:
+    """Number of ratings and mean rating per item; null ratings are not counted.
+
+    One partial and one final aggregate, so a hot item is reduced before the shuffle.
+    """
+    return _per_item(ratings, item, rating).drop("rows")
+
+
 def value_counts(df: DataFrame, column: str) -> DataFrame:
     """Rows per value, most frequent first."""
     return (
@@ -36,11 +52,7 @@ def top_n(
     ratings: DataFrame, n: int = 10, item: str = "movie_id", rating: str = "rating"
 ) -> DataFrame:
     """The ``n`` items rated most often; ties go to the higher mean, then to the lower id."""
-    return (
-        item_stats(ratings, item, rating)
-        .orderBy(F.desc("count"), F.desc_nulls_last("mean"), F.asc(item))
-        .limit(n)
-    )
+    return _most_popular(item_stats(ratings, item, rating), n, item)
 
 
 def get_top_n(train_ratings: DataFrame, n: int = 10) -> list[int]:
@@ -63,17 +75,13 @@ def counts_for(ratings: DataFrame, ids: list, item: str = "movie_id") -> DataFra
     )
 
 
-def top_n_counts(ratings: DataFrame, n: int = 10, item: str = "movie_id") -> DataFrame:
-    """Row counts of the top ``n`` items in top-n order, as one plan.
+def top_n_counts(
+    ratings: DataFrame, n: int = 10, item: str = "movie_id", rating: str = "rating"
+) -> DataFrame:
+    """Row counts of the top ``n`` items in top-n order, in one pass over the ratings.
 
-    The top-n side has at most ``n`` rows, which bounds both its window and its broadcast; the
-    ratings are cut to those items before they are counted.
+    The window numbers the ``n`` rows that are left.
     """
-    order = Window.orderBy(F.desc("count"), F.desc_nulls_last("mean"), F.asc(item))
-    top = top_n(ratings, n, item).select(item, (F.row_number().over(order) - 1).alias("pos"))
-    return (
-        ratings.join(F.broadcast(top), item)
-        .groupBy("pos", item)
-        .count()
-        .orderBy("pos")
-    )
+    top = _most_popular(_per_item(ratings, item, rating), n, item)
+    position = F.row_number().over(Window.orderBy(*_popularity(item))) - 1
+    return top.select(position.alias("pos"), item, F.col("rows").alias("count")).orderBy("pos")

@@ -8,25 +8,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ratewell.operators.columns import column_kinds, nan_to_null, quoted
-from ratewell.operators.quantiles import exact_quantiles
+from ratewell.operators.quantiles import quantiles_and
 from ratewell.schemas import LABELS, SPLITS
 
 
 def describe(df: DataFrame, column: str) -> DataFrame:
     """Count, mean, sample deviation, minimum, exact quartiles and maximum, as one row."""
-    q = exact_quantiles(df, {column: [0.25, 0.5, 0.75]})[column]
     v = nan_to_null(df, column).cast("double")
-    return df.agg(
-        F.count(v).alias("count"),
-        F.avg(v).alias("mean"),
-        F.stddev_samp(v).alias("std"),
-        F.min(v).alias("min"),
-        *[
-            F.lit(q[share]).cast("double").alias(name)
-            for share, name in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"))
-        ],
-        F.max(v).alias("max"),
-    ).select("count", "mean", "std", "min", "p25", "p50", "p75", "max")
+    others = {
+        "count": F.count(v), "mean": F.avg(v), "std": F.stddev_samp(v), "min": F.min(v), "max": F.max(v),
+    }
+    quartiles = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
+    found, row = quantiles_and(
+        df, {column: list(quartiles.values())}, [a.alias(n) for n, a in others.items()]
+    )
+    values = {**row.asDict(), **{n: found[column][q] for n, q in quartiles.items()}}
+    names = ["count", "mean", "std", "min", *quartiles, "max"]
+    schema = ", ".join(f"{n} {'bigint' if n == 'count' else 'double'}" for n in names)
+    return df.sparkSession.createDataFrame([tuple(values[n] for n in names)], schema)
 
 
 def histogram(df: DataFrame, column: str, bins: int = 5) -> DataFrame:

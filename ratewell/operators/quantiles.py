@@ -2,45 +2,95 @@
 
 ``percentile`` and ``median`` hold one entry per distinct value in a single task, which a continuous
 column of a large table does not fit. Here approximate quantiles only propose a bracket around the
-wanted ranks; counting the rows below the bracket proves it, and the few values left inside it give
-the exact answer.
+wanted ranks. A second scan keeps the few values inside the bracket and counts those below it, which
+proves the bracket, and the exact order statistics are then found among the kept values.
 """
 
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from ratewell.operators.columns import nan_to_null
+from ratewell.session import materialize
 
-_VALUES_IN_BRACKET = 20_000
 _SKETCH_ACCURACY = 10_000
-_MAX_ROUNDS = 20
+_BINS = 4_096
+_MAX_ROUNDS = 300
+_LARGEST = sys.float_info.max
 
 
 @dataclass
 class _Bracket:
-    """Values between ``lo`` and ``hi`` hold the order statistics ``first`` and ``last`` (from 0)."""
+    """Two neighbouring order statistics of a column, counted from 0, and values around them."""
 
     column: str
     share: float
     rank: float
-    first: int
-    last: int
     lo: float
     hi: float
-    below: int
-    inside: int
-    distinct: int
-    proposal: tuple[float, float] | None = None
-    slack: float = 2.0 / _SKETCH_ACCURACY
+    slack: float
+    below: int = 0
+    low: float | None = None
+    high: float | None = None
+
+    @property
+    def first(self) -> int:
+        return math.floor(self.rank)
+
+    @property
+    def last(self) -> int:
+        return math.ceil(self.rank)
+
+    @property
+    def value(self) -> float:
+        if self.high == self.low:
+            return self.low
+        return self.low + (self.high - self.low) * (self.rank - self.first)
+
+
+def _proposals(shares: Sequence[float], slack: Sequence[float]) -> list[float]:
+    """The shares at which to look for the ends of each bracket."""
+    return [
+        min(1.0, max(0.0, s + sign * e)) for s, e in zip(shares, slack) for sign in (-1, 1)
+    ]
 
-    def holds(self, value: Column) -> Column:
-        return value.between(F.lit(self.lo), F.lit(self.hi))
+
+def quantiles_and(
+    df: DataFrame, shares: Mapping[str, Sequence[float]], also: Sequence[Column] = ()
+) -> tuple[dict[str, dict[float, float | None]], Row]:
+    """:func:`exact_quantiles`, and the row of further aggregates taken in its first scan."""
+    columns = list(shares)
+    values = {c: nan_to_null(df, c).cast("double") for c in columns}
+    slack = 2.0 / _SKETCH_ACCURACY
+    sketched = [
+        a
+        for i, c in enumerate(columns)
+        for a in (
+            F.count(values[c]).alias(f"_n_{i}"),
+            F.percentile_approx(
+                values[c], _proposals(shares[c], [slack] * len(shares[c])), _SKETCH_ACCURACY
+            ).alias(f"_q_{i}"),
+        )
+    ]
+    row = df.agg(*sketched, *also, F.lit(0).alias("_")).first()
+    result: dict[str, dict[float, float | None]] = {c: {} for c in columns}
+    brackets = []
+    for i, c in enumerate(columns):
+        n, ends = row[f"_n_{i}"], row[f"_q_{i}"]
+        for j, q in enumerate(shares[c]):
+            result[c][q] = None
+            if n:
+                brackets.append(_Bracket(c, q, q * (n - 1), *ends[2 * j : 2 * j + 2], slack))
+    _settle(df, values, brackets)
+    for b in brackets:
+        result[b.column][b.share] = b.value
+    return result, row
 
 
 def exact_quantiles(
@@ -51,113 +101,129 @@ def exact_quantiles(
     ``shares`` maps a numeric column to the wanted shares; NaN counts as null. All columns go
     through each scan together. A column without values gives ``None``.
     """
-    values = {c: nan_to_null(df, c).cast("double") for c in shares}
-    columns = list(shares)
-    if not columns:
-        return {}
-    first = df.agg(
-        *[
-            f(values[c]).alias(f"{name}_{i}")
-            for i, c in enumerate(columns)
-            for name, f in (
-                ("n", F.count), ("lo", F.min), ("hi", F.max), ("d", F.approx_count_distinct),
-            )
-        ]
-    ).first()
-    result: dict[str, dict[float, float | None]] = {c: {} for c in columns}
-    brackets = []
-    for i, c in enumerate(columns):
-        n = first[f"n_{i}"]
-        for q in shares[c]:
-            result[c][q] = None
-            if n:
-                rank = q * (n - 1)
-                brackets.append(
-                    _Bracket(
-                        c, q, rank, math.floor(rank), math.ceil(rank), first[f"lo_{i}"],
-                        first[f"hi_{i}"], 0, n, first[f"d_{i}"],
-                    )
-                )
-    _narrow(df, values, brackets)
-    for b, (low, high) in zip(brackets, _order_statistics(df, values, brackets)):
-        result[b.column][b.share] = low if high == low else low + (high - low) * (b.rank - b.first)
-    return result
-
-
-def _narrow(df: DataFrame, values: dict[str, Column], brackets: list[_Bracket]) -> None:
-    """Shrink brackets in place until each holds few distinct values.
-
-    Each round is two scans: one proposes tighter bounds for all open brackets, one counts them. A
-    proposal that misses the wanted ranks is dropped and tried again with more slack.
-    """
-    for _ in range(_MAX_ROUNDS):
-        wide = [b for b in brackets if b.distinct > _VALUES_IN_BRACKET and b.lo < b.hi]
-        if not wide:
-            return
-        sketches = []
-        for i, b in enumerate(wide):
-            low = max(0.0, (b.first - b.below) / b.inside - b.slack)
-            high = min(1.0, (b.last + 1 - b.below) / b.inside + b.slack)
-            inside = F.when(b.holds(values[b.column]), values[b.column])
-            sketches.append(
-                F.percentile_approx(inside, [low, high], _SKETCH_ACCURACY).alias(f"s_{i}")
-            )
-        proposed = df.agg(*sketches).first()
-        counts = []
-        for i, b in enumerate(wide):
-            lo, hi = proposed[f"s_{i}"]
-            b.proposal = (lo, hi)
-            v = values[b.column]
-            counts += [
-                F.count_if(v < F.lit(lo)).alias(f"below_{i}"),
-                F.count_if(v.between(F.lit(lo), F.lit(hi))).alias(f"inside_{i}"),
-                F.approx_count_distinct(F.when(v.between(F.lit(lo), F.lit(hi)), v)).alias(f"d_{i}"),
-            ]
-        counted = df.agg(*counts).first()
-        for i, b in enumerate(wide):
-            below, inside = counted[f"below_{i}"], counted[f"inside_{i}"]
-            if below <= b.first and b.last < below + inside:
-                b.lo, b.hi = b.proposal
-                b.below, b.inside, b.distinct = below, inside, counted[f"d_{i}"]
+    return quantiles_and(df, shares)[0]
+
+
+def _settle(df: DataFrame, values: dict[str, Column], brackets: list[_Bracket]) -> None:
+    """Find the order statistics of every bracket; one that proves too narrow is widened."""
+    todo = brackets
+    while todo:
+        kept = _kept_values(df, values, todo)
+        counted = kept.groupBy("b", F.col("v").isNull().alias("is_below")).agg(F.sum("n").alias("n"))
+        sizes = {(r["b"], r["is_below"]): r["n"] for r in counted.collect()}
+        proved, missed = {}, []
+        for i, b in enumerate(todo):
+            b.below = sizes.get((i, True), 0)
+            if b.below <= b.first and b.last < b.below + sizes.get((i, False), 0):
+                proved[i] = b
             else:
-                b.slack *= 8
-    raise RuntimeError(f"no narrow bracket found in {_MAX_ROUNDS} rounds")
+                missed.append(b)
+        _search(kept.where(F.col("v").isNotNull()), proved)
+        todo = missed
+        if todo:
+            _widen(df, values, todo)
+
+
+def _widen(df: DataFrame, values: dict[str, Column], brackets: list[_Bracket]) -> None:
+    for b in brackets:
+        b.slack *= 8
+    wider = [
+        F.percentile_approx(
+            values[b.column], _proposals([b.share], [b.slack]), _SKETCH_ACCURACY
+        ).alias(f"q_{i}")
+        for i, b in enumerate(brackets)
+    ]
+    row = df.agg(*wider).first()
+    for i, b in enumerate(brackets):
+        b.lo, b.hi = row[f"q_{i}"]
 
 
-def _order_statistics(
+def _kept_values(
     df: DataFrame, values: dict[str, Column], brackets: list[_Bracket]
-) -> list[tuple[float, float]]:
-    """The two wanted order statistics of every bracket, from its counted values.
+) -> DataFrame:
+    """Rows ``(b, v, n)``: each value inside bracket ``b`` with its count, and with a null value the
+    count of all rows below it.
 
-    Equal values are counted before they meet, so the window holds distinct values only, and of
-    those a bracket has a bounded number.
+    Rows are counted map-side, so neither ties nor the rows below weigh on the shuffle.
     """
-    if not brackets:
-        return []
     cells = [
         F.when(
-            b.holds(values[b.column]),
+            values[b.column] <= F.lit(b.hi),
             F.struct(
-                F.lit(i).alias("b"), values[b.column].alias("v"),
-                F.lit(b.first - b.below).alias("first"), F.lit(b.last - b.below).alias("last"),
+                F.lit(i).alias("b"),
+                # 0.0 and -0.0 are one value
+                F.when(values[b.column] >= F.lit(b.lo), values[b.column] + F.lit(0.0)).alias("v"),
             ),
         )
         for i, b in enumerate(brackets)
     ]
     counted = (
         df.select(F.explode(F.array_compact(F.array(*cells))).alias("e"))
-        .groupBy("e.b", "e.v", "e.first", "e.last")
+        .groupBy("e.b", "e.v")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    upto = F.sum("n").over(Window.partitionBy("b").orderBy("v"))
-    rows = (
-        counted.withColumn("upto", upto)
-        .groupBy("b")
-        .agg(
-            F.min(F.when(F.col("upto") > F.col("first"), F.col("v"))).alias("low"),
-            F.min(F.when(F.col("upto") > F.col("last"), F.col("v"))).alias("high"),
+    return materialize(counted, "quantile-values")
+
+
+def _finite(v: float) -> float:
+    return max(-_LARGEST, min(_LARGEST, v))
+
+
+def _search(kept: DataFrame, brackets: dict[int, _Bracket]) -> None:
+    """Narrow each bracket to the bin that holds the wanted ranks until their values are known.
+
+    A round is one small aggregate over the kept values, into a fixed number of bins per bracket.
+    """
+    todo = dict(brackets)
+    for _ in range(_MAX_ROUNDS):
+        if not todo:
+            return
+        bins = kept.withColumn("bin", _bin_number(todo)).where(F.col("bin").isNotNull())
+        rows = (
+            bins.groupBy("b", "bin")
+            .agg(F.sum("n").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+            .collect()
         )
-        .collect()
-    )
-    found = {r["b"]: (r["low"], r["high"]) for r in rows}
-    return [found[i] for i in range(len(brackets))]
+        per_bracket: dict[int, list[Row]] = {}
+        for r in sorted(rows, key=lambda r: (r["b"], r["bin"])):
+            per_bracket.setdefault(r["b"], []).append(r)
+        for i, found in per_bracket.items():
+            if _read_bins(todo[i], found):
+                del todo[i]
+    raise RuntimeError(f"quantiles not settled in {_MAX_ROUNDS} rounds")
+
+
+def _bin_number(brackets: dict[int, _Bracket]) -> Column:
+    """The bin of a kept row in its bracket, null outside of it. Halves, since hi - lo may overflow."""
+
+    def per_bracket(value) -> Column:
+        cells = [F.lit(value(brackets[i]) if i in brackets else None) for i in range(max(brackets) + 1)]
+        return F.get(F.array(*cells).cast("array<double>"), F.col("b"))
+
+    v = F.col("v")
+    finite = F.greatest(F.least(v, F.lit(_LARGEST)), F.lit(-_LARGEST))
+    above = finite / 2 - per_bracket(lambda b: _finite(b.lo) / 2)
+    width = per_bracket(lambda b: (_finite(b.hi) / 2 - _finite(b.lo) / 2) / _BINS or 1.0)
+    number = F.least(F.floor(above / width), F.lit(_BINS - 1)).cast("int")
+    inside = v.between(per_bracket(lambda b: b.lo), per_bracket(lambda b: b.hi))
+    return F.when(inside, number)
+
+
+def _read_bins(b: _Bracket, bins: list[Row]) -> bool:
+    """Take the wanted values from the bins of a bracket, or narrow it; whether it is settled."""
+    upto = b.below
+    for r in bins:
+        start, upto = upto, upto + r["n"]
+        has_first, has_last = start <= b.first < upto, start <= b.last < upto
+        if has_first and has_last:
+            if r["lo"] < r["hi"]:
+                b.lo, b.hi, b.below = r["lo"], r["hi"], start
+                return False
+            b.low = b.high = r["lo"]
+            return True
+        if has_first:  # and the next rank is in a later bin
+            b.low = r["hi"]
+        elif has_last:
+            b.high = r["lo"]
+            return True
+    return False

@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ratewell.operators.columns import quoted
+from ratewell.session import materialize
 
 _COPIES_PER_TASK_STEP = 1_000_000
 _CUT_DIGITS = 3
-_CUT_ROWS = 2_000
+_STEPS_PER_RANGE = 64
+_CUT_ROWS = 20_000
 
 
 def hash_order(seed: object, *key: str | Column) -> Column:
@@ -71,10 +73,12 @@ def hash_cuts(
 
     ``quotas[s]`` are increasing row counts. The result holds one hash ``t`` per count such that
     exactly that many rows of the stratum have a hash ``<= t``. ``prefix_counts`` are the rows per
-    (stratum, first three hex digits). Only the bucket around each cut is looked at again, three
-    more digits at a time, until few rows are left in it; every step is one narrow aggregate and
-    the table itself is neither sorted nor shuffled.
+    (stratum, first three hex digits). Only the buckets around the cuts are looked at again, three
+    more digits at a time, until few rows are left in them. Where they are large, their hashes are
+    written out first, so the table itself is read once more at most, and neither sorted nor
+    shuffled.
     """
+    rows_left = df.select(strata.alias("s"), order.alias("h"))
     open_cuts = [(s, i, "", q) for s, cuts in quotas.items() for i, q in enumerate(cuts)]
     found: dict[object, list[str]] = {s: [""] * len(cuts) for s, cuts in quotas.items()}
     per_bucket = {}
@@ -99,11 +103,13 @@ def hash_cuts(
         small = digits >= 30 or all(n <= _CUT_ROWS for *_, n in narrowed)
         digits = 32 if small else digits + _CUT_DIGITS
         inside = _where_any(
-            (strata.eqNullSafe(F.lit(s))) & order.startswith(prefix) for s, prefix in pairs
+            F.col("s").eqNullSafe(F.lit(s)) & F.col("h").startswith(prefix) for s, prefix in pairs
         )
+        rows_left = rows_left.where(inside)
+        if not small:
+            rows_left = materialize(rows_left, "hashes-at-cuts")
         rows = (
-            df.where(inside)
-            .groupBy(strata.alias("s"), F.substring(order, 1, digits).alias("b"))
+            rows_left.groupBy("s", F.substring("h", 1, digits).alias("b"))
             .agg(F.count(F.lit(1)).alias("n"))
             .collect()
         )
@@ -169,30 +175,44 @@ def rank_by_hash(
     return _rank_in_buckets(hashed, bucket, order, by, name).drop("_hash")
 
 
-def range_bounds(df: DataFrame, column: str, buckets: int) -> list[float]:
-    """Values that cut a numeric column into about equal parts, from its approximate quantiles."""
-    if buckets < 2:
-        return []
-    shares = [i / buckets for i in range(1, buckets)]
+def range_edges(df: DataFrame, column: str, buckets: int) -> list[float]:
+    """Minimum, values that cut a numeric column into about equal parts, and maximum."""
+    shares = [i / buckets for i in range(buckets + 1)]
     value = quoted(column).cast("double")
-    bounds = df.agg(F.percentile_approx(value, shares, 100 * buckets)).first()[0]
-    return sorted(set(bounds or []))
+    found = df.agg(F.percentile_approx(value, shares, 100 * buckets)).first()[0]
+    return sorted(set(found or []))
+
+
+def _range_bucket(df: DataFrame, column: str, edges: Sequence[float], name: str) -> DataFrame:
+    """Add a bucket number that rises with the column: between which edges it lies, and in which
+    of equal steps from one edge to the next."""
+    value, steps = quoted(column).cast("double"), _STEPS_PER_RANGE
+    cut = Bucketizer(
+        splits=[-float("inf"), *edges[1:-1], float("inf")], inputCol="_v", outputCol="_range"
+    )
+    ranged = cut.transform(df.withColumn("_v", value))
+    at = F.col("_range").cast("int")
+    ends = F.array(*[F.lit(float(e)) for e in edges])
+    low, high = F.get(ends, at), F.get(ends, at + 1)
+    step = F.floor((F.col("_v") - low) / (high - low) * steps).cast("int")
+    inside = F.greatest(F.lit(0), F.least(F.lit(steps - 1), step))
+    return ranged.withColumn(name, at * steps + inside).drop("_v", "_range")
 
 
 def rank_by_value(
     df: DataFrame, column: str, by: Sequence[str] = (), name: str = "rank",
     buckets: int | None = None,
 ) -> DataFrame:
-    """Exact rank of every row by a numeric column that identifies rows, from 1, within ``by``."""
+    """Exact rank of every row by a numeric column that identifies rows, from 1, within ``by``.
+
+    Rows are ranked inside buckets of the column (at most 4,096 ranges of 64 steps) and shifted by
+    the size of the buckets before.
+    """
     if not isinstance(df.schema[column].dataType, T.NumericType):
         raise ValueError(f"{column!r} is not numeric: rank it with rank_by_hash")
     count = buckets or _bucket_count(df.count(), 100_000, 4096)
-    cuts = range_bounds(df, column, count)
-    if not cuts:
+    edges = range_edges(df, column, count) if count > 1 else []
+    if len(edges) < 3:
         return _rank_in_buckets(df, F.lit(0), [quoted(column).asc()], by, name)
-    split = Bucketizer(
-        splits=[-float("inf"), *cuts, float("inf")], inputCol="_v", outputCol="_b"
-    )
-    bucketed = split.transform(df.withColumn("_v", quoted(column).cast("double")))
-    ranked = _rank_in_buckets(bucketed, F.col("_b").cast("int"), [quoted(column).asc()], by, name)
-    return ranked.drop("_v", "_b")
+    ranged = _range_bucket(df, column, edges, "_at")
+    return _rank_in_buckets(ranged, F.col("_at"), [quoted(column).asc()], by, name).drop("_at")

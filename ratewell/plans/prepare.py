@@ -28,13 +28,18 @@ from ratewell.sources.writers import write_metadata, write_splits
 
 @dataclass
 class PrepareConfig:
-    """Settings of the preparation."""
+    """Settings of the preparation.
+
+    ``stage`` writes the labelled rows as a table first, since splitting, fitting and encoding each
+    scan some of their columns; leave it off where the input is a columnar table already.
+    """
 
     test_size: float = 0.15
     val_size: float = 0.10
     min_freq: int = 10
     seed: int = 42
     buckets: int | None = None
+    stage: bool = True
 
 
 @dataclass
@@ -92,8 +97,10 @@ def prepare(
     income = income or find_income_column(raw)
     marital = marital or find_marital_column(raw)
     if key is None:
-        df, key = materialize(add_row_key(df, "_row_key"), "keyed"), "_row_key"
+        df, key = add_row_key(df, "_row_key"), "_row_key"
     rows = labelled(df, key, income, marital)
+    if c.stage:
+        rows = materialize(rows, "labelled")
     split = stratified_split(rows, "y_income", "key", c.test_size, c.val_size, c.seed)
     check_classes(split, "y_income")
     features = all_but(split, "key", "split", *LABELS)

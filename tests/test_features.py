@@ -69,11 +69,12 @@ def test_metadata_and_hash(spark):
 SHARES = [0.0, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0]
 
 
-@pytest.mark.parametrize("limit", [20_000, 50])
-def test_exact_quantiles(spark, monkeypatch, limit):
-    """Narrowed brackets give what numpy gives, on smooth, tied and skewed columns."""
-    monkeypatch.setattr(quantiles, "_VALUES_IN_BRACKET", limit)
-    monkeypatch.setattr(quantiles, "_SKETCH_ACCURACY", 100)
+@pytest.mark.parametrize("accuracy,bins", [(10_000, 4_096), (20, 7)])
+def test_exact_quantiles(spark, monkeypatch, accuracy, bins):
+    """Brackets narrowed in one and in many rounds give what numpy gives, on smooth, tied and skewed
+    columns."""
+    monkeypatch.setattr(quantiles, "_SKETCH_ACCURACY", accuracy)
+    monkeypatch.setattr(quantiles, "_BINS", bins)
     df = spark.createDataFrame(_columns())
     columns = df.columns
     got = exact_quantiles(df, {c: SHARES for c in columns})
@@ -83,6 +84,30 @@ def test_exact_quantiles(spark, monkeypatch, limit):
         assert [got[c][q] for q in SHARES] == pytest.approx(list(want), rel=1e-12)
 
 
+def test_a_bracket_that_misses_is_widened(spark, monkeypatch):
+    """A sketch that proposes wrong ends costs another scan, not a wrong answer."""
+    real, calls = quantiles._proposals, []
+
+    def wrong_at_first(shares, slack):
+        calls.append(slack)
+        return [0.9, 1.0] * len(shares) if len(calls) == 1 else real(shares, slack)
+
+    monkeypatch.setattr(quantiles, "_proposals", wrong_at_first)
+    df = spark.range(1_001).select(F.col("id").cast("double").alias("v"))
+    assert exact_quantiles(df, {"v": [0.25, 0.95]})["v"] == {0.25: 250.0, 0.95: 950.0}
+    assert len(calls) == 2
+
+
+def test_quantiles_of_infinite_and_few_values(spark):
+    inf = float("inf")
+    df = spark.createDataFrame([(v,) for v in (-inf, -1.0, 0.0, inf, inf)], "v double")
+    assert exact_quantiles(df, {"v": [0.0, 0.25, 0.5, 1.0]})["v"] == {
+        0.0: -inf, 0.25: -1.0, 0.5: 0.0, 1.0: inf,
+    }
+    assert exact_quantiles(df.limit(0), {"v": [0.5]})["v"] == {0.5: None}
+    assert exact_quantiles(df, {}) == {}
+
+
 def _columns():
     import pandas as pd
 

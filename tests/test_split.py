@@ -37,7 +37,7 @@ def test_train_test_split_takes_the_lowest_hashes(spark, rows):
 
 
 def test_cuts_inside_deep_buckets(spark, monkeypatch):
-    """Several rounds of narrowing give the same rows as one sort."""
+    """Several rounds of narrowing, with hashes written out, give the same rows as one sort."""
     monkeypatch.setattr(rank, "_CUT_ROWS", 1)
     df = spark.range(40_000)
     split = train_test_split(df, "id", 0.37, 5)
