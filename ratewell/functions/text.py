@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Blanks as Python's str.strip() sees them; Java's \s alone knows only the ASCII ones.
-_BLANK = r"(?U)[\s\x1c-\x1f]"
+# The characters Python's str.strip() takes for blanks.
+BLANKS = (
+    " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def strip_blanks(c: Column) -> Column:
-    """Remove blanks of every kind at both ends (SQL ``trim`` only removes spaces)."""
-    return F.regexp_replace(c, rf"^{_BLANK}+|{_BLANK}+$", "")
+    """Remove blanks of every kind at both ends (SQL ``trim`` alone only removes spaces)."""
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def normalize_name(name: str) -> str:
@@ -24,7 +27,7 @@ def normalize_name(name: str) -> str:
 
 def normalized(c: Column) -> Column:
     """:func:`normalize_name` over a text column."""
-    collapsed = F.regexp_replace(strip_blanks(F.lower(c)), rf"{_BLANK}+", " ")
+    collapsed = F.regexp_replace(strip_blanks(F.lower(c)), f"[{BLANKS}]+", " ")
     return F.regexp_replace(F.translate(collapsed, "_-", "  "), r"[.]+$", "")
 
 

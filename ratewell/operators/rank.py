@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 
@@ -16,7 +15,6 @@ from ratewell.session import materialize
 
 _COPIES_PER_TASK_STEP = 1_000_000
 _CUT_DIGITS = 3
-_STEPS_PER_RANGE = 64
 _CUT_ROWS = 20_000
 
 
@@ -132,27 +130,26 @@ def hash_cuts(
     return found
 
 
-def _bucket_count(n: int, rows_per_bucket: int, most: int) -> int:
-    return max(1, min(most, math.ceil(n / rows_per_bucket)))
-
-
 def _rank_in_buckets(
-    df: DataFrame, bucket: Column, order: Sequence[Column], by: Sequence[str], name: str
+    df: DataFrame, order: Sequence[Column], by: Sequence[str], name: str
 ) -> DataFrame:
-    """Rank from 1 by ``order``, given a bucket number that rises with it."""
-    keyed = df.withColumn("_bucket", bucket)
+    """Rank from 1 by ``order``, given a column ``_bucket`` that rises with it.
+
+    Rows are ranked inside their bucket and shifted by the size of the buckets before. The rows are
+    shuffled once; the table of bucket sizes has a bounded number of rows per group.
+    """
     keys = [*by, "_bucket"]
     before = (
         Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     )
     offsets = (
-        keyed.groupBy(*keys)
+        df.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_n"))
         .select(*keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     )
     inside = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return (
-        keyed.join(offsets, keys)
+        df.join(offsets, keys, "left")  # every bucket is there; an inner join would filter first
         .withColumn(name, F.col("_before") + inside)
         .drop("_bucket", "_before")
     )
@@ -160,59 +157,55 @@ def _rank_in_buckets(
 
 def rank_by_hash(
     df: DataFrame, seed: object, key: Sequence[str], by: Sequence[str] = (), name: str = "rank",
-    buckets: int | None = None,
+    digits: int = 4,
 ) -> DataFrame:
     """Exact rank of every row in the hash order, from 1, within ``by``.
 
-    Rows are ranked inside buckets of the hash (at most 16^5 of them, about 100,000 rows each)
-    and shifted by the size of the buckets before.
+    The first hex digits of the hash are the bucket, so buckets are of about equal size: four
+    digits make 65,536 of them.
     """
-    count = buckets or _bucket_count(df.count(), 100_000, 16**5)
-    digits = max(1, math.ceil(math.log(count, 16))) if count > 1 else 1
     hashed = df.withColumn("_hash", hash_order(seed, *key))
-    bucket = F.conv(F.substring("_hash", 1, digits), 16, 10).cast("int")
+    bucketed = hashed.withColumn("_bucket", F.substring("_hash", 1, digits))
     order = [F.col("_hash"), *[quoted(k).asc() for k in key]]
-    return _rank_in_buckets(hashed, bucket, order, by, name).drop("_hash")
+    return _rank_in_buckets(bucketed, order, by, name).drop("_hash")
 
 
-def range_edges(df: DataFrame, column: str, buckets: int) -> list[float]:
+def range_edges(df: DataFrame, column: str, ranges: int) -> list[float]:
     """Minimum, values that cut a numeric column into about equal parts, and maximum."""
-    shares = [i / buckets for i in range(buckets + 1)]
+    shares = [i / ranges for i in range(ranges + 1)]
     value = quoted(column).cast("double")
-    found = df.agg(F.percentile_approx(value, shares, 100 * buckets)).first()[0]
-    return sorted(set(found or []))
+    found = df.agg(F.percentile_approx(value, shares, 100 * ranges)).first()[0]
+    edges = sorted(set(found or [0.0]))
+    return edges if len(edges) > 1 else [edges[0], edges[0] + 1.0]
 
 
-def _range_bucket(df: DataFrame, column: str, edges: Sequence[float], name: str) -> DataFrame:
-    """Add a bucket number that rises with the column: between which edges it lies, and in which
+def _range_bucket(df: DataFrame, column: str, edges: Sequence[float], steps: int) -> DataFrame:
+    """Add ``_bucket``, which rises with the column: between which edges a value lies, and in which
     of equal steps from one edge to the next."""
-    value, steps = quoted(column).cast("double"), _STEPS_PER_RANGE
-    cut = Bucketizer(
-        splits=[-float("inf"), *edges[1:-1], float("inf")], inputCol="_v", outputCol="_range"
+    valued = df.withColumn("_value", quoted(column).cast("double"))
+    cuts = [-float("inf"), *edges[1:-1], float("inf")]
+    ranged = (
+        Bucketizer(splits=cuts, inputCol="_value", outputCol="_range").transform(valued)
+        if len(cuts) > 2
+        else valued.withColumn("_range", F.lit(0.0))
     )
-    ranged = cut.transform(df.withColumn("_v", value))
     at = F.col("_range").cast("int")
     ends = F.array(*[F.lit(float(e)) for e in edges])
     low, high = F.get(ends, at), F.get(ends, at + 1)
-    step = F.floor((F.col("_v") - low) / (high - low) * steps).cast("int")
+    step = F.floor((F.col("_value") - low) / (high - low) * steps).cast("int")
     inside = F.greatest(F.lit(0), F.least(F.lit(steps - 1), step))
-    return ranged.withColumn(name, at * steps + inside).drop("_v", "_range")
+    return ranged.withColumn("_bucket", at * steps + inside).drop("_value", "_range")
 
 
 def rank_by_value(
     df: DataFrame, column: str, by: Sequence[str] = (), name: str = "rank",
-    buckets: int | None = None,
+    ranges: int = 1_024, steps: int = 256,
 ) -> DataFrame:
     """Exact rank of every row by a numeric column that identifies rows, from 1, within ``by``.
 
-    Rows are ranked inside buckets of the column (at most 4,096 ranges of 64 steps) and shifted by
-    the size of the buckets before.
+    Buckets are steps between approximate quantiles of the column, 262,144 at most.
     """
     if not isinstance(df.schema[column].dataType, T.NumericType):
         raise ValueError(f"{column!r} is not numeric: rank it with rank_by_hash")
-    count = buckets or _bucket_count(df.count(), 100_000, 4096)
-    edges = range_edges(df, column, count) if count > 1 else []
-    if len(edges) < 3:
-        return _rank_in_buckets(df, F.lit(0), [quoted(column).asc()], by, name)
-    ranged = _range_bucket(df, column, edges, "_at")
-    return _rank_in_buckets(ranged, F.col("_at"), [quoted(column).asc()], by, name).drop("_at")
+    bucketed = _range_bucket(df, column, range_edges(df, column, ranges), steps)
+    return _rank_in_buckets(bucketed, [quoted(column).asc()], by, name)

@@ -127,7 +127,6 @@ def assign_batches(
     by: Sequence[str] = (),
     seed: int | None = None,
     epoch: int = 1,
-    buckets: int | None = None,
 ) -> DataFrame:
     """Add ``batch_id`` from 0, ``batch_size`` rows each, the last one short.
 
@@ -137,10 +136,10 @@ def assign_batches(
     names = [key] if isinstance(key, str) else list(key)
     numeric = len(names) == 1 and isinstance(df.schema[names[0]].dataType, T.NumericType)
     if seed is None and numeric:
-        ranked = rank_by_value(df, names[0], by, "_rank", buckets)
+        ranked = rank_by_value(df, names[0], by, "_rank")
     else:
         order = "stored" if seed is None else f"{seed}:{epoch}"
-        ranked = rank_by_hash(df, order, names, by, "_rank", buckets)
+        ranked = rank_by_hash(df, order, names, by, "_rank")
     return ranked.withColumn(
         "batch_id", F.floor((F.col("_rank") - 1) / F.lit(batch_size)).cast("bigint")
     ).drop("_rank")

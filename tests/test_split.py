@@ -101,10 +101,26 @@ def test_a_class_with_one_row_is_refused(spark):
 
 def test_ranks_in_buckets_equal_plain_ranks(spark):
     df = spark.range(5_000).select((F.col("id") * 7 % 5_003).alias("k"))
-    by_hash = rank_by_hash(df, "42:1", ["k"], buckets=256)
+    by_hash = rank_by_hash(df, "42:1", ["k"], digits=2)
     assert [r["k"] for r in by_hash.orderBy("rank").collect()] == plain_rank(df, "42:1", "k")
-    by_value = rank_by_value(df, "k", buckets=50).orderBy("k").collect()
+    by_value = rank_by_value(df, "k", ranges=5, steps=7).orderBy("k").collect()
     assert [r["rank"] for r in by_value] == list(range(1, 5_001))
+    fine = rank_by_value(df, "k").orderBy("k").collect()
+    assert [r["rank"] for r in fine] == list(range(1, 5_001))
+
+
+@pytest.mark.parametrize("values", [[], [7], [7, 7 + 2**60], list(range(-50, 0)) + [10**15]])
+def test_ranks_of_odd_tables(spark, values):
+    df = spark.createDataFrame([(v,) for v in values], "k long")
+    got = rank_by_value(df, "k").orderBy("k").collect()
+    assert [tuple(r) for r in got] == [(v, i + 1) for i, v in enumerate(values)]
+
+
+def test_ranks_are_planned_without_cross_joins(spark):
+    df = spark.range(100).withColumn("g", F.col("id") % 2)
+    for ranked in (rank_by_value(df, "id"), rank_by_hash(df, 1, ["id"]), rank_by_hash(df, 1, ["id"], ["g"])):
+        plan = ranked._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
 def test_batches(spark):
@@ -112,12 +128,12 @@ def test_batches(spark):
         F.col("id").alias("key"), F.when(F.col("id") < 800, "train").otherwise("val").alias("split"),
         F.array(F.lit(1.0), F.lit(2.0)).alias("x"),
     )
-    stored = assign_batches(df, 100, "key", by=["split"], buckets=8)
+    stored = assign_batches(df, 100, "key", by=["split"])
     got = {(r[0], r[1]): r[2] for r in stored.groupBy("split", "batch_id").count().collect()}
     assert got == {**{("train", i): 100 for i in range(8)}, ("val", 0): 100, ("val", 1): 100, ("val", 2): 50}
     assert stored.where("split = 'val' and batch_id = 2").agg(F.min("key")).first()[0] == 1_000
-    first = assign_batches(df, 100, "key", seed=42, epoch=1, buckets=8)
-    second = assign_batches(df, 100, "key", seed=42, epoch=2, buckets=8)
+    first = assign_batches(df, 100, "key", seed=42, epoch=1)
+    second = assign_batches(df, 100, "key", seed=42, epoch=2)
     sizes = {r[0]: r[1] for r in first.groupBy("batch_id").count().collect()}
     assert sizes == {**{i: 100 for i in range(10)}, 10: 50}
     moved = first.join(second.select("key", F.col("batch_id").alias("b2")), "key")

@@ -18,6 +18,7 @@ NAMES = [
     ("a_-b", "a  b"),
     ("income .", "income "),
     ("Detailed  household\tsummary", "detailed household summary"),
+    ("\u2003\xa0Wide\u3000blanks\x1f", "wide blanks"),
 ]
 
 INCOME = [
@@ -42,6 +43,12 @@ def test_name(raw, want):
     assert text.normalize_name(raw) == want
 
 
+def test_blanks_are_those_of_python():
+    import sys
+
+    assert set(text.BLANKS) == {chr(i) for i in range(sys.maxunicode + 1) if chr(i).isspace()}
+
+
 def test_name_as_column(spark):
     assert apply(spark, text.normalized, [n for n, _ in NAMES]) == [w for _, w in NAMES]
 
