@@ -606,7 +606,7 @@ def s11_saved_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Only ``last`` was saved, so loading falls back to it."""
     path = scratch_path(spark, "model")
     STACKED.save(spark, path, "last", 1)
-    return _scores(MultiTaskModel.load(spark, path, [1, 2]).score(vectors(spark, sf_dir)))
+    return _scores(MultiTaskModel.load(spark, path).score(vectors(spark, sf_dir)))
 
 
 @query(
@@ -740,5 +740,5 @@ def n12_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
     config.epochs = 1
     path = scratch_path(spark, "resume")
     MultiTaskTrainer(config).fit(train, val, out=path)
-    start = MultiTaskModel.load(spark, f"{path}/model", [1])
+    start = MultiTaskModel.load(spark, f"{path}/model")
     return _log_rows(spark, MultiTaskTrainer(config).fit(train, val, init=start).log)

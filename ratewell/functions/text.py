@@ -27,7 +27,7 @@ def normalize_name(name: str) -> str:
 
 def normalized(c: Column) -> Column:
     """:func:`normalize_name` over a text column."""
-    collapsed = F.regexp_replace(strip_blanks(F.lower(c)), f"[{BLANKS}]+", " ")
+    collapsed = F.regexp_replace(strip_blanks(F.lower(c)), r"(?U)[\s\x1c-\x1f]+", " ")
     return F.regexp_replace(F.translate(collapsed, "_-", "  "), r"[.]+$", "")
 
 

@@ -128,9 +128,9 @@ class MultiTaskModel:
         Earlier versions stay, so a job lost while writing leaves the last good one.
         """
         described = spark.range(1).select(F.lit(json.dumps(asdict(self.config))).alias("config"))
-        target = f"{path}/tag={tag}/epoch={epoch}"
-        described.coalesce(1).write.mode("overwrite").json(f"{target}/config")
-        self.table(spark).coalesce(1).write.mode("overwrite").parquet(f"{target}/params")
+        version = f"tag={tag}/epoch={epoch}"
+        described.coalesce(1).write.mode("overwrite").json(f"{path}/config/{version}")
+        self.table(spark).coalesce(1).write.mode("overwrite").parquet(f"{path}/params/{version}")
 
     @staticmethod
     def from_table(table: DataFrame, config: NetworkConfig) -> MultiTaskModel:
@@ -150,20 +150,24 @@ class MultiTaskModel:
 
     @staticmethod
     def load(
-        spark: SparkSession, path: str, epochs: Sequence[int], tags: Sequence[str] = ("best", "last")
+        spark: SparkSession, path: str, tags: Sequence[str] = ("best", "last")
     ) -> MultiTaskModel:
-        """The newest readable version of the first tag that has one (best, else last)."""
-        for tag in tags:
-            for epoch in sorted(epochs, reverse=True):
-                target = f"{path}/tag={tag}/epoch={epoch}"
-                try:
-                    described = spark.read.schema("config string").json(f"{target}/config").first()
-                    config = NetworkConfig(**json.loads(described["config"]))
-                    params = spark.read.schema(MODEL_TABLE).parquet(f"{target}/params")
-                    return MultiTaskModel.from_table(params, config)
-                except Exception as e:  # noqa: BLE001 - a missing or torn version: try the one before
-                    last = e
-        raise FileNotFoundError(f"no saved model below {path}: {last}")
+        """The newest complete version of the first tag that has one (best, else last)."""
+        version = T.StructType([T.StructField("tag", T.StringType()), T.StructField("epoch", T.IntegerType())])
+        params = spark.read.schema(T.StructType([*MODEL_TABLE, *version])).parquet(f"{path}/params")
+        configs = spark.read.schema(T.StructType([T.StructField("config", T.StringType()), *version]))
+        known = sorted(
+            configs.json(f"{path}/config").collect(), key=lambda r: r["epoch"], reverse=True
+        )
+        failures = []
+        for row in [r for tag in tags for r in known if r["tag"] == tag]:
+            config = NetworkConfig(**json.loads(row["config"]))
+            table = params.where((F.col("tag") == row["tag"]) & (F.col("epoch") == row["epoch"]))
+            try:
+                return MultiTaskModel.from_table(table, config)
+            except ValueError as e:  # torn while writing: try the version before
+                failures.append(f"{row['tag']} {row['epoch']}: {e}")
+        raise FileNotFoundError(f"no complete model with a tag of {list(tags)} below {path} {failures}")
 
 
 def evaluate(

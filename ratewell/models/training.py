@@ -41,7 +41,7 @@ _TOTALS = -1  # chunk number of the row count
 
 @dataclass
 class TrainConfig:
-    """Settings of a run."""
+    """Settings of a run. ``buckets`` are those the training rows were written with."""
 
     kind: str = "ple"
     epochs: int = 15
@@ -112,12 +112,20 @@ def _unflat(flat: np.ndarray, like: dict[str, np.ndarray], names: Sequence[str])
     return out
 
 
-def bucket_of(df: DataFrame, buckets: int, key: str = "key"):
-    """The bucket of a row: the partition column of a prepared artefact written with buckets, so
-    that a step reads its own folders only, else a hash of the key."""
-    if "bucket" in df.columns:
-        return quoted("bucket")
-    return F.pmod(F.xxhash64(quoted(key)), F.lit(buckets)).cast("int")
+def with_buckets(train: DataFrame, buckets: int, key: str = "key") -> DataFrame:
+    """The training rows with a partition column ``bucket``, so that a step reads its folders only.
+
+    An artefact written with buckets has it. Other rows are written that way once, to the shared
+    folder, which also spares every step what it took to make them.
+    """
+    if "bucket" in train.columns:
+        return train
+    spark, path = train.sparkSession, scratch_path(train.sparkSession, "training-rows")
+    bucket = F.pmod(F.xxhash64(quoted(key)), F.lit(buckets)).cast("int").alias("bucket")
+    labels = [F.col(y).cast("tinyint").alias(y) for y in LABELS]
+    rows = train.select("x", *labels, bucket).hint("rebalance", "bucket")
+    rows.write.partitionBy("bucket").parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
 
 
 def deal_batches(seed: int, epoch: int, buckets: int, batches: int) -> list[list[int]]:
@@ -271,20 +279,18 @@ class MultiTaskTrainer:
         pos_weights: Sequence[float],
         scratch: str,
     ) -> tuple[MultiTaskModel, dict]:
-        """One pass over the training rows; returns the updated model and the metrics on the fly.
+        """One pass over bucketed training rows; returns the updated model and the metrics on the fly.
 
         The rows of a step are written to the shared folder, where both the gradient and, at the
         end of the epoch, the metrics are read from. An epoch overwrites the one before.
         """
         c, spark = self.config, train.sparkSession
         names = model.config.trained()
-        bucket = bucket_of(train, c.buckets)
         tasks = (c.w_income, c.w_never_married)
         used = []
         for i, part in enumerate(deal_batches(c.seed, epoch, c.buckets, c.batches_per_epoch)):
-            rows = step_rows(
-                train.where(bucket.isin(part)), model, pos_weights, tasks, (c.seed, epoch, i)
-            )
+            batch = train.where(F.col("bucket").isin(part))
+            rows = step_rows(batch, model, pos_weights, tasks, (c.seed, epoch, i))
             path = f"{scratch}/batch={i}"
             rows.write.mode("overwrite").partitionBy("kind").parquet(path)
             written = spark.read.schema(_STEP_SCHEMA).parquet(path)
@@ -318,6 +324,7 @@ class MultiTaskTrainer:
         With ``out`` the run leaves its settings, log, models and report there.
         """
         c, spark = self.config, train.sparkSession
+        train = with_buckets(train, c.buckets)
         first = train.select(F.size("x").alias("d")).first()
         if first is None:
             raise ValueError("the training split has no rows")

@@ -15,7 +15,7 @@ from ratewell.session import materialize
 
 _COPIES_PER_TASK_STEP = 1_000_000
 _CUT_DIGITS = 3
-_CUT_ROWS = 20_000
+_CUT_ROWS = 5_000
 
 
 def hash_order(seed: object, *key: str | Column) -> Column:
@@ -190,7 +190,7 @@ def _range_bucket(df: DataFrame, column: str, edges: Sequence[float], steps: int
         else valued.withColumn("_range", F.lit(0.0))
     )
     at = F.col("_range").cast("int")
-    ends = F.array(*[F.lit(float(e)) for e in edges])
+    ends = F.split(F.lit(",".join(repr(float(e)) for e in edges)), ",").cast("array<double>")
     low, high = F.get(ends, at), F.get(ends, at + 1)
     step = F.floor((F.col("_value") - low) / (high - low) * steps).cast("int")
     inside = F.greatest(F.lit(0), F.least(F.lit(steps - 1), step))
@@ -199,7 +199,7 @@ def _range_bucket(df: DataFrame, column: str, edges: Sequence[float], steps: int
 
 def rank_by_value(
     df: DataFrame, column: str, by: Sequence[str] = (), name: str = "rank",
-    ranges: int = 1_024, steps: int = 256,
+    ranges: int = 256, steps: int = 1_024,
 ) -> DataFrame:
     """Exact rank of every row by a numeric column that identifies rows, from 1, within ``by``.
 

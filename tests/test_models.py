@@ -180,7 +180,7 @@ def test_training_learns_and_resumes(spark, tmp_path, kind):
     report = read_test_report(spark, f"{out}/report").first()
     assert report["best_val_combined_auc"] == pytest.approx(result.best_score)
     assert read_run_config(spark, f"{out}/config").first()["d_in"] == 3
-    loaded = MultiTaskModel.load(spark, f"{out}/model", range(1, 4))
+    loaded = MultiTaskModel.load(spark, f"{out}/model")
     again = evaluate(loaded, test, (1.0, 1.0)).first()
     assert again["combined_auc"] == pytest.approx(result.test["combined_auc"])
     if kind == "ple":
@@ -200,6 +200,22 @@ def test_batch_means_and_exact_metrics_agree_on_one_batch(spark):
     assert tuple(exact) == pytest.approx(tuple(batched))
 
 
+def test_loading_prefers_best_and_skips_torn_versions(spark, tmp_path):
+    path = str(tmp_path / "m")
+    first, second, last = (MultiTaskModel.fresh(SHAPES[1], seed) for seed in range(3))
+    last.save(spark, path, "last", 2)
+    name = "1.hidden.weight"
+    assert (MultiTaskModel.load(spark, path).params[name] == last.params[name]).all()
+    first.save(spark, path, "best", 1)
+    second.save(spark, path, "best", 2)
+    assert (MultiTaskModel.load(spark, path).params[name] == second.params[name]).all()
+    torn = second.table(spark).where("param != '1.out.bias'")
+    torn.write.mode("overwrite").parquet(f"{path}/params/tag=best/epoch=2")
+    assert (MultiTaskModel.load(spark, path).params[name] == first.params[name]).all()
+    with pytest.raises(FileNotFoundError):
+        MultiTaskModel.load(spark, path, ["other"])
+
+
 def test_incomplete_model_is_refused(spark):
     model = MultiTaskModel.fresh(SHAPES[1])
     with pytest.raises(ValueError, match="incomplete"):

@@ -4,6 +4,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from ratewell.models.training import MultiTaskTrainer, TrainConfig, with_buckets
 from ratewell.operators.columns import column_kinds
 from ratewell.operators.features import FeatureEncoder
 from ratewell.plans.prepare import PrepareConfig, prepare
@@ -113,19 +114,20 @@ def test_splits_by_folder(spark, tmp_path):
 
 
 def test_step_reads_only_its_buckets(spark, tmp_path):
-    from ratewell.models.training import bucket_of
-
     df = spark.range(100).select(
         F.col("id").alias("key"), F.array(F.lit(1.0).cast("float")).alias("x"),
         F.lit(0).alias("y_income"), F.lit(1).alias("y_never_married"), F.lit("train").alias("split"),
     )
     write_splits(df, str(tmp_path / "p"), 8)
-    train = read_split(spark, str(tmp_path / "p"), "train", validate=False)
-    step = train.where(bucket_of(train, 8).isin([1, 5]))
-    plan = step._jdf.queryExecution().executedPlan().toString()
-    assert "bucket" in plan.split("PartitionFilters:")[1].split("]")[0]
-    plain = df.where(bucket_of(df, 8).isin([1, 5]))
-    assert {r["key"] for r in step.collect()} == {r["key"] for r in plain.collect()}
+    written = read_split(spark, str(tmp_path / "p"), "train", validate=False)
+    assert with_buckets(written, 8) is written
+    counts = []
+    for train in (written, with_buckets(df, 8)):
+        step = train.where(F.col("bucket").isin([1, 5]))
+        plan = step._jdf.queryExecution().executedPlan().toString()
+        assert "bucket" in plan.split("PartitionFilters:")[1].split("]")[0]
+        counts.append(step.count())
+    assert counts[0] == counts[1] > 0
 
 
 def test_metadata_files(spark, tmp_path):
@@ -162,6 +164,18 @@ def test_preparation_from_raw_files(spark, census_folder, tmp_path, stage):
     assert done.data().select("key").distinct().count() == 400
 
 
+def test_from_raw_files_to_a_test_report(spark, census_folder, tmp_path):
+    raw = load_census(spark, [], [census_folder])
+    done = prepare(raw, str(tmp_path / "prepared"), config=PrepareConfig(min_freq=20, buckets=8))
+    train, val, test = (read_split(spark, done.path, s) for s in ("train", "val", "test"))
+    config = TrainConfig(
+        kind="mmoe", epochs=2, batches_per_epoch=2, buckets=8, d_model=8, expert_hidden=8, num_experts=2, lr=0.02
+    )
+    result = MultiTaskTrainer(config).fit(train, val, test, str(tmp_path / "run"))
+    assert result.model.config.d_in == done.width
+    assert 0 <= result.test["combined_auc"] <= 1 and len(result.log) == 2
+
+
 def test_preparation_refuses_a_single_class(spark, tmp_path):
     df = spark.createDataFrame([(i, "<=50K", "x") for i in range(50)], "k int, income string, marital string")
     with pytest.raises(ValueError, match="both classes"):
