@@ -45,12 +45,13 @@ class MultiTaskModel:
 
     def _map(self, df: DataFrame, keep: Sequence[str], added: Sequence[T.StructField], compute):
         """Add columns computed from blocks of ``x``; the parameters go out as a broadcast."""
-        shared = df.sparkSession.sparkContext.broadcast((self.config, self.params))
+        shared = df.sparkSession.sparkContext.broadcast((asdict(self.config), self.params))
         schema = T.StructType([*[df.schema[c] for c in keep], *added])
         names = [f.name for f in schema]
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            config, params = shared.value
+            shape, params = shared.value
+            config = NetworkConfig(**shape)
             for batch in batches:
                 for start, end, x in feature_blocks(batch):
                     rows = batch.slice(start, end - start)

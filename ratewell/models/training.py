@@ -8,7 +8,7 @@ so an epoch is cut into few large batches.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -145,7 +145,7 @@ def step_rows(
 
     Every task adds up its own rows; the parameters go out as a broadcast.
     """
-    shared = batch.sparkSession.sparkContext.broadcast((model.config, model.params))
+    shared = batch.sparkSession.sparkContext.broadcast((asdict(model.config), model.params))
     schema = pa.schema(
         [
             ("kind", pa.string()), ("chunk", pa.int32()), ("values", pa.list_(pa.float64())),
@@ -156,7 +156,8 @@ def step_rows(
     positive, weights = np.array(pos_weights), np.array(task_weights)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        config, params = shared.value
+        shape, params = shared.value
+        config = NetworkConfig(**shape)
         names = config.trained()
         rng = np.random.default_rng([*seed, TaskContext.get().partitionId()])
         total, rows = None, 0

@@ -14,7 +14,7 @@ from ratewell.operators.columns import quoted
 from ratewell.session import materialize
 
 _COPIES_PER_TASK_STEP = 1_000_000
-_CUT_DIGITS = 3
+CUT_DIGITS = 3
 _CUT_ROWS = 5_000
 
 
@@ -71,7 +71,7 @@ def hash_cuts(
 
     ``quotas[s]`` are increasing row counts. The result holds one hash ``t`` per count such that
     exactly that many rows of the stratum have a hash ``<= t``. ``prefix_counts`` are the rows per
-    (stratum, first three hex digits). Only the buckets around the cuts are looked at again, three
+    (stratum, first ``CUT_DIGITS`` hex digits). Only the buckets around the cuts are looked at again, three
     more digits at a time, until few rows are left in them. Where they are large, their hashes are
     written out first, so the table itself is read once more at most, and neither sorted nor
     shuffled.
@@ -82,7 +82,7 @@ def hash_cuts(
     per_bucket = {}
     for s, prefix, n in prefix_counts:
         per_bucket.setdefault((s, ""), []).append((prefix, n))
-    digits = _CUT_DIGITS
+    digits = CUT_DIGITS
     while open_cuts:
         narrowed = []
         for s, i, prefix, left in open_cuts:
@@ -99,7 +99,7 @@ def hash_cuts(
             break
         pairs = {(s, prefix) for s, _, prefix, _, _ in narrowed}
         small = digits >= 30 or all(n <= _CUT_ROWS for *_, n in narrowed)
-        digits = 32 if small else digits + _CUT_DIGITS
+        digits = 32 if small else digits + CUT_DIGITS
         inside = _where_any(
             F.col("s").eqNullSafe(F.lit(s)) & F.col("h").startswith(prefix) for s, prefix in pairs
         )

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ratewell.operators import rank
 from ratewell.operators.columns import quoted
 from ratewell.operators.rank import (
     add_row_key,
@@ -42,8 +43,8 @@ def _cut(
     The rows of a stratum that no entry claims are train. The result is a projection of ``df``.
     """
     order = hash_order(seed, *key)
-    prefix = F.substring(order, 1, 3)
-    most = _MAX_STRATA * 16**3
+    prefix = F.substring(order, 1, rank.CUT_DIGITS)
+    most = _MAX_STRATA * 16**rank.CUT_DIGITS
     found = (
         df.groupBy(strata.alias("s"), prefix.alias("p")).agg(F.count(F.lit(1)).alias("n")).take(most + 1)
     )

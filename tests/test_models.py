@@ -103,6 +103,19 @@ def test_scoring_equals_the_row_by_row_network(spark, config, monkeypatch):
     assert got == pytest.approx(row_by_row(config, model.params, x), abs=1e-9)
 
 
+def test_task_code_travels_without_the_library(tmp_path):
+    """Executors that do not have this package can run what tasks need of it."""
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    payload = tmp_path / "code"
+    payload.write_bytes(cloudpickle.dumps((forward, gradients, NetworkConfig, scoring.feature_blocks)))
+    load = "import pickle, sys; f = pickle.load(open(sys.argv[1], 'rb')); f[2]('mmoe', 3)"
+    subprocess.run([sys.executable, "-c", load, str(payload)], cwd=tmp_path, check=True)
+
+
 def test_start_values():
     p = initial_params(NetworkConfig("ple", 100, 8, 16), 0)
     w = p["1.hidden.weight"]

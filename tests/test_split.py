@@ -45,6 +45,20 @@ def test_cuts_inside_deep_buckets(spark, monkeypatch):
     assert test == set(plain_rank(df, 5, "id")[: math.ceil(0.37 * 40_000)])
 
 
+def test_cuts_that_share_a_bucket(spark, monkeypatch):
+    """With sixteen buckets both cuts of a class fall into few of them, at every level."""
+    monkeypatch.setattr(rank, "CUT_DIGITS", 1)
+    monkeypatch.setattr(rank, "_CUT_ROWS", 1)
+    df = spark.range(500).select(F.col("id").alias("key"), (F.col("id") % 5 == 0).cast("int").alias("y"))
+    split = stratified_split(df, "y", "key", 0.05, 0.01, 9)
+    for y in (0, 1):
+        got = {s: {r[0] for r in split.where((F.col("y") == y) & (F.col("split") == s)).select("key").collect()} for s in ("test", "val")}
+        order = plain_rank(df.where(F.col("y") == y), 9, "key")
+        n = len(got["test"])
+        assert got["test"] == set(order[:n]) and got["val"] == set(order[n : n + len(got["val"])])
+        assert n in (5, 20) and len(got["val"]) in (1, 4, 5)
+
+
 def test_split_is_a_projection(spark, sf):
     df = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", "o_custkey")
     plan = train_test_split(df, "o_orderkey")._jdf.queryExecution().executedPlan().toString()

@@ -110,3 +110,12 @@ def test_coercion_needs_more_than_98_percent(spark):
     df = coerce_numeric_text(strip_text(columns(spark, rows, ["most", "some", "text"])))
     assert column_kinds(df) == (["most"], ["some", "text"])
     assert df.where("most is null").count() == 1
+
+
+def test_names_as_columns_and_in_python_agree(spark):
+    import random
+
+    rng = random.Random(4)
+    parts = ["a", "B", "É", "_", "-", ".", " ", "\t", "\xa0", "\u2003", "income", "Class", "9", "\x1f"]
+    names = ["".join(rng.choices(parts, k=rng.randrange(9))) for _ in range(400)]
+    assert apply(spark, text.normalized, names) == [text.normalize_name(n) for n in names]
