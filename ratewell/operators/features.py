@@ -73,6 +73,7 @@ def fit_numeric(df: DataFrame, columns: Sequence[str]) -> list[NumericColumn]:
         *[F.count(v).alias(f"n_{i}") for i, v in enumerate(values)],
         *[F.avg(v).alias(f"mean_{i}") for i, v in enumerate(values)],
         *[F.var_pop(v).alias(f"var_{i}") for i, v in enumerate(values)],
+        *[(F.min(v) == F.max(v)).alias(f"constant_{i}") for i, v in enumerate(values)],
     ]
     quantiles, row = quantiles_and(df, {c: [0.5] for c in columns}, moments)
     fitted = []
@@ -80,6 +81,9 @@ def fit_numeric(df: DataFrame, columns: Sequence[str]) -> list[NumericColumn]:
         median = quantiles[c][0.5]
         if median is None:
             continue
+        if row[f"constant_{i}"]:  # exactly, where the moments may be off by a rounding
+            fitted.append(NumericColumn(c, median, median, 1.0))
+            continue
         share = row[f"n_{i}"] / row["rows"]
         apart = row[f"mean_{i}"] - median
         mean = share * row[f"mean_{i}"] + (1 - share) * median

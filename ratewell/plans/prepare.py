@@ -60,14 +60,15 @@ class Prepared:
         return read_prepared(self.splits.sparkSession, self.path)
 
 
-def labelled(
-    df: DataFrame, key: str, income: str, marital: str
-) -> DataFrame:
+def labelled(df: DataFrame, key: str, income: str, marital: str) -> DataFrame:
     """Key and features with both labels; the columns the labels came from are dropped."""
-    features = [quoted(c) for c in df.columns if c not in (key, income, marital, *LABELS)]
+    features = [c for c in df.columns if c not in (key, income, marital, *LABELS)]
+    taken = sorted({"key", "x", "split"} & set(features))
+    if taken:
+        raise ValueError(f"rename the feature columns {taken}: the artefact uses these names")
     return df.select(
         quoted(key).alias("key"),
-        *features,
+        *[quoted(c) for c in features],
         income_label(df, income).alias("y_income"),
         never_married_label(marital).alias("y_never_married"),
     )

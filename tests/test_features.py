@@ -55,6 +55,14 @@ def test_constant_and_empty_columns(spark):
     assert model.transform(df).first()["x"] == [0.0]
 
 
+def test_constant_column_with_gaps_has_no_deviation(spark):
+    """0.1 summed three times and divided by three is not 0.1."""
+    df = spark.createDataFrame([(0.1,), (0.1,), (0.1,), (None,)], "c double")
+    model = FeatureEncoder().fit(df)
+    assert (model.numeric[0].mean, model.numeric[0].scale) == (0.1, 1.0)
+    assert {tuple(r["x"]) for r in model.transform(df).collect()} == {(0.0,)}
+
+
 def test_metadata_and_hash(spark):
     df = spark.createDataFrame([(1.0, "b"), (3.0, "a")], "n double, t string")
     model = FeatureEncoder(min_freq=2).fit(df)

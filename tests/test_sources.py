@@ -180,3 +180,9 @@ def test_preparation_refuses_a_single_class(spark, tmp_path):
     df = spark.createDataFrame([(i, "<=50K", "x") for i in range(50)], "k int, income string, marital string")
     with pytest.raises(ValueError, match="both classes"):
         prepare(df, str(tmp_path / "out"), "k")
+
+
+def test_preparation_refuses_reserved_names(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a", ">50K", "x")], "k int, split string, income string, marital string")
+    with pytest.raises(ValueError, match="split"):
+        prepare(df, str(tmp_path / "out"), "k")
