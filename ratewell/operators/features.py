@@ -9,9 +9,9 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ratewell.operators.columns import column_kinds, nan_to_null, quoted
@@ -23,7 +23,7 @@ _BROADCAST_CATEGORIES = 500_000  # most rows and bytes of text that a lookup may
 _BROADCAST_BYTES = 64 << 20
 _HOT_SHARE = 10_000  # a value above 1/10,000 of the rows is looked up before the shuffle
 _HOT_BYTES = 1_024  # unless it is longer than this
-_METADATA_CATEGORIES = 100_000  # beyond this the one-row metadata refers to the table
+_FEW_CATEGORIES = 100_000  # of all columns: more are written out, and left out of one-row metadata
 
 
 @dataclass
@@ -49,6 +49,7 @@ class TextColumn:
     frequent: int
     rows: int
     text_bytes: int
+    places: dict[str, int]  # slots by category, where those are few
 
     @property
     def width(self) -> int:
@@ -125,16 +126,20 @@ def column_modes(counts: DataFrame) -> DataFrame:
     )
 
 
-def categories(counts: DataFrame, modes: DataFrame, min_freq: int) -> DataFrame:
+def categories(counts: DataFrame, modes: Sequence[Row], min_freq: int) -> DataFrame:
     """Categories after imputation by the mode, with ``slot``: sorted position of a frequent
-    category, null of a rare one.
+    category, null of a rare one. ``modes`` are the rows of :func:`column_modes`.
 
     Only frequent categories are put in order; each of them is one cell of every encoded row, so
     their number per column is bounded by what a row can hold.
     """
+    gaps = counts.sparkSession.createDataFrame(
+        [(r["column"], r["mode"], r["missing"]) for r in modes],
+        "column string, mode string, missing bigint",
+    )
     filled = (
         counts.where(F.col("value").isNotNull())
-        .join(F.broadcast(modes.select("column", "mode", "missing")), "column")
+        .join(F.broadcast(gaps), "column")  # one row per column
         .withColumn(
             "count",
             F.col("count") + F.when(F.col("value") == F.col("mode"), F.col("missing")).otherwise(0),
@@ -170,7 +175,6 @@ class FeatureModel:
     table: DataFrame | None
     min_freq: int
     original: tuple[list[str], list[str]]
-    _inline: dict[str, dict[str, int]] = field(default_factory=dict)
 
     @property
     def width(self) -> int:
@@ -187,9 +191,8 @@ class FeatureModel:
     def _with_slot(self, df: DataFrame, column: TextColumn, name: str) -> DataFrame:
         """Add the slot of a row's category, null for a value not seen in training."""
         value = F.coalesce(quoted(column.name).cast("string"), F.lit(column.mode))
-        if column.name in self._inline:
-            known = self._inline[column.name]
-            pairs = [F.lit(x) for kv in known.items() for x in kv]
+        if column.places:
+            pairs = [F.lit(x) for kv in column.places.items() for x in kv]
             return df.withColumn(name, F.try_element_at(F.create_map(*pairs), value))
         found = self._lookup(column)
         if column.categories <= _BROADCAST_CATEGORIES and column.text_bytes <= _BROADCAST_BYTES:
@@ -257,7 +260,7 @@ class FeatureModel:
         The categories are spelled out unless they are very many; their table always holds them.
         """
         numeric, text = self.original
-        if self.text and sum(c.categories for c in self.text) <= _METADATA_CATEGORIES:
+        if self.text and sum(c.categories for c in self.text) <= _FEW_CATEGORIES:
             row = (
                 self.table.groupBy("column")
                 .agg(F.sort_array(F.collect_list("value")).alias("values"))
@@ -317,24 +320,31 @@ def fit_text(
 ) -> tuple[list[TextColumn], DataFrame]:
     """Mode and categories per text column; columns without values are left out.
 
-    The counts are written once and read by everything that follows.
+    The rows are scanned once: their counts are written, and read by everything that follows.
     """
     counts = materialize(category_counts(df, columns), "category-counts")
-    modes = column_modes(counts)
-    table = materialize(categories(counts, modes, min_freq), "categories")
-    found = {r["column"]: r for r in modes.collect()}
-    frequent = {
-        r["column"]: r["n"]
-        for r in table.groupBy("column").agg(F.count("slot").alias("n")).collect()
-    }
-    fitted = [
-        TextColumn(
-            c, found[c]["mode"], found[c]["categories"], frequent.get(c, 0),
-            found[c]["rows"], found[c]["text_bytes"],
-        )
-        for c in columns
-        if c in found and found[c]["mode"] is not None
-    ]
+    modes = {r["column"]: r for r in column_modes(counts).collect() if r["mode"] is not None}
+    table = categories(counts, list(modes.values()), min_freq)
+    if sum(r["categories"] for r in modes.values()) > _FEW_CATEGORIES:
+        table = materialize(table, "categories")
+    few = [c for c, r in modes.items() if r["categories"] <= _INLINE_CATEGORIES]
+    inline = F.when(F.col("column").isin(few), F.struct("value", "slot"))
+    summary = table.groupBy("column").agg(
+        F.count("slot").alias("frequent"), F.collect_list(inline).alias("inline")
+    )
+    found = {r["column"]: r for r in summary.collect()}
+    fitted = []
+    for c in columns:
+        if c in modes:
+            m, frequent = modes[c], found[c]["frequent"]
+            places = {
+                r["value"]: frequent if r["slot"] is None else r["slot"] for r in found[c]["inline"]
+            }
+            fitted.append(
+                TextColumn(
+                    c, m["mode"], m["categories"], frequent, m["rows"], m["text_bytes"], places
+                )
+            )
     return fitted, table
 
 
@@ -357,14 +367,4 @@ class FeatureEncoder:
         text = list(kinds[1] if self.text is None else self.text)
         fitted_numeric = fit_numeric(train, numeric)
         fitted_text, table = fit_text(train, text, self.min_freq) if text else ([], None)
-        model = FeatureModel(fitted_numeric, fitted_text, table, self.min_freq, (numeric, text))
-        small = [c for c in fitted_text if c.categories <= _INLINE_CATEGORIES]
-        if small:
-            rows = table.where(F.col("column").isin([c.name for c in small])).collect()
-            for c in small:
-                model._inline[c.name] = {
-                    r["value"]: c.frequent if r["slot"] is None else r["slot"]
-                    for r in rows
-                    if r["column"] == c.name
-                }
-        return model
+        return FeatureModel(fitted_numeric, fitted_text, table, self.min_freq, (numeric, text))
