@@ -109,7 +109,10 @@ def stratified_split(
     val_size: float = 0.10,
     seed: int = 42,
 ) -> DataFrame:
-    """Add ``split`` (train, val, test) with exact sizes, every class keeping its share."""
+    """Add ``split`` (train, val, test) with exact sizes, every class keeping its share.
+
+    ``key`` as in :func:`train_test_split`.
+    """
     keyed, names, extra = _with_key(df, key)
 
     def plan(sizes):
@@ -132,7 +135,8 @@ def assign_batches(
     """Add ``batch_id`` from 0, ``batch_size`` rows each, the last one short.
 
     With a ``seed`` the rows are dealt in a fresh order for every epoch (training); without one they
-    keep the order of their key. ``by`` deals within groups such as ``split``.
+    keep the order of their key. ``by`` deals within groups such as ``split``. The key has to
+    identify rows; :func:`ratewell.operators.rank.add_row_key` makes one where there is none.
     """
     names = [key] if isinstance(key, str) else list(key)
     numeric = len(names) == 1 and isinstance(df.schema[names[0]].dataType, T.NumericType)
