@@ -4,9 +4,12 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from catalog import learning, tables
 from check import TABLES, compare
 
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+# the operators of ratewell.llm have their own tests
+QUERIES = {name: f for c in (tables, learning) for name, f in c.QUERIES.items()}
+SQL = {name: sql for c in (tables, learning) for name, sql in c.SQL.items()}
 
 
 @pytest.fixture(scope="module")
@@ -35,6 +38,12 @@ def test_query(spark, con, sf_dir, name):
     assert compare(df, con, SQL[name]) is None
 
 
+def test_all_are_registered():
+    assert set(QUERIES) <= set(entry.queries())
+    assert set(SQL) <= set(entry.oracle_sql())
+    assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
 def test_all_sql_belongs_to_a_query():
     assert set(SQL) <= set(QUERIES)
     assert set(QUERIES) - set(SQL) == {"n10_fit", "n12_resume"}
