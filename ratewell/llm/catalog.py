@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ratewell.llm import trie_bpe
+from ratewell.llm import best_fit_packing, cuckoo_dedup, trie_bpe
 
 #: Vocabulary of the packing and encoding queries.
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -27,3 +27,30 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_trie_encoding(spark, sf_dir):
     """Ids and decoded texts of all documents, as digests."""
     return trie_bpe.digests(documents(spark, sf_dir), VOCABULARY)
+
+
+@query
+def op7_best_fit_packing(spark, sf_dir):
+    """All documents in sequences of 2,048 tokens."""
+    pieces = best_fit_packing.tokenise(documents(spark, sf_dir), VOCABULARY, 2048)
+    return best_fit_packing.pack(pieces, 2048)
+
+
+@query
+def op8_cuckoo_dedup(spark, sf_dir):
+    """Which documents are equal up to blanks, and the one of each group that stays."""
+    return cuckoo_dedup.dedup(documents(spark, sf_dir))
+
+
+SQL["op8_cuckoo_dedup"] = r"""
+WITH d AS (
+    SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256
+    FROM documents
+)
+SELECT doc_id,
+       min(doc_id) OVER (PARTITION BY text_sha256) AS keep_id,
+       count(*) OVER (PARTITION BY text_sha256) AS group_size,
+       doc_id = min(doc_id) OVER (PARTITION BY text_sha256) AS kept,
+       text_sha256
+FROM d
+"""

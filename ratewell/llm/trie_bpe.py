@@ -19,6 +19,7 @@ import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -302,3 +303,58 @@ def digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
 
 def _sha(text: str) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
+
+
+def library_ids(path: str):
+    """A function that gives the ids of each text, as little-endian bytes of 32-bit numbers.
+
+    The ids come from the tokenizers library. Each distinct chunk between blanks is put through it
+    once and remembered, since this tokenizer's words never span a blank.
+    """
+    from tokenizers import Tokenizer
+
+    def load():
+        t = Tokenizer.from_file(path)
+        t.no_truncation()
+        t.no_padding()
+        return t
+
+    tokenizer = worker_memo(f"tokenizer {path}", load)
+    cut = worker_memo(f"encoder {path}", lambda: TrieEncoder(path))
+    known: dict[str, bytes] = worker_memo(f"library {path}", dict)
+
+    def learn(chunks: list[str]) -> None:
+        # one long text: a call per chunk would cost more than its words
+        for s in range(0, len(chunks), 20_000):
+            some = chunks[s : s + 20_000]
+            code = tokenizer.encode(" ".join(some), add_special_tokens=False)
+            ids = np.array(code.ids, "<u4")
+            begin = np.array([o[0] for o in code.offsets], np.int64)
+            ends = np.cumsum([len(c) + 1 for c in some])
+            at = np.searchsorted(begin, ends)
+            raw = ids.tobytes()
+            first = 0
+            for c, k in zip(some, at.tolist()):
+                known[c] = raw[4 * first : 4 * k]
+                first = k
+
+    def ids_of(texts: list[str | None]) -> list[bytes]:
+        out, at = [], 0
+        while at < len(texts):
+            end, size = at, 0
+            while end < len(texts) and (end == at or size < 4_000_000):
+                size += len(texts[end] or "")
+                end += 1
+            cuts = [cut.chunks(t) if t else [] for t in texts[at:end]]
+            missing = {c for cs in cuts for c in cs if c not in known}
+            if len(known) + len(missing) > WORDS_KEPT:
+                known.clear()
+                missing = {c for cs in cuts for c in cs}
+            if missing:
+                learn(list(missing))
+            get = known.__getitem__
+            out += [b"".join(map(get, cs)) for cs in cuts]
+            at = end
+        return out
+
+    return ids_of
