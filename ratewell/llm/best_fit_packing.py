@@ -17,15 +17,13 @@ import zlib
 from bisect import bisect_left, insort
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ratewell.llm import trie_bpe
+from ratewell.llm.numbering import number_rows
 from ratewell.session import materialize
 
-#: Pieces ranked together; there are as many parts as this needs.
-PART_ROWS = 50_000
-
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
     """Steps (length, first rank, pieces, first sequence, pieces per sequence, offset).
@@ -133,14 +131,7 @@ def pack(pieces: DataFrame, capacity: int, length: str = "length") -> DataFrame:
     schema = "_length long, _rank long, _n long, _sequence long, _per long, _offset long"
     steps = F.broadcast(spark.createDataFrame(steps, schema))  # bounded, see above
 
-    parts = max(1, -(-sum(counts.values()) // PART_ROWS))
-    held = held.withColumn("_part", F.pmod(F.xxhash64("_row"), F.lit(parts)))
-    before = Window.partitionBy(length).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = held.groupBy(length, "_part").count()
-    offsets = offsets.withColumn("_before", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
-    within = F.row_number().over(Window.partitionBy(length, "_part").orderBy("_row")) - 1
-    ranked = held.withColumn("_within", within).join(offsets, [length, "_part"])
-    ranked = ranked.withColumn("_r", F.col("_within") + F.col("_before"))
+    ranked = number_rows(held, "_row", "_r", [length], sum(counts.values()))
     j = F.col("_r") - F.col("_rank")
     placed = ranked.join(
         steps,

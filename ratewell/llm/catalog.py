@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ratewell.llm import best_fit_packing, cuckoo_dedup, trie_bpe
+from ratewell.llm import best_fit_packing, cuckoo_dedup, label_propagation, trie_bpe
 
 #: Vocabulary of the packing and encoding queries.
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -29,6 +29,12 @@ def op10_trie_encoding(spark, sf_dir):
     return trie_bpe.digests(documents(spark, sf_dir), VOCABULARY)
 
 
+@query
+def op4_label_propagation(spark, sf_dir):
+    """All documents in 24 shards of equal row counts, equal texts together."""
+    return label_propagation.shard(documents(spark, sf_dir), 24)
+
+
 @query
 def op7_best_fit_packing(spark, sf_dir):
     """All documents in sequences of 2,048 tokens."""

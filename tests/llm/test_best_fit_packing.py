@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from ratewell.llm import best_fit_packing as bp
+from ratewell.llm import numbering
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -80,7 +81,7 @@ def test_documents(spark, sf):
 
 
 def test_one_length_in_many_parts(spark, monkeypatch):
-    monkeypatch.setattr(bp, "PART_ROWS", 50)
+    monkeypatch.setattr(numbering, "PART_ROWS", 50)
     pieces = spark.range(1003).select(F.col("id").alias("doc_id"), F.lit(30).cast("long").alias("length"))
     assert check(bp.pack(pieces, 100).collect(), 100) == 335
 
