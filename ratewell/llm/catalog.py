@@ -4,8 +4,17 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-
-from ratewell.llm import best_fit_packing, cuckoo_dedup, label_propagation, trie_bpe
+from pyspark.sql import functions as F
+
+from ratewell.llm import (
+    best_fit_packing,
+    cuckoo_dedup,
+    label_propagation,
+    language_spans,
+    passage_quality,
+    subword_toxicity,
+    trie_bpe,
+)
 
 #: Vocabulary of the packing and encoding queries.
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -29,6 +38,32 @@ def op10_trie_encoding(spark, sf_dir):
     return trie_bpe.digests(documents(spark, sf_dir), VOCABULARY)
 
 
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+@query
+def op2_language_spans(spark, sf_dir):
+    """The language of every document, and how many spans of one language it has."""
+    docs = documents(spark, sf_dir)
+    out = language_spans.identify(docs, language_spans.fit(docs))
+    return out.withColumn("n_spans", F.size("spans")).drop("spans")
+
+
+@query
+def op3_passage_quality(spark, sf_dir):
+    """The quality of every document."""
+    docs = documents(spark, sf_dir)
+    return passage_quality.classify(docs, passage_quality.fit(docs, labels(spark, sf_dir)))
+
+
+@query
+def op6_subword_toxicity(spark, sf_dir):
+    """The toxicity of every document."""
+    docs = documents(spark, sf_dir)
+    return subword_toxicity.classify(docs, subword_toxicity.fit(docs, labels(spark, sf_dir)))
+
+
 @query
 def op4_label_propagation(spark, sf_dir):
     """All documents in 24 shards of equal row counts, equal texts together."""
