@@ -20,6 +20,7 @@ from ratewell.llm.subword_toxicity import Settings, subwords
 
 SAMPLE_PER_LANGUAGE = 1_500
 UNKNOWN = "und"
+MARKS = ".,;:!?\"'()[]"
 # Where blocks of letters begin, and the script of each.
 SCRIPTS = (
     (0x0000, "latin"), (0x0370, "greek"), (0x0400, "cyrillic"), (0x0530, "armenian"),
@@ -56,7 +57,7 @@ class Languages:
 
 
 def _grams(settings: Settings, ws: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    return subwords([w.strip(".,;:!?\"'()[]") for w in ws], settings)
+    return subwords([w.strip(MARKS) for w in ws], settings)
 
 
 def train(sample: list[tuple[str, object]], buckets: int = 1 << 16) -> Languages:
@@ -110,17 +111,23 @@ def word_scores(m: Languages, ws: list[str]) -> np.ndarray:
         per = np.bincount(word, minlength=len(some))
         for j in range(len(m.names)):
             out[k : k + len(some), 1 + j] = m.strength * np.bincount(word, m.logs[gram, j], len(some)) / per
+    used = sorted(m.scripts)
+    number = {x: i for i, x in enumerate(used)}
+    can = np.array([*[m.scripts[x] for x in used], np.ones(len(m.names), bool)])
+    of = np.full(len(ws), len(used))
     for i, w in enumerate(ws):
-        s = script(w)
-        if s is None:
-            out[i] = 0
-            continue
-        out[i, 0] = len(w) if w.isalpha() else sum(map(str.isalpha, w))
-        can = m.scripts.get(s)
-        if can is None:
-            out[i, 1:] = 0
+        core = w if w.isalpha() else w.strip(MARKS)
+        if core.isalpha():
+            out[i, 0] = len(core)
+            s = "latin" if core[0] < "\u0370" else script(core)
         else:
-            out[i, 1:] = np.where(can, out[i, 1:] - out[i, 1:].max(), -1000)
+            out[i, 0] = sum(map(str.isalpha, w))
+            s = script(w)
+        of[i] = number.get(s, len(used))
+    scores = out[:, 1:]
+    scores -= scores.max(1, keepdims=True)
+    scores[~can[of]] = -1000
+    scores[(of == len(used)) | (out[:, 0] == 0)] = 0
     return out
 
 
