@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ratewell.llm import (
     best_fit_packing,
+    chosen_path,
     cuckoo_dedup,
     label_propagation,
     language_spans,
+    metric_tree,
     passage_quality,
     subword_toxicity,
     trie_bpe,
@@ -42,6 +45,28 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+@query
+def op1_metric_tree(spark, sf_dir):
+    """The five highest inner products of every 50th vector."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return metric_tree.top_k(rows, F.col("id") % 50 == 0, 5)
+
+
+SQL["op1_metric_tree"] = """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS x
+    FROM embeddings
+), s AS (
+    SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.x, c.x) AS BIGINT) AS score
+    FROM v q JOIN v c ON q.vec_id <> c.vec_id
+    WHERE q.vec_id % 50 = 0
+), r AS (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
 @query
 def op2_language_spans(spark, sf_dir):
     """The language of every document, and how many spans of one language it has."""
@@ -57,6 +82,12 @@ def op3_passage_quality(spark, sf_dir):
     return passage_quality.classify(docs, passage_quality.fit(docs, labels(spark, sf_dir)))
 
 
+@query
+def op5_chosen_path(spark, sf_dir):
+    """Near-duplicate classes of all documents: Jaccard 0.8 on five-word shingles."""
+    return chosen_path.join(documents(spark, sf_dir)).drop("body")
+
+
 @query
 def op6_subword_toxicity(spark, sf_dir):
     """The toxicity of every document."""
@@ -95,3 +126,9 @@ SELECT doc_id,
        text_sha256
 FROM d
 """
+
+
+@query
+def pipeline(spark, sf_dir):
+    """All stages of the corpus pipeline, from documents to packed sequences."""
+    return corpus_pipeline.run(spark, sf_dir)

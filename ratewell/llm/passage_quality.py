@@ -239,3 +239,14 @@ def classify(docs: DataFrame, model: Quality, key: str = "doc_id", text: str = "
     return out.select(
         key, held_out(F.col(key)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")
     )
+
+
+def keep(docs: DataFrame, model: Quality, text: str = "text", threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` that score at least ``threshold``, as they are; cases as in ``classify``."""
+    bc = docs.sparkSession.sparkContext.broadcast(model)
+
+    def make():
+        score = scorer(bc.value)
+        return lambda texts: score(texts) >= threshold
+
+    return words.filter_texts(docs, text, make)

@@ -228,3 +228,14 @@ def classify(docs: DataFrame, model: Toxicity, key: str = "doc_id", text: str =
     return out.select(
         key, held_out(F.col(key)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")
     )
+
+
+def keep(docs: DataFrame, model: Toxicity, text: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that score below ``threshold``, as they are; cases as in ``classify``."""
+    bc = docs.sparkSession.sparkContext.broadcast((model.weight.astype(np.float32), model.bias, model.settings))
+
+    def make():
+        score = scorer(*bc.value)
+        return lambda texts: score(texts) < threshold
+
+    return words.filter_texts(docs, text, make)

@@ -127,3 +127,19 @@ def score_texts(docs: DataFrame, key: str, text: str, score, schema: str) -> Dat
     kind = docs.schema[key].dataType.simpleString()
     out = rows.mapInArrow(run, f"k {kind}, {schema}")
     return out.withColumnRenamed("k", key)
+
+
+def filter_texts(docs: DataFrame, text: str, keep) -> DataFrame:
+    """The rows of ``docs`` for which ``keep()(texts)`` is true, with all their columns."""
+    at = docs.columns.index(text)
+
+    def run(batches: Iterable):
+        import pyarrow as pa
+
+        good = keep()
+        for batch in batches:
+            for s in range(0, batch.num_rows, 4096):
+                b = batch.slice(s, 4096)
+                yield b.filter(pa.array(good(b.column(at).to_pylist()), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
