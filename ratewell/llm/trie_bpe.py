@@ -32,8 +32,8 @@ SEPARATORS = "\x1c\x1d\x1e\x1f"
 
 #: Distinct words that meet in one trie; how many words, and chunks of text, a worker remembers.
 TRIE_WORDS = 20_000
-WORDS_KEPT = 500_000
-CHUNKS_KEPT = 300_000
+WORDS_KEPT = 1_000_000
+CHUNKS_KEPT = 500_000
 
 
 def worker_memo(name: str, make):
@@ -189,7 +189,7 @@ class TrieEncoder:
 def fill(encoder: TrieEncoder, render, known: dict, by_word: dict, missing: set[str]) -> None:
     """Add ``render(ids)`` of the missing chunks to ``known``, encoding words not in ``by_word``."""
     find, added = encoder.words.findall, encoder.added
-    pieces = {c: [c] if c in added else find(c) for c in missing}
+    pieces = {c: [c] if c.isalpha() or c in added else find(c) for c in missing}
     if len(by_word) > WORDS_KEPT:
         by_word.clear()
     by_word.update((c, (i,)) for c, i in added.items())
@@ -308,35 +308,46 @@ def _sha(text: str) -> str:
 def library_ids(path: str):
     """A function that gives the ids of each text, as little-endian bytes of 32-bit numbers.
 
-    The ids come from the tokenizers library. Each distinct chunk between blanks is put through it
-    once and remembered, since this tokenizer's words never span a blank.
+    The ids come from the tokenizers library. Each distinct word is put through it once and
+    remembered; since the words are normalised and cut already, the library only splits at blanks.
     """
-    from tokenizers import Tokenizer
+    from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
     def load():
         t = Tokenizer.from_file(path)
         t.no_truncation()
         t.no_padding()
-        return t
+        mark = json.loads(t.to_str())["model"]["end_of_word_suffix"]
+        ends = np.zeros(t.get_vocab_size(), bool)
+        ends[[i for w, i in t.get_vocab().items() if w.endswith(mark)]] = True  # one ends each word
+        t.normalizer = normalizers.Sequence([])
+        t.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        )
+        return t, ends
 
-    tokenizer = worker_memo(f"tokenizer {path}", load)
+    tokenizer, ends = worker_memo(f"tokenizer {path}", load)
     cut = worker_memo(f"encoder {path}", lambda: TrieEncoder(path))
+    by_word: dict[str, bytes] = worker_memo(f"library words {path}", dict)
     known: dict[str, bytes] = worker_memo(f"library {path}", dict)
-
-    def learn(chunks: list[str]) -> None:
-        # one long text: a call per chunk would cost more than its words
-        for s in range(0, len(chunks), 20_000):
-            some = chunks[s : s + 20_000]
-            code = tokenizer.encode(" ".join(some), add_special_tokens=False)
-            ids = np.array(code.ids, "<u4")
-            begin = np.array([o[0] for o in code.offsets], np.int64)
-            ends = np.cumsum([len(c) + 1 for c in some])
-            at = np.searchsorted(begin, ends)
-            raw = ids.tobytes()
-            first = 0
-            for c, k in zip(some, at.tolist()):
-                known[c] = raw[4 * first : 4 * k]
-                first = k
+    find = cut.words.findall
+
+    def learn(chunks: set[str]) -> None:
+        special = {c: np.array([cut.added[c]], "<u4").tobytes() for c in chunks if c in cut.added}
+        pieces = {c: [c] if c.isalpha() else find(c) for c in chunks if c not in special}
+        if len(by_word) > WORDS_KEPT:
+            by_word.clear()
+        fresh = list({w for ws in pieces.values() for w in ws if w not in by_word})
+        for s in range(0, len(fresh), 20_000):  # a call per word would cost more than the word
+            some = fresh[s : s + 20_000]
+            ids = np.array(tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            raw, first = ids.tobytes(), 0
+            for w, end in zip(some, (4 * np.flatnonzero(ends[ids]) + 4).tolist(), strict=True):
+                by_word[w] = raw[first:end]
+                first = end
+        for c, ws in pieces.items():
+            known[c] = by_word[ws[0]] if len(ws) == 1 else b"".join([by_word[w] for w in ws])
+        known.update(special)
 
     def ids_of(texts: list[str | None]) -> list[bytes]:
         out, at = [], 0
@@ -347,11 +358,11 @@ def library_ids(path: str):
                 end += 1
             cuts = [cut.chunks(t) if t else [] for t in texts[at:end]]
             missing = {c for cs in cuts for c in cs if c not in known}
-            if len(known) + len(missing) > WORDS_KEPT:
+            if len(known) + len(missing) > CHUNKS_KEPT:
                 known.clear()
                 missing = {c for cs in cuts for c in cs}
             if missing:
-                learn(list(missing))
+                learn(missing)
             get = known.__getitem__
             out += [b"".join(map(get, cs)) for cs in cuts]
             at = end
