@@ -13,6 +13,7 @@ from ratewell.llm import (
     cuckoo_dedup,
     label_propagation,
     language_spans,
+    license_scan,
     metric_tree,
     passage_quality,
     subword_toxicity,
@@ -35,6 +36,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+@query
+def op9_license_scan(spark, sf_dir):
+    """Licence notices in all documents."""
+    return license_scan.scan(documents(spark, sf_dir))
+
+
 @query
 def op10_trie_encoding(spark, sf_dir):
     """Ids and decoded texts of all documents, as digests."""

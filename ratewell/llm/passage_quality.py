@@ -160,7 +160,7 @@ def train(
     y = np.array([int(v) for _, v in sample], float)
     run = featurise()
     x, n = [], []
-    for _, cut in words.split_batches([t for t, _ in sample]):
+    for _, cut in words.split_batches([t for t, _ in sample], 1_000_000):
         a, b = run(cut)
         x.append(a)
         n.append(b)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ratewell.llm import words
 
-SAMPLE_PER_CLASS = 4_000
+SAMPLE_PER_CLASS = 2_500
 
 
 @dataclass
@@ -119,8 +119,9 @@ def train(sample: list[tuple[str, object]], settings: Settings | None = None) ->
     if len(set(y.tolist())) < 2:
         share = (y.sum() + 0.5) / (len(y) + 1)
         return Toxicity(s, np.zeros_like(rows), softmax, float(np.log(share / (1 - share))))
-    seen = words.WordRows(lambda ws: np.array(ws, object))
-    ids, sizes = without_runs(*seen.rows([t.split() for t, _ in sample]))
+    seen = words.WordRows(lambda ws: np.array(ws, object), bound=None)
+    parts = [without_runs(*seen.rows(cut)) for _, cut in words.split_batches([t for t, _ in sample], 1_000_000)]
+    ids, sizes = (np.concatenate(x) for x in zip(*parts))
     blocks = [(k, *subwords(list(seen.table[k : k + 20_000]), s)) for k in range(0, len(seen.table), 20_000)]
     gram = np.concatenate([g.astype(np.int32) for _, g, _ in blocks])
     word = np.concatenate([(w + k).astype(np.int32) for k, _, w in blocks])
@@ -129,6 +130,7 @@ def train(sample: list[tuple[str, object]], settings: Settings | None = None) ->
     place = np.zeros(s.buckets, np.int32)
     place[used] = np.arange(len(used))
     gram = place[gram]
+    seen.known.clear()
     per_word = np.bincount(word, minlength=len(seen.table))
     begin, end, text = windows(sizes, s.window)
     first = np.flatnonzero(np.diff(text, prepend=-1))

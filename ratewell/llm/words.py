@@ -36,12 +36,12 @@ def letters(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(raw, "<u4").reshape(len(words), WIDTH), size, owner
 
 
-def split_batches(texts: list[str | None]) -> Iterator[tuple[int, list[list[str]]]]:
+def split_batches(texts: list[str | None], chars: int = BATCH_CHARS) -> Iterator[tuple[int, list[list[str]]]]:
     """The stretches between blanks, for a bounded amount of text at a time."""
     at = 0
     while at < len(texts):
         end, size = at, 0
-        while end < len(texts) and (end == at or size < BATCH_CHARS):
+        while end < len(texts) and (end == at or size < chars):
             size += len(texts[end] or "")
             end += 1
         yield at, [(t or "").split() for t in texts[at:end]]
@@ -51,8 +51,8 @@ def split_batches(texts: list[str | None]) -> Iterator[tuple[int, list[list[str]
 class WordRows:
     """Rows of ``learn`` for every distinct word met so far, within a bound."""
 
-    def __init__(self, learn: Callable[[list[str]], np.ndarray]):
-        self.learn = learn
+    def __init__(self, learn: Callable[[list[str]], np.ndarray], bound: int | None = WORDS_KEPT):
+        self.learn, self.bound = learn, bound
         self.known: dict[str, int] = {}
         self.table: np.ndarray | None = None
 
@@ -60,7 +60,7 @@ class WordRows:
         """Row numbers of all words of all texts, and how many words each text has."""
         known = self.known
         missing = list({w for ws in texts for w in ws if w not in known})
-        if len(known) + len(missing) > WORDS_KEPT:
+        if self.bound and len(known) + len(missing) > self.bound:
             known.clear()
             self.table = None
             missing = list({w for ws in texts for w in ws})

@@ -5,8 +5,8 @@ import re
 import corpus_pipeline as cp
 from ratewell.llm import catalog, passage_quality, subword_toxicity
 from ratewell.session import materialize
-from test_best_fit_packing import check
-from test_chosen_path import brute
+from .test_best_fit_packing import check
+from .test_chosen_path import brute
 
 DATA = "/root/testdata/sf0.01"
 
