@@ -543,7 +543,11 @@ def a4_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.withColumns({"lower": rounded("lower"), "upper": rounded("upper")})
 
 
-_LINE_HASH = "md5('42:' || " + " || ':' || ".join(f"CAST({c} AS VARCHAR)" for c in LINE_KEY) + ")"
+_LINE_HASH = (
+    "md5('42:' || "
+    + " || ':' || ".join(f"length(CAST({c} AS VARCHAR)) || '.' || CAST({c} AS VARCHAR)" for c in LINE_KEY)
+    + ")"
+)
 
 _TRAIN_TEST_SQL = f"""
 numbered AS (SELECT *, row_number() OVER (ORDER BY {_LINE_HASH}) AS rnk, count(*) OVER () AS n FROM ratings),
@@ -739,4 +743,4 @@ def k3_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     CAST(max(len(embedding)) AS BIGINT) AS max_width FROM embeddings""",
 )
 def k4_one_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return split.one_batch_check(split.assign_batches(vectors(spark, sf_dir), 128, "key"))
+    return split.one_batch_check(split.first_batch(vectors(spark, sf_dir), 128, "key"))

@@ -18,7 +18,7 @@ _EPSILON = 1e-5
 
 @dataclass(frozen=True)
 class NetworkConfig:
-    """Shape of a network; ``kind`` is ``ple`` or ``mmoe``."""
+    """Shape of a network; ``kind`` is ``ple`` or ``mmoe``. The defaults are fixed values."""
 
     kind: str
     d_in: int

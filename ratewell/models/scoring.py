@@ -8,6 +8,8 @@ from dataclasses import asdict, dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,11 +25,19 @@ _ROWS = 2_048  # rows per block, to bound the memory of the hidden layers
 LOGITS = ("logit_income", "logit_never")
 
 
-def feature_blocks(batch: pa.RecordBatch, column: str = "x") -> Iterator[tuple[int, int, np.ndarray]]:
-    """``(start, end, matrix)`` of the vectors in an Arrow batch, a bounded block at a time."""
+def feature_blocks(
+    batch: pa.RecordBatch, width: int, column: str = "x"
+) -> Iterator[tuple[int, int, np.ndarray]]:
+    """``(start, end, matrix)`` of the vectors in an Arrow batch, a bounded block at a time.
+
+    A vector that is null or not ``width`` wide is an error.
+    """
     cells = batch.column(column)
     for start in range(0, batch.num_rows, _ROWS):
         part = cells.slice(start, _ROWS)
+        sizes = pc.list_value_length(part)
+        if part.null_count or not pc.all(pc.equal(sizes, width)).as_py():
+            raise ValueError(f"a feature vector is not {width} wide: row {start} of a batch or soon after")
         matrix = part.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
         yield start, start + len(part), matrix.reshape(len(part), -1)
 
@@ -53,7 +63,7 @@ class MultiTaskModel:
             shape, params = shared.value
             config = NetworkConfig(**shape)
             for batch in batches:
-                for start, end, x in feature_blocks(batch):
+                for start, end, x in feature_blocks(batch, config.d_in):
                     rows = batch.slice(start, end - start)
                     kept = [rows.column(c) for c in keep]
                     yield pa.RecordBatch.from_arrays([*kept, *compute(config, params, x)], names)
@@ -126,12 +136,15 @@ class MultiTaskModel:
     def save(self, spark: SparkSession, path: str, tag: str, epoch: int) -> None:
         """Write parameters and shape below ``path`` as a new version of ``tag``.
 
-        Earlier versions stay, so a job lost while writing leaves the last good one.
+        Versions are numbered on, whatever run or epoch they are of, so a later run into the same
+        place is the newer one. Earlier versions stay: a job lost while writing leaves the last good
+        one. The shape is written last.
         """
-        described = spark.range(1).select(F.lit(json.dumps(asdict(self.config))).alias("config"))
-        version = f"tag={tag}/epoch={epoch}"
-        described.coalesce(1).write.mode("overwrite").json(f"{path}/config/{version}")
+        described = spark.range(1).select(F.lit(json.dumps(asdict(self.config))).alias("config"), F.lit(epoch).alias("epoch"))
+        last = max((r["version"] for r in _versions(spark, path)), default=0)
+        version = f"tag={tag}/version={last + 1}"
         self.table(spark).coalesce(1).write.mode("overwrite").parquet(f"{path}/params/{version}")
+        described.coalesce(1).write.mode("overwrite").json(f"{path}/config/{version}")
 
     @staticmethod
     def from_table(table: DataFrame, config: NetworkConfig) -> MultiTaskModel:
@@ -154,23 +167,28 @@ class MultiTaskModel:
         spark: SparkSession, path: str, tags: Sequence[str] = ("best", "last")
     ) -> MultiTaskModel:
         """The newest complete version of the first tag that has one (best, else last)."""
-        version = T.StructType([T.StructField("tag", T.StringType()), T.StructField("epoch", T.IntegerType())])
-        params = spark.read.schema(T.StructType([*MODEL_TABLE, *version])).parquet(f"{path}/params")
-        configs = spark.read.schema(T.StructType([T.StructField("config", T.StringType()), *version]))
-        known = sorted(
-            configs.json(f"{path}/config").collect(), key=lambda r: r["epoch"], reverse=True
-        )
+        known = sorted(_versions(spark, path), key=lambda r: r["version"], reverse=True)
         failures = []
         for row in [r for tag in tags for r in known if r["tag"] == tag]:
             config = NetworkConfig(**json.loads(row["config"]))
-            table = params.where((F.col("tag") == row["tag"]) & (F.col("epoch") == row["epoch"]))
+            place = f"{path}/params/tag={row['tag']}/version={row['version']}"
             try:
+                table = spark.read.schema(MODEL_TABLE).parquet(place)
                 return MultiTaskModel.from_table(table, config)
-            except ValueError as e:  # torn while writing: try the version before
-                failures.append(f"{row['tag']} {row['epoch']}: {e}")
+            except (ValueError, AnalysisException) as e:  # torn while writing: try the version before
+                failures.append(f"{row['tag']} {row['version']}: {e}")
         raise FileNotFoundError(f"no complete model with a tag of {list(tags)} below {path} {failures}")
 
 
+def _versions(spark: SparkSession, path: str) -> list:
+    """Tag, version, epoch and shape of what was saved below ``path``."""
+    fields = "config string, epoch int, tag string, version int"
+    try:
+        return spark.read.schema(fields).json(f"{path}/config").collect()
+    except AnalysisException:  # nothing was saved there yet
+        return []
+
+
 def evaluate(
     model: MultiTaskModel,
     df: DataFrame,

@@ -7,12 +7,13 @@ so an epoch is cut into few large batches.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +30,7 @@ from ratewell.operators.columns import quoted
 from ratewell.operators.evaluate import mean_over_batches, two_task_metrics
 from ratewell.operators.profile import positive_weights
 from ratewell.schemas import LABELS
-from ratewell.session import scratch_path
+from ratewell.session import remove, scratch_path
 from ratewell.sources.writers import append_epoch_log, write_run_config, write_test_report
 
 _STEP_SCHEMA = (
@@ -41,7 +42,10 @@ _TOTALS = -1  # chunk number of the row count
 
 @dataclass
 class TrainConfig:
-    """Settings of a run. ``buckets`` are those the training rows were written with."""
+    """Settings of a run. ``buckets`` is for training rows that were written without any.
+
+    The defaults are fixed values.
+    """
 
     kind: str = "ple"
     epochs: int = 15
@@ -128,10 +132,37 @@ def with_buckets(train: DataFrame, buckets: int, key: str = "key") -> DataFrame:
     return spark.read.schema(rows.schema).parquet(path)
 
 
-def deal_batches(seed: int, epoch: int, buckets: int, batches: int) -> list[list[int]]:
-    """The buckets of each batch, dealt afresh for every epoch."""
-    order = np.random.default_rng([seed, epoch]).permutation(buckets)
-    return [sorted(int(b) for b in part) for part in np.array_split(order, batches)]
+def bucket_ids(train: DataFrame) -> list[int]:
+    """The buckets that the training rows are in, as the table itself says."""
+    return sorted(r["bucket"] for r in train.select("bucket").distinct().collect())
+
+
+def deal_batches(seed: int, epoch: int, buckets: Sequence[int], batches: int) -> list[list[int]]:
+    """The buckets of each batch, dealt afresh for every epoch; each bucket is in one batch."""
+    order = np.random.default_rng([seed, epoch]).permutation(len(buckets))
+    return [sorted(buckets[i] for i in part) for part in np.array_split(order, batches)]
+
+
+class RowDraws:
+    """Uniform draws that depend on the row, not on where it is computed."""
+
+    def __init__(self, rows: np.ndarray):
+        self.rows, self.turn = rows.astype(np.uint64), 0
+
+    def random(self, shape: tuple[int, int, int]) -> np.ndarray:
+        """For (experts, rows, cells): a fresh draw for each."""
+        experts, _, cells = shape
+        self.turn += 1
+        cell = np.arange(experts * cells, dtype=np.uint64).reshape(experts, 1, cells)
+        z = self.rows[None, :, None] + (cell + np.uint64(self.turn << 32)) * np.uint64(0x9E3779B97F4A7C15)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            z = (z ^ (z >> np.uint64(shift))) * np.uint64(factor)
+        return ((z ^ (z >> np.uint64(31))) >> np.uint64(11)) * 2.0**-53
+
+
+def send(df: DataFrame, model: MultiTaskModel) -> Broadcast:
+    """The model as a broadcast; it has the size of the model, whatever the rows."""
+    return df.sparkSession.sparkContext.broadcast((asdict(model.config), model.params))
 
 
 def step_rows(
@@ -140,12 +171,15 @@ def step_rows(
     pos_weights: Sequence[float],
     task_weights: Sequence[float],
     seed: Sequence[int],
+    shared: Broadcast | None = None,
 ) -> DataFrame:
     """Gradient sums per task in chunks, and the scores of the rows, before the update.
 
-    Every task adds up its own rows; the parameters go out as a broadcast.
+    Every task adds up its own rows; the parameters go out as a broadcast, ``shared`` if the caller
+    wants to destroy it afterwards. What dropout drops is drawn from the seed and the row's content,
+    so it doesn't depend on partitions.
     """
-    shared = batch.sparkSession.sparkContext.broadcast((asdict(model.config), model.params))
+    shared = shared or send(batch, model)
     schema = pa.schema(
         [
             ("kind", pa.string()), ("chunk", pa.int32()), ("values", pa.list_(pa.float64())),
@@ -159,13 +193,13 @@ def step_rows(
         shape, params = shared.value
         config = NetworkConfig(**shape)
         names = config.trained()
-        rng = np.random.default_rng([*seed, TaskContext.get().partitionId()])
         total, rows = None, 0
         for arrow in batches:
+            draws = arrow.column("row").to_numpy(zero_copy_only=False)
             labels = np.stack([arrow.column(y).to_numpy(zero_copy_only=False) for y in LABELS], axis=1)
-            for start, end, x in feature_blocks(arrow):
+            for start, end, x in feature_blocks(arrow, config.d_in):
                 y = labels[start:end].astype(np.float64)
-                logits, levels = forward(config, params, x, rng if config.dropout else None)
+                logits, levels = forward(config, params, x, RowDraws(draws[start:end]) if config.dropout else None)
                 _, slope = task_losses(logits, y, positive)
                 flat = _flat(gradients(config, params, x, levels, slope * weights), names)
                 total = flat if total is None else total + flat
@@ -194,14 +228,17 @@ def step_rows(
                 schema=schema,
             )
 
-    cells = ["x", *[F.col(y).cast("tinyint").alias(y) for y in LABELS]]
+    row = F.xxhash64("x", *LABELS, *[F.lit(int(s)) for s in seed]).alias("row")
+    cells = ["x", *[F.col(y).cast("tinyint").alias(y) for y in LABELS], row]
     return batch.select(*cells).mapInArrow(work, _STEP_SCHEMA)
 
 
 def add_chunks(rows: DataFrame) -> DataFrame:
     """Sum vectors of the same chunk number, one vector at a time.
 
-    A task keeps one running sum per chunk, so its memory depends on the model only.
+    A task keeps one running sum per chunk, so its memory depends on the model only. Sums go through
+    lanes first, about as many as the root of the number of tasks, so that no task reads the vectors
+    of all others.
     """
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,11 +257,11 @@ def add_chunks(rows: DataFrame) -> DataFrame:
                 ["chunk", "values"],
             )
 
-    return (
-        rows.select("chunk", "values")
-        .repartition("chunk")
-        .mapInArrow(fold, "chunk int, values array<double>")
-    )
+    schema = "chunk int, values array<double>"
+    lanes = max(1, math.isqrt(rows.rdd.getNumPartitions()))
+    lane = F.pmod(F.spark_partition_id(), F.lit(lanes))
+    some = rows.select("chunk", "values", lane.alias("lane")).repartition("chunk", "lane")
+    return some.select("chunk", "values").mapInArrow(fold, schema).repartition("chunk").mapInArrow(fold, schema)
 
 
 def total_gradient(rows: DataFrame) -> tuple[np.ndarray, int]:
@@ -279,30 +316,38 @@ class MultiTaskTrainer:
         lr: float,
         pos_weights: Sequence[float],
         scratch: str,
+        buckets: Sequence[int],
+        expected: int,
     ) -> tuple[MultiTaskModel, dict]:
         """One pass over bucketed training rows; returns the updated model and the metrics on the fly.
 
         The rows of a step are written to the shared folder, where both the gradient and, at the
-        end of the epoch, the metrics are read from. An epoch overwrites the one before.
+        end of the epoch, the metrics are read from. An epoch overwrites the one before. Its batches
+        take up all ``buckets``; an epoch that doesn't see ``expected`` rows is an error.
         """
         c, spark = self.config, train.sparkSession
         names = model.config.trained()
         tasks = (c.w_income, c.w_never_married)
-        used = []
-        for i, part in enumerate(deal_batches(c.seed, epoch, c.buckets, c.batches_per_epoch)):
+        used, seen = [], 0
+        for i, part in enumerate(deal_batches(c.seed, epoch, buckets, c.batches_per_epoch)):
             batch = train.where(F.col("bucket").isin(part))
-            rows = step_rows(batch, model, pos_weights, tasks, (c.seed, epoch, i))
+            shared = send(batch, model)
+            rows = step_rows(batch, model, pos_weights, tasks, (c.seed, epoch, i), shared)
             path = f"{scratch}/batch={i}"
             rows.write.mode("overwrite").partitionBy("kind").parquet(path)
+            shared.destroy()
             written = spark.read.schema(_STEP_SCHEMA).parquet(path)
             gradient, n = total_gradient(written)
             if not n:
                 continue
+            seen += n
             used.append(written.where(F.col("kind") == "score").withColumn("batch", F.lit(i)))
             flat = optimizer.step(_flat(model.params, names), gradient / n, lr)
             model = MultiTaskModel(model.config, _unflat(flat, model.params, names))
         if not used:
             raise ValueError("the training split has no rows")
+        if seen != expected:
+            raise RuntimeError(f"epoch {epoch} saw {seen} of {expected} training rows")
         scored = used[0]
         for more in used[1:]:
             scored = scored.unionByName(more)
@@ -326,12 +371,16 @@ class MultiTaskTrainer:
         """
         c, spark = self.config, train.sparkSession
         train = with_buckets(train, c.buckets)
-        first = train.select(F.size("x").alias("d")).first()
-        if first is None:
+        width = F.size("x")
+        rows, d, widest = train.agg(F.count(F.lit(1)), F.min(width), F.max(width)).first()
+        if not rows:
             raise ValueError("the training split has no rows")
-        model = init or MultiTaskModel.fresh(c.network(first["d"]), c.seed)
+        if d != widest or (init and init.config.d_in != d):
+            raise ValueError(f"features of {d} to {widest} cells" + (f" for a model of {init.config.d_in}" if init else ""))
+        buckets = bucket_ids(train)
+        model = init or MultiTaskModel.fresh(c.network(d), c.seed)
         if out:
-            write_run_config(spark, f"{out}/config", c, first["d"])
+            write_run_config(spark, f"{out}/config", c, d)
         weights = (1.0, 1.0)
         if c.use_pos_weight:
             weights = tuple(positive_weights(train).first())
@@ -343,7 +392,7 @@ class MultiTaskTrainer:
         best, best_epoch, best_score = model, 0, -float("inf")
         for epoch in range(1, c.epochs + 1):
             lr = self.rate(epoch - 1)
-            model, on_train = self.train_epoch(model, optimizer, train, epoch, lr, weights, scratch)
+            model, on_train = self.train_epoch(model, optimizer, train, epoch, lr, weights, scratch, buckets, rows)
             on_val = metrics_of(evaluate(model, val, weights).first())
             log.append({"epoch": epoch, "train": on_train, "val": on_val, "lr": self.rate(epoch)})
             score = on_val["combined_auc"]
@@ -358,6 +407,7 @@ class MultiTaskTrainer:
                 best, best_epoch, best_score = model, epoch, score
             elif epoch - best_epoch >= c.patience:
                 break
+        remove(spark, scratch)
         result = FitResult(best, model, log, best_epoch, best_score)
         if test is not None:
             result.test = metrics_of(evaluate(best, test, weights).first())

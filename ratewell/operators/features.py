@@ -22,8 +22,8 @@ _INLINE_CATEGORIES = 64  # searched in line, faster than a join
 _BROADCAST_CATEGORIES = 500_000  # most rows and bytes of text that a lookup may broadcast
 _BROADCAST_BYTES = 64 << 20
 _HOT_SHARE = 10_000  # a value above 1/10,000 of the rows is looked up before the shuffle
-_HOT_BYTES = 1_024  # unless it is longer than this
-_FEW_CATEGORIES = 100_000  # of all columns: more are written out, and left out of one-row metadata
+_FEW_CATEGORIES = 100_000  # of all columns: more are written out before they are read again
+# These choose between plans with equal results.
 
 
 @dataclass
@@ -206,17 +206,15 @@ class FeatureModel:
         """The slot where the categories are too many to broadcast.
 
         Values above a fixed share of the training rows, of which there can only be so many, are
-        looked up by broadcast. Their rows then join on a spread key that matches nothing, so no
+        looked up by broadcast of their digests, whose size doesn't depend on the values. Their rows then join on a spread key that matches nothing, so no
         hot value meets in one task. The key is spread by the whole row, its identifier included.
         """
-        often = (F.col("count") * _HOT_SHARE >= column.rows) & (
-            F.octet_length("_value") <= _HOT_BYTES
-        )
+        often = F.col("count") * _HOT_SHARE >= column.rows
         hot = found.where(often).select(
-            F.col("_value").alias("_hot"), F.col("_slot").alias("_hot_slot")
+            F.sha2("_value", 256).alias("_hot"), F.col("_slot").alias("_hot_slot")
         )
         others = [quoted(c) for c in df.columns]
-        marked = df.join(F.broadcast(hot), value == F.col("_hot"), "left")
+        marked = df.join(F.broadcast(hot), F.sha2(value, 256) == F.col("_hot"), "left")
         is_hot = F.col("_hot").isNotNull()
         spread = F.xxhash64(*others).cast("string")
         keyed = marked.withColumn("_join", F.when(is_hot, spread).otherwise(value)).withColumn(
@@ -255,20 +253,12 @@ class FeatureModel:
         return self.table
 
     def metadata(self, spark) -> DataFrame:
-        """Everything needed to read the vectors, as one row.
+        """What is needed to read the vectors but the categories, as one row.
 
-        The categories are spelled out unless they are very many; their table always holds them.
+        The categories, rare ones included, are rows of :meth:`categories`, however many they are.
         """
         numeric, text = self.original
-        if self.text and sum(c.categories for c in self.text) <= _FEW_CATEGORIES:
-            row = (
-                self.table.groupBy("column")
-                .agg(F.sort_array(F.collect_list("value")).alias("values"))
-                .agg(F.map_from_entries(F.collect_list(F.struct("column", "values"))).alias("m"))
-            )
-        else:
-            row = spark.range(1).select(F.create_map().cast("map<string,array<string>>").alias("m"))
-        return row.select(
+        return spark.range(1).select(
             _strings(numeric + text).alias("original_columns"),
             _strings(numeric).alias("numeric_columns"),
             _strings(text).alias("categorical_columns"),
@@ -281,7 +271,11 @@ class FeatureModel:
                 _doubles([c.median for c in self.numeric]).alias("medians"),
                 _strings([c.mode for c in self.text]).alias("modes"),
             ).alias("imputer"),
-            F.struct(F.col("m").alias("categories")).alias("onehot"),
+            F.struct(
+                _strings([c.name for c in self.text]).alias("columns"),
+                _longs([c.categories for c in self.text]).alias("categories"),
+                _longs([c.frequent for c in self.text]).alias("frequent"),
+            ).alias("onehot"),
             F.lit(self.width).alias("width"),
             _hash(self._params()).alias("pipeline_hash"),
         )
@@ -311,6 +305,10 @@ def _strings(values: Sequence[str]) -> Column:
     return F.array(*[F.lit(v) for v in values]).cast("array<string>")
 
 
+def _longs(values: Sequence[int]) -> Column:
+    return F.array(*[F.lit(int(v)) for v in values]).cast("array<bigint>")
+
+
 def _doubles(values: Sequence[float]) -> Column:
     return F.array(*[F.lit(float(v)) for v in values]).cast("array<double>")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ratewell.operators.columns import column_kinds, nan_to_null, quoted
@@ -120,9 +120,10 @@ def positive_weights(df: DataFrame, labels: Sequence[str] = LABELS) -> DataFrame
 
 
 def split_stats(
-    df: DataFrame, labels: Sequence[str] = LABELS, features: str = "x", split: str = "split"
+    df: DataFrame, labels: Sequence[str] = LABELS, features: str = "x", split: str = "split",
+    more: Sequence[Column] = (),
 ) -> DataFrame:
-    """What :func:`validate_splits` looks at: one row per split."""
+    """What :func:`validate_splits` looks at: one row per split, with ``more`` aggregates."""
     per_label = [
         a
         for y in labels
@@ -132,10 +133,11 @@ def split_stats(
             F.count_if(quoted(y).isNull()).alias(f"missing_{y}"),
         )
     ]
-    bad_cell = F.exists(features, lambda v: v.isNull() | F.isnan(v))
+    bad_cell = F.exists(features, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     return df.groupBy(split).agg(
         F.count(F.lit(1)).alias("rows"),
         *per_label,
+        *more,
         F.count_if(F.coalesce(bad_cell, F.lit(True))).alias("bad_rows"),
         F.min(F.size(features)).cast("bigint").alias("min_width"),
         F.max(F.size(features)).cast("bigint").alias("max_width"),
@@ -152,19 +154,29 @@ def check_classes(df: DataFrame, label: str, split: str = "split") -> None:
 
 
 def validate_splits(
-    df: DataFrame, labels: Sequence[str] = LABELS, features: str = "x", split: str = "split"
+    df: DataFrame, labels: Sequence[str] = LABELS, features: str = "x", split: str = "split",
+    expected: Sequence[str] = (),
 ) -> None:
-    """Raise on missing or non-finite features, labels outside 0/1, or rows of unequal width."""
+    """Raise on missing or non-finite features, labels other than 0 and 1 or of another type than
+    tinyint, rows of unequal width, or an ``expected`` split without rows."""
     if df.schema[features].dataType.simpleString() != "array<float>":
         raise TypeError(f"{features} must be array<float>")
-    for r in split_stats(df, labels, features, split).collect():
+    for y in labels:
+        if df.schema[y].dataType.simpleString() != "tinyint":
+            raise TypeError(f"{y} must be tinyint")
+    other = [F.count_if(~quoted(y).isin(0, 1)).alias(f"other_{y}") for y in labels]
+    found = split_stats(df, labels, features, split, other).collect()
+    absent = sorted(set(expected) - {r[split] for r in found})
+    if absent:
+        raise ValueError(f"no rows in split {', '.join(map(repr, absent))}")
+    for r in found:
         where = f"in split {r[split]!r}"
         if r["bad_rows"]:
             raise ValueError(f"{r['bad_rows']} rows with missing or NaN features {where}")
         if r["min_width"] != r["max_width"]:
             raise ValueError(f"feature vectors of unequal width {where}")
         for y in labels:
-            if r[f"missing_{y}"] or r[f"min_{y}"] < 0 or r[f"max_{y}"] > 1:
+            if r[f"missing_{y}"] or r[f"other_{y}"]:
                 raise ValueError(f"{y} must be 0 or 1 {where}")
 
 

@@ -19,9 +19,15 @@ _CUT_ROWS = 5_000
 
 
 def hash_order(seed: object, *key: str | Column) -> Column:
-    """A pseudo-random order of rows that depends on seed and key only, not on partitioning."""
-    parts = [c if isinstance(c, Column) else quoted(c) for c in key]
-    return F.md5(F.concat_ws(":", F.lit(str(seed)), *[p.cast("string") for p in parts]))
+    """A pseudo-random order of rows that depends on seed and key only, not on partitioning.
+
+    Each part of a composite key carries its length, and null a mark of its own, so that different
+    keys never spell the same text.
+    """
+    parts = [(c if isinstance(c, Column) else quoted(c)).cast("string") for c in key]
+    if len(parts) > 1:
+        parts = [F.coalesce(F.concat(F.length(p).cast("string"), F.lit("."), p), F.lit("n")) for p in parts]
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *parts))
 
 
 def expand_copies(df: DataFrame, copies: str, number: str) -> DataFrame:
@@ -179,31 +185,40 @@ def range_edges(df: DataFrame, column: str, ranges: int) -> list[float]:
     return edges if len(edges) > 1 else [edges[0], edges[0] + 1.0]
 
 
-def _range_bucket(df: DataFrame, column: str, edges: Sequence[float], steps: int) -> DataFrame:
-    """Add ``_bucket``, which rises with the column: between which edges a value lies, and in which
-    of equal steps from one edge to the next."""
+def _between(df: DataFrame, column: str, edges: Sequence[float], name: str) -> DataFrame:
+    """Add ``name``: between which edges a value lies; values beyond the ends go to the end ones."""
+    if not edges:
+        return df.withColumn(name, F.lit(0))
+    cuts = [-float("inf"), *edges, float("inf")]
     valued = df.withColumn("_value", quoted(column).cast("double"))
-    cuts = [-float("inf"), *edges[1:-1], float("inf")]
-    ranged = (
-        Bucketizer(splits=cuts, inputCol="_value", outputCol="_range").transform(valued)
-        if len(cuts) > 2
-        else valued.withColumn("_range", F.lit(0.0))
+    found = Bucketizer(splits=cuts, inputCol="_value", outputCol="_at").transform(valued)
+    return found.withColumn(name, F.col("_at").cast("int")).drop("_value", "_at")
+
+
+def _range_bucket(df: DataFrame, column: str, edges: Sequence[float], steps: int) -> DataFrame:
+    """Add ``_bucket``, which rises with the column and holds about as many rows everywhere.
+
+    The approximate quantiles in ``edges`` are cut again at the quantiles of the rows between them,
+    so a bucket's size does not depend on how the values are spread. At most one number per bucket
+    comes to the driver.
+    """
+    inner = edges[1:-1]
+    shares = [i / steps for i in range(1, steps)]
+    ranged = _between(df.select(quoted(column)), column, inner, "_range")
+    finer = ranged.groupBy("_range").agg(
+        F.percentile_approx(quoted(column).cast("double"), shares, 50 * steps).alias("cuts")
     )
-    at = F.col("_range").cast("int")
-    ends = F.split(F.lit(",".join(repr(float(e)) for e in edges)), ",").cast("array<double>")
-    low, high = F.get(ends, at), F.get(ends, at + 1)
-    step = F.floor((F.col("_value") - low) / (high - low) * steps).cast("int")
-    inside = F.greatest(F.lit(0), F.least(F.lit(steps - 1), step))
-    return ranged.withColumn("_bucket", at * steps + inside).drop("_value", "_range")
+    cuts = {c for r in finer.collect() for c in r["cuts"] or ()}
+    return _between(df, column, sorted({*inner, *cuts}), "_bucket")
 
 
 def rank_by_value(
     df: DataFrame, column: str, by: Sequence[str] = (), name: str = "rank",
-    ranges: int = 256, steps: int = 1_024,
+    ranges: int = 256, steps: int = 64,
 ) -> DataFrame:
     """Exact rank of every row by a numeric column that identifies rows, from 1, within ``by``.
 
-    Buckets are steps between approximate quantiles of the column, 262,144 at most.
+    Buckets lie between approximate quantiles of the column, 16,384 at most.
     """
     if not isinstance(df.schema[column].dataType, T.NumericType):
         raise ValueError(f"{column!r} is not numeric: rank it with rank_by_hash")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,18 +18,19 @@ from ratewell.operators.rank import (
     rank_by_hash,
     rank_by_value,
 )
+from ratewell.session import materialize
 
-_MAX_STRATA = 100
+_FEW_STRATA = 100  # up to so many, cuts are literals in a projection; beyond, a joined table
 
 
 def shares_of(counts: Mapping[object, int], total: int) -> dict[object, int]:
     """Divide ``total`` over the strata in proportion to their sizes, by largest remainder.
 
-    Ties go to the smaller label.
+    Ties go to the smaller label, null first.
     """
     rows = sum(counts.values())
     quotas = {s: n * total // rows for s, n in counts.items()}
-    by_remainder = sorted(counts, key=lambda s: (-(counts[s] * total % rows), s))
+    by_remainder = sorted(counts, key=lambda s: (-(counts[s] * total % rows), s is not None, s))
     for s in by_remainder[: total - sum(quotas.values())]:
         quotas[s] += 1
     return quotas
@@ -44,15 +45,14 @@ def _cut(
     """
     order = hash_order(seed, *key)
     prefix = F.substring(order, 1, rank.CUT_DIGITS)
-    most = _MAX_STRATA * 16**rank.CUT_DIGITS
-    found = (
-        df.groupBy(strata.alias("s"), prefix.alias("p")).agg(F.count(F.lit(1)).alias("n")).take(most + 1)
-    )
+    counts = df.groupBy(strata.alias("s"), prefix.alias("p")).agg(F.count(F.lit(1)).alias("n"))
+    most = _FEW_STRATA * 16**rank.CUT_DIGITS
+    found = counts.take(most + 1)
+    if len(found) > most or len({r["s"] for r in found}) > _FEW_STRATA:
+        return _cut_by_table(df, order, strata, materialize(counts, "counts-by-stratum"), plan)
     sizes: dict[object, int] = {}
     for r in found:
         sizes[r["s"]] = sizes.get(r["s"], 0) + r["n"]
-    if len(sizes) > _MAX_STRATA:
-        raise ValueError(f"more than {_MAX_STRATA} strata")
     wanted = plan(sizes)
     ends = {}
     for s, parts in wanted.items():
@@ -69,6 +69,48 @@ def _cut(
     return df.withColumn("_order", order).withColumn("split", split).drop("_order")
 
 
+def _cut_by_table(df: DataFrame, order: Column, strata: Column, counts: DataFrame, plan) -> DataFrame:
+    """:func:`_cut` for many strata: the same split, with cuts kept as a table.
+
+    Running sums of the counts give the bucket of each cut, the rows of those buckets alone are
+    ranked, and the cut hashes are joined to the rows by stratum. The driver sees one number per
+    stratum.
+    """
+    spark = df.sparkSession
+    kind = counts.schema["s"].dataType.simpleString()
+    sizes = {r["s"]: r["n"] for r in counts.groupBy("s").agg(F.sum("n").alias("n")).collect()}
+    cuts = []
+    for s, parts in plan(sizes).items():
+        total = 0
+        for i, (name, rows) in enumerate(parts):
+            total += rows
+            if rows:
+                cuts.append((s, i, name, total))
+    cuts = spark.createDataFrame(cuts, f"s {kind}, i int, name string, q bigint")
+    upto = F.sum("n").over(Window.partitionBy("s").orderBy("p"))
+    ranged = counts.withColumn("upto", upto).select("s", "p", "upto", (F.col("upto") - F.col("n")).alias("before"))
+    ranged = ranged.withColumnRenamed("s", "_s")
+    inside = F.col("s").eqNullSafe(F.col("_s")) & (F.col("q") > F.col("before")) & (F.col("q") <= F.col("upto"))
+    places = cuts.join(ranged, inside).select("s", "i", "name", "p", (F.col("q") - F.col("before")).alias("left"))
+    rows = df.select(strata.alias("_s"), order.alias("h"), F.substring(order, 1, rank.CUT_DIGITS).alias("_p"))
+    same = F.col("s").eqNullSafe(F.col("_s")) & (F.col("p") == F.col("_p"))
+    at = F.row_number().over(Window.partitionBy("s", "i").orderBy("h"))
+    near = rows.join(places, same).withColumn("at", at)
+    ends = near.where(F.col("at") == F.col("left"))
+    tied = near.where(F.col("at") == F.col("left") + 1).select(
+        F.col("s").alias("_s"), F.col("i").alias("_i"), F.col("h").alias("next")
+    )
+    ends = materialize(ends.select("s", "i", "name", "h"), "cuts")
+    clash = F.col("s").eqNullSafe(F.col("_s")) & (F.col("i") == F.col("_i")) & (F.col("h") == F.col("next"))
+    if not ends.join(tied, clash).isEmpty():
+        raise ValueError("the key does not identify rows: use add_row_key first")
+    lists = ends.groupBy("s").agg(F.array_sort(F.collect_list(F.struct("i", "h", "name"))).alias("_cuts"))
+    lists = lists.withColumnRenamed("s", "_stratum")
+    joined = df.withColumn("_order", order).join(lists, strata.eqNullSafe(F.col("_stratum")), "left")
+    first = F.get(F.filter("_cuts", lambda c: c["h"] >= F.col("_order")), F.lit(0))["name"]
+    return joined.withColumn("split", F.coalesce(first, F.lit("train"))).drop("_order", "_cuts", "_stratum")
+
+
 def _with_key(df: DataFrame, key: str | Sequence[str] | None) -> tuple[DataFrame, list[str], list[str]]:
     if key is None:
         return add_row_key(df, "_row"), ["_row"], ["_row"]
@@ -150,6 +192,16 @@ def assign_batches(
     ).drop("_rank")
 
 
+def first_batch(df: DataFrame, batch_size: int, key: str | Sequence[str]) -> DataFrame:
+    """The rows :func:`assign_batches` puts into batch 0 in stored order, found without ranking the
+    others."""
+    names = [key] if isinstance(key, str) else list(key)
+    numeric = len(names) == 1 and isinstance(df.schema[names[0]].dataType, T.NumericType)
+    order = [] if numeric else [hash_order("stored", *names)]
+    first = df.orderBy(*order, *[quoted(n) for n in names]).limit(batch_size)
+    return first.withColumn("batch_id", F.lit(0).cast("bigint"))
+
+
 def one_batch_check(batches: DataFrame, features: str = "x") -> DataFrame:
     """Rows and feature width of the first batch, as one row."""
     return batches.where(F.col("batch_id") == 0).agg(

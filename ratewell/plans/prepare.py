@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ratewell.operators.columns import (
@@ -20,7 +21,7 @@ from ratewell.operators.features import FeatureEncoder, FeatureModel
 from ratewell.operators.profile import check_classes, label_distribution, validate_splits
 from ratewell.operators.rank import add_row_key
 from ratewell.operators.split import stratified_split
-from ratewell.schemas import LABELS
+from ratewell.schemas import LABELS, SPLITS
 from ratewell.session import materialize
 from ratewell.sources.readers import read_prepared
 from ratewell.sources.writers import write_metadata, write_splits
@@ -74,6 +75,16 @@ def labelled(df: DataFrame, key: str, income: str, marital: str) -> DataFrame:
     )
 
 
+def publish(spark: SparkSession, path: str, version: str) -> None:
+    """Name the version that readers of ``path`` are to use."""
+    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").json(f"{path}/current")
+
+
+def current(spark: SparkSession, path: str) -> str:
+    """The folder of the last artefact that was published below ``path``."""
+    return spark.read.schema("version string").json(f"{path}/current").first()["version"]
+
+
 def prepare(
     df: DataFrame,
     path: str,
@@ -85,8 +96,9 @@ def prepare(
     """Find the targets, split, encode and write; see :class:`PrepareConfig`.
 
     ``key`` names a column that identifies a row and is no feature; without one a key is made from
-    the content. The table may carry a column ``source`` telling where it came from. What the
-    splits are checked for is read back from the written artefact.
+    the content. The table may carry a column ``source`` telling where it came from. The artefact
+    is written beside earlier ones, read back and checked, and only then named the current one:
+    :func:`current`.
     """
     c = config or PrepareConfig()
     source = None
@@ -107,12 +119,13 @@ def prepare(
     features = all_but(split, "key", "split", *LABELS)
     numeric, text = column_kinds(features)
     model = FeatureEncoder(numeric, text, c.min_freq).fit(split.where(F.col("split") == "train"))
-    write_splits(model.transform(split), f"{path}/data", c.buckets)
-    spark = df.sparkSession
-    written = read_prepared(spark, f"{path}/data")
-    validate_splits(written)
-    write_metadata(model, spark, f"{path}/features")
+    spark, version = df.sparkSession, f"{path}/{uuid.uuid4().hex}"
+    write_splits(model.transform(split), f"{version}/data", c.buckets)
+    written = read_prepared(spark, f"{version}/data")
+    validate_splits(written, expected=SPLITS)
+    write_metadata(model, spark, f"{version}/features")
+    publish(spark, path, version)
     return Prepared(
-        f"{path}/data", income, marital, numeric, text, model.width, label_distribution(written),
+        f"{version}/data", income, marital, numeric, text, model.width, label_distribution(written),
         model, source,
     )

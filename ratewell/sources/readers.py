@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,16 +21,20 @@ def read_ratings(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_census_file(spark: SparkSession, path: str) -> DataFrame:
-    """One header-less census file, all text, ``?`` as null.
+    """One header-less census file, all text, ``?`` as null; a row of another width is an error.
 
+    Quotes are doubled inside quotes; a backslash is an ordinary character.
     A gzip file arrives as one partition whatever its size, so it is spread before further work.
     """
-    df = spark.read.csv(
+    # with pruning, a query of a few columns would not see the surplus ones
+    df = spark.read.option("columnPruning", False).csv(
         path,
         schema=CENSUS,
         nullValue="?",
         ignoreLeadingWhiteSpace=True,
         ignoreTrailingWhiteSpace=True,
+        mode="FAILFAST",
+        escape='"',
     )
     if path.endswith(".gz"):
         return df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -52,12 +57,17 @@ def join_target(features: DataFrame, target: DataFrame, key: str) -> DataFrame:
 def first_available(
     candidates: Sequence[tuple[str, Callable[[], DataFrame]]], what: str = "dataset"
 ) -> tuple[DataFrame, str]:
-    """The first candidate that can be read, and its name; an error naming all if none can."""
+    """The first candidate that can be read, and its name; an error naming all if none can.
+
+    A row is read of each, since a path that exists may still hold what can't be parsed.
+    """
     failures = []
     for name, read in candidates:
         try:
-            return read(), name
-        except (AnalysisException, PySparkException, OSError) as e:
+            df = read()
+            df.take(1)
+            return df, name
+        except (AnalysisException, PySparkException, Py4JJavaError, OSError) as e:
             failures.append(f"{name}: {str(e).splitlines()[0]}")
     raise RuntimeError(f"no {what} could be read: " + "; ".join(failures))
 
@@ -120,7 +130,7 @@ def read_split(
         raise ValueError(f"split must be one of {SPLITS}, not {split!r}")
     df = read_prepared(spark, path, key_type).where(quoted("split") == split)
     if validate:
-        validate_splits(df)
+        validate_splits(df, expected=[split])
     return df
 
 

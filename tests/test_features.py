@@ -67,7 +67,8 @@ def test_metadata_and_hash(spark):
     df = spark.createDataFrame([(1.0, "b"), (3.0, "a")], "n double, t string")
     model = FeatureEncoder(min_freq=2).fit(df)
     meta = model.metadata(spark).first()
-    assert meta["scaler"]["means"] == [2.0] and meta["onehot"]["categories"] == {"t": ["a", "b"]}
+    assert meta["scaler"]["means"] == [2.0] and meta["onehot"]["categories"] == [2]
+    assert {(r["column"], r["value"]) for r in model.categories().collect()} == {("t", "a"), ("t", "b")}
     assert meta["imputer"]["modes"] == ["a"] and len(meta["pipeline_hash"]) == 64
     other = FeatureEncoder(min_freq=3).fit(df).metadata(spark).first()
     assert other["pipeline_hash"] != meta["pipeline_hash"]
@@ -146,14 +147,18 @@ def test_positive_weights_without_positives(spark):
 
 
 def test_validation(spark):
-    schema = "x array<float>, y_income int, y_never_married int, split string"
+    schema = "x array<float>, y_income tinyint, y_never_married tinyint, split string"
     good = [([1.0, 2.0], 0, 1, "train")]
     validate_splits(spark.createDataFrame(good, schema))
     for bad in (
         ([float("nan"), 2.0], 0, 1, "train"), ([1.0, None], 0, 1, "train"), (None, 0, 1, "train"),
-        ([1.0], 0, 1, "train"), ([1.0, 2.0], 2, 1, "train"), ([1.0, 2.0], None, 1, "train"),
+        ([float("inf"), 2.0], 0, 1, "train"), ([1.0], 0, 1, "train"), ([1.0, 2.0], 2, 1, "train"), ([1.0, 2.0], None, 1, "train"),
     ):
         with pytest.raises(ValueError, match="train"):
             validate_splits(spark.createDataFrame(good + [bad], schema))
     with pytest.raises(TypeError):
         validate_splits(spark.createDataFrame([([1.0], 0, 0, "val")], schema.replace("float", "double")))
+    with pytest.raises(TypeError, match="y_income"):
+        validate_splits(spark.createDataFrame([([1.0], 0.5, 0, "val")], schema.replace("y_income tinyint", "y_income double")))
+    with pytest.raises(ValueError, match="'val'"):
+        validate_splits(spark.createDataFrame(good, schema), expected=["train", "val"])

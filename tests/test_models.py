@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from ratewell.models import training
 from ratewell.models import scoring
 from ratewell.models.network import (
     NetworkConfig,
@@ -169,9 +170,9 @@ def test_optimizer_step():
 
 
 def test_batches_cover_every_bucket_once():
-    first, second = deal_batches(42, 1, 64, 8), deal_batches(42, 2, 64, 8)
+    first, second = deal_batches(42, 1, range(64), 8), deal_batches(42, 2, range(64), 8)
     assert sorted(b for part in first for b in part) == list(range(64))
-    assert first != second and first == deal_batches(42, 1, 64, 8)
+    assert first != second and first == deal_batches(42, 1, range(64), 8)
 
 
 @pytest.mark.parametrize("kind", ["ple", "mmoe"])
@@ -223,7 +224,7 @@ def test_loading_prefers_best_and_skips_torn_versions(spark, tmp_path):
     second.save(spark, path, "best", 2)
     assert (MultiTaskModel.load(spark, path).params[name] == second.params[name]).all()
     torn = second.table(spark).where("param != '1.out.bias'")
-    torn.write.mode("overwrite").parquet(f"{path}/params/tag=best/epoch=2")
+    torn.write.mode("overwrite").parquet(f"{path}/params/tag=best/version=3")
     assert (MultiTaskModel.load(spark, path).params[name] == first.params[name]).all()
     with pytest.raises(FileNotFoundError):
         MultiTaskModel.load(spark, path, ["other"])
@@ -233,3 +234,50 @@ def test_incomplete_model_is_refused(spark):
     model = MultiTaskModel.fresh(SHAPES[1])
     with pytest.raises(ValueError, match="incomplete"):
         MultiTaskModel.from_table(model.table(spark).where("param != '1.out.bias'"), model.config)
+
+
+def test_every_row_is_trained_on_whatever_the_buckets(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=4).astype(np.float32).tolist(), i % 2, i % 3 // 2) for i in range(400)]
+    df = spark.createDataFrame(rows, "key long, x array<float>, y_income tinyint, y_never_married tinyint")
+    written = training.with_buckets(df, 32)
+    config = TrainConfig("mmoe", 1, 3, 8, d_model=4, expert_hidden=4, num_experts=2)
+    seen = []
+    total = training.total_gradient
+    monkeypatch.setattr(training, "total_gradient", lambda r: seen.append(total(r)[1]) or total(r))
+    MultiTaskTrainer(config).fit(written, df)
+    assert sum(seen) == 400
+    with pytest.raises(ValueError, match="4 to 4"):
+        MultiTaskTrainer(config).fit(written, df, init=MultiTaskModel.fresh(config.network(5)))
+
+
+def test_dropout_does_not_depend_on_partitions(spark):
+    rng = np.random.default_rng(4)
+    rows = [(rng.normal(size=3).astype(np.float32).tolist(), i % 2, i % 3 // 2) for i in range(90)]
+    df = spark.createDataFrame(rows, "x array<float>, y_income tinyint, y_never_married tinyint")
+    model = MultiTaskModel.fresh(TrainConfig("ple", d_model=4, expert_hidden=6, dropout=0.5).network(3))
+    one, many = (
+        training.batch_gradient(df.repartition(n), model, seed=(1, 2, 3)) for n in (1, 4)
+    )
+    assert all(np.allclose(one[k], many[k]) for k in one)
+    other = training.batch_gradient(df, model, seed=(1, 2, 4))
+    assert any(not np.allclose(one[k], other[k]) for k in one)
+    draws = training.RowDraws(np.arange(1, 2000)).random((2, 1999, 5))
+    assert abs(draws.mean() - 0.5) < 0.01 and abs(draws.std() - 12**-0.5) < 0.01
+
+
+def test_a_later_run_is_the_newer_one(spark, tmp_path):
+    config = TrainConfig("mmoe", d_model=4, expert_hidden=4, num_experts=2).network(3)
+    early, late = MultiTaskModel.fresh(config, 1), MultiTaskModel.fresh(config, 2)
+    path = str(tmp_path / "model")
+    early.save(spark, path, "best", 5)
+    late.save(spark, path, "best", 1)
+    name = next(iter(early.params))
+    assert (MultiTaskModel.load(spark, path).params[name] == late.params[name]).all()
+
+
+def test_vectors_of_unequal_width_are_errors(spark):
+    df = spark.createDataFrame([(1, [1.0] * 63), (2, [1.0] * 65)], "key long, x array<float>").coalesce(1)
+    model = MultiTaskModel.fresh(TrainConfig("mmoe", d_model=4, expert_hidden=4, num_experts=2).network(64))
+    with pytest.raises(Exception, match="not 64 wide"):
+        model.score(df, ("key",)).collect()

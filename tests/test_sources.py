@@ -62,6 +62,20 @@ def test_census_file(spark, census_folder):
     assert df.rdd.getNumPartitions() > 1
 
 
+def test_census_rows_of_another_width_are_errors(spark, tmp_path):
+    (tmp_path / "wide.data").write_text(census_line(1) + "\n" + census_line(2) + ", 1, 2, 3\n")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        read_census_file(spark, str(tmp_path / "wide.data")).select("age").collect()
+
+
+def test_unreadable_candidates_are_skipped(spark, tmp_path):
+    (tmp_path / "bad.csv.gz").write_bytes(b"this is no gzip file")
+    (tmp_path / "good.csv").write_text("a,b\n1,2\n")
+    names = [str(tmp_path / n) for n in ("bad.csv.gz", "good.csv")]
+    df, name = first_available([(n, lambda n=n: spark.read.schema("a string, b string").csv(n)) for n in names])
+    assert name == names[1] and df.count() == 2
+
+
 def test_census_with_test_rows(spark, census_folder, tmp_path):
     df = read_census(spark, [str(tmp_path / "absent"), census_folder])
     assert df.count() == 400
@@ -134,7 +148,7 @@ def test_metadata_files(spark, tmp_path):
     df = spark.createDataFrame([(1.0, "b"), (3.0, "a")], "n double, t string")
     write_metadata(FeatureEncoder(min_freq=1).fit(df), spark, str(tmp_path / "f"))
     meta = json.loads(next((tmp_path / "f" / "meta").glob("part-*.json")).read_text())
-    assert meta["numeric_columns"] == ["n"] and meta["onehot"]["categories"] == {"t": ["a", "b"]}
+    assert meta["numeric_columns"] == ["n"] and meta["onehot"]["categories"] == [2]
     assert spark.read.parquet(str(tmp_path / "f" / "categories")).count() == 2
 
 

@@ -3,6 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from ratewell.operators import rank, split
 from ratewell.operators import rank
 from ratewell.operators.rank import add_row_key, rank_by_hash, rank_by_value
 from ratewell.operators.split import (
@@ -153,3 +154,42 @@ def test_batches(spark):
     moved = first.join(second.select("key", F.col("batch_id").alias("b2")), "key")
     assert moved.where("batch_id != b2").count() > 800
     assert tuple(one_batch_check(first).first()) == (100, 2, 2)
+
+
+def test_many_strata_split_as_few(spark, monkeypatch):
+    rows = [(i, None if i % 11 == 0 else f"class {i % 11}") for i in range(700)]
+    df = spark.createDataFrame(rows, "key long, label string")
+    few = {r["key"]: r["split"] for r in split.stratified_split(df, "label", "key").collect()}
+    monkeypatch.setattr(split, "_FEW_STRATA", 3)
+    many = {r["key"]: r["split"] for r in split.stratified_split(df, "label", "key").collect()}
+    assert many == few and len(many) == 700
+
+
+def test_more_than_a_hundred_strata(spark):
+    df = spark.range(2600).selectExpr("id AS key", "id % 130 AS label")
+    found = split.stratified_split(df, "label", "key")
+    count = {(r["label"], r["split"]): r["count"] for r in found.groupBy("label", "split").count().collect()}
+    assert all(count[c, "test"] == 3 and count[c, "val"] == 2 for c in range(130))
+
+
+def test_an_outlier_does_not_fill_one_bucket(spark):
+    df = spark.range(40_000).selectExpr("id AS key").union(spark.createDataFrame([(10**15,)], "key long"))
+    edges = rank.range_edges(df, "key", 256)
+    largest = rank._range_bucket(df, "key", edges, 64).groupBy("_bucket").count().agg({"count": "max"}).first()[0]
+    assert largest < 40
+    ranked = rank.rank_by_value(df, "key", name="r")
+    assert ranked.where("r <> least(key, 40000) + 1").count() == 0
+
+
+def test_keys_that_look_alike_have_different_hashes(spark):
+    keys = [("1", None), (None, "1"), ("1:2", "3"), ("1", "2:3"), ("n", ""), (None, "")]
+    df = spark.createDataFrame(keys, "a string, b string")
+    assert df.select(rank.hash_order(1, "a", "b").alias("h")).distinct().count() == len(keys)
+
+
+def test_first_batch_without_ranks(spark):
+    df = spark.range(500).selectExpr("id * 7 % 500 AS key", "array(1F, 2F) AS x")
+    for key in ("key", ["key", "x"]):
+        want = assign_batches(df, 64, key).where("batch_id = 0")
+        got = split.first_batch(df, 64, key)
+        assert sorted(r["key"] for r in got.collect()) == sorted(r["key"] for r in want.collect())
