@@ -36,10 +36,10 @@ from ratewell.operators.evaluate import (
     two_task_metrics,
 )
 from ratewell.operators.runs import compare_reports
-from ratewell.operators.split import assign_batches, stratified_split
+from ratewell.operators.split import assign_batches
 from ratewell.plans.prepare import PrepareConfig, prepare
 from ratewell.schemas import LABELS, METRIC_NAMES
-from ratewell.session import scratch_path
+from ratewell.session import materialize, scratch_path
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -139,7 +139,7 @@ encoded AS (
 
 
 def _fitted(spark: SparkSession, sf_dir: str, numeric=NUMERIC, text=TEXT):
-    df = split_census(spark, sf_dir)
+    df = materialize(split_census(spark, sf_dir), "split")  # fitting and encoding each scan it
     encoder = features.FeatureEncoder(numeric, text, MIN_FREQ)
     return encoder.fit(df.where("split = 'train'")), df
 
@@ -603,8 +603,9 @@ def n7_mmoe_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("s11_saved_model", f"WITH {VECTORS_SQL}, {network_sql(STACKED)} {_SCORES_SQL}")
 def s11_saved_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Only ``last`` was saved, so loading falls back to it."""
+    """Only ``last`` was saved, so loading falls back to it; the later of two versions is loaded."""
     path = scratch_path(spark, "model")
+    MultiTaskModel.fresh(STACKED.config, 5).save(spark, path, "last", 7)
     STACKED.save(spark, path, "last", 1)
     return _scores(MultiTaskModel.load(spark, path).score(vectors(spark, sf_dir)))
 
@@ -703,42 +704,37 @@ def n9_optimizer_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _top_layers(spark, after, "value").withColumn("value", rounded("value", 9))
 
 
-def _fit_config(kind: str) -> TrainConfig:
-    return TrainConfig(
-        kind=kind, epochs=2, batches_per_epoch=2, buckets=16, d_model=8, expert_hidden=16,
-        num_experts=2, num_shared_experts=1, num_task_experts=1,
-    )
-
+def _fit_sql(model: MultiTaskModel) -> str:
+    """The first epoch's training metrics in one batch: those of the parameters it starts from."""
+    positive = [f"(SELECT sum(1 - {y}) * 1.0 / greatest(1, sum({y})) FROM n_out)" for y in ("y1", "y2")]
+    return f"""WITH {VECTORS_SQL}, {network_sql(model)}, {metrics_sql("1", "n_out", weights=positive)}
+    SELECT 1 AS epoch, 'train' AS part, CAST(0 AS DOUBLE) AS lr, {ROUNDED_METRICS} FROM metrics"""
 
-def _log_rows(spark: SparkSession, log: list[dict]) -> DataFrame:
-    rows = [
-        (e["epoch"], part, float(e["lr"]), *[e[part][c] for c in METRIC_NAMES])
-        for e in log
-        for part in ("train", "val")
-    ]
-    schema = "epoch int, part string, lr double, " + ", ".join(f"{c} double" for c in METRIC_NAMES)
-    return spark.createDataFrame(rows, schema)
 
+def _fit_log(spark: SparkSession, sf_dir: str, model: MultiTaskModel) -> DataFrame:
+    """One epoch of one batch over the whole table from given parameters, as its training metrics.
 
-def _splits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    df = stratified_split(vectors(spark, sf_dir), "y_income", "key")
-    return tuple(df.where(F.col("split") == s) for s in ("train", "val", "test"))
+    The rate logged is the one after the epoch, which for a single epoch is zero.
+    """
+    config = TrainConfig(kind=model.config.kind, epochs=1, batches_per_epoch=1, buckets=16, dropout=0.0)
+    rows = vectors(spark, sf_dir)
+    log = MultiTaskTrainer(config).fit(rows, rows, init=model).log
+    found = [(e["epoch"], "train", float(e["lr"]), *[e["train"][c] for c in METRIC_NAMES]) for e in log]
+    schema = "epoch int, part string, lr double, " + ", ".join(f"{c} double" for c in METRIC_NAMES)
+    df = spark.createDataFrame(found, schema)
+    return df.select("epoch", "part", "lr", *[rounded(c).alias(c) for c in METRIC_NAMES])
 
 
-@query("n10_fit")
+@query("n10_fit", _fit_sql(PLE))
 def n10_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two epochs of PLE training over the table, as the epoch log."""
-    train, val, _ = _splits(spark, sf_dir)
-    return _log_rows(spark, MultiTaskTrainer(_fit_config("ple")).fit(train, val).log)
+    """An epoch of PLE training over the table, as the epoch log."""
+    return _fit_log(spark, sf_dir, PLE)
 
 
-@query("n12_resume")
+@query("n12_resume", _fit_sql(MMOE))
 def n12_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An epoch from a saved model, as the epoch log."""
-    train, val, _ = _splits(spark, sf_dir)
-    config = _fit_config("mmoe")
-    config.epochs = 1
+    """An epoch from a saved model, as the epoch log; an older version lies beside it."""
     path = scratch_path(spark, "resume")
-    MultiTaskTrainer(config).fit(train, val, out=path)
-    start = MultiTaskModel.load(spark, f"{path}/model")
-    return _log_rows(spark, MultiTaskTrainer(config).fit(train, val, init=start).log)
+    MultiTaskModel.fresh(MMOE.config, 3).save(spark, path, "best", 9)
+    MMOE.save(spark, path, "best", 1)
+    return _fit_log(spark, sf_dir, MultiTaskModel.load(spark, path))

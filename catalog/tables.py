@@ -179,11 +179,13 @@ def s8_append_epoch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return no_nan(read, "train_loss")
 
 
-def metrics_sql(by: str, view: str = "two_task", prefix: str = "") -> str:
+def metrics_sql(
+    by: str, view: str = "two_task", prefix: str = "", weights: tuple[object, object] = (3.0, 2.0)
+) -> str:
     """CTEs for the eight metrics of logits ``z1, z2`` and labels ``y1, y2`` of a view, per ``by`` (a
     column, or a constant)."""
 
-    def task(name: str, z: str, y: str, w: float) -> str:
+    def task(name: str, z: str, y: str, w: object) -> str:
         return f"""
 {name}_rows AS (
   SELECT {by} AS g, 1 / (1 + exp(-{z})) AS p, {y} AS y,
@@ -203,7 +205,7 @@ def metrics_sql(by: str, view: str = "two_task", prefix: str = "") -> str:
   FROM {name}_order GROUP BY g)"""
 
     one, two = f"{prefix}inc", f"{prefix}nm"
-    return f"""{task(one, "z1", "y1", 3.0)}, {task(two, "z2", "y2", 2.0)},
+    return f"""{task(one, "z1", "y1", weights[0])}, {task(two, "z2", "y2", weights[1])},
 {prefix}metrics AS (
   SELECT a.g, a.loss + b.loss AS loss, a.loss AS inc_loss, a.acc AS inc_acc, a.auc AS inc_auc,
          b.loss AS nm_loss, b.acc AS nm_acc, b.auc AS nm_auc,

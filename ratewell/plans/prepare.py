@@ -22,7 +22,7 @@ from ratewell.operators.profile import check_classes, label_distribution, valida
 from ratewell.operators.rank import add_row_key
 from ratewell.operators.split import stratified_split
 from ratewell.schemas import LABELS, SPLITS
-from ratewell.session import materialize
+from ratewell.session import materialize, remove, scratch_path
 from ratewell.sources.readers import read_prepared
 from ratewell.sources.writers import write_metadata, write_splits
 
@@ -113,7 +113,8 @@ def prepare(
         df, key = add_row_key(df, "_row_key"), "_row_key"
     rows = labelled(df, key, income, marital)
     if c.stage:
-        rows = materialize(rows, "labelled")
+        staged = scratch_path(df.sparkSession, "labelled")
+        rows = materialize(rows, "labelled", staged)
     split = stratified_split(rows, "y_income", "key", c.test_size, c.val_size, c.seed)
     check_classes(split, "y_income")
     features = all_but(split, "key", "split", *LABELS)
@@ -125,6 +126,8 @@ def prepare(
     validate_splits(written, expected=SPLITS)
     write_metadata(model, spark, f"{version}/features")
     publish(spark, path, version)
+    if c.stage:
+        remove(spark, staged)
     return Prepared(
         f"{version}/data", income, marital, numeric, text, model.width, label_distribution(written),
         model, source,

@@ -53,12 +53,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/ratewell/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     Used where a result feeds several jobs: it is computed once, its lineage is cut, and a lost
-    executor costs a re-read and not a recomputation.
+    executor costs a re-read and not a recomputation. A caller that knows when nothing reads it any
+    more names the ``path`` itself, from :func:`scratch_path`, and then calls :func:`remove`.
     """
-    path = scratch_path(df.sparkSession, name)
+    path = path or scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
