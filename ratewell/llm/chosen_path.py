@@ -82,8 +82,8 @@ def factors() -> np.ndarray:
 
 def _texts(batches: Iterable, column: int) -> Iterator[tuple[object, list[str]]]:
     for batch in batches:
-        for s in range(0, batch.num_rows, 2048):
-            b = batch.slice(s, 2048)
+        for s in range(0, batch.num_rows, 1024):
+            b = batch.slice(s, 1024)
             yield b, [(t or "").lower() for t in b.column(column).to_pylist()]
 
 
@@ -130,8 +130,8 @@ def root_tokens(run: int, similarity: float) -> list[int]:
     return chosen.tolist() or [int(draw.argmin())]
 
 
-def _token(i: Column | int) -> Column:
-    return F.substring("tokens", F.lit(4) * i + 1, F.lit(4)) if isinstance(i, Column) else F.substring("tokens", 4 * i + 1, 4)
+def _token(i: int) -> Column:
+    return F.substring("tokens", 4 * i + 1, 4)
 
 
 def _children(similarity: float) -> Column:

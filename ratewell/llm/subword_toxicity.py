@@ -122,16 +122,20 @@ def train(sample: list[tuple[str, object]], settings: Settings | None = None) ->
     seen = words.WordRows(lambda ws: np.array(ws, object), bound=None)
     parts = [without_runs(*seen.rows(cut)) for _, cut in words.split_batches([t for t, _ in sample], 1_000_000)]
     ids, sizes = (np.concatenate(x) for x in zip(*parts))
-    blocks = [(k, *subwords(list(seen.table[k : k + 20_000]), s)) for k in range(0, len(seen.table), 20_000)]
-    gram = np.concatenate([g.astype(np.int32) for _, g, _ in blocks])
-    word = np.concatenate([(w + k).astype(np.int32) for k, _, w in blocks])
-    del blocks
-    used = np.flatnonzero(np.bincount(gram, minlength=s.buckets))
+    seen.known.clear()
+    blocks: list[tuple[slice, np.ndarray, np.ndarray]] = []  # n-grams are kept a block of words at a time
+    hit = np.zeros(s.buckets, bool)
+    per_word = np.zeros(len(seen.table))
+    for k in range(0, len(seen.table), 20_000):
+        gram, word = subwords(list(seen.table[k : k + 20_000]), s)
+        hit[gram] = True
+        at = slice(k, k + len(seen.table[k : k + 20_000]))
+        per_word[at] = np.bincount(word, minlength=at.stop - k)
+        blocks.append((at, gram.astype(np.int32), word.astype(np.int32)))
+    used = np.flatnonzero(hit)
     place = np.zeros(s.buckets, np.int32)
     place[used] = np.arange(len(used))
-    gram = place[gram]
-    seen.known.clear()
-    per_word = np.bincount(word, minlength=len(seen.table))
+    blocks = [(at, place[gram], word) for at, gram, word in blocks]
     begin, end, text = windows(sizes, s.window)
     first = np.flatnonzero(np.diff(text, prepend=-1))
     moments = [np.zeros((len(used), s.width)), np.zeros((len(used), s.width)), np.zeros(s.width), np.zeros(s.width)]
@@ -142,7 +146,7 @@ def train(sample: list[tuple[str, object]], settings: Settings | None = None) ->
     heavy = np.where(y == 1, s.positive, 1.0)
     for epoch in range(s.warm + s.epochs):
         u = e @ v
-        of_word = np.bincount(word, u[gram], len(per_word)) / per_word
+        of_word = np.concatenate([np.bincount(w, u[g], at.stop - at.start) for at, g, w in blocks]) / per_word
         score = s.window * window_means(of_word[ids], begin, end) + bias
         if epoch < s.warm:
             pick = np.arange(len(text))
@@ -158,7 +162,9 @@ def train(sample: list[tuple[str, object]], settings: Settings | None = None) ->
         np.add.at(change, begin[pick], per)
         np.add.at(change, end[pick], -per)
         to_word = np.bincount(ids, np.cumsum(change)[:-1], len(per_word)) / per_word
-        to_gram = np.bincount(gram, to_word[word], len(used))
+        to_gram = np.zeros(len(used))
+        for at, g, w in blocks:
+            to_gram += np.bincount(g, to_word[at][w], len(used))
         grads = [to_gram[:, None] * v + s.decay * e, to_gram @ e]
         turn += 1
         for k, (value, g) in enumerate(zip((e, v), grads)):

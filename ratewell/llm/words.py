@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Distinct words a task remembers, characters that are worked on together, letters of a word piece.
-WORDS_KEPT = 400_000
-BATCH_CHARS = 8_000_000
+WORDS_KEPT = 200_000
+BATCH_CHARS = 2_000_000
 WIDTH = 32
 
 
@@ -118,8 +118,8 @@ def score_texts(docs: DataFrame, key: str, text: str, score, schema: str) -> Dat
 
         make = score()
         for batch in batches:
-            for s in range(0, batch.num_rows, 4096):
-                b = batch.slice(s, 4096)
+            for s in range(0, batch.num_rows, 1024):
+                b = batch.slice(s, 1024)
                 columns = make(b.column(1).to_pylist())
                 names = ["k", *[f"c{i}" for i in range(len(columns))]]
                 yield pa.RecordBatch.from_arrays([b.column(0), *columns], names=names)
@@ -138,8 +138,8 @@ def filter_texts(docs: DataFrame, text: str, keep) -> DataFrame:
 
         good = keep()
         for batch in batches:
-            for s in range(0, batch.num_rows, 4096):
-                b = batch.slice(s, 4096)
+            for s in range(0, batch.num_rows, 1024):
+                b = batch.slice(s, 1024)
                 yield b.filter(pa.array(good(b.column(at).to_pylist()), pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
