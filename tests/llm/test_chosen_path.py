@@ -141,3 +141,16 @@ def test_components(spark):
 
 def test_runs():
     assert cp.runs_for(0.8, 0.99) <= cp.runs_for(0.8, 0.9999) <= 40
+
+
+@pytest.mark.parametrize("order", ["shuffled", "zigzag"])
+def test_components_of_a_long_chain(spark, order):
+    n = 2000
+    ids = list(range(n))
+    if order == "shuffled":
+        random.Random(4).shuffle(ids)
+    else:  # every second node is a local minimum
+        ids = [i // 2 if i % 2 == 0 else n + i for i in range(n)]
+    links = list(zip(ids, ids[1:])) + [(9000, 9001)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {**dict.fromkeys(ids, 0), 9000: 9000, 9001: 9000}
