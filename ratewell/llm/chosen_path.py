@@ -35,7 +35,7 @@ DEPTH = 4
 BLOCK = 512
 #: Shingles of a block's sets that are held at once.
 BLOCK_SHINGLES = 1_500_000
-RECALL = 0.99
+RECALL = 0.9999
 SEED = 11
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
