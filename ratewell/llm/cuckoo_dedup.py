@@ -151,6 +151,8 @@ def update_index(index: DataFrame | None, changes: DataFrame, pages: int) -> Dat
                 held.insert([key, i, n])
             else:
                 row[2] += n
+                if i is not None and (row[1] is None or i < row[1]):  # a stored owner may be larger
+                    row[1] = i
         out = list(held.stored())
         return pd.DataFrame(
             {

@@ -92,3 +92,15 @@ def test_index_takes_changes(spark):
     second = cd.update_index(first, changes([("a", None, 0, "-"), ("b", 9, 1, "+"), ("c", None, 1, "+"), ("d", 1, 0, "-")]), 2)
     got = {(bytes(r.digest), r.keep_id, r.group_size) for r in second.collect()}
     assert got == {(key("b"), 2, 2), (key("c"), None, 1)}
+
+
+def test_a_smaller_id_takes_over_a_stored_group(spark):
+    for kind, ids in (("long", (9, 2, 10)), ("string", ("b", "a", "c"))):
+        def changes(rows):
+            return spark.createDataFrame([(bytearray(key(d)), i, 1, "+") for d, i in rows], f"digest binary, id {kind}, n long, op string")
+
+        large, small, other = ids
+        first = cd.update_index(None, changes([("a", large), ("b", None), ("c", small), ("d", large)]), 2)
+        second = cd.update_index(first, changes([("a", small), ("b", other), ("c", None), ("d", other)]), 2)
+        got = {(bytes(r.digest), r.keep_id, r.group_size) for r in second.collect()}
+        assert got == {(key("a"), small, 2), (key("b"), other, 2), (key("c"), small, 2), (key("d"), min(large, other), 2)}
