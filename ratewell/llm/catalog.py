@@ -39,7 +39,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_license_scan(spark, sf_dir):
     """Licence notices in all documents."""
-    return license_scan.scan(documents(spark, sf_dir))
+    return license_scan.scan(documents(spark, sf_dir), whole_versions=True)
 
 
 @query

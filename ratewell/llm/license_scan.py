@@ -8,7 +8,8 @@ both have the same minhash with probability 3/4; ``bands_for`` gives so many ban
 piece is missed with a probability of one in a hundred at most. Longer templates have many pieces.
 
 What is found is verified exactly: the shingles of the template that occur within a stretch of twice
-its length must be at least ``containment`` of all its shingles.
+its length must be at least ``containment`` of all its shingles. With ``whole_versions`` the stretch
+must also hold all shingles that name a version or tell the template from a similar one.
 
 Everything is column functions on the rows as they are scanned; only the verified hits of the few
 documents that have any are grouped. The template tables are fixed and go into the plan as literals.
@@ -55,6 +56,25 @@ TEMPLATES = {
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related or "
     "neighboring rights to this work.",
+    "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
+    "LGPL-3.0": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "LGPL-2.1": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+    "AGPL-3.0": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "GPL-2.0-notice": "This program is free software; you can redistribute it and/or modify it under the "
+    "terms of the GNU General Public License as published by the Free Software Foundation; either "
+    "version 2 of the License, or (at your option) any later version.",
+    "MPL-2.0-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. "
+    "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "ISC-text": "Permission to use, copy, modify, and/or distribute this software for any purpose with or "
+    "without fee is hereby granted, provided that the above copyright notice and this permission notice "
+    "appear in all copies.",
+    "MIT-conditions": "The above copyright notice and this permission notice shall be included in all copies "
+    'or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY '
+    "KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR "
+    "A PARTICULAR PURPOSE AND NONINFRINGEMENT.",
+    "BSD-warranty": 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY '
+    "EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF "
+    "MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
 }
 
 
@@ -108,6 +128,24 @@ def _longs(values) -> Column:
     return F.lit(np.array(list(values), np.int64))
 
 
+def telling_shingles(spark: SparkSession, own: dict[str, list], templates: dict[str, str], containment: float) -> dict[str, set[int]]:
+    """Of each template, the shingles with a number in them, and those that a template lacks which would
+    otherwise pass for it."""
+    rows = spark.createDataFrame(sorted(templates.items()), "name string, text string")
+    words = F.array_remove(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), "")
+    cut = {r["name"]: r["w"] for r in rows.select("name", words.alias("w")).collect()}
+    out = {}
+    for name, h in own.items():
+        w = cut[name]
+        told = {x for i, x in enumerate(h) if any(v.isdigit() for v in w[i : i + SHINGLE])}
+        for other in own.values():
+            lacks = set(h) - set(other)
+            if lacks and len(lacks) <= (1 - containment) * len(set(h)) + 1e-9:
+                told |= lacks
+        out[name] = told
+    return out
+
+
 def template_tables(spark: SparkSession, templates: dict[str, str]) -> tuple[dict, list[dict[int, list[str]]]]:
     """The shingles of each template, and per band the templates behind each minhash."""
     rows = spark.createDataFrame(sorted(templates.items()), "name string, text string")
@@ -129,16 +167,21 @@ def template_tables(spark: SparkSession, templates: dict[str, str]) -> tuple[dic
 
 
 def scan(
-    docs: DataFrame, templates: dict[str, str] | None = None, containment: float = 0.8, key: str = "doc_id", text: str = "text"
+    docs: DataFrame, templates: dict[str, str] | None = None, containment: float = 0.8, key: str = "doc_id", text: str = "text",
+    whole_versions: bool = False,
 ) -> DataFrame:
     """One row per document and template found: key, license, containment, first_word, hits.
 
+    With ``whole_versions`` a stretch counts only if it holds all :func:`telling_shingles`; without, a
+    notice of another version can be found as well.
+
     ``hits`` is how many of the template's shingles the best stretch holds, ``first_word`` where the
     first shingle of the first such stretch begins. A null or empty text, or one of fewer than three
     words, has none. Repeated rows each give their rows, null keys are kept, other columns ignored.
     An empty table gives no rows.
     """
-    own, bands = template_tables(docs.sparkSession, templates or TEMPLATES)
+    templates = templates or TEMPLATES
+    own, bands = template_tables(docs.sparkSession, templates)
     names = sorted(own)
     rows = docs.select(F.col(key).alias("id"), F.monotonically_increasing_id().alias("row"), F.col(text).cast("string").alias("t"))
 
@@ -170,9 +213,16 @@ def scan(
     rows = rows.select("id", "row", "template", F.explode(hits).alias("hit"))
     stretch = F.floor(F.col("hit.at") / F.get(sizes, F.col("template")))
     rows = rows.select("id", "row", "template", "hit", F.explode(F.array(stretch - 1, stretch)).alias("stretch"))
+    count = []
+    if whole_versions:
+        told = telling_shingles(docs.sparkSession, own, templates, containment)
+        telling = F.array_contains(F.get(F.array(*[_longs(told[n]) for n in names]), F.col("template")), F.col("hit.x"))
+        count = [F.count_distinct(F.when(telling, F.col("hit.x"))).alias("told")]
     found = rows.groupBy("id", "row", "template", "stretch").agg(
-        F.count_distinct("hit.x").alias("hits"), F.min("hit.at").alias("first_word")
+        F.count_distinct("hit.x").alias("hits"), F.min("hit.at").alias("first_word"), *count
     )
+    if whole_versions:
+        found = found.where(F.col("told") == F.get(F.array(*[F.lit(len(told[n])) for n in names]), F.col("template")))
     best = found.groupBy("id", "row", "template").agg(F.max(F.struct("hits", (-F.col("first_word")).alias("back"))).alias("best"))
     share = F.col("best.hits") / F.get(distinct, F.col("template"))
     return best.where(share >= containment).select(

@@ -91,3 +91,23 @@ def test_windows_hold_every_piece(spark):
         pieces = [turned[s : s + ls.PIECE] for s in range(max(1, len(turned) - ls.PIECE + 1))]
         assert all(any(set(p) <= set(w) for w in windows) for p in pieces)
         assert [min(w) for w in windows] == r.m[: len(windows)]
+
+
+def test_another_version_is_not_taken_for_a_template(spark, tmp_path):
+    from ratewell.llm import catalog
+
+    other = {
+        "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
+        "LGPL-3.0": "This work is licensed under the GNU Lesser General Public License, version 3.",
+        None: "This work is licensed under the GNU General Public License, version 1.",
+    }
+    rows = [(i, f"some words here. {t} and more words") for i, t in enumerate([*ls.TEMPLATES.values(), *other.values()])]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {}
+    for r in catalog.QUERIES["op9_license_scan"](spark, str(tmp_path)).collect():
+        got.setdefault(r.doc_id, set()).add(r.license)
+    names = [*ls.TEMPLATES, *other]
+    within = {"Apache-2.0-notice": {"Apache-2.0-notice", "Apache-2.0"}}
+    for i, name in enumerate(names):
+        want = within.get(name, {name} if name else set())
+        assert got.get(i, set()) == want, name
