@@ -16,8 +16,11 @@ from ratewell.llm import (
     license_scan,
     metric_tree,
     passage_quality,
+    phrase_mining,
     subword_toxicity,
     trie_bpe,
+    vantage_tree,
+    whitening,
 )
 
 #: Vocabulary of the packing and encoding queries.
@@ -139,3 +142,66 @@ FROM d
 def pipeline(spark, sf_dir):
     """All stages of the corpus pipeline, from documents to packed sequences."""
     return corpus_pipeline.run(spark, sf_dir)
+
+
+@query
+def op11_vantage_tree(spark, sf_dir):
+    """The twenty nearest vectors that a relaxed search finds for every 20th vector."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return vantage_tree.nearest(rows, F.col("id") % 20 == 0, 20)
+
+
+@query
+def op12_whitening(spark, sf_dir):
+    """All vectors along the sixteen axes of largest variance, with unit variance along each."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return whitening.whiten(rows, 16).withColumn("deviation", F.col("deviation").cast("long"))
+
+
+@query
+def op13_phrase_mining(spark, sf_dir):
+    """The 2,000 phrases of each language whose words keep together most."""
+    return phrase_mining.collocations(documents(spark, sf_dir))
+
+
+SQL["op13_phrase_mining"] = r"""
+WITH p AS (
+    SELECT coalesce(lang, 'und') AS lang,
+           unnest(string_split_regex(
+               translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+               '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents
+), w AS (
+    SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p
+), x AS (
+    SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w
+), g AS (
+    SELECT lang, size, array_to_string(w[i : i + size - 1], ' ') AS phrase, count(*) AS f
+    FROM x, (VALUES (1), (2), (3), (4)) s(size)
+    WHERE i + size - 1 <= len(w)
+    GROUP BY ALL
+), n AS (
+    SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM g WHERE size = 1 GROUP BY lang
+), c AS (
+    SELECT lang, phrase, f AS a, size, string_split(phrase, ' ') AS w FROM g WHERE size > 1 AND f >= 30
+), cuts AS (
+    SELECT c.lang, c.phrase, c.a, k, l.f AS l, r.f AS r,
+           (CAST(2000000 AS HUGEINT) * c.a) // (CAST(l.f AS HUGEINT) + r.f) AS score
+    FROM c JOIN (VALUES (1), (2), (3)) k(k) ON k < c.size
+    JOIN g l ON l.lang = c.lang AND l.phrase = array_to_string(w[1:k], ' ')
+    JOIN g r ON r.lang = c.lang AND r.phrase = array_to_string(w[k + 1:], ' ')
+), scored AS (
+    SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), inside AS (
+    SELECT lang, array_to_string(w[s : s + m - 1], ' ') AS phrase, max(a) AS longest
+    FROM c, (VALUES (1), (2), (3)) s(s), (VALUES (2), (3)) m(m)
+    WHERE s + m - 1 <= size AND m < size
+    GROUP BY ALL
+), kept AS (
+    SELECT scored.* FROM scored LEFT JOIN inside USING (lang, phrase)
+    WHERE longest IS NULL OR CAST(100 AS HUGEINT) * longest < CAST(80 AS HUGEINT) * a
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept
+)
+SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+"""
