@@ -175,21 +175,24 @@ WITH p AS (
     SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p
 ), x AS (
     SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w
-), g AS (
+), g AS MATERIALIZED (
     SELECT lang, size, array_to_string(w[i : i + size - 1], ' ') AS phrase, count(*) AS f
     FROM x, (VALUES (1), (2), (3), (4)) s(size)
     WHERE i + size - 1 <= len(w)
     GROUP BY ALL
 ), n AS (
     SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM g WHERE size = 1 GROUP BY lang
-), c AS (
+), c AS MATERIALIZED (
     SELECT lang, phrase, f AS a, size, string_split(phrase, ' ') AS w FROM g WHERE size > 1 AND f >= 30
+), parts AS MATERIALIZED (
+    SELECT lang, phrase, a, k, array_to_string(w[1:k], ' ') AS head, array_to_string(w[k + 1:], ' ') AS tail
+    FROM (SELECT *, unnest(range(1, size)) AS k FROM c)
 ), cuts AS (
-    SELECT c.lang, c.phrase, c.a, k, l.f AS l, r.f AS r,
-           (CAST(2000000 AS HUGEINT) * c.a) // (CAST(l.f AS HUGEINT) + r.f) AS score
-    FROM c JOIN (VALUES (1), (2), (3)) k(k) ON k < c.size
-    JOIN g l ON l.lang = c.lang AND l.phrase = array_to_string(w[1:k], ' ')
-    JOIN g r ON r.lang = c.lang AND r.phrase = array_to_string(w[k + 1:], ' ')
+    SELECT p.lang, p.phrase, p.a, k, l.f AS l, r.f AS r,
+           (CAST(2000000 AS HUGEINT) * p.a) // (CAST(l.f AS HUGEINT) + r.f) AS score
+    FROM parts p
+    JOIN g l ON l.lang = p.lang AND l.phrase = head
+    JOIN g r ON r.lang = p.lang AND r.phrase = tail
 ), scored AS (
     SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
 ), inside AS (
