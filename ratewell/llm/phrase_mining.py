@@ -6,10 +6,10 @@ windows, counted once, hold the counts of all shorter phrases: ROLLUP over the c
 by prefix. No explosion of pairs, triples and so on is made.
 
 Only phrases with ``least`` occurrences matter, and most windows go on with words that never do. So
-before windows are counted, pairs of words are counted in hashed cells, and a window is cut (and padded)
-where it holds a pair whose cell stays below ``least``. A cell counts at least what each of its pairs
-has, and all occurrences of a phrase are cut alike: counts of phrases that matter stay exact, whatever
-the number of cells.
+before windows are counted, pairs of words are counted in hashed cells, then triples and fours of
+frequent pairs, and a window is cut (and padded) before the word that makes one whose cell stays below
+``least``. A cell counts at least what each of its phrases has, and all occurrences of a phrase are cut
+alike: counts of phrases that matter stay exact, whatever the number of cells.
 """
 
 from __future__ import annotations
@@ -20,10 +20,11 @@ from pyspark.sql import functions as F
 from ratewell.session import materialize
 
 WORDS = 4
-#: Cells of the counted pairs: one per so many bytes of text, up to a bound. 64 cells are a row of the
-#: table that is broadcast, so that it has a million rows of two numbers at most.
-BYTES_PER_CELL = 8
-MAX_CELLS = 1 << 26
+#: Cells: one per so many bytes of text, up to a bound. 4,096 cells are a row of the table that is
+#: broadcast, one bit each: 65,536 rows and 32 MB at most. Of very large corpora the cells fill up, so
+#: that fewer windows are cut; counts don't change.
+BYTES_PER_CELL = 16
+MAX_CELLS = 1 << 28
 #: Parts that make up a share of 1/1,000 of all words are looked up by broadcast: no more than 1,000
 #: phrases of a length can, and all together they are 1,000 times the bytes of an average word, or few
 #: times that. Of others, no more candidates than a few in 100,000 of all words can share one.
@@ -53,32 +54,39 @@ def windows(docs: DataFrame, text: str, lang: str) -> DataFrame:
     return pieces(docs, text, lang).select("lang", F.inline(zipped).alias(*_COLUMNS))
 
 
-def _cell(lang: Column, first: Column, second: Column, cells: int) -> Column:
-    return F.pmod(F.xxhash64(lang, first, second), F.lit(cells))
+def _cell(words: list[Column], cells: int) -> Column:
+    return F.pmod(F.xxhash64(F.col("lang"), *words), F.lit(cells))
 
 
-def frequent_pairs(docs: DataFrame, text: str, lang: str, least: int, cells: int) -> DataFrame:
-    """(row, bits): the cells that counted ``least`` pairs or more, 64 of them in a number."""
-    w = F.col("w")
-    pairs = pieces(docs, text, lang).select("lang", F.inline(F.arrays_zip(w, F.slice(w, 2, F.size(w)))).alias("a", "b"))
-    pairs = pairs.where("b is not null").select(_cell(F.col("lang"), F.col("a"), F.col("b"), cells).alias("cell"))
-    counted = pairs.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+def frequent_cells(cells: DataFrame, least: int) -> DataFrame:
+    """(row, bits): of the column ``cell``, which cells are counted ``least`` times or more.
+
+    Bit ``c % 64`` of number ``c / 64 % 64`` in row ``c / 4096`` is cell c's.
+    """
+    counted = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("cell") % 64).cast("int"))
-    return counted.groupBy(F.shiftright("cell", 6).alias("row")).agg(F.bit_or(bit).alias("bits"))
+    number = (F.shiftright("cell", 6) % 64).cast("int").alias("number")
+    numbers = counted.groupBy(F.shiftright("cell", 12).alias("row"), number).agg(F.bit_or(bit).alias("bits"))
+    known = F.map_from_entries(F.collect_list(F.struct("number", "bits")))  # 64 at most
+    rows = numbers.groupBy("row").agg(known.alias("known"))
+    spelled = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.coalesce(F.col("known")[i], F.lit(0).cast("long")))
+    return materialize(rows.select("row", spelled.alias("bits")), "frequent-cells")
 
 
-def cut_windows(rows: DataFrame, frequent: DataFrame, cells: int) -> DataFrame:
-    """Windows without what follows the first pair that is not frequent."""
-    going = None
-    for i in range(1, WORDS):
-        a, b = F.col(f"w{i}"), F.col(f"w{i + 1}")
-        rows = rows.withColumn("cell", _cell(F.col("lang"), a, b, cells))
-        side = frequent.select(F.col("row").alias("_row"), F.col("bits").alias("_bits"))
-        rows = rows.join(F.broadcast(side), F.shiftright("cell", 6) == F.col("_row"), "left")
-        set_ = F.coalesce(F.getbit("_bits", (F.col("cell") % 64).cast("int")), F.lit(0)) == 1
-        going = set_ & b.isNotNull() if i == 1 else F.col("_going") & set_ & b.isNotNull()
-        rows = rows.withColumn("_going", going).withColumn(f"w{i + 1}", F.when(F.col("_going"), b)).drop("cell", "_row", "_bits")
-    return rows.select("lang", *_COLUMNS)
+def _cut(rows: DataFrame, last: int, words: list[Column], frequent: DataFrame, cells: int) -> DataFrame:
+    """Null from word ``last`` on where the cell of ``words`` is not frequent, or the word before is null."""
+    there = F.col(f"w{last}").isNotNull() & F.col(f"w{last - 1}").isNotNull()
+    rows = rows.withColumn("_cell", F.when(there, _cell(words, cells)))
+    side = frequent.select(F.col("row").alias("_row"), F.col("bits").alias("_bits"))
+    rows = rows.join(F.broadcast(side), F.shiftright("_cell", 12) == F.col("_row"), "left")
+    number = F.get("_bits", (F.shiftright("_cell", 6) % 64).cast("int"))
+    is_frequent = F.getbit(number, (F.col("_cell") % 64).cast("int")) == 1
+    rows = rows.withColumn(f"w{last}", F.when(is_frequent, F.col(f"w{last}")))
+    return rows.drop("_cell", "_row", "_bits")
+
+
+def _w(first: int, last: int) -> list[Column]:
+    return [F.col(c) for c in _COLUMNS[first - 1 : last]]
 
 
 def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = 30) -> DataFrame:
@@ -87,10 +95,22 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", least
     Rows of size 0 have the number of all words of a language.
     """
     size = docs.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
-    cells = min(MAX_CELLS, 1 << max(10, (size // BYTES_PER_CELL).bit_length()))
-    frequent = materialize(frequent_pairs(docs, text, lang, least, cells), "frequent-pairs")
-    cut = cut_windows(windows(docs, text, lang), frequent, cells)
-    longest = cut.groupBy("lang", *_COLUMNS).agg(F.count(F.lit(1)).alias("n"))
+    cells = min(MAX_CELLS, 1 << max(12, (size // BYTES_PER_CELL).bit_length()))
+    w = F.col("w")
+    both = F.arrays_zip(w, F.slice(w, 2, F.size(w)))
+    found = pieces(docs, text, lang).select("lang", F.inline(both).alias("w1", "w2")).where("w2 is not null")
+    pairs = frequent_cells(found.select(_cell(_w(1, 2), cells).alias("cell")), least)
+    rows = windows(docs, text, lang)
+    cut = rows
+    for last in range(2, WORDS + 1):
+        cut = _cut(cut, last, _w(last - 1, last), pairs, cells)
+    longer = [F.when(F.col(f"w{last}").isNotNull(), _cell(_w(1, last), cells)) for last in range(3, WORDS + 1)]
+    found = cut.where("w3 is not null").select(F.explode(F.array(*longer)).alias("cell")).where("cell is not null")
+    more = frequent_cells(found, least)
+    rows = _cut(rows, 2, _w(1, 2), pairs, cells)
+    for last in range(3, WORDS + 1):
+        rows = _cut(rows, last, _w(1, last), more, cells)
+    longest = rows.groupBy("lang", *_COLUMNS).agg(F.count(F.lit(1)).alias("n"))
     # the grouping id has a bit for each column that is summed over
     summed = longest.rollup("lang", *_COLUMNS).agg(F.sum("n").alias("f"), F.grouping_id().alias("over"))
     length = WORDS - F.length(F.regexp_replace(F.conv(F.col("over").cast("string"), 10, 2), "0", ""))

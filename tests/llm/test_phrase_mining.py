@@ -57,7 +57,7 @@ def corpus(seed, docs=60):
     return rows
 
 
-@pytest.mark.parametrize("cells", [1, 1 << 26])  # whatever the cells, counts are exact
+@pytest.mark.parametrize("cells", [1, 64, 1 << 26])  # whatever the cells, counts are exact
 def test_brute_force(spark, monkeypatch, cells):
     monkeypatch.setattr(phrase_mining, "MAX_CELLS", cells)
     rows = corpus(cells)
