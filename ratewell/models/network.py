@@ -7,7 +7,7 @@ level on the gates read the mix their task got before. All experts of a level ar
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -78,6 +78,11 @@ class NetworkConfig:
         """Parameters that an output depends on, in layout order."""
         return [name for name in self.layout() if ".gate.shared." not in name]
 
+    def wide(self) -> list[str]:
+        """Trained parameters with a row for each input cell: those that meet the raw features."""
+        gates = [f"1.gate.{t}.weight" for t in TASKS]
+        return [f"{level}.hidden.weight" for level in range(1, self.num_levels + 1)] + gates
+
 
 Params = Mapping[str, np.ndarray]
 
@@ -94,13 +99,68 @@ def initial_params(config: NetworkConfig, seed: int) -> dict[str, np.ndarray]:
     return params
 
 
+@dataclass(frozen=True)
+class SparseBlock:
+    """Rows of numeric cells, which come first, and of places that hold a one; -1 stands for none."""
+
+    numeric: np.ndarray
+    slots: np.ndarray
+
+    def __matmul__(self, w: np.ndarray) -> np.ndarray:
+        """What the dense rows would give, from the rows of ``w`` that their slots name."""
+        out = self.numeric @ w[..., : self.numeric.shape[1], :]
+        for at in self.slots.T:
+            there = np.flatnonzero(at >= 0)
+            out[..., there, :] += w[..., at[there], :]
+        return out
+
+    def by_weight(self, g: np.ndarray) -> SlotGradient:
+        """What the transposed dense rows times ``g`` would give, for the slots that were met."""
+        row, turn = np.nonzero(self.slots >= 0)
+        place = self.slots[row, turn]
+        order = np.argsort(place, kind="stable")
+        ids, first = np.unique(place[order], return_index=True)
+        met = g[..., row[order], :]
+        rows = np.add.reduceat(met, first, axis=-2) if len(ids) else met
+        return SlotGradient(self.numeric.T @ g, ids, rows)
+
+
+@dataclass(frozen=True)
+class SlotGradient:
+    """Gradient of a wide parameter: of the rows of numeric cells, and of the rows ``ids`` only."""
+
+    numeric: np.ndarray
+    ids: np.ndarray
+    rows: np.ndarray
+
+
+def _by_weight(x: np.ndarray | SparseBlock, g: np.ndarray) -> np.ndarray | SlotGradient:
+    return x.by_weight(g) if isinstance(x, SparseBlock) else x.T @ g
+
+
+def slot_rows(wide: Sequence[np.ndarray]) -> np.ndarray:
+    """One row per slot from the rows of all wide parameters; those hold slots in their last axis but one."""
+    return np.concatenate([np.moveaxis(w, -2, 0).reshape(w.shape[-2], -1) for w in wide], axis=1)
+
+
+def from_slot_rows(rows: np.ndarray, like: Sequence[tuple[int, ...]]) -> list[np.ndarray]:
+    """The inverse of :func:`slot_rows`, for shapes whose number of slots plays no part."""
+    out, at = [], 0
+    for shape in like:
+        rest = (*shape[:-2], shape[-1])
+        size = int(np.prod(rest))
+        out.append(np.moveaxis(rows[:, at : at + size].reshape(len(rows), *rest), 0, -2))
+        at += size
+    return out
+
+
 def _softmax(a: np.ndarray) -> np.ndarray:
     e = np.exp(a - a.max(axis=1, keepdims=True))
     return e / e.sum(axis=1, keepdims=True)
 
 
 def forward(
-    config: NetworkConfig, p: Params, x: np.ndarray, rng: np.random.Generator | None = None
+    config: NetworkConfig, p: Params, x: np.ndarray | SparseBlock, rng: np.random.Generator | None = None
 ) -> tuple[np.ndarray, list[dict]]:
     """Logits ``(rows, 2)`` and what each level computed. A generator switches dropout on."""
     selectors = {t: x for t in TASKS}
@@ -146,9 +206,12 @@ def task_losses(
 
 
 def gradients(
-    config: NetworkConfig, p: Params, x: np.ndarray, levels: list[dict], by_logit: np.ndarray
-) -> dict[str, np.ndarray]:
-    """Gradient of a sum over rows, from its derivative by the logits ``(rows, 2)``."""
+    config: NetworkConfig, p: Params, x: np.ndarray | SparseBlock, levels: list[dict], by_logit: np.ndarray
+) -> dict[str, np.ndarray | SlotGradient]:
+    """Gradient of a sum over rows, from its derivative by the logits ``(rows, 2)``.
+
+    Of sparse rows the wide parameters have the gradient of the slots that were met.
+    """
     g: dict[str, np.ndarray] = {}
     by_mix = {}
     for i, t in enumerate(TASKS):
@@ -168,9 +231,10 @@ def gradients(
             by_out += w.T[:, :, None] * by_mix[t]
             by_w = np.einsum("nm,enm->ne", by_mix[t], c["out"])
             by_gate = w * (by_w - (by_w * w).sum(axis=1, keepdims=True))
-            g[f"{level}.gate.{t}.weight"] = c["selectors"][t].T @ by_gate
+            g[f"{level}.gate.{t}.weight"] = _by_weight(c["selectors"][t], by_gate)
             g[f"{level}.gate.{t}.bias"] = by_gate.sum(axis=0)
-            by_selector[t] = by_gate @ p[f"{level}.gate.{t}.weight"].T
+            if level > 1:
+                by_selector[t] = by_gate @ p[f"{level}.gate.{t}.weight"].T
         g[f"{level}.norm.weight"] = (by_out * c["unit"]).sum(axis=1, keepdims=True)
         g[f"{level}.norm.bias"] = by_out.sum(axis=1, keepdims=True)
         by_unit = by_out * p[f"{level}.norm.weight"]
@@ -180,7 +244,7 @@ def gradients(
         g[f"{level}.out.bias"] = by_raw.sum(axis=1, keepdims=True)
         by_hidden = (by_raw @ p[f"{level}.out.weight"].transpose(0, 2, 1)) * c["keep"]
         by_hidden = by_hidden * (c["hidden"] > 0)
-        g[f"{level}.hidden.weight"] = x.T @ by_hidden
+        g[f"{level}.hidden.weight"] = _by_weight(x, by_hidden)
         g[f"{level}.hidden.bias"] = by_hidden.sum(axis=1, keepdims=True)
         by_mix = by_selector  # the selectors of this level are the mixes of the one below
     return g

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ratewell.models.network import TASKS, NetworkConfig, forward, initial_params
+from ratewell.models.network import TASKS, NetworkConfig, SparseBlock, forward, initial_params
 from ratewell.operators.evaluate import mean_over_batches, two_task_metrics
 from ratewell.operators.split import assign_batches
 from ratewell.schemas import LABELS, METRIC_NAMES, MODEL_TABLE
@@ -25,13 +25,46 @@ _ROWS = 2_048  # rows per block, to bound the memory of the hidden layers
 LOGITS = ("logit_income", "logit_never")
 
 
+def feature_columns(df: DataFrame) -> list[str]:
+    """The columns a network reads: sparse rows where there are any, else vectors."""
+    return ["numeric", "slots"] if "slots" in df.columns else ["x"]
+
+
+def _sparse_blocks(batch: pa.RecordBatch, width: int, known: np.ndarray | None) -> Iterator[tuple[int, int, SparseBlock]]:
+    numbers, places = batch.column("numeric"), batch.column("slots")
+    cells = pc.max(pc.list_value_length(numbers)).as_py() or 0
+    for start in range(0, batch.num_rows, _ROWS):
+        numeric, slots = numbers.slice(start, _ROWS), places.slice(start, _ROWS)
+        sizes = pc.list_value_length(numeric)
+        if numeric.null_count or slots.null_count or not pc.all(pc.equal(sizes, cells)).as_py():
+            raise ValueError(f"a sparse row is null or of another length: row {start} of a batch or soon after")
+        matrix = numeric.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(numeric), cells)
+        counts = pc.list_value_length(slots).to_numpy(zero_copy_only=False)
+        flat = slots.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        if known is not None and len(flat):
+            at = np.minimum(np.searchsorted(known, flat), max(0, len(known) - 1))
+            if not len(known) or (known[at] != flat).any():
+                raise ValueError("a row has a slot that this part of the model does not hold")
+            flat = cells + at
+        if len(flat) and (flat.min() < cells or flat.max() >= width):
+            raise ValueError(f"a slot is not one of a vector that is {width} wide: row {start} of a batch or soon after")
+        out = np.full((len(numeric), int(counts.max(initial=0))), -1, np.int64)
+        row = np.repeat(np.arange(len(counts)), counts)
+        out[row, np.arange(len(flat)) - np.repeat(np.cumsum(counts) - counts, counts)] = flat
+        yield start, start + len(numeric), SparseBlock(matrix, out)
+
+
 def feature_blocks(
-    batch: pa.RecordBatch, width: int, column: str = "x"
-) -> Iterator[tuple[int, int, np.ndarray]]:
+    batch: pa.RecordBatch, width: int, column: str = "x", known: np.ndarray | None = None
+) -> Iterator[tuple[int, int, np.ndarray | SparseBlock]]:
     """``(start, end, matrix)`` of the vectors in an Arrow batch, a bounded block at a time.
 
-    A vector that is null or not ``width`` wide is an error.
+    A vector that is null or not ``width`` wide is an error. Sparse rows are not spelled out; where
+    only the slots ``known`` have rows of parameters, they are numbered by their place among them.
     """
+    if "slots" in batch.schema.names:
+        yield from _sparse_blocks(batch, width, known)
+        return
     cells = batch.column(column)
     for start in range(0, batch.num_rows, _ROWS):
         part = cells.slice(start, _ROWS)
@@ -44,10 +77,15 @@ def feature_blocks(
 
 @dataclass
 class MultiTaskModel:
-    """A network with its parameters. Their size is that of the model, never of the data."""
+    """A network with its parameters. Their size is that of the model, never of the data.
+
+    ``known``, in order, are the slots that wide parameters have rows for, after those of the numeric
+    cells; None stands for all.
+    """
 
     config: NetworkConfig
     params: dict[str, np.ndarray]
+    known: np.ndarray | None = None
 
     @staticmethod
     def fresh(config: NetworkConfig, seed: int = 42) -> MultiTaskModel:
@@ -55,20 +93,20 @@ class MultiTaskModel:
 
     def _map(self, df: DataFrame, keep: Sequence[str], added: Sequence[T.StructField], compute):
         """Add columns computed from blocks of ``x``; the parameters go out as a broadcast."""
-        shared = df.sparkSession.sparkContext.broadcast((asdict(self.config), self.params))
+        shared = df.sparkSession.sparkContext.broadcast((asdict(self.config), self.params, self.known))
         schema = T.StructType([*[df.schema[c] for c in keep], *added])
         names = [f.name for f in schema]
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            shape, params = shared.value
+            shape, params, known = shared.value
             config = NetworkConfig(**shape)
             for batch in batches:
-                for start, end, x in feature_blocks(batch, config.d_in):
+                for start, end, x in feature_blocks(batch, config.d_in, known=known):
                     rows = batch.slice(start, end - start)
                     kept = [rows.column(c) for c in keep]
                     yield pa.RecordBatch.from_arrays([*kept, *compute(config, params, x)], names)
 
-        columns = list(dict.fromkeys([*keep, "x"]))
+        columns = list(dict.fromkeys([*keep, *feature_columns(df)]))
         return df.select(*columns).mapInArrow(work, schema)
 
     def score(self, df: DataFrame, keep: Sequence[str] = ("key", *LABELS)) -> DataFrame:

@@ -13,20 +13,30 @@ from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ratewell.models.network import NetworkConfig, forward, gradients, task_losses
+from ratewell.models.network import (
+    NetworkConfig,
+    SlotGradient,
+    forward,
+    from_slot_rows,
+    gradients,
+    slot_rows,
+    task_losses,
+)
 from ratewell.models.scoring import (
     CHUNK,
     LOGITS,
     MultiTaskModel,
     evaluate,
     feature_blocks,
+    feature_columns,
     metrics_of,
 )
 from ratewell.operators.columns import quoted
+from ratewell.operators.features import SPARSE
 from ratewell.operators.evaluate import mean_over_batches, two_task_metrics
 from ratewell.operators.profile import positive_weights
 from ratewell.schemas import LABELS
@@ -34,10 +44,11 @@ from ratewell.session import remove, scratch_path
 from ratewell.sources.writers import append_epoch_log, write_run_config, write_test_report
 
 _STEP_SCHEMA = (
-    "kind string, chunk int, values array<double>, "
+    "kind string, chunk int, task int, values array<double>, "
     "logit_income double, logit_never double, y_income tinyint, y_never_married tinyint"
 )
 _TOTALS = -1  # chunk number of the row count
+_SLOT_ROWS = 1_024  # slots of an Arrow batch
 
 
 @dataclass
@@ -127,7 +138,8 @@ def with_buckets(train: DataFrame, buckets: int, key: str = "key") -> DataFrame:
     spark, path = train.sparkSession, scratch_path(train.sparkSession, "training-rows")
     bucket = F.pmod(F.xxhash64(quoted(key)), F.lit(buckets)).cast("int").alias("bucket")
     labels = [F.col(y).cast("tinyint").alias(y) for y in LABELS]
-    rows = train.select("x", *labels, bucket).hint("rebalance", "bucket")
+    features = SPARSE if "slots" in train.columns else ["x"]
+    rows = train.select(*features, *labels, bucket).hint("rebalance", "bucket")
     rows.write.partitionBy("bucket").parquet(path)
     return spark.read.schema(rows.schema).parquet(path)
 
@@ -162,7 +174,22 @@ class RowDraws:
 
 def send(df: DataFrame, model: MultiTaskModel) -> Broadcast:
     """The model as a broadcast; it has the size of the model, whatever the rows."""
-    return df.sparkSession.sparkContext.broadcast((asdict(model.config), model.params))
+    return df.sparkSession.sparkContext.broadcast((asdict(model.config), model.params, model.known))
+
+
+def _add_slots(
+    slots: np.ndarray, sums: np.ndarray | None, more: np.ndarray, rows: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """Slots in order with their sums, after adding rows of further slots."""
+    if sums is None:
+        return more, rows
+    both = np.union1d(slots, more)
+    if len(both) > len(slots):
+        wider = np.zeros((len(both), rows.shape[1]))
+        wider[np.searchsorted(both, slots)] = sums
+        sums = wider
+    sums[np.searchsorted(both, more)] += rows
+    return both, sums
 
 
 def step_rows(
@@ -175,6 +202,10 @@ def step_rows(
 ) -> DataFrame:
     """Gradient sums per task in chunks, and the scores of the rows, before the update.
 
+    Of sparse rows the sums of wide parameters are one vector per slot that the task met, and only
+    their numeric part is in the chunks. Every row of sums tells its task, so that they can be added in the
+    same order whenever the task reads the same rows.
+
     Every task adds up its own rows; the parameters go out as a broadcast, ``shared`` if the caller
     wants to destroy it afterwards. What dropout drops is drawn from the seed and the row's content,
     so it doesn't depend on partitions.
@@ -182,7 +213,7 @@ def step_rows(
     shared = shared or send(batch, model)
     schema = pa.schema(
         [
-            ("kind", pa.string()), ("chunk", pa.int32()), ("values", pa.list_(pa.float64())),
+            ("kind", pa.string()), ("chunk", pa.int32()), ("task", pa.int32()), ("values", pa.list_(pa.float64())),
             ("logit_income", pa.float64()), ("logit_never", pa.float64()),
             ("y_income", pa.int8()), ("y_never_married", pa.int8()),
         ]
@@ -190,24 +221,45 @@ def step_rows(
     positive, weights = np.array(pos_weights), np.array(task_weights)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shape, params = shared.value
+        shape, params, known = shared.value
         config = NetworkConfig(**shape)
-        names = config.trained()
+        names, task = config.trained(), TaskContext.get().partitionId()
         total, rows = None, 0
+        slots, sums = np.empty(0, np.int64), None
+
+        def sum_rows(kind, chunks, vectors):
+            k = len(chunks)
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array([kind] * k), pa.array(chunks, pa.int32()), pa.array([task] * k, pa.int32()),
+                    pa.array(vectors, pa.list_(pa.float64())), pa.nulls(k, pa.float64()), pa.nulls(k, pa.float64()),
+                    pa.nulls(k, pa.int8()), pa.nulls(k, pa.int8()),
+                ],
+                schema=schema,
+            )
+
         for arrow in batches:
             draws = arrow.column("row").to_numpy(zero_copy_only=False)
             labels = np.stack([arrow.column(y).to_numpy(zero_copy_only=False) for y in LABELS], axis=1)
-            for start, end, x in feature_blocks(arrow, config.d_in):
+            for start, end, x in feature_blocks(arrow, config.d_in, known=known):
                 y = labels[start:end].astype(np.float64)
                 logits, levels = forward(config, params, x, RowDraws(draws[start:end]) if config.dropout else None)
                 _, slope = task_losses(logits, y, positive)
-                flat = _flat(gradients(config, params, x, levels, slope * weights), names)
+                found = gradients(config, params, x, levels, slope * weights)
+                met = [found[w] for w in config.wide() if isinstance(found[w], SlotGradient)]
+                if met:
+                    place = met[0].ids
+                    if known is not None:
+                        place = known[place - met[0].numeric.shape[-2]]
+                    slots, sums = _add_slots(slots, sums, place, slot_rows([w.rows for w in met]))
+                    found |= {w: found[w].numeric for w in config.wide()}
+                flat = _flat(found, names)
                 total = flat if total is None else total + flat
                 rows += end - start
                 n = end - start
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(["score"] * n), pa.nulls(n, pa.int32()),
+                        pa.array(["score"] * n), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()),
                         pa.nulls(n, pa.list_(pa.float64())),
                         pa.array(logits[:, 0]), pa.array(logits[:, 1]),
                         arrow.column(LABELS[0])[start:end], arrow.column(LABELS[1])[start:end],
@@ -217,62 +269,93 @@ def step_rows(
         if rows:
             chunks = [np.array([float(rows)])]
             chunks += [total[i : i + CHUNK] for i in range(0, total.size, CHUNK)]
-            k = len(chunks)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(["gradient"] * k), pa.array(range(_TOTALS, k - 1), pa.int32()),
-                    pa.array(chunks, pa.list_(pa.float64())),
-                    pa.nulls(k, pa.float64()), pa.nulls(k, pa.float64()),
-                    pa.nulls(k, pa.int8()), pa.nulls(k, pa.int8()),
-                ],
-                schema=schema,
-            )
+            yield sum_rows("gradient", range(_TOTALS, len(chunks) - 1), chunks)
+        for i in range(0, len(slots), _SLOT_ROWS):
+            yield sum_rows("slot", slots[i : i + _SLOT_ROWS], list(sums[i : i + _SLOT_ROWS]))
 
-    row = F.xxhash64("x", *LABELS, *[F.lit(int(s)) for s in seed]).alias("row")
-    cells = ["x", *[F.col(y).cast("tinyint").alias(y) for y in LABELS], row]
+    features = feature_columns(batch)
+    row = F.xxhash64(*features, *LABELS, *[F.lit(int(s)) for s in seed]).alias("row")
+    cells = [*features, *[F.col(y).cast("tinyint").alias(y) for y in LABELS], row]
     return batch.select(*cells).mapInArrow(work, _STEP_SCHEMA)
 
 
 def add_chunks(rows: DataFrame) -> DataFrame:
-    """Sum vectors of the same chunk number, one vector at a time.
+    """Sum vectors of the same kind and chunk number, one vector at a time.
 
-    A task keeps one running sum per chunk, so its memory depends on the model only. Sums go through
-    lanes first, about as many as the root of the number of tasks, so that no task reads the vectors
-    of all others.
+    A task adds the vectors of a chunk in the order of the tasks they come from and hands the sum on.
+    Sums go through lanes first, about as many as the root of the number of tasks, so that no task
+    reads the vectors of all others.
     """
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
+        at, total = None, None
+
+        def row():
+            kind, chunk, lane = at
+            cells = [pa.array([kind]), pa.array([chunk], pa.int32()), pa.array([lane], pa.int32())]
+            return pa.RecordBatch.from_arrays(
+                [*cells, pa.array([total], pa.list_(pa.float64()))], ["kind", "chunk", "lane", "values"]
+            )
+
         for batch in batches:
             values = batch.column("values")
-            for i, chunk in enumerate(batch.column("chunk").to_pylist()):
+            places = zip(*[batch.column(c).to_pylist() for c in ("kind", "chunk", "lane")])
+            for i, here in enumerate(places):
                 vector = values[i].values.to_numpy(zero_copy_only=False)
-                sums[chunk] = sums[chunk] + vector if chunk in sums else vector.copy()
-        if sums:
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(list(sums), pa.int32()),
-                    pa.array(list(sums.values()), pa.list_(pa.float64())),
-                ],
-                ["chunk", "values"],
-            )
-
-    schema = "chunk int, values array<double>"
-    lanes = max(1, math.isqrt(rows.rdd.getNumPartitions()))
-    lane = F.pmod(F.spark_partition_id(), F.lit(lanes))
-    some = rows.select("chunk", "values", lane.alias("lane")).repartition("chunk", "lane")
-    return some.select("chunk", "values").mapInArrow(fold, schema).repartition("chunk").mapInArrow(fold, schema)
-
-
-def total_gradient(rows: DataFrame) -> tuple[np.ndarray, int]:
-    """The gradient summed over all rows, and their number."""
-    table = add_chunks(rows.where(F.col("kind") == "gradient")).toArrow()
-    chunks = dict(zip(table["chunk"].to_pylist(), table["values"]))
+                if here == at:
+                    total = total + vector
+                    continue
+                if at is not None:
+                    yield row()
+                at, total = here, vector.copy()
+        if at is not None:
+            yield row()
+
+    schema = "kind string, chunk int, lane int, values array<double>"
+    lanes = max(1, math.isqrt(rows.agg(F.count_distinct("task")).first()[0]))
+    lane = F.pmod("task", F.lit(lanes)).cast("int").alias("lane")
+    some = rows.select("kind", "chunk", lane, "task", "values").repartition("kind", "chunk", "lane")
+    some = some.sortWithinPartitions("kind", "chunk", "lane", "task").select("kind", "chunk", "lane", "values")
+    lanes_added = some.mapInArrow(fold, schema).repartition("kind", "chunk")
+    lanes_added = lanes_added.sortWithinPartitions("kind", "chunk", "lane").withColumn("lane", F.lit(0))
+    return lanes_added.mapInArrow(fold, schema).select("kind", "chunk", "values")
+
+
+def gradient_sums(rows: DataFrame) -> DataFrame:
+    """(kind, chunk, values): the gradient of :func:`step_rows` summed over all tasks."""
+    return add_chunks(rows.where(F.col("kind").isin("gradient", "slot")))
+
+
+def total_gradient(rows: DataFrame, model: MultiTaskModel) -> tuple[np.ndarray, int]:
+    """The gradient of all trained parameters summed over all rows, and their number.
+
+    Slots that no row has, have no vector among the sums; their gradient is zero.
+    """
+    table = gradient_sums(rows).toArrow()
+    found: dict[str, dict[int, np.ndarray]] = {"gradient": {}, "slot": {}}
+    for kind, chunk, values in zip(table["kind"].to_pylist(), table["chunk"].to_pylist(), table["values"]):
+        found[kind][chunk] = values.values.to_numpy(zero_copy_only=False)
+    chunks, slots = found["gradient"], found["slot"]
     if _TOTALS not in chunks:
         return np.empty(0), 0
-    rows_seen = int(chunks.pop(_TOTALS).values[0].as_py())
-    parts = [chunks[i].values.to_numpy(zero_copy_only=False) for i in sorted(chunks)]
-    return np.concatenate(parts), rows_seen
+    rows_seen = int(chunks.pop(_TOTALS)[0])
+    flat = np.concatenate([chunks[i] for i in sorted(chunks)])
+    names, wide = model.config.trained(), model.config.wide()
+    missing = sum(model.params[n].size for n in names) - flat.size
+    if not missing:
+        return flat, rows_seen
+    d = model.config.d_in
+    cells = d - missing // sum(model.params[n].size // d for n in wide)  # the numeric ones
+    gradient = {n: np.zeros_like(model.params[n]) for n in names}
+    narrow = {n: gradient[n][..., :cells, :] if n in wide else gradient[n] for n in names}
+    for n, part in _unflat(flat, narrow, names).items():
+        narrow[n][...] = part
+    if slots:
+        place = sorted(slots)
+        rows_of = from_slot_rows(np.stack([slots[i] for i in place]), [gradient[n].shape for n in wide])
+        for n, part in zip(wide, rows_of):
+            gradient[n][..., place, :] = part
+    return _flat(gradient, names), rows_seen
 
 
 def batch_gradient(
@@ -283,7 +366,7 @@ def batch_gradient(
     seed: Sequence[int] = (0,),
 ) -> dict[str, np.ndarray]:
     """Gradient by every trained parameter of the mean loss over a batch."""
-    total, rows = total_gradient(step_rows(batch, model, pos_weights, task_weights, seed))
+    total, rows = total_gradient(step_rows(batch, model, pos_weights, task_weights, seed), model)
     names = model.config.trained()
     named = _unflat(total / rows, {n: model.params[n] for n in names}, names)
     return {n: named[n] for n in names}
@@ -337,7 +420,7 @@ class MultiTaskTrainer:
             rows.write.mode("overwrite").partitionBy("kind").parquet(path)
             shared.destroy()
             written = spark.read.schema(_STEP_SCHEMA).parquet(path)
-            gradient, n = total_gradient(written)
+            gradient, n = total_gradient(written, model)
             if not n:
                 continue
             seen += n
@@ -371,7 +454,7 @@ class MultiTaskTrainer:
         """
         c, spark = self.config, train.sparkSession
         train = with_buckets(train, c.buckets)
-        width = F.size("x")
+        width = F.col("width") if "slots" in train.columns else F.size("x")
         rows, d, widest = train.agg(F.count(F.lit(1)), F.min(width), F.max(width)).first()
         if not rows:
             raise ValueError("the training split has no rows")

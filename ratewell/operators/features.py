@@ -166,6 +166,25 @@ def one_hot(slot: Column, width: int) -> Column:
     )
 
 
+#: Columns of a sparse feature row: how wide its vector is, the numeric cells, which come first, and the
+#: places that hold a one, in order. All others hold zero.
+SPARSE = ("width", "numeric", "slots")
+
+
+def dense(width: Column, numeric: Column, slots: Column) -> Column:
+    """The vector that a sparse row stands for: zeros up to each slot, its one, and zeros to the end."""
+    zero, one = F.lit(0.0).cast("float"), F.lit(1.0).cast("float")
+    after = lambda i: F.when(i == 0, F.size(numeric)).otherwise(F.get(slots, i - 1) + 1)
+    upto = F.flatten(F.transform(slots, lambda s, i: F.concat(F.array_repeat(zero, s - after(i)), F.array(one))))
+    left = width - after(F.size(slots))
+    return F.concat(numeric, upto.cast("array<float>"), F.array_repeat(zero, left))
+
+
+def with_vectors(df: DataFrame, output: str = "x") -> DataFrame:
+    """Add the dense vectors of sparse rows; they are spelled out only where they are read."""
+    return df.withColumn(output, dense(*[F.col(c) for c in SPARSE]))
+
+
 @dataclass
 class FeatureModel:
     """A fitted encoding."""
@@ -248,6 +267,24 @@ class FeatureModel:
             blocks.append(one_hot(F.col(slots[-1]), column.width))
         return encoded.withColumn(output, F.concat(*blocks)).drop(*slots)
 
+    def encode(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+        """The columns to keep and the sparse row of each row (see ``SPARSE``).
+
+        A row is as long as there are numeric and text columns, however many categories they have.
+        :func:`with_vectors` gives the vectors of :meth:`transform`.
+        """
+        encoded, places, offset = df, [], len(self.numeric)
+        for i, column in enumerate(self.text):
+            encoded = self._with_slot(encoded, column, f"_slot_{i}")
+            places.append((F.col(f"_slot_{i}") + F.lit(offset)).cast("int"))
+            offset += column.width
+        return encoded.select(
+            *[quoted(c) for c in keep],
+            F.lit(self.width).alias("width"),
+            F.array(*[c.cast("float") for c in self.numeric_cells(df)]).cast("array<float>").alias("numeric"),
+            F.array_compact(F.array(*places).cast("array<int>")).alias("slots"),
+        )
+
     def categories(self) -> DataFrame | None:
         """The table ``(column, value, count, slot)`` of all categories."""
         return self.table

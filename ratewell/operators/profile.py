@@ -133,14 +133,22 @@ def split_stats(
             F.count_if(quoted(y).isNull()).alias(f"missing_{y}"),
         )
     ]
-    bad_cell = F.exists(features, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
+    bad = lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))
+    if sparse := "slots" in df.columns:  # what its vectors would show, without spelling them out
+        first = F.size("numeric")
+        order = F.coalesce(F.array_sort("slots") != F.col("slots"), F.lit(True)) | (F.size(F.array_distinct("slots")) != F.size("slots"))
+        outside = F.exists("slots", lambda s: s.isNull() | (s < first) | (s >= F.col("width")))
+        bad_cell = F.exists("numeric", bad) | order | outside
+    else:
+        bad_cell = F.exists(features, bad)
+    width = (F.col("width") if sparse else F.size(features)).cast("bigint")
     return df.groupBy(split).agg(
         F.count(F.lit(1)).alias("rows"),
         *per_label,
         *more,
         F.count_if(F.coalesce(bad_cell, F.lit(True))).alias("bad_rows"),
-        F.min(F.size(features)).cast("bigint").alias("min_width"),
-        F.max(F.size(features)).cast("bigint").alias("max_width"),
+        F.min(width).alias("min_width"),
+        F.max(width).alias("max_width"),
     )
 
 
@@ -159,8 +167,9 @@ def validate_splits(
 ) -> None:
     """Raise on missing or non-finite features, labels other than 0 and 1 or of another type than
     tinyint, rows of unequal width, or an ``expected`` split without rows."""
-    if df.schema[features].dataType.simpleString() != "array<float>":
-        raise TypeError(f"{features} must be array<float>")
+    cells = "numeric" if "slots" in df.columns else features
+    if df.schema[cells].dataType.simpleString() != "array<float>":
+        raise TypeError(f"{cells} must be array<float>")
     for y in labels:
         if df.schema[y].dataType.simpleString() != "tinyint":
             raise TypeError(f"{y} must be tinyint")

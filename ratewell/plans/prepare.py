@@ -121,7 +121,7 @@ def prepare(
     numeric, text = column_kinds(features)
     model = FeatureEncoder(numeric, text, c.min_freq).fit(split.where(F.col("split") == "train"))
     spark, version = df.sparkSession, f"{path}/{uuid.uuid4().hex}"
-    write_splits(model.transform(split), f"{version}/data", c.buckets)
+    write_splits(model.encode(split, ["key", *LABELS, "split"]), f"{version}/data", c.buckets)
     written = read_prepared(spark, f"{version}/data")
     validate_splits(written, expected=SPLITS)
     write_metadata(model, spark, f"{version}/features")

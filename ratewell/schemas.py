@@ -100,11 +100,13 @@ MODEL_TABLE = T.StructType(
 
 
 def prepared_schema(key_type: T.DataType) -> T.StructType:
-    """Schema of a prepared artefact; ``split`` is its partition column."""
+    """Schema of a prepared artefact with sparse rows; ``split`` is its partition column."""
     return T.StructType(
         [
             T.StructField("key", key_type),
-            T.StructField("x", T.ArrayType(T.FloatType())),
+            T.StructField("width", T.IntegerType()),
+            T.StructField("numeric", T.ArrayType(T.FloatType())),
+            T.StructField("slots", T.ArrayType(T.IntegerType())),
             T.StructField("y_income", T.ByteType()),
             T.StructField("y_never_married", T.ByteType()),
             T.StructField("split", T.StringType()),

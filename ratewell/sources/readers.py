@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ratewell.operators.columns import coerce_numeric_text, quoted, strip_text
+from ratewell.operators.features import with_vectors
 from ratewell.operators.profile import append_rows, validate_splits
 from ratewell.schemas import CENSUS, EPOCH_LOG, RATINGS, SPLITS, TEST_REPORT, prepared_schema
 
@@ -115,10 +116,13 @@ def _raw(spark: SparkSession, folders: Sequence[str]) -> DataFrame:
 
 
 def read_prepared(spark: SparkSession, path: str, key_type: T.DataType | None = None) -> DataFrame:
-    """All splits of a prepared artefact."""
-    if key_type is None:
-        return spark.read.parquet(path)
-    return spark.read.schema(prepared_schema(key_type)).parquet(path)
+    """All splits of a prepared artefact; sparse rows have their vectors as a projection ``x``.
+
+    With a ``key_type`` the schema of sparse rows is taken as given instead of read from a file.
+    """
+    reader = spark.read if key_type is None else spark.read.schema(prepared_schema(key_type))
+    df = reader.parquet(path)
+    return with_vectors(df) if "slots" in df.columns else df
 
 
 def read_split(

@@ -8,18 +8,21 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ratewell.operators.features import FeatureModel
+from ratewell.operators.features import SPARSE, FeatureModel
 from ratewell.schemas import EPOCH_LOG, LABELS, METRIC_NAMES, TEST_REPORT
 
 
 def write_splits(df: DataFrame, path: str, buckets: int | None = None) -> None:
-    """Write ``(key, x, labels)`` with a folder per split.
+    """Write key, features and labels with a folder per split.
+
+    Features are vectors ``x`` or sparse rows, whose size on disk does not depend on their width.
 
     With ``buckets`` each split is also cut by a hash of the key into that many folders, so that a
     trainer reads a fraction of the rows per step. Rows are then brought together by folder first,
     in files of even size however uneven the splits are.
     """
-    cells = ["key", "x", *[F.col(y).cast("tinyint").alias(y) for y in LABELS], "split"]
+    features = SPARSE if "slots" in df.columns else ["x"]
+    cells = ["key", *features, *[F.col(y).cast("tinyint").alias(y) for y in LABELS], "split"]
     if buckets is None:
         df.select(*cells).write.mode("overwrite").partitionBy("split").parquet(path)
         return

@@ -162,3 +162,31 @@ def test_validation(spark):
         validate_splits(spark.createDataFrame([([1.0], 0.5, 0, "val")], schema.replace("y_income tinyint", "y_income double")))
     with pytest.raises(ValueError, match="'val'"):
         validate_splits(spark.createDataFrame(good, schema), expected=["train", "val"])
+
+
+def test_sparse_rows_stand_for_the_vectors(spark, monkeypatch):
+    train = spark.createDataFrame(
+        [(float(i), v, "k" if i % 2 else None) for i, v in enumerate(["a"] * 5 + ["c"] * 4 + ["d"] * 2 + ["b", None])],
+        "n double, t string, width string",
+    )
+    model = FeatureEncoder(min_freq=4).fit(train)
+    rows = spark.createDataFrame([(1.0, v, w) for v in ["a", "b", "c", "zz", None] for w in ("k", "zz")], train.schema)
+    for few in (64, 0):
+        monkeypatch.setattr(features, "_INLINE_CATEGORIES", few)
+        sparse = model.encode(rows, ["t", "width"]).toDF("t", "w", *features.SPARSE)
+        got = {(r["t"], r["w"]): r["x"] for r in features.with_vectors(sparse).collect()}
+        assert got == {(r["t"], r["width"]): r["x"] for r in model.transform(rows).collect()}
+        assert max(r["n"] for r in sparse.select(F.size("slots").alias("n")).collect()) <= 2
+    no_text = FeatureEncoder().fit(train.select("n"))
+    assert features.with_vectors(no_text.encode(train)).first()["x"] == no_text.transform(train).first()["x"]
+
+
+def test_sparse_rows_are_validated(spark):
+    good = (1, [0.5], [1, 3])
+    schema = "split string, width int, numeric array<float>, slots array<int>, y_income tinyint, y_never_married tinyint"
+    for width, numeric, slots in [(4, [float("nan")], [1]), (4, [0.5], [3, 1]), (4, [0.5], [1, 1]), (4, [0.5], [4]),
+                                  (4, [0.5], [0]), (4, [0.5], None), (4, None, [1]), (5, [0.5], [1])]:
+        rows = [("train", 4, good[1], good[2], 0, 1), ("train", width, numeric, slots, 1, 0)]
+        with pytest.raises(ValueError, match="features|width"):
+            validate_splits(spark.createDataFrame(rows, schema))
+    validate_splits(spark.createDataFrame([("train", 4, [0.5], [], 0, 1), ("train", 4, *good[1:], 1, 0)], schema))

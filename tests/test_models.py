@@ -20,6 +20,7 @@ from ratewell.models.training import (
     step_rows,
     total_gradient,
 )
+from ratewell.operators.features import with_vectors
 from ratewell.sources.readers import read_epoch_log, read_run_config, read_test_report
 
 SHAPES = [
@@ -157,7 +158,7 @@ def test_gradient_does_not_depend_on_partitions(spark, tmp_path, monkeypatch):
     found = []
     for partitions in (1, 4):
         df = frame(spark, x, y).repartition(partitions)
-        found.append(total_gradient(step_rows(df, model, (2.0, 1.0), (1.0, 1.0), (0,))))
+        found.append(total_gradient(step_rows(df, model, (2.0, 1.0), (1.0, 1.0), (0,)), model))
     assert found[0][1] == found[1][1] == 200
     assert found[0][0] == pytest.approx(found[1][0], rel=1e-9, abs=1e-9)
 
@@ -244,7 +245,7 @@ def test_every_row_is_trained_on_whatever_the_buckets(spark, monkeypatch):
     config = TrainConfig("mmoe", 1, 3, 8, d_model=4, expert_hidden=4, num_experts=2)
     seen = []
     total = training.total_gradient
-    monkeypatch.setattr(training, "total_gradient", lambda r: seen.append(total(r)[1]) or total(r))
+    monkeypatch.setattr(training, "total_gradient", lambda r, m: seen.append(total(r, m)[1]) or total(r, m))
     MultiTaskTrainer(config).fit(written, df)
     assert sum(seen) == 400
     with pytest.raises(ValueError, match="4 to 4"):
@@ -281,3 +282,48 @@ def test_vectors_of_unequal_width_are_errors(spark):
     model = MultiTaskModel.fresh(TrainConfig("mmoe", d_model=4, expert_hidden=4, num_experts=2).network(64))
     with pytest.raises(Exception, match="not 64 wide"):
         model.score(df, ("key",)).collect()
+
+
+def sparse_and_dense(spark, n=300, cells=2, slots=7, seed=5):
+    """The same rows as sparse rows and as vectors; some rows have no slot."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for i in range(n):
+        places = sorted({int(p) for p in rng.integers(cells, cells + slots - 1, rng.integers(0, 4))})
+        rows.append((i, cells + slots, [float(np.float32(c)) for c in rng.normal(size=cells)], places, i % 2, i % 3 // 2))
+    schema = "key long, width int, numeric array<float>, slots array<int>, y_income tinyint, y_never_married tinyint"
+    sparse = spark.createDataFrame(rows, schema).repartition(3)
+    return sparse, with_vectors(sparse).drop("width", "numeric", "slots")
+
+
+@pytest.mark.parametrize("config", [
+    NetworkConfig("ple", 9, 4, 5, 2, 1, 2), NetworkConfig("mmoe", 9, 4, 5, 1, num_experts=3),
+    NetworkConfig("mmoe", 9, 5, 4, 3, num_experts=2),
+])
+def test_sparse_rows_score_and_learn_as_their_vectors(spark, config, monkeypatch):
+    monkeypatch.setattr("ratewell.models.training.CHUNK", 17)
+    sparse, vectors = sparse_and_dense(spark)
+    model = MultiTaskModel.fresh(config, 1)
+    scores = [{r["key"]: r[2:] for r in model.score(df, ("key", "y_income")).collect()} for df in (sparse, vectors)]
+    assert all(scores[0][k] == pytest.approx(scores[1][k], abs=1e-12) for k in scores[1])
+    found = [training.batch_gradient(df, model, (2.0, 1.0)) for df in (sparse, vectors)]
+    assert all(np.allclose(found[0][n], found[1][n], atol=1e-12) for n in found[1])
+
+
+def test_sums_that_move_follow_the_slots_met(spark):
+    config = NetworkConfig("mmoe", 5_002, 4, 5, 1, num_experts=3)
+    sparse, _ = sparse_and_dense(spark)
+    wide = sparse.withColumn("width", F.lit(5_002))
+    rows = step_rows(wide, MultiTaskModel.fresh(config, 1), (1.0, 1.0), (1.0, 1.0), (0,)).where("kind != 'score'")
+    cells = rows.agg(F.sum(F.size("values"))).first()[0]
+    assert cells < 3 * (6 * (3 * 5 + 2 * 3) + 400)
+    slots = {r["chunk"] for r in rows.where("kind = 'slot'").collect()}
+    assert slots == {s for r in sparse.collect() for s in r["slots"]}
+
+
+def test_slots_out_of_place_are_errors(spark):
+    sparse, _ = sparse_and_dense(spark, 5)
+    model = MultiTaskModel.fresh(NetworkConfig("mmoe", 9, 4, 5, 1, num_experts=3), 1)
+    for column, value in (("slots", F.array(F.lit(9))), ("slots", F.lit(None).cast("array<int>"))):
+        with pytest.raises(Exception, match="slot|null"):
+            model.score(sparse.withColumn(column, value), ("key",)).collect()
