@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import asdict, dataclass
 
 import numpy as np
@@ -153,11 +153,11 @@ class MultiTaskModel:
 
         return self._map(df, keep, added, compute)
 
-    def table(self, spark: SparkSession) -> DataFrame:
-        """The parameters as rows of at most 65,536 values."""
+    def table(self, spark: SparkSession, more: Mapping[str, np.ndarray] | None = None) -> DataFrame:
+        """The parameters, and ``more`` arrays by name, as rows of at most 65,536 values."""
         rows = [
             (name, list(value.shape), i // CHUNK, value.ravel()[i : i + CHUNK])
-            for name, value in self.params.items()
+            for name, value in {**self.params, **(more or {})}.items()
             for i in range(0, value.size, CHUNK)
         ]
         columns = list(zip(*rows))
@@ -171,56 +171,72 @@ class MultiTaskModel:
         )
         return spark.createDataFrame(table, MODEL_TABLE)
 
-    def save(self, spark: SparkSession, path: str, tag: str, epoch: int) -> None:
+    def save(
+        self, spark: SparkSession, path: str, tag: str, epoch: int,
+        more: Mapping[str, np.ndarray] | None = None, state: Mapping | None = None,
+    ) -> None:
         """Write parameters and shape below ``path`` as a new version of ``tag``.
 
+        ``more`` arrays are kept beside the parameters, and ``state``, some numbers, beside the shape.
+
         Versions are numbered on, whatever run or epoch they are of, so a later run into the same
         place is the newer one. Earlier versions stay: a job lost while writing leaves the last good
         one. The shape is written last.
         """
-        described = spark.range(1).select(F.lit(json.dumps(asdict(self.config))).alias("config"), F.lit(epoch).alias("epoch"))
+        described = spark.range(1).select(
+            F.lit(json.dumps(asdict(self.config))).alias("config"), F.lit(epoch).alias("epoch"),
+            F.lit(json.dumps(state) if state else None).cast("string").alias("state"),
+        )
         last = max((r["version"] for r in _versions(spark, path)), default=0)
         version = f"tag={tag}/version={last + 1}"
-        self.table(spark).coalesce(1).write.mode("overwrite").parquet(f"{path}/params/{version}")
+        self.table(spark, more).coalesce(1).write.mode("overwrite").parquet(f"{path}/params/{version}")
         described.coalesce(1).write.mode("overwrite").json(f"{path}/config/{version}")
 
     @staticmethod
     def from_table(table: DataFrame, config: NetworkConfig) -> MultiTaskModel:
         """Rebuild from the rows of :meth:`table`; an incomplete table is an error."""
-        layout = config.layout()
-        parts: dict[str, dict[int, np.ndarray]] = {}
-        for row in table.toArrow().to_pylist():
-            parts.setdefault(row["param"], {})[row["chunk"]] = np.array(row["values"])
-        params = {}
-        for name, (shape, _) in layout.items():
-            chunks = parts.get(name, {})
-            values = np.concatenate([chunks[i] for i in sorted(chunks)]) if chunks else np.empty(0)
-            if values.size != int(np.prod(shape)):
-                raise ValueError(f"parameter {name!r} is incomplete")
-            params[name] = values.reshape(shape)
-        return MultiTaskModel(config, params)
+        return MultiTaskModel(config, _arrays(table, {n: shape for n, (shape, _) in config.layout().items()}))
 
     @staticmethod
     def load(
         spark: SparkSession, path: str, tags: Sequence[str] = ("best", "last")
     ) -> MultiTaskModel:
         """The newest complete version of the first tag that has one (best, else last)."""
-        known = sorted(_versions(spark, path), key=lambda r: r["version"], reverse=True)
-        failures = []
-        for row in [r for tag in tags for r in known if r["tag"] == tag]:
-            config = NetworkConfig(**json.loads(row["config"]))
-            place = f"{path}/params/tag={row['tag']}/version={row['version']}"
-            try:
-                table = spark.read.schema(MODEL_TABLE).parquet(place)
-                return MultiTaskModel.from_table(table, config)
-            except (ValueError, AnalysisException) as e:  # torn while writing: try the version before
-                failures.append(f"{row['tag']} {row['version']}: {e}")
-        raise FileNotFoundError(f"no complete model with a tag of {list(tags)} below {path} {failures}")
+        return _newest(spark, path, tags, lambda table, config, row: MultiTaskModel.from_table(table, config))
+
+
+def _arrays(table: DataFrame, shapes: Mapping[str, tuple[int, ...]]) -> dict[str, np.ndarray]:
+    """Arrays of given shapes from the rows of :meth:`MultiTaskModel.table`; others are left alone."""
+    parts: dict[str, dict[int, np.ndarray]] = {}
+    for row in table.toArrow().to_pylist():
+        parts.setdefault(row["param"], {})[row["chunk"]] = np.array(row["values"])
+    arrays = {}
+    for name, shape in shapes.items():
+        chunks = parts.get(name, {})
+        values = np.concatenate([chunks[i] for i in sorted(chunks)]) if chunks else np.empty(0)
+        if values.size != int(np.prod(shape)):
+            raise ValueError(f"parameter {name!r} is incomplete")
+        arrays[name] = values.reshape(shape)
+    return arrays
+
+
+def _newest(spark: SparkSession, path: str, tags: Sequence[str], read: Callable):
+    """What ``read(table, config, row)`` makes of the newest version it takes, of the first tag that has one."""
+    known = sorted(_versions(spark, path), key=lambda r: r["version"], reverse=True)
+    failures = []
+    for row in [r for tag in tags for r in known if r["tag"] == tag]:
+        config = NetworkConfig(**json.loads(row["config"]))
+        place = f"{path}/params/tag={row['tag']}/version={row['version']}"
+        try:
+            return read(spark.read.schema(MODEL_TABLE).parquet(place), config, row)
+        except (ValueError, AnalysisException) as e:  # torn while writing: try the version before
+            failures.append(f"{row['tag']} {row['version']}: {e}")
+    raise FileNotFoundError(f"no complete model with a tag of {list(tags)} below {path} {failures}")
 
 
 def _versions(spark: SparkSession, path: str) -> list:
     """Tag, version, epoch and shape of what was saved below ``path``."""
-    fields = "config string, epoch int, tag string, version int"
+    fields = "config string, epoch int, state string, tag string, version int"
     try:
         return spark.read.schema(fields).json(f"{path}/config").collect()
     except AnalysisException:  # nothing was saved there yet

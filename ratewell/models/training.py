@@ -7,6 +7,7 @@ so an epoch is cut into few large batches.
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Iterator, Sequence
 from dataclasses import asdict, dataclass, field
@@ -14,7 +15,7 @@ from dataclasses import asdict, dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast, TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ratewell.models.network import (
@@ -30,6 +31,8 @@ from ratewell.models.scoring import (
     CHUNK,
     LOGITS,
     MultiTaskModel,
+    _arrays,
+    _newest,
     evaluate,
     feature_blocks,
     feature_columns,
@@ -115,6 +118,45 @@ class AdamW:
         return params * (1 - lr * self.weight_decay) - lr * mean / root
 
 
+@dataclass
+class TrainState:
+    """Where a run stands after an epoch: all that its next epoch depends on."""
+
+    model: MultiTaskModel
+    optimizer: AdamW
+    epoch: int
+    best: MultiTaskModel
+    best_epoch: int
+    best_score: float
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Write the model as a version of ``last``, the moments of the optimizer beside it."""
+        moments = {"moment.first": self.optimizer.first, "moment.second": self.optimizer.second}
+        numbers = {"steps": self.optimizer.steps, "best_epoch": self.best_epoch, "best_score": self.best_score}
+        self.model.save(spark, path, "last", self.epoch, moments, numbers)
+
+    @staticmethod
+    def load(spark: SparkSession, path: str, config: TrainConfig) -> TrainState:
+        """The newest complete state below ``path``, where a run with ``out`` keeps it: ``out/model``."""
+
+        def read(table, network, row):
+            if row["state"] is None:
+                raise ValueError("it was saved without an optimizer")
+            numbers = json.loads(row["state"])
+            model = MultiTaskModel.from_table(table, network)
+            size = sum(model.params[n].size for n in network.trained())
+            moments = _arrays(table, {"moment.first": (size,), "moment.second": (size,)})
+            optimizer = AdamW(size, config.weight_decay, config.grad_clip, steps=numbers["steps"])
+            optimizer.first, optimizer.second = moments["moment.first"], moments["moment.second"]
+            return model, optimizer, row["epoch"], numbers
+
+        model, optimizer, epoch, numbers = _newest(spark, path, ["last"], read)
+        best = model
+        if numbers["best_epoch"] != epoch:
+            best = _newest(spark, path, ["best"], lambda t, c, row: MultiTaskModel.from_table(t, c))
+        return TrainState(model, optimizer, epoch, best, numbers["best_epoch"], numbers["best_score"])
+
+
 def _flat(values: dict[str, np.ndarray], names: Sequence[str]) -> np.ndarray:
     return np.concatenate([values[n].ravel() for n in names])
 
@@ -431,14 +473,18 @@ class MultiTaskTrainer:
             raise ValueError("the training split has no rows")
         if seen != expected:
             raise RuntimeError(f"epoch {epoch} saw {seen} of {expected} training rows")
-        scored = used[0]
+        return model, self.on_the_fly(used, pos_weights)
+
+    def on_the_fly(self, used: Sequence[DataFrame], pos_weights: Sequence[float]) -> dict:
+        """The mean over batches of the metrics of their scores, as of before the updates."""
+        c, scored = self.config, used[0]
         for more in used[1:]:
             scored = scored.unionByName(more)
         per_batch = two_task_metrics(scored, LOGITS, LABELS, pos_weights, ["batch"])
         metrics = metrics_of(mean_over_batches(per_batch).first())
         if c.kind == "ple":  # the PLE log weighs the tasks in its training loss, the MMoE log does not
-            metrics["loss"] = tasks[0] * metrics["inc_loss"] + tasks[1] * metrics["nm_loss"]
-        return model, metrics
+            metrics["loss"] = c.w_income * metrics["inc_loss"] + c.w_never_married * metrics["nm_loss"]
+        return metrics
 
     def fit(
         self,
@@ -446,11 +492,14 @@ class MultiTaskTrainer:
         val: DataFrame,
         test: DataFrame | None = None,
         out: str | None = None,
-        init: MultiTaskModel | None = None,
+        init: MultiTaskModel | TrainState | None = None,
+        until: int | None = None,
     ) -> FitResult:
-        """Train with early stopping on the validation score; ``init`` resumes from a model.
+        """Train with early stopping on the validation score.
 
-        With ``out`` the run leaves its settings, log, models and report there.
+        ``init`` starts from a model, or goes on from a state as if there had been no break: from the
+        epoch after, with its optimizer and its best so far. ``until`` ends after that epoch. With
+        ``out`` the run leaves its settings, log, models, state and report there.
         """
         c, spark = self.config, train.sparkSession
         train = with_buckets(train, c.buckets)
@@ -458,22 +507,25 @@ class MultiTaskTrainer:
         rows, d, widest = train.agg(F.count(F.lit(1)), F.min(width), F.max(width)).first()
         if not rows:
             raise ValueError("the training split has no rows")
-        if d != widest or (init and init.config.d_in != d):
-            raise ValueError(f"features of {d} to {widest} cells" + (f" for a model of {init.config.d_in}" if init else ""))
+        state = init if isinstance(init, TrainState) else None
+        model = state.model if state else init
+        if d != widest or (model and model.config.d_in != d):
+            raise ValueError(f"features of {d} to {widest} cells" + (f" for a model of {model.config.d_in}" if model else ""))
         buckets = bucket_ids(train)
-        model = init or MultiTaskModel.fresh(c.network(d), c.seed)
+        model = model or MultiTaskModel.fresh(c.network(d), c.seed)
         if out:
             write_run_config(spark, f"{out}/config", c, d)
         weights = (1.0, 1.0)
         if c.use_pos_weight:
             weights = tuple(positive_weights(train).first())
-        optimizer = AdamW(
-            sum(model.params[n].size for n in model.config.trained()), c.weight_decay, c.grad_clip
-        )
+        size = sum(model.params[n].size for n in model.config.trained())
+        optimizer = state.optimizer if state else AdamW(size, c.weight_decay, c.grad_clip)
         scratch = scratch_path(spark, "training-steps")
         log: list[dict] = []
         best, best_epoch, best_score = model, 0, -float("inf")
-        for epoch in range(1, c.epochs + 1):
+        if state:
+            best, best_epoch, best_score = state.best, state.best_epoch, state.best_score
+        for epoch in range(state.epoch + 1 if state else 1, min(c.epochs, until or c.epochs) + 1):
             lr = self.rate(epoch - 1)
             model, on_train = self.train_epoch(model, optimizer, train, epoch, lr, weights, scratch, buckets, rows)
             on_val = metrics_of(evaluate(model, val, weights).first())
@@ -481,14 +533,14 @@ class MultiTaskTrainer:
             score = on_val["combined_auc"]
             score = -float("inf") if score is None or np.isnan(score) else score
             improved = epoch == 1 or score > best_score
+            if improved:
+                best, best_epoch, best_score = model, epoch, score
             if out:
                 append_epoch_log(spark, f"{out}/metrics", epoch, on_train, on_val, self.rate(epoch))
-                model.save(spark, f"{out}/model", "last", epoch)
                 if improved:
                     model.save(spark, f"{out}/model", "best", epoch)
-            if improved:
-                best, best_epoch, best_score = model, epoch, score
-            elif epoch - best_epoch >= c.patience:
+                TrainState(model, optimizer, epoch, best, best_epoch, best_score).save(spark, f"{out}/model")
+            if not improved and epoch - best_epoch >= c.patience:
                 break
         remove(spark, scratch)
         result = FitResult(best, model, log, best_epoch, best_score)

@@ -11,11 +11,13 @@ from ratewell.models.network import (
     initial_params,
     task_losses,
 )
+from ratewell.models.parameters import ParameterTable, fit_by_table
 from ratewell.models.scoring import MultiTaskModel, evaluate
 from ratewell.models.training import (
     AdamW,
     MultiTaskTrainer,
     TrainConfig,
+    TrainState,
     deal_batches,
     step_rows,
     total_gradient,
@@ -327,3 +329,71 @@ def test_slots_out_of_place_are_errors(spark):
     for column, value in (("slots", F.array(F.lit(9))), ("slots", F.lit(None).cast("array<int>"))):
         with pytest.raises(Exception, match="slot|null"):
             model.score(sparse.withColumn(column, value), ("key",)).collect()
+
+
+def test_table_steps_equal_the_drivers(spark, tmp_path):
+    """Two clipped steps over all parameters."""
+    sparse, _ = sparse_and_dense(spark)
+    model = MultiTaskModel.fresh(NetworkConfig("ple", 9, 4, 5, 2, 1, 2), 1)
+    names = model.config.trained()
+    table = ParameterTable.create(spark, model, 2, str(tmp_path / "p"))
+    driver = AdamW(sum(model.params[n].size for n in names), 0.1, 0.05)
+    for i in range(2):
+        batch = sparse.where(F.col("key") % 3 == i)
+        rows = step_rows(batch, table.model_for(batch), (2.0, 1.0), (1.0, 1.0), (0, i))
+        n = batch.count()
+        table.step(training.gradient_sums(rows), n, 0.01, driver)
+        gradient, seen = total_gradient(step_rows(batch, model, (2.0, 1.0), (1.0, 1.0), (0, i)), model)
+        assert seen == n and np.linalg.norm(gradient / n) > 0.05  # it is clipped
+        flat = driver.step(training._flat(model.params, names), gradient / n, 0.01)
+        model = MultiTaskModel(model.config, training._unflat(flat, model.params, names))
+    again = ParameterTable.load(spark, str(tmp_path / "p"))
+    assert (again.version, again.steps) == (2, 2)
+    for got in (table.model(), again.model()):
+        assert all(np.allclose(got.params[n], model.params[n], rtol=1e-9, atol=1e-12) for n in names)
+
+
+def test_training_by_table_equals_training_on_the_driver(spark, tmp_path):
+    sparse, _ = sparse_and_dense(spark, 240)
+    train, val = (training.with_buckets(sparse, 4), sparse.where("key % 5 = 0"))
+    config = TrainConfig("mmoe", 2, 2, 4, lr=0.02, d_model=4, expert_hidden=5, num_experts=3, dropout=0.0)
+    start = MultiTaskModel.fresh(config.network(9), 3)
+    trainer = MultiTaskTrainer(config)
+    want = trainer.fit(train, val, init=start)
+    got = fit_by_table(trainer, ParameterTable.create(spark, start, 2, str(tmp_path / "p")), train, val)
+    assert [e["epoch"] for e in got.log] == [1, 2]
+    for a, b in zip(got.log, want.log):
+        assert all(a[part][m] == pytest.approx(b[part][m], rel=1e-9) for part in ("train", "val") for m in a[part])
+    assert all(np.allclose(got.table.model().params[n], want.last.params[n], atol=1e-10) for n in start.config.trained())
+
+
+def test_fresh_tables_draw_within_bounds(spark, tmp_path, monkeypatch):
+    config = NetworkConfig("mmoe", 300, 4, 5, 1, num_experts=3)
+    model = ParameterTable.fresh(spark, config, 2, 7, str(tmp_path / "p")).model()
+    for n in config.wide():
+        assert np.abs(model.params[n]).max() <= 300**-0.5 and model.params[n].std() == pytest.approx((900) ** -0.5, rel=0.1)
+    sparse, _ = sparse_and_dense(spark, 20)
+    monkeypatch.setattr("ratewell.models.parameters.SLOT_BYTES", 100)
+    with pytest.raises(ValueError, match="more batches"):
+        ParameterTable.load(spark, str(tmp_path / "p")).model_for(sparse)
+
+
+def test_two_and_two_epochs_are_four(spark, tmp_path):
+    sparse, _ = sparse_and_dense(spark, 240)
+    train, val = training.with_buckets(sparse, 4), sparse.where("key % 5 = 0")
+    config = TrainConfig("ple", 4, 2, 4, lr=0.02, d_model=4, expert_hidden=5, num_shared_experts=1, num_task_experts=1)
+    trainer = MultiTaskTrainer(config)
+    whole = trainer.fit(train, val)
+    out = str(tmp_path / "run")
+    first = trainer.fit(train, val, out=out, until=2)
+    assert [e["epoch"] for e in first.log] == [1, 2]
+    state = TrainState.load(spark, f"{out}/model", config)
+    assert state.epoch == 2 and state.optimizer.steps == 4
+    second = trainer.fit(train, val, init=state)
+    assert [e["epoch"] for e in second.log] == [3, 4]
+    assert all((second.last.params[n] == whole.last.params[n]).all() for n in whole.last.params)
+    assert all((second.model.params[n] == whole.model.params[n]).all() for n in whole.model.params)
+    assert second.best_epoch == whole.best_epoch
+    first.model.save(spark, f"{out}/other", "last", 1)
+    with pytest.raises(FileNotFoundError, match="without an optimizer"):
+        TrainState.load(spark, f"{out}/other", config)
