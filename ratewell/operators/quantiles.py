@@ -2,27 +2,24 @@
 
 ``percentile`` and ``median`` hold one entry per distinct value in a single task, which a continuous
 column of a large table does not fit. Here approximate quantiles only propose a bracket around the
-wanted ranks. A second scan keeps the few values inside the bracket and counts those below it, which
-proves the bracket, and the exact order statistics are then found among the kept values.
+wanted ranks. A second scan counts the rows below the bracket, at its ends and inside, which proves it.
+Only where a wanted rank lies inside, a third scan keeps the values there, some ten-thousandths of the
+rows; they are put in order range by range, and running counts of the ranges tell which one holds it.
 """
 
 from __future__ import annotations
 
 import math
-import sys
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ratewell.operators.columns import nan_to_null
-from ratewell.session import materialize
+from ratewell.session import materialize, remove, scratch_path
 
 _SKETCH_ACCURACY = 10_000
-_BINS = 4_096
-_MAX_ROUNDS = 300
-_LARGEST = sys.float_info.max
 
 
 @dataclass
@@ -35,7 +32,6 @@ class _Bracket:
     lo: float
     hi: float
     slack: float
-    below: int = 0
     low: float | None = None
     high: float | None = None
 
@@ -108,22 +104,40 @@ def _settle(df: DataFrame, values: dict[str, Column], brackets: list[_Bracket])
     """Find the order statistics of every bracket; one that proves too narrow is widened."""
     todo = brackets
     while todo:
-        kept = _kept_values(df, values, todo)
-        counted = kept.groupBy("b", F.col("v").isNull().alias("is_below")).agg(F.sum("n").alias("n"))
-        sizes = {(r["b"], r["is_below"]): r["n"] for r in counted.collect()}
-        proved, missed = {}, []
+        inside, missed = {}, []
+        row = df.agg(*_counts(values, todo)).first()
         for i, b in enumerate(todo):
-            b.below = sizes.get((i, True), 0)
-            if b.below <= b.first and b.last < b.below + sizes.get((i, False), 0):
-                proved[i] = b
-            else:
+            below, at_lo, between, at_hi = (row[f"{name}_{i}"] for name in ("below", "lo", "between", "hi"))
+            if not below <= b.first <= b.last < below + at_lo + between + at_hi:
                 missed.append(b)
-        _search(kept.where(F.col("v").isNotNull()), proved)
+                continue
+            for end, rank in (("low", b.first - below), ("high", b.last - below)):
+                if rank < at_lo:
+                    setattr(b, end, b.lo)
+                elif rank >= at_lo + between:
+                    setattr(b, end, b.hi)
+                else:
+                    inside[i, end] = rank - at_lo
+        if inside:
+            for (i, end), value in _select(df, values, todo, inside).items():
+                setattr(todo[i], end, value)
         todo = missed
         if todo:
             _widen(df, values, todo)
 
 
+def _counts(values: dict[str, Column], brackets: list[_Bracket]) -> list[Column]:
+    """Rows below each bracket, at its lower end, between its ends, and at its upper end if that is another."""
+    counts = []
+    for i, b in enumerate(brackets):
+        v, lo, hi = values[b.column], F.lit(b.lo), F.lit(b.hi)
+        for name, condition in (
+            ("below", v < lo), ("lo", v == lo), ("between", (v > lo) & (v < hi)), ("hi", (v == hi) & (v > lo)),
+        ):
+            counts.append(F.count_if(condition).alias(f"{name}_{i}"))
+    return counts
+
+
 def _widen(df: DataFrame, values: dict[str, Column], brackets: list[_Bracket]) -> None:
     for b in brackets:
         b.slack *= 8
@@ -138,92 +152,42 @@ def _widen(df: DataFrame, values: dict[str, Column], brackets: list[_Bracket]) -
         b.lo, b.hi = row[f"q_{i}"]
 
 
-def _kept_values(
-    df: DataFrame, values: dict[str, Column], brackets: list[_Bracket]
-) -> DataFrame:
-    """Rows ``(b, v, n)``: each value inside bracket ``b`` with its count, and with a null value the
-    count of all rows below it.
+def _select(
+    df: DataFrame, values: dict[str, Column], brackets: list[_Bracket], ranks: dict[tuple[int, str], int]
+) -> dict[tuple[int, str], float]:
+    """The values with the given ranks, from 0, among those between the ends of their brackets.
 
-    Rows are counted map-side, so neither ties nor the rows below weigh on the shuffle.
+    Equal values are counted before they are shuffled. Ranges of values, as many as the session has
+    shuffle partitions, are ordered side by side; only those that hold a rank are looked into.
     """
+    spark = df.sparkSession
     cells = [
         F.when(
-            values[b.column] <= F.lit(b.hi),
-            F.struct(
-                F.lit(i).alias("b"),
-                # 0.0 and -0.0 are one value
-                F.when(values[b.column] >= F.lit(b.lo), values[b.column] + F.lit(0.0)).alias("v"),
-            ),
+            (values[brackets[i].column] > F.lit(brackets[i].lo)) & (values[brackets[i].column] < F.lit(brackets[i].hi)),
+            F.struct(F.lit(i).alias("b"), (values[brackets[i].column] + F.lit(0.0)).alias("v")),  # no negative zero
         )
-        for i, b in enumerate(brackets)
+        for i in sorted({i for i, _ in ranks})
     ]
-    counted = (
+    kept = (
         df.select(F.explode(F.array_compact(F.array(*cells))).alias("e"))
         .groupBy("e.b", "e.v")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    return materialize(counted, "quantile-values")
-
-
-def _finite(v: float) -> float:
-    return max(-_LARGEST, min(_LARGEST, v))
-
-
-def _search(kept: DataFrame, brackets: dict[int, _Bracket]) -> None:
-    """Narrow each bracket to the bin that holds the wanted ranks until their values are known.
-
-    A round is one small aggregate over the kept values, into a fixed number of bins per bracket.
-    """
-    todo = dict(brackets)
-    for _ in range(_MAX_ROUNDS):
-        if not todo:
-            return
-        bins = kept.withColumn("bin", _bin_number(todo)).where(F.col("bin").isNotNull())
-        rows = (
-            bins.groupBy("b", "bin")
-            .agg(F.sum("n").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-            .collect()
-        )
-        per_bracket: dict[int, list[Row]] = {}
-        for r in sorted(rows, key=lambda r: (r["b"], r["bin"])):
-            per_bracket.setdefault(r["b"], []).append(r)
-        for i, found in per_bracket.items():
-            if _read_bins(todo[i], found):
-                del todo[i]
-    raise RuntimeError(f"quantiles not settled in {_MAX_ROUNDS} rounds")
-
-
-def _bin_number(brackets: dict[int, _Bracket]) -> Column:
-    """The bin of a kept row in its bracket, null outside of it. Halves, since hi - lo may overflow."""
-
-    def per_bracket(value) -> Column:
-        cells = [F.lit(value(brackets[i]) if i in brackets else None) for i in range(max(brackets) + 1)]
-        return F.get(F.array(*cells).cast("array<double>"), F.col("b"))
-
-    v = F.col("v")
-    finite = F.greatest(F.least(v, F.lit(_LARGEST)), F.lit(-_LARGEST))
-    above = finite / 2 - per_bracket(lambda b: _finite(b.lo) / 2)
-    width = per_bracket(lambda b: (_finite(b.hi) / 2 - _finite(b.lo) / 2) / _BINS or 1.0)
-    number = F.least(F.floor(above / width), F.lit(_BINS - 1)).cast("int")
-    inside = v.between(per_bracket(lambda b: b.lo), per_bracket(lambda b: b.hi))
-    return F.when(inside, number)
-
-
-def _read_bins(b: _Bracket, bins: list[Row]) -> bool:
-    """Take the wanted values from the bins of a bracket, or narrow it; whether it is settled."""
-    upto = b.below
-    for r in bins:
-        start, upto = upto, upto + r["n"]
-        has_first, has_last = start <= b.first < upto, start <= b.last < upto
-        if has_first and has_last:
-            if r["lo"] < r["hi"]:
-                b.lo, b.hi, b.below = r["lo"], r["hi"], start
-                return False
-            b.low = b.high = r["lo"]
-            return True
-        if has_first:  # and the next rank is in a later bin
-            b.low = r["hi"]
-        elif has_last:
-            b.high = r["lo"]
-            return True
-    return False
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = scratch_path(spark, "quantile-values")
+    kept = kept.repartitionByRange(ranges, "b", "v").withColumn("range", F.spark_partition_id())
+    kept = materialize(kept, "quantile-values", path)
+    sums = kept.groupBy("b", "range").agg(F.sum("n").alias("rows"))
+    upto = F.sum("rows").over(Window.partitionBy("b").orderBy("range"))  # a row per range
+    sums = sums.withColumn("upto", upto).withColumn("start", F.col("upto") - F.col("rows"))
+    wanted = spark.createDataFrame([(i, end, rank) for (i, end), rank in ranks.items()], "b int, end string, rank bigint")
+    hit = (F.col("rank") >= F.col("start")) & (F.col("rank") < F.col("upto"))
+    places = sums.join(F.broadcast(wanted), "b").where(hit).select("b", "range", "end", "rank", "start")
+    passed = F.sum("n").over(Window.partitionBy("b", "range").orderBy("v"))
+    some = kept.join(F.broadcast(places.select("b", "range").distinct()), ["b", "range"])
+    some = some.withColumn("passed", passed).join(F.broadcast(places), ["b", "range"])
+    inside = F.col("rank") - F.col("start")
+    found = some.where((F.col("passed") > inside) & (F.col("passed") - F.col("n") <= inside))
+    out = {(r["b"], r["end"]): r["v"] for r in found.select("b", "end", "v").collect()}
+    remove(spark, path)
+    return out
