@@ -122,23 +122,24 @@ def pack(pieces: DataFrame, capacity: int, length: str = "length") -> DataFrame:
     gives no rows. The pieces are written to the shared folder once.
     """
     spark = pieces.sparkSession
-    columns = pieces.columns
-    held = materialize(pieces.withColumn("_row", F.monotonically_increasing_id()), "pieces")
-    counts = {r[0]: r[1] for r in held.groupBy(length).count().collect()}
+    whole = F.struct(*[F.col(f"`{c}`") for c in pieces.columns])  # one column: no name can clash
+    held = pieces.select(whole.alias("piece"), F.col(length).cast("long").alias("length"))
+    held = materialize(held.withColumn("_row", F.monotonically_increasing_id()), "pieces")
+    counts = {r[0]: r[1] for r in held.groupBy("length").count().collect()}
     if any(x is None or not 1 <= x <= capacity for x in counts):
         raise ValueError(f"lengths must be from 1 to {capacity}")
     steps = plan(counts, capacity)
     schema = "_length long, _rank long, _n long, _sequence long, _per long, _offset long"
     steps = F.broadcast(spark.createDataFrame(steps, schema))  # bounded, see above
 
-    ranked = number_rows(held, "_row", "_r", [length], sum(counts.values()))
+    ranked = number_rows(held, "_row", "_r", ["length"], sum(counts.values()))
     j = F.col("_r") - F.col("_rank")
     placed = ranked.join(
         steps,
-        (F.col(length) == F.col("_length")) & (F.col("_r") >= F.col("_rank")) & (F.col("_r") < F.col("_rank") + F.col("_n")),
+        (F.col("length") == F.col("_length")) & (F.col("_r") >= F.col("_rank")) & (F.col("_r") < F.col("_rank") + F.col("_n")),
     )
     return placed.select(
-        *[F.col(f"`{c}`") for c in columns],
+        "piece.*",
         (F.col("_sequence") + F.floor(j / F.col("_per"))).cast("long").alias("sequence_id"),
         (F.col("_offset") + F.pmod(j, F.col("_per")) * F.col("_length")).cast("long").alias("offset"),
     )

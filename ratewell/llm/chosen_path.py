@@ -365,14 +365,16 @@ def keep_first(docs: DataFrame, similarity: float = 0.8, width: int = 5, key: st
     """
     found = join(docs, similarity, width, RECALL, key, text)
     own = found.where(F.col(key).eqNullSafe(F.col("class_id")))
-    own = own.groupBy(F.col("class_id").alias("_id")).agg(F.min("body").alias("_body"), F.count(F.lit(1)).alias("_rows"))
+    own = own.groupBy(F.col("class_id").alias("id")).agg(F.min("body").alias("body"), F.count(F.lit(1)).alias("rows"))
     own = materialize(own, "kept")
-    at = F.col(key).eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(text)) == F.col("_body"))
-    kept = docs.join(own.where("_rows = 1"), at, "left_semi")
-    several = own.where("_rows > 1")
+    # a row is one column, so that none of its names can clash
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    marked = docs.select(F.col(key).alias("row_id"), F.xxhash64(F.col(text)).alias("row_body"), row)
+    at = F.col("row_id").eqNullSafe(F.col("id")) & (F.col("row_body") == F.col("body"))
+    kept = marked.join(own.where("rows = 1"), at, "left_semi").select("row.*")
+    several = own.where("rows > 1")
     if several.isEmpty():  # the same rows either way: only saves a scan
         return kept
-    rest = docs.join(several, at, "left_semi")
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    rest = rest.groupBy(F.col(key).alias("_k")).agg(F.min_by(row, F.to_json(row)).alias("row"))
+    rest = marked.join(several, at, "left_semi")
+    rest = rest.groupBy("row_id").agg(F.min_by("row", F.to_json("row")).alias("row"))
     return kept.unionByName(rest.select("row.*"))

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import random
 from collections.abc import Iterator
+from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -141,7 +142,7 @@ def update_index(index: DataFrame | None, changes: DataFrame, pages: int) -> Dat
         held = CuckooPage(len(pdf))
         for turn, key, i, n in sorted(
             zip(pdf["turn"], map(bytes, pdf["digest"]), map(_plain, pdf["id"]), pdf["n"]),
-            key=lambda r: (r[0], r[2] is None, r[2] if r[2] is not None else 0, r[1]),
+            key=lambda r: (r[0], r[2] is None, in_order(r[2]) if r[2] is not None else 0, r[1]),
         ):
             if turn == 0:
                 held.delete(key)
@@ -151,7 +152,7 @@ def update_index(index: DataFrame | None, changes: DataFrame, pages: int) -> Dat
                 held.insert([key, i, n])
             else:
                 row[2] += n
-                if i is not None and (row[1] is None or i < row[1]):  # a stored owner may be larger
+                if i is not None and (row[1] is None or in_order(i) < in_order(row[1])):  # a stored owner may be larger
                     row[1] = i
         out = list(held.stored())
         return pd.DataFrame(
@@ -162,24 +163,22 @@ def update_index(index: DataFrame | None, changes: DataFrame, pages: int) -> Dat
             }
         )
 
-    # ids go as text if they aren't whole numbers, so that pandas never turns one into a float
-    text = kind not in ("tinyint", "smallint", "int", "bigint")
+    # ids go as text, so that pandas never turns one into a float, and are compared as what they are
+    in_order = _order(kind)
     rows = rows.withColumn("id", F.col("id").cast("string"))
-    out = rows.groupBy(_page(pages).alias("page")).applyInPandas(
-        _as_numbers(page, not text), "digest binary, keep_id string, group_size long"
-    )
+    out = rows.groupBy(_page(pages).alias("page")).applyInPandas(page, "digest binary, keep_id string, group_size long")
     return out.withColumn("keep_id", F.col("keep_id").cast(kind))
 
 
-def _as_numbers(page, numbers: bool):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if numbers:
-            pdf["id"] = pd.Series([None if i is None else int(i) for i in pdf["id"]], dtype=object)
-        out = page(pdf)
-        out["keep_id"] = [None if i is None else str(i) for i in out["keep_id"]]
-        return out
-
-    return run
+def _order(kind: str):
+    """What orders the texts of values of a type as Spark orders the values; NaN is the largest number."""
+    if kind in ("tinyint", "smallint", "int", "bigint"):
+        return int
+    if kind.startswith("decimal"):
+        return Decimal
+    if kind in ("float", "double"):
+        return lambda text: (text == "NaN", 0.0 if text == "NaN" else float(text))
+    return str  # texts, dates and times are in the order of their texts
 
 
 def _plain(value):
@@ -230,19 +229,16 @@ def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     """
     rows, index = groups(docs, key, text)
     own = rows.join(index, "digest").where(F.col("id").eqNullSafe(F.col("keep_id")))
-    own = own.select(F.col("id").alias("_id"), F.col("digest").alias("_digest"), "copies")
-    marked = docs.withColumn("_digest_of_row", digest(F.col(text)))
-    at = (F.col("_digest") == F.col("_digest_of_row")) & F.col("_id").eqNullSafe(F.col(key))
-
-    def those(few: DataFrame) -> DataFrame:
-        return marked.join(few, at, "left_semi").drop("_digest_of_row")
+    own = own.select("id", "digest", "copies")
+    # a row is one column, so that none of its names can clash
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    marked = docs.select(F.col(key).alias("row_id"), digest(F.col(text)).alias("row_digest"), row)
+    at = (F.col("digest") == F.col("row_digest")) & F.col("id").eqNullSafe(F.col("row_id"))
 
-    kept = those(own.where("copies = 1"))
+    kept = marked.join(own.where("copies = 1"), at, "left_semi").select("row.*")
     several = own.where("copies > 1")
     if several.isEmpty():  # the same rows either way: only saves a scan
         return kept
-    rest = those(several)
-    order = F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
-    first = F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), order)
-    rest = rest.groupBy(F.col(key).alias("_k"), digest(F.col(text)).alias("_d")).agg(first.alias("row"))
+    rest = marked.join(several, at, "left_semi")
+    rest = rest.groupBy("row_id", "row_digest").agg(F.min_by("row", F.to_json("row")).alias("row"))
     return kept.unionByName(rest.select("row.*"))

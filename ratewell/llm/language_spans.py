@@ -9,7 +9,7 @@ language each; a text's language is the one that most of its letters are in.
 from __future__ import annotations
 
 from bisect import bisect_right
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -218,12 +218,12 @@ def identify(docs: DataFrame, model: Languages, key: str = "doc_id", text: str =
     ``und`` with score 0 and no spans. Long texts are read to their end; repeated rows and null keys
     give rows like others; other columns are ignored.
     """
-    bc = docs.sparkSession.sparkContext.broadcast(model)
+    bc = words.sent(docs, replace(model, settings=vars(model.settings)))
 
     def make():
         import pyarrow as pa
 
-        label = labeller(bc.value)
+        label = labeller(Languages(**{**bc.value, "settings": Settings(**bc.value["settings"])}))
         span = pa.struct([("first", pa.int32()), ("end", pa.int32()), ("lang", pa.string())])
 
         def columns(texts):

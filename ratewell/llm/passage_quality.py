@@ -227,12 +227,12 @@ def classify(docs: DataFrame, model: Quality, key: str = "doc_id", text: str = "
     A null or empty text is one passage without words. Long texts are read to their end. Repeated
     rows and null keys give rows like others; other columns are ignored.
     """
-    bc = docs.sparkSession.sparkContext.broadcast(model)
+    bc = words.sent(docs, model)
 
     def make():
         import pyarrow as pa
 
-        score = scorer(bc.value)
+        score = scorer(Quality(**bc.value))
         return lambda texts: [pa.array(score(texts), pa.float64())]
 
     out = words.score_texts(docs, key, text, make, "score double")
@@ -243,10 +243,10 @@ def classify(docs: DataFrame, model: Quality, key: str = "doc_id", text: str = "
 
 def keep(docs: DataFrame, model: Quality, text: str = "text", threshold: float = 0.3) -> DataFrame:
     """The rows of ``docs`` that score at least ``threshold``, as they are; cases as in ``classify``."""
-    bc = docs.sparkSession.sparkContext.broadcast(model)
+    bc = words.sent(docs, model)
 
     def make():
-        score = scorer(bc.value)
+        score = scorer(Quality(**bc.value))
         return lambda texts: score(texts) >= threshold
 
     return words.filter_texts(docs, text, make)

@@ -224,12 +224,13 @@ def classify(docs: DataFrame, model: Toxicity, key: str = "doc_id", text: str =
     A null or empty text, or one without words, has the score of the bias. Long texts are read to
     their end. Rows are scored one by one, so repeated rows and null keys give rows like others.
     """
-    bc = docs.sparkSession.sparkContext.broadcast((model.weight.astype(np.float32), model.bias, model.settings))
+    bc = docs.sparkSession.sparkContext.broadcast((model.weight.astype(np.float32), model.bias, vars(model.settings)))
 
     def make():
         import pyarrow as pa
 
-        score = scorer(*bc.value)
+        weight, bias, settings = bc.value
+        score = scorer(weight, bias, Settings(**settings))
         return lambda texts: [pa.array(score(texts), pa.float64())]
 
     out = words.score_texts(docs, key, text, make, "score double")
@@ -240,10 +241,11 @@ def classify(docs: DataFrame, model: Toxicity, key: str = "doc_id", text: str =
 
 def keep(docs: DataFrame, model: Toxicity, text: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that score below ``threshold``, as they are; cases as in ``classify``."""
-    bc = docs.sparkSession.sparkContext.broadcast((model.weight.astype(np.float32), model.bias, model.settings))
+    bc = docs.sparkSession.sparkContext.broadcast((model.weight.astype(np.float32), model.bias, vars(model.settings)))
 
     def make():
-        score = scorer(*bc.value)
+        weight, bias, settings = bc.value
+        score = scorer(weight, bias, Settings(**settings))
         return lambda texts: score(texts) < threshold
 
     return words.filter_texts(docs, text, make)

@@ -117,9 +117,10 @@ class TrieEncoder:
         """Each distinct word with its ids.
 
         The sorted words are their trie laid flat: a walk over them in order is depth first, and what
-        a word shares with the one before is the path from the root that both are on. ``last``,
-        ``start`` and ``codes`` hold, for each node of the current path, the prefix's last token,
-        where it begins and all ids, so only nodes below the shared path are new.
+        a word shares with the one before is the path from the root that both are on. ``last`` and
+        ``start`` hold, for each node of the current path, the prefix's last token and where it
+        begins, so only nodes below the shared path are new. A word's ids are read back from its end,
+        from one token to the node where it begins: memory follows a word's length.
 
         Only one token fits at the end of a prefix, so the likeliest places are tried first: where
         the parent's last token begins, the last letter alone, then all others.
@@ -131,7 +132,7 @@ class TrieEncoder:
             for w in words
         )
         size = max((len(p) for p, _ in paths), default=0) + 1
-        last, start, codes = [-1] * size, [0] * size, [()] * size
+        last, start = [-1] * size, [0] * size
 
         def place(piece: str, n: int, mark: str) -> tuple[int, int]:
             """The last token of the prefix of length n, and where it begins."""
@@ -154,17 +155,19 @@ class TrieEncoder:
 
         before = ""
         for path, word in paths:
-            k = min(len(path), len(before))
-            while path[:k] != before[:k]:
-                k -= 1
+            k = shared(path, before)
             n = len(path)
             # the last node of the word before was only an end, unless this word goes on from it
             for m in range(max(0, min(k, len(before) - 1)) + 1, n):
                 t, i = place(path, m, "")
-                last[m], start[m], codes[m] = t, i, (*codes[i], t)
+                last[m], start[m] = t, i
             before = path
             t, i = place(path, n, end)
-            yield word, (*codes[i], t)
+            ids = [t]
+            while i:
+                ids.append(last[i])
+                i = start[i]
+            yield word, tuple(reversed(ids))
 
     def normalise(self, text: str) -> str:
         """Composed and lower case, each character by itself."""
@@ -186,6 +189,18 @@ class TrieEncoder:
         return text.split()
 
 
+def shared(a: str, b: str) -> int:
+    """How many letters two words begin with alike."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        middle = (low + high + 1) // 2
+        if a[low:middle] == b[low:middle]:
+            low = middle
+        else:
+            high = middle - 1
+    return low
+
+
 def fill(encoder: TrieEncoder, render, known: dict, by_word: dict, missing: set[str]) -> None:
     """Add ``render(ids)`` of the missing chunks to ``known``, encoding words not in ``by_word``."""
     find, added = encoder.words.findall, encoder.added

@@ -104,6 +104,11 @@ def labelled_sample(
     return [(r["t"] or "", r["y"]) for r in rows]
 
 
+def sent(docs: DataFrame, model):
+    """A broadcast of a dataclass by its fields: a worker need not be able to import the class."""
+    return docs.sparkSession.sparkContext.broadcast(vars(model))
+
+
 def crc32_remainder(key, divisor: int):
     """crc32 of the key's text, modulo ``divisor``; a null key has none."""
     return F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(divisor))

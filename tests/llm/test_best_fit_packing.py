@@ -91,3 +91,14 @@ def test_no_documents_and_bad_lengths(spark):
     assert bp.pack(bp.tokenise(none, PATH, 2048), 2048).collect() == []
     with pytest.raises(ValueError):
         bp.pack(spark.createDataFrame([(1, 101)], "doc_id long, length long"), 100)
+
+
+def test_clashing_names_are_kept(spark):
+    from ratewell.llm.best_fit_packing import pack
+
+    names = ["_row", "_r", "_part", "_n", "_length", "_rank", "_offset", "piece", "_within", "_before"]
+    rows = [(i, i % 7 + 1, *[f"{c}{i}" for c in names]) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, length long, " + ", ".join(f"`{c}` string" for c in names))
+    out = pack(df, 10)
+    assert out.columns == [*df.columns, "sequence_id", "offset"]
+    assert sorted(tuple(r)[:-2] for r in out.collect()) == sorted(rows)

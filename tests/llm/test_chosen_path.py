@@ -154,3 +154,13 @@ def test_components_of_a_long_chain(spark, order):
     links = list(zip(ids, ids[1:])) + [(9000, 9001)]
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(ids, 0), 9000: 9000, 9001: 9000}
+
+
+def test_keep_first_with_clashing_names(spark):
+    from ratewell.llm import chosen_path as cp
+
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(2, text, "a", "b", 1, "c"), (1, text + " more", "d", "e", 2, "f"), (1, text + " more", "d", "e", 2, "f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _id string, _body string, _rows int, row string")
+    got = cp.keep_first(docs)
+    assert got.columns == docs.columns and [tuple(r) for r in got.collect()] == [rows[1]]

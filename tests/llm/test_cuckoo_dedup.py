@@ -104,3 +104,16 @@ def test_a_smaller_id_takes_over_a_stored_group(spark):
         second = cd.update_index(first, changes([("a", small), ("b", other), ("c", None), ("d", other)]), 2)
         got = {(bytes(r.digest), r.keep_id, r.group_size) for r in second.collect()}
         assert got == {(key("a"), small, 2), (key("b"), other, 2), (key("c"), small, 2), (key("d"), min(large, other), 2)}
+
+
+def test_keys_of_other_types_and_clashing_names(spark):
+    for kind in ("decimal(9,1)", "double", "date", "string", "int"):
+        ids = F.date_add(F.lit("2020-01-01").cast("date"), F.col("id").cast("int")) if kind == "date" else F.col("id").cast(kind)
+        docs = spark.range(2, 40).select(
+            ids.alias("doc_id"), F.lit("one  text").alias("text"), F.lit("a").alias("_id"), F.lit("b").alias("_digest"),
+            F.lit("c").alias("digest"), F.lit(1).alias("copies"), F.lit("d").alias("row"), F.lit(2).alias("id"),
+        )
+        least = docs.agg(F.min("doc_id")).first()[0]
+        assert {r["keep_id"] for r in cd.dedup(docs.select("doc_id", "text")).collect()} == {least}
+        kept = cd.keep_first(docs.unionByName(docs.limit(1)))
+        assert kept.columns == docs.columns and [r["doc_id"] for r in kept.collect()] == [least]

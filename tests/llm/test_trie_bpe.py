@@ -74,3 +74,23 @@ def test_digests_are_those_of_the_ids(spark, tokenizer, sf):
 def test_no_rows(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert trie_bpe.digests(docs, PATH).collect() == []
+
+
+def test_a_very_long_word_in_bounded_memory(tokenizer):
+    """A million letters without a blank, and one that shares half of them."""
+    import tracemalloc
+
+    random.seed(5)
+    one = "".join(random.choice("aeinrstlh") for _ in range(1_000_000))
+    encoder = trie_bpe.TrieEncoder(PATH)
+    tracemalloc.start()
+    got = {w: len(ids) for w, ids in encoder.encode_words([one, one[:500_000] + "x"])}
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200e6 and set(got) == {one, one[:500_000] + "x"}
+    short = one[:60_000]
+    assert dict(encoder.encode_words([short]))[short] == tuple(tokenizer.encode(short, add_special_tokens=False).ids)
+
+
+def test_shared_beginnings():
+    assert [trie_bpe.shared(a, b) for a, b in [("", "a"), ("ab", "ab"), ("abc", "abd"), ("x", "y")]] == [0, 2, 2, 0]
