@@ -29,11 +29,12 @@ class Settings:
     width: int = 8
     shortest: int = 3
     longest: int = 6
-    window: int = 16
+    window: int = 2  # words: one toxic word is enough
     warm: int = 20
     epochs: int = 50
     rate: float = 0.08
-    decay: float = 1e-6
+    decay: float = 1e-4
+    rare: int = 10  # n-grams of fewer texts are left out: they tell texts apart, not kinds of text
     positive: float = 3.0  # weight of a toxic text against another
     seed: int = 7
 
@@ -109,8 +110,14 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def train(sample: list[tuple[str, object]], settings: Settings | None = None) -> Toxicity:
-    """Fit on labelled texts; with one class or none, the score is the share of that class."""
+def train(
+    sample: list[tuple[str, object]], settings: Settings | None = None, shares: dict[int, float] | None = None
+) -> Toxicity:
+    """Fit on labelled texts; with one class or none, the score is the share of that class.
+
+    ``shares`` are those of the classes among all texts, where the sample has others: a text counts
+    as many times as its class is too rare in the sample.
+    """
     s = settings or Settings()
     rng = np.random.default_rng(s.seed)
     rows = rng.normal(0, 0.05, (s.buckets, s.width))
@@ -121,35 +128,44 @@ def train(sample: list[tuple[str, object]], settings: Settings | None = None) ->
         return Toxicity(s, np.zeros_like(rows), softmax, float(np.log(share / (1 - share))))
     seen = words.WordRows(lambda ws: np.array(ws, object), bound=None)
     parts = [without_runs(*seen.rows(cut)) for _, cut in words.split_batches([t for t, _ in sample], 1_000_000)]
+    del sample
     ids, sizes = (np.concatenate(x) for x in zip(*parts))
+    del parts
     seen.known.clear()
     blocks: list[tuple[slice, np.ndarray, np.ndarray]] = []  # n-grams are kept a block of words at a time
-    hit = np.zeros(s.buckets, bool)
     per_word = np.zeros(len(seen.table))
+    n_words = len(seen.table)
+    in_text = np.unique(np.repeat(np.arange(len(sizes)) * n_words, sizes) + ids)
+    texts_of = np.bincount(in_text % n_words, minlength=n_words)
+    del in_text
+    spread = np.zeros(s.buckets)  # texts of the words that an n-gram is in
     for k in range(0, len(seen.table), 20_000):
         gram, word = subwords(list(seen.table[k : k + 20_000]), s)
-        hit[gram] = True
         at = slice(k, k + len(seen.table[k : k + 20_000]))
+        spread += np.bincount(gram, texts_of[at][word], s.buckets)
         per_word[at] = np.bincount(word, minlength=at.stop - k)
         blocks.append((at, gram.astype(np.int32), word.astype(np.int32)))
-    used = np.flatnonzero(hit)
-    place = np.zeros(s.buckets, np.int32)
+    seen.table = None
+    used = np.flatnonzero(spread >= s.rare)
+    place = np.full(s.buckets, -1, np.int32)
     place[used] = np.arange(len(used))
-    blocks = [(at, place[gram], word) for at, gram, word in blocks]
-    begin, end, text = windows(sizes, s.window)
+    blocks = [(at, place[gram][there], word[there]) for at, gram, word in blocks for there in [place[gram] >= 0]]
+    begin, end, text = (x.astype(np.int32) for x in windows(sizes, s.window))  # some 2^31 words are enough
     first = np.flatnonzero(np.diff(text, prepend=-1))
     moments = [np.zeros((len(used), s.width)), np.zeros((len(used), s.width)), np.zeros(s.width), np.zeros(s.width)]
     bias, bias_m, bias_v, turn = 0.0, 0.0, 0.0, 0
     e = rows[used]
-    weight_of = 1 / np.bincount(text)[text]  # every text counts once while all windows count
+    weight_of = (1 / np.bincount(text)).astype(np.float32)[text]  # every text counts once while all windows count
     v = softmax[:, 1] - softmax[:, 0]
     heavy = np.where(y == 1, s.positive, 1.0)
+    for k, share in (shares or {}).items():
+        heavy[y == k] *= share / max(1e-9, (y == k).mean())
     for epoch in range(s.warm + s.epochs):
         u = e @ v
         of_word = np.concatenate([np.bincount(w, u[g], at.stop - at.start) for at, g, w in blocks]) / per_word
         score = s.window * window_means(of_word[ids], begin, end) + bias
         if epoch < s.warm:
-            pick = np.arange(len(text))
+            pick = slice(None)
             share = weight_of
         else:
             best = np.maximum.reduceat(score, first)
@@ -158,9 +174,7 @@ def train(sample: list[tuple[str, object]], settings: Settings | None = None) ->
             share = np.ones(len(pick))
         error = (sigmoid(score[pick]) - y[text[pick]]) * share * heavy[text[pick]] / len(y)
         per = s.window * error / np.maximum(1, end[pick] - begin[pick])
-        change = np.zeros(len(ids) + 1)
-        np.add.at(change, begin[pick], per)
-        np.add.at(change, end[pick], -per)
+        change = np.bincount(begin[pick], per, len(ids) + 1) - np.bincount(end[pick], per, len(ids) + 1)
         to_word = np.bincount(ids, np.cumsum(change)[:-1], len(per_word)) / per_word
         to_gram = np.zeros(len(used))
         for at, g, w in blocks:
@@ -176,7 +190,7 @@ def train(sample: list[tuple[str, object]], settings: Settings | None = None) ->
         bias_m += 0.1 * (g - bias_m)
         bias_v += 0.001 * (g * g - bias_v)
         bias -= s.rate * (bias_m / (1 - 0.9**turn)) / (np.sqrt(bias_v / (1 - 0.999**turn)) + 1e-8)
-    rows[:] = 0  # n-grams that were never seen say nothing
+    rows[:] = 0  # n-grams that were hardly seen say nothing
     rows[used] = e
     return Toxicity(s, rows, np.stack([-v / 2, v / 2], 1), float(bias))
 
@@ -214,8 +228,15 @@ def held_out(key):
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> Toxicity:
-    """Train on at most ``per_class`` labelled documents of each class that aren't held out."""
-    return train(words.labelled_sample(docs, labels, "toxic", per_class, held_out))
+    """Train on at most ``per_class`` labelled documents of each class that aren't held out.
+
+    The share of each class is counted over all labels that aren't held out, so that the threshold
+    means the same whatever the sample's shares.
+    """
+    usable = labels.where(~held_out(F.col("doc_id"))).select(F.col("toxic").cast("int").alias("y")).dropna()
+    counts = {r[0]: r[1] for r in usable.groupBy("y").count().collect()}  # two classes
+    shares = {k: n / sum(counts.values()) for k, n in counts.items()}
+    return train(words.labelled_sample(docs, labels, "toxic", per_class, held_out), shares=shares)
 
 
 def classify(docs: DataFrame, model: Toxicity, key: str = "doc_id", text: str = "text", threshold: float = 0.5) -> DataFrame:

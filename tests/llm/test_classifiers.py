@@ -143,3 +143,26 @@ def test_sample_ignores_held_out_nulls_and_order(spark):
     assert not any(held(int(t[1:]), 5, 0) for t, _ in got)
     again = words.labelled_sample(docs.orderBy("text"), labels.repartition(5), "toxic", 30, subword_toxicity.held_out)
     assert got == again
+
+
+def test_held_out_toxic_texts_are_caught(spark):
+    """Texts that training did not see: most toxic ones are found, and hardly any other is flagged."""
+    from ratewell.llm import subword_toxicity as st
+
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    found = st.classify(docs, st.fit(docs, labels)).where("held_out").join(labels.dropna(subset=["toxic"]), "doc_id")
+    n = {(r["toxic"], r["predicted"]): r["count"] for r in found.groupBy("toxic", "predicted").count().collect()}
+    assert n[1, 1] / (n[1, 1] + n.get((1, 0), 0)) >= 0.88
+    assert n.get((0, 1), 0) / (n[0, 0] + n.get((0, 1), 0)) <= 0.01
+
+
+def test_shares_of_classes_move_the_bias():
+    from ratewell.llm import subword_toxicity as st
+
+    sample = [(f"word{i % 7} plain text", 0) for i in range(40)] + [(f"word{i % 7} foul text", i % 4 > 0) for i in range(40)]
+    rare, common = (
+        st.scorer(m.weight, m.bias, m.settings)(["plain", "foul"])
+        for m in (st.train(sample, st.Settings(rare=1), {0: 1 - p, 1: p}) for p in (0.01, 0.6))
+    )
+    assert rare[1] < common[1]
