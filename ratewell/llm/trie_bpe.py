@@ -34,6 +34,8 @@ SEPARATORS = "\x1c\x1d\x1e\x1f"
 TRIE_WORDS = 20_000
 WORDS_KEPT = 500_000
 CHUNKS_KEPT = 300_000
+#: Letters of the texts whose chunks are held at a time.
+BATCH_CHARS = 1_000_000
 
 
 def worker_memo(name: str, make):
@@ -225,7 +227,7 @@ def encode_batches(path: str, render, texts: Iterable[list[str | None]]):
         at, out = 0, []
         while at < len(batch):
             end, size = at, 0
-            while end < len(batch) and (end == at or size < 4_000_000):
+            while end < len(batch) and (end == at or size < BATCH_CHARS):
                 size += len(batch[end] or "")
                 end += 1
             cut = [encoder.chunks(t) if t else [] for t in batch[at:end]]
@@ -368,7 +370,7 @@ def library_ids(path: str):
         out, at = [], 0
         while at < len(texts):
             end, size = at, 0
-            while end < len(texts) and (end == at or size < 4_000_000):
+            while end < len(texts) and (end == at or size < BATCH_CHARS):
                 size += len(texts[end] or "")
                 end += 1
             cuts = [cut.chunks(t) if t else [] for t in texts[at:end]]

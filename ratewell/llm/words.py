@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 #: Distinct words a task remembers, characters that are worked on together, letters of a word piece.
 WORDS_KEPT = 200_000
-BATCH_CHARS = 2_000_000
+BATCH_CHARS = 1_000_000
 WIDTH = 32
 
 
