@@ -31,7 +31,7 @@ def describe(df: DataFrame, column: str) -> DataFrame:
 def histogram(df: DataFrame, column: str, bins: int = 5) -> DataFrame:
     """Rows per equal-width bin between minimum and maximum; the last bin includes its right end.
 
-    A constant column gets bins around its value.
+    A constant column gets bins around its value. A value belongs to the bin whose shown edges hold it.
     """
     v = nan_to_null(df, column).cast("double")
     lo, hi = df.agg(F.min(v), F.max(v)).first()
@@ -44,13 +44,11 @@ def histogram(df: DataFrame, column: str, bins: int = 5) -> DataFrame:
         )
     if lo == hi:
         lo, hi = lo - 0.5, hi + 0.5
-    number = F.floor((v - F.lit(lo)) / F.lit(hi - lo) * bins).cast("int")
-    counted = (
-        df.where(v.isNotNull())
-        .groupBy(F.least(number, F.lit(bins - 1)).alias("bin"))
-        .count()
-    )
     edge = lambda i: F.lit(lo) + i * F.lit((hi - lo) / bins)
+    # the quotient may be a rounding away from the edges, so it is held against them
+    about = F.greatest(F.lit(0), F.least(F.floor((v - F.lit(lo)) / F.lit(hi - lo) * bins).cast("int"), F.lit(bins - 1)))
+    number = about - ((v < edge(about)) & (about > 0)).cast("int") + ((v >= edge(about + 1)) & (about < bins - 1)).cast("int")
+    counted = df.where(v.isNotNull()).groupBy(number.alias("bin")).count()
     return (
         frame.join(F.broadcast(counted), "bin", "left")
         .select(

@@ -203,3 +203,16 @@ def test_few_rows_are_kept(spark, monkeypatch):
     values = np.sort([r[0] for r in df.select("smooth").collect()])
     assert found["smooth"] == {q: pytest.approx(np.quantile(values, q)) for q in (0.25, 0.5, 0.75)}
     assert found["tied"] == {0.5: 5.0} and len(kept) == 1 and 0 < kept[0] < 1_000
+
+
+def test_histogram_bins_hold_what_their_edges_show(spark):
+    """0.1 to 0.7 in steps of 0.1: sums of steps and quotients round to different sides."""
+    values = [i / 10 for i in range(1, 8)] * 3 + [0.1 + 0.2, 0.7 - 0.1, 0.4 + 2**-54]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for bins in (3, 6, 7, 60):
+        rows = histogram(df, "v", bins).collect()
+        for r in rows:
+            last = r["bin"] == bins - 1
+            inside = [v for v in values if r["lower"] <= v and (v < r["upper"] or last)]
+            assert r["count"] == len(inside)
+        assert sum(r["count"] for r in rows) == len(values)
