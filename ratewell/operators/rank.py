@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -136,91 +135,47 @@ def hash_cuts(
     return found
 
 
-def _rank_in_buckets(
-    df: DataFrame, order: Sequence[Column], by: Sequence[str], name: str
-) -> DataFrame:
-    """Rank from 1 by ``order``, given a column ``_bucket`` that rises with it.
+def rank_in_order(df: DataFrame, order: Sequence[Column], by: Sequence[str] = (), name: str = "rank") -> DataFrame:
+    """Exact rank of every row by ``order``, from 1, within ``by``. The order has to be a total one.
 
-    Rows are ranked inside their bucket and shifted by the size of the buckets before. The rows are
-    shuffled once; the table of bucket sizes has a bounded number of rows per group.
+    The rows are shuffled once, into ranges cut at sampled values whose number follows the data, and
+    sorted there. They are written, since ranges sampled anew could lie elsewhere. A row's number
+    inside its range is then shifted by the rows of its group in the ranges before: that table has a
+    row per range and group.
     """
-    keys = [*by, "_bucket"]
-    before = (
-        Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    offsets = (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .select(*keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    )
-    inside = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return (
-        df.join(offsets, keys, "left")  # every bucket is there; an inner join would filter first
-        .withColumn(name, F.col("_before") + inside)
-        .drop("_bucket", "_before")
+    groups = [quoted(c) for c in by]
+    row = F.monotonically_increasing_id()  # the range and the row's place in it
+    placed = materialize(df.orderBy(*groups, *order).withColumn("_at", row), "rows-in-order")
+    placed = placed.withColumn("_range", F.shiftright("_at", 33))
+    earlier = Window.partitionBy(*groups).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    runs = placed.groupBy(*groups, "_range").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(earlier), F.lit(0))
+    shifts = runs.select(
+        *[quoted(c).alias(f"_by{i}") for i, c in enumerate(by)],
+        F.col("_range").alias("_of"),
+        (before - F.col("_first") + 1).alias("_shift"),
     )
+    if not by:
+        shifts = F.broadcast(shifts)  # a row per task of the sort
+    same = F.col("_range") == F.col("_of")
+    for i, c in enumerate(by):
+        same = same & quoted(c).eqNullSafe(F.col(f"_by{i}"))
+    ranked = placed.join(shifts, same, "left")  # each is there; an inner join would filter first
+    extra = ["_at", "_range", "_of", "_shift", *[f"_by{i}" for i in range(len(by))]]
+    return ranked.withColumn(name, F.col("_at") + F.col("_shift")).drop(*extra)
 
 
 def rank_by_hash(
-    df: DataFrame, seed: object, key: Sequence[str], by: Sequence[str] = (), name: str = "rank",
-    digits: int = 4,
+    df: DataFrame, seed: object, key: Sequence[str], by: Sequence[str] = (), name: str = "rank"
 ) -> DataFrame:
-    """Exact rank of every row in the hash order, from 1, within ``by``.
-
-    The first hex digits of the hash are the bucket, so buckets are of about equal size: four
-    digits make 65,536 of them.
-    """
+    """Exact rank of every row in the hash order, from 1, within ``by``."""
     hashed = df.withColumn("_hash", hash_order(seed, *key))
-    bucketed = hashed.withColumn("_bucket", F.substring("_hash", 1, digits))
     order = [F.col("_hash"), *[quoted(k).asc() for k in key]]
-    return _rank_in_buckets(bucketed, order, by, name).drop("_hash")
-
-
-def range_edges(df: DataFrame, column: str, ranges: int) -> list[float]:
-    """Minimum, values that cut a numeric column into about equal parts, and maximum."""
-    shares = [i / ranges for i in range(ranges + 1)]
-    value = quoted(column).cast("double")
-    found = df.agg(F.percentile_approx(value, shares, 100 * ranges)).first()[0]
-    edges = sorted(set(found or [0.0]))
-    return edges if len(edges) > 1 else [edges[0], edges[0] + 1.0]
-
-
-def _between(df: DataFrame, column: str, edges: Sequence[float], name: str) -> DataFrame:
-    """Add ``name``: between which edges a value lies; values beyond the ends go to the end ones."""
-    if not edges:
-        return df.withColumn(name, F.lit(0))
-    cuts = [-float("inf"), *edges, float("inf")]
-    valued = df.withColumn("_value", quoted(column).cast("double"))
-    found = Bucketizer(splits=cuts, inputCol="_value", outputCol="_at").transform(valued)
-    return found.withColumn(name, F.col("_at").cast("int")).drop("_value", "_at")
+    return rank_in_order(hashed, order, by, name).drop("_hash")
 
 
-def _range_bucket(df: DataFrame, column: str, edges: Sequence[float], steps: int) -> DataFrame:
-    """Add ``_bucket``, which rises with the column and holds about as many rows everywhere.
-
-    The approximate quantiles in ``edges`` are cut again at the quantiles of the rows between them,
-    so a bucket's size does not depend on how the values are spread. At most one number per bucket
-    comes to the driver.
-    """
-    inner = edges[1:-1]
-    shares = [i / steps for i in range(1, steps)]
-    ranged = _between(df.select(quoted(column)), column, inner, "_range")
-    finer = ranged.groupBy("_range").agg(
-        F.percentile_approx(quoted(column).cast("double"), shares, 50 * steps).alias("cuts")
-    )
-    cuts = {c for r in finer.collect() for c in r["cuts"] or ()}
-    return _between(df, column, sorted({*inner, *cuts}), "_bucket")
-
-
-def rank_by_value(
-    df: DataFrame, column: str, by: Sequence[str] = (), name: str = "rank",
-    ranges: int = 256, steps: int = 64,
-) -> DataFrame:
-    """Exact rank of every row by a numeric column that identifies rows, from 1, within ``by``.
-
-    Buckets lie between approximate quantiles of the column, 16,384 at most.
-    """
+def rank_by_value(df: DataFrame, column: str, by: Sequence[str] = (), name: str = "rank") -> DataFrame:
+    """Exact rank of every row by a numeric column that identifies rows, from 1, within ``by``."""
     if not isinstance(df.schema[column].dataType, T.NumericType):
         raise ValueError(f"{column!r} is not numeric: rank it with rank_by_hash")
-    bucketed = _range_bucket(df, column, range_edges(df, column, ranges), steps)
-    return _rank_in_buckets(bucketed, [quoted(column).asc()], by, name)
+    return rank_in_order(df, [quoted(column).asc()], by, name)

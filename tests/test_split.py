@@ -116,12 +116,33 @@ def test_a_class_with_one_row_is_refused(spark):
 
 def test_ranks_in_buckets_equal_plain_ranks(spark):
     df = spark.range(5_000).select((F.col("id") * 7 % 5_003).alias("k"))
-    by_hash = rank_by_hash(df, "42:1", ["k"], digits=2)
+    by_hash = rank_by_hash(df, "42:1", ["k"])
     assert [r["k"] for r in by_hash.orderBy("rank").collect()] == plain_rank(df, "42:1", "k")
-    by_value = rank_by_value(df, "k", ranges=5, steps=7).orderBy("k").collect()
+    by_value = rank_by_value(df, "k").orderBy("k").collect()
     assert [r["rank"] for r in by_value] == list(range(1, 5_001))
-    fine = rank_by_value(df, "k").orderBy("k").collect()
-    assert [r["rank"] for r in fine] == list(range(1, 5_001))
+
+
+def test_ranks_within_groups_that_span_ranges(spark):
+    """Groups with null among them, one with most of the rows, over many small ranges."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.range(9_000).selectExpr(
+            "id * 7 % 9001 AS k", "CASE WHEN id % 10 = 3 THEN 'b' WHEN id % 10 = 4 THEN NULL ELSE 'a' END AS g"
+        )
+        got = rank_by_value(df, "k", ["g"]).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for g in ("a", "b", None):
+        ks = sorted((r["k"], r["rank"]) for r in got if r["g"] == g)
+        assert [r for _, r in ks] == list(range(1, len(ks) + 1))
+    assert len(got) == 9_000
+
+
+def test_an_order_is_shuffled_once(spark):
+    """The written rows are read back and joined to one row per range, without another exchange."""
+    plan = rank_by_value(spark.range(5_000), "id")._jdf.queryExecution().executedPlan().toString()
+    rows_side = plan.split("BroadcastExchange")[0]
+    assert "BroadcastHashJoin" in rows_side and "Exchange hashpartitioning" not in rows_side
 
 
 @pytest.mark.parametrize("values", [[], [7], [7, 7 + 2**60], list(range(-50, 0)) + [10**15]])
@@ -172,13 +193,20 @@ def test_more_than_a_hundred_strata(spark):
     assert all(count[c, "test"] == 3 and count[c, "val"] == 2 for c in range(130))
 
 
-def test_an_outlier_does_not_fill_one_bucket(spark):
-    df = spark.range(40_000).selectExpr("id AS key").union(spark.createDataFrame([(10**15,)], "key long"))
-    edges = rank.range_edges(df, "key", 256)
-    largest = rank._range_bucket(df, "key", edges, 64).groupBy("_bucket").count().agg({"count": "max"}).first()[0]
-    assert largest < 40
-    ranked = rank.rank_by_value(df, "key", name="r")
-    assert ranked.where("r <> least(key, 40000) + 1").count() == 0
+def test_an_outlier_does_not_fill_one_range(spark, monkeypatch):
+    """Ranges are cut by rows, not by values: one far value leaves the others spread."""
+    placed = []
+    real = rank.materialize
+    monkeypatch.setattr(rank, "materialize", lambda d, *a: placed.append(real(d, *a)) or placed[-1])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.range(40_000).selectExpr("id AS key").union(spark.createDataFrame([(10**15,)], "key long"))
+        ranked = rank.rank_by_value(df, "key", name="r")
+        assert ranked.where("r <> least(key, 40000) + 1").count() == 0
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    sizes = [r["count"] for r in placed[0].groupBy(F.shiftright("_at", 33)).count().collect()]
+    assert len(sizes) >= 4 and max(sizes) < 2 * 40_001 / len(sizes)
 
 
 def test_keys_that_look_alike_have_different_hashes(spark):
