@@ -17,6 +17,7 @@ from ratewell.operators.rank import (
     hash_order,
     rank_by_hash,
     rank_by_value,
+    rank_in_order,
 )
 from ratewell.session import materialize
 
@@ -36,20 +37,39 @@ def shares_of(counts: Mapping[object, int], total: int) -> dict[object, int]:
     return quotas
 
 
+def shares_table(sizes: DataFrame, rows: str, total: int, name: str) -> DataFrame:
+    """:func:`shares_of` for a table with one row per stratum ``s``: adds the shares as ``name``."""
+    everything = sizes.agg(F.coalesce(F.sum(rows), F.lit(0))).first()[0]
+    if not everything:
+        return sizes.withColumn(name, F.lit(0).cast("bigint"))
+    product = f"CAST(`{rows}` AS DECIMAL(18, 0)) * CAST({total} AS DECIMAL(18, 0))"
+    parts = sizes.withColumn("_whole", F.expr(f"({product}) div {everything}"))
+    parts = parts.withColumn("_rest", F.expr(f"({product}) % {everything}"))
+    missing = total - parts.agg(F.sum("_whole")).first()[0]
+    ranked = rank_in_order(parts, [F.col("_rest").desc(), F.col("s").asc_nulls_first()], name="_place")
+    more = (F.col("_place") <= missing).cast("bigint")
+    return ranked.withColumn(name, F.col("_whole") + more).drop("_whole", "_rest", "_place")
+
+
 def _cut(
-    df: DataFrame, key: Sequence[str], seed: int, strata: Column, plan
+    df: DataFrame, key: Sequence[str], seed: int, strata: Column | None, plan, table_plan=None
 ) -> DataFrame:
     """Add ``split``; ``plan`` turns rows per stratum into ``{stratum: [(name, rows), …]}``.
 
-    The rows of a stratum that no entry claims are train. The result is a projection of ``df``.
+    The rows of a stratum that no entry claims are train. The result is a projection of ``df``, or
+    with many strata a join by stratum; ``table_plan`` does there what ``plan`` does, on tables.
     """
     order = hash_order(seed, *key)
     prefix = F.substring(order, 1, rank.CUT_DIGITS)
-    counts = df.groupBy(strata.alias("s"), prefix.alias("p")).agg(F.count(F.lit(1)).alias("n"))
-    most = _FEW_STRATA * 16**rank.CUT_DIGITS
-    found = counts.take(most + 1)
-    if len(found) > most or len({r["s"] for r in found}) > _FEW_STRATA:
-        return _cut_by_table(df, order, strata, materialize(counts, "counts-by-stratum"), plan)
+    if strata is None:
+        strata, counts = F.lit(0), df.groupBy(F.lit(0).alias("s"), prefix.alias("p"))
+        counts = counts.agg(F.count(F.lit(1)).alias("n"))
+    else:
+        counts = df.groupBy(strata.alias("s"), prefix.alias("p")).agg(F.count(F.lit(1)).alias("n"))
+        counts = materialize(counts, "counts-by-stratum")
+        if counts.select("s").distinct().limit(_FEW_STRATA + 1).count() > _FEW_STRATA:
+            return _cut_by_table(df, order, strata, counts, table_plan)
+    found = counts.collect()  # a row per hash prefix of few strata
     sizes: dict[object, int] = {}
     for r in found:
         sizes[r["s"]] = sizes.get(r["s"], 0) + r["n"]
@@ -69,40 +89,55 @@ def _cut(
     return df.withColumn("_order", order).withColumn("split", split).drop("_order")
 
 
-def _cut_by_table(df: DataFrame, order: Column, strata: Column, counts: DataFrame, plan) -> DataFrame:
-    """:func:`_cut` for many strata: the same split, with cuts kept as a table.
+def _narrowed(cuts: DataFrame, counts: DataFrame) -> DataFrame:
+    """Each cut moved into the bucket, one level finer, that holds it.
 
-    Running sums of the counts give the bucket of each cut, the rows of those buckets alone are
-    ranked, and the cut hashes are joined to the rows by stratum. The driver sees one number per
-    stratum.
+    ``cuts`` has the bucket ``p`` of a cut and how many of its rows are ``left`` to take, ``counts``
+    the rows ``n`` of finer buckets ``b`` inside ``p``.
     """
-    spark = df.sparkSession
-    kind = counts.schema["s"].dataType.simpleString()
-    sizes = {r["s"]: r["n"] for r in counts.groupBy("s").agg(F.sum("n").alias("n")).collect()}
-    cuts = []
-    for s, parts in plan(sizes).items():
-        total = 0
-        for i, (name, rows) in enumerate(parts):
-            total += rows
-            if rows:
-                cuts.append((s, i, name, total))
-    cuts = spark.createDataFrame(cuts, f"s {kind}, i int, name string, q bigint")
-    upto = F.sum("n").over(Window.partitionBy("s").orderBy("p"))
-    ranged = counts.withColumn("upto", upto).select("s", "p", "upto", (F.col("upto") - F.col("n")).alias("before"))
-    ranged = ranged.withColumnRenamed("s", "_s")
-    inside = F.col("s").eqNullSafe(F.col("_s")) & (F.col("q") > F.col("before")) & (F.col("q") <= F.col("upto"))
-    places = cuts.join(ranged, inside).select("s", "i", "name", "p", (F.col("q") - F.col("before")).alias("left"))
-    rows = df.select(strata.alias("_s"), order.alias("h"), F.substring(order, 1, rank.CUT_DIGITS).alias("_p"))
+    upto = F.sum("n").over(Window.partitionBy("s", "p").orderBy("b"))
+    ranged = counts.withColumn("upto", upto).select(
+        F.col("s").alias("_s"), F.col("p").alias("_p"), "b", F.col("n").alias("size"),
+        (F.col("upto") - F.col("n")).alias("before"),
+    )
+    held = (F.col("left") > F.col("before")) & (F.col("left") <= F.col("before") + F.col("size"))
     same = F.col("s").eqNullSafe(F.col("_s")) & (F.col("p") == F.col("_p"))
+    found = cuts.join(ranged, same & held)
+    left = F.col("left") - F.col("before")
+    return found.select("s", "i", "name", F.col("b").alias("p"), left.alias("left"), F.col("size").alias("n"))
+
+
+def _cut_by_table(df: DataFrame, order: Column, strata: Column, counts: DataFrame, table_plan) -> DataFrame:
+    """:func:`_cut` for many strata: the same split, with cuts kept as a table.
+
+    A cut is a stratum, the hash prefix of the bucket that holds it, and the rows of that bucket left
+    to take. Counts one level finer, of the rows in such buckets alone, narrow every cut until all
+    buckets are small; only then rows are ranked, so no task sees more than a small bucket of one
+    stratum, however large. The cut hashes are joined to the rows by stratum. Nothing per stratum
+    comes to the driver.
+    """
+    sizes = counts.groupBy("s").agg(F.sum("n").alias("n"))
+    whole = table_plan(sizes).where("left > 0").withColumn("p", F.lit(""))
+    first = counts.select("s", F.lit("").alias("p"), F.col("p").alias("b"), "n")
+    cuts = materialize(_narrowed(whole, first), "cuts")
+    rows = df.select(strata.alias("_s"), order.alias("h"))
+    digits = rank.CUT_DIGITS
+    while (cuts.agg(F.max("n")).first()[0] or 0) > rank._CUT_ROWS:
+        if digits == 32:
+            raise ValueError("the key does not identify rows: use add_row_key first")
+        held = F.col("_s").eqNullSafe(F.col("s")) & (F.substring("h", 1, digits) == F.col("p"))
+        rows = materialize(rows.join(cuts, held, "left_semi"), "hashes-at-cuts")
+        finer = min(digits + rank.CUT_DIGITS, 32)
+        counts = rows.groupBy(
+            F.col("_s").alias("s"), F.substring("h", 1, digits).alias("p"), F.substring("h", 1, finer).alias("b")
+        ).agg(F.count(F.lit(1)).alias("n"))
+        cuts, digits = materialize(_narrowed(cuts, counts), "cuts"), finer
+    held = F.col("_s").eqNullSafe(F.col("s")) & (F.substring("h", 1, digits) == F.col("p"))
     at = F.row_number().over(Window.partitionBy("s", "i").orderBy("h"))
-    near = rows.join(places, same).withColumn("at", at)
-    ends = near.where(F.col("at") == F.col("left"))
-    tied = near.where(F.col("at") == F.col("left") + 1).select(
-        F.col("s").alias("_s"), F.col("i").alias("_i"), F.col("h").alias("next")
-    )
-    ends = materialize(ends.select("s", "i", "name", "h"), "cuts")
-    clash = F.col("s").eqNullSafe(F.col("_s")) & (F.col("i") == F.col("_i")) & (F.col("h") == F.col("next"))
-    if not ends.join(tied, clash).isEmpty():
+    near = rows.join(cuts, held).withColumn("at", at)
+    near = near.withColumn("next", F.lead("h").over(Window.partitionBy("s", "i").orderBy("h")))
+    ends = materialize(near.where(F.col("at") == F.col("left")).select("s", "i", "name", "h", "next"), "cut-hashes")
+    if not ends.where("h = next").isEmpty():
         raise ValueError("the key does not identify rows: use add_row_key first")
     lists = ends.groupBy("s").agg(F.array_sort(F.collect_list(F.struct("i", "h", "name"))).alias("_cuts"))
     lists = lists.withColumnRenamed("s", "_stratum")
@@ -129,7 +164,7 @@ def train_test_split(
     def plan(sizes):
         return {s: [("test", math.ceil(test_size * n))] for s, n in sizes.items()}
 
-    return _cut(keyed, names, seed, F.lit(0), plan).drop(*extra)
+    return _cut(keyed, names, seed, None, plan).drop(*extra)
 
 
 def split_quotas(
@@ -143,6 +178,27 @@ def split_quotas(
     return {s: [("test", test[s]), ("val", val[s])] for s in sizes}
 
 
+def quota_table(sizes: DataFrame, test_size: float, val_size: float) -> DataFrame:
+    """:func:`split_quotas` for a table of strata ``s`` with ``n`` rows each.
+
+    One row per cut: its number ``i`` and ``name``, and in ``left`` the rows up to it.
+    """
+    rows = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    test = math.ceil(test_size * rows)
+    val = math.ceil(val_size / (1.0 - test_size) * (rows - test))
+    shared = shares_table(sizes, "n", test, "test").withColumn("rest", F.col("n") - F.col("test"))
+    shared = shares_table(shared, "rest", val, "val")
+
+    def cut(i, name, left, rows):
+        return F.struct(F.lit(i).alias("i"), F.lit(name).alias("name"), left.alias("left"), rows.alias("rows"))
+
+    both = F.array(
+        cut(0, "test", F.col("test"), F.col("test")),
+        cut(1, "val", F.col("test") + F.col("val"), F.col("val")),
+    )
+    return shared.select("s", F.explode(both).alias("c")).select("s", "c.*").where("rows > 0").drop("rows")
+
+
 def stratified_split(
     df: DataFrame,
     label: str,
@@ -163,7 +219,13 @@ def stratified_split(
             raise ValueError(f"classes with a single row cannot be stratified: {rare}")
         return split_quotas(sizes, test_size, val_size)
 
-    return _cut(keyed, names, seed, quoted(label), plan).drop(*extra)
+    def table_plan(sizes):
+        rare = [r["s"] for r in sizes.where("n < 2").take(10)]
+        if rare:
+            raise ValueError(f"classes with a single row cannot be stratified: {rare}")
+        return quota_table(sizes, test_size, val_size)
+
+    return _cut(keyed, names, seed, quoted(label), plan, table_plan).drop(*extra)
 
 
 def assign_batches(

@@ -193,6 +193,50 @@ def test_more_than_a_hundred_strata(spark):
     assert all(count[c, "test"] == 3 and count[c, "val"] == 2 for c in range(130))
 
 
+def test_cuts_of_many_strata_narrow_level_by_level(spark, monkeypatch):
+    """One of 101 strata holds 90 % of the rows: sixteen buckets a level, groups of at most ten ranked."""
+    monkeypatch.setattr(rank, "CUT_DIGITS", 1)
+    monkeypatch.setattr(rank, "_CUT_ROWS", 10)
+    written, real = [], split.materialize
+    monkeypatch.setattr(split, "materialize", lambda d, name: written.append((name, real(d, name))) or written[-1][1])
+    df = spark.range(20_000).selectExpr(
+        "id AS key", "CASE WHEN id < 18000 THEN 'hot' WHEN id % 100 = 7 THEN NULL ELSE CAST(id % 100 AS STRING) END AS label"
+    )
+    found = {r["key"]: (r["label"], r["split"]) for r in split.stratified_split(df, "label", "key", seed=3).collect()}
+    levels = [t.agg(F.max("n")).first()[0] for name, t in written if name == "cuts"]
+    rows_kept = [t.count() for name, t in written if name == "hashes-at-cuts"]
+    assert len(levels) >= 3 and levels[-1] <= 10 and levels == sorted(levels, reverse=True)
+    assert rows_kept and rows_kept[0] < 5_000 and rows_kept == sorted(rows_kept, reverse=True)
+    sizes = {}
+    for label, _ in found.values():
+        sizes[label] = sizes.get(label, 0) + 1
+    quotas = split.split_quotas(sizes, 0.15, 0.10)
+    assert len(sizes) == 101 and len(found) == 20_000
+    for label, ((_, test), (_, val)) in quotas.items():
+        order = plain_rank(df.where(F.col("label").eqNullSafe(F.lit(label))), 3, "key")
+        assert {k for k in order if found[k][1] == "test"} == set(order[:test])
+        assert {k for k in order if found[k][1] == "val"} == set(order[test : test + val])
+        if label == "20":
+            break
+
+
+def test_shares_in_a_table(spark):
+    sizes = {None: 7, "a": 3, "b": 3, "c": 1_000_003, "d": 2}
+    df = spark.createDataFrame(list(sizes.items()), "s string, n long")
+    for total in (0, 1, 2, 5, 333_333, 1_000_018):
+        got = {r["s"]: r["t"] for r in split.shares_table(df, "n", total, "t").collect()}
+        assert got == shares_of(sizes, total)
+
+
+def test_a_key_that_repeats_is_refused_with_many_strata(spark, monkeypatch):
+    df = spark.range(4_000).selectExpr("id % 2 AS key", "id % 130 AS label")
+    with pytest.raises(ValueError, match="identify"):
+        split.stratified_split(df, "label", "key").count()
+    monkeypatch.setattr(rank, "_CUT_ROWS", 3)
+    with pytest.raises(ValueError, match="identify"):
+        split.stratified_split(df, "label", "key").count()
+
+
 def test_an_outlier_does_not_fill_one_range(spark, monkeypatch):
     """Ranges are cut by rows, not by values: one far value leaves the others spread."""
     placed = []
