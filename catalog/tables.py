@@ -160,20 +160,23 @@ def _epoch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "s8_append_epoch_log",
     f"""WITH {EPOCHS_SQL}
-    SELECT epoch,
-      max(CASE WHEN run = 'click' AND NOT isnan(combined_auc) THEN combined_auc END) AS train_loss,
-      max(CASE WHEN run = 'click' THEN high END) AS val_loss,
-      max(CASE WHEN run = 'view' THEN high END) AS val_combined_auc,
+    SELECT logged.run, epoch,
+      max(CASE WHEN epochs.run = 'click' AND NOT isnan(combined_auc) THEN combined_auc END) AS train_loss,
+      max(CASE WHEN epochs.run = 'click' THEN high END) AS val_loss,
+      max(CASE WHEN epochs.run = 'view' THEN high END) AS val_combined_auc,
       round(1.0 / epoch, 6) AS lr
-    FROM epochs GROUP BY epoch""",
+    FROM epochs, (VALUES ('first'), ('second')) AS logged(run)
+    WHERE logged.run = 'first' OR epoch > 5 GROUP BY logged.run, epoch""",
 )
 def s8_append_epoch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "epoch-log")
     log = _epoch_log(spark, sf_dir)
-    for part in (F.col("epoch") <= 15, F.col("epoch") > 15):
-        writers.append_log(log.where(part), path)
+    first, second = (log.withColumn("run", F.lit(run)) for run in ("first", "second"))
+    writers.append_log(first.where("epoch <= 15").withColumn("lr", F.lit(0.0)), path)
+    writers.append_log(second.where("epoch > 5"), path)
+    writers.append_log(first, path)  # epochs that are logged again take the place of the earlier rows
     read = readers.read_epoch_log(spark, path).select(
-        "epoch", F.col("train.loss").alias("train_loss"), F.col("val.loss").alias("val_loss"),
+        "run", "epoch", F.col("train.loss").alias("train_loss"), F.col("val.loss").alias("val_loss"),
         F.col("val.combined_auc").alias("val_combined_auc"), rounded("lr").alias("lr"),
     )
     return no_nan(read, "train_loss")

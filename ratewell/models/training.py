@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import math
+import uuid
 from collections.abc import Iterator, Sequence
 from dataclasses import asdict, dataclass, field
 
@@ -128,11 +129,13 @@ class TrainState:
     best: MultiTaskModel
     best_epoch: int
     best_score: float
+    run: str | None = None
 
     def save(self, spark: SparkSession, path: str) -> None:
         """Write the model as a version of ``last``, the moments of the optimizer beside it."""
         moments = {"moment.first": self.optimizer.first, "moment.second": self.optimizer.second}
         numbers = {"steps": self.optimizer.steps, "best_epoch": self.best_epoch, "best_score": self.best_score}
+        numbers["run"] = self.run
         self.model.save(spark, path, "last", self.epoch, moments, numbers)
 
     @staticmethod
@@ -154,7 +157,7 @@ class TrainState:
         best = model
         if numbers["best_epoch"] != epoch:
             best = _newest(spark, path, ["best"], lambda t, c, row: MultiTaskModel.from_table(t, c))
-        return TrainState(model, optimizer, epoch, best, numbers["best_epoch"], numbers["best_score"])
+        return TrainState(model, optimizer, epoch, best, numbers["best_epoch"], numbers["best_score"], numbers.get("run"))
 
 
 def _flat(values: dict[str, np.ndarray], names: Sequence[str]) -> np.ndarray:
@@ -424,6 +427,7 @@ class FitResult:
     best_epoch: int
     best_score: float
     test: dict[str, float | None] | None = None
+    run: str | None = None
 
 
 @dataclass
@@ -494,12 +498,14 @@ class MultiTaskTrainer:
         out: str | None = None,
         init: MultiTaskModel | TrainState | None = None,
         until: int | None = None,
+        run: str | None = None,
     ) -> FitResult:
         """Train with early stopping on the validation score.
 
         ``init`` starts from a model, or goes on from a state as if there had been no break: from the
         epoch after, with its optimizer and its best so far. ``until`` ends after that epoch. With
-        ``out`` the run leaves its settings, log, models, state and report there.
+        ``out`` the run leaves its settings, log, models, state and report there. Its rows of the log
+        carry the id ``run``, which a run that goes on takes from its state and a new one draws.
         """
         c, spark = self.config, train.sparkSession
         train = with_buckets(train, c.buckets)
@@ -521,6 +527,7 @@ class MultiTaskTrainer:
         size = sum(model.params[n].size for n in model.config.trained())
         optimizer = state.optimizer if state else AdamW(size, c.weight_decay, c.grad_clip)
         scratch = scratch_path(spark, "training-steps")
+        run = run or (state.run if state else None) or uuid.uuid4().hex
         log: list[dict] = []
         best, best_epoch, best_score = model, 0, -float("inf")
         if state:
@@ -536,14 +543,14 @@ class MultiTaskTrainer:
             if improved:
                 best, best_epoch, best_score = model, epoch, score
             if out:
-                append_epoch_log(spark, f"{out}/metrics", epoch, on_train, on_val, self.rate(epoch))
+                append_epoch_log(spark, f"{out}/metrics", run, epoch, on_train, on_val, self.rate(epoch))
                 if improved:
                     model.save(spark, f"{out}/model", "best", epoch)
-                TrainState(model, optimizer, epoch, best, best_epoch, best_score).save(spark, f"{out}/model")
+                TrainState(model, optimizer, epoch, best, best_epoch, best_score, run).save(spark, f"{out}/model")
             if not improved and epoch - best_epoch >= c.patience:
                 break
         remove(spark, scratch)
-        result = FitResult(best, model, log, best_epoch, best_score)
+        result = FitResult(best, model, log, best_epoch, best_score, run=run)
         if test is not None:
             result.test = metrics_of(evaluate(best, test, weights).first())
             if out:

@@ -75,6 +75,7 @@ METRICS = T.StructType([T.StructField(m, T.DoubleType()) for m in METRIC_NAMES])
 
 EPOCH_LOG = T.StructType(
     [
+        T.StructField("run", T.StringType()),
         T.StructField("epoch", T.IntegerType()),
         T.StructField("train", METRICS),
         T.StructField("val", METRICS),

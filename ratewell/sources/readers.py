@@ -139,7 +139,8 @@ def read_split(
 
 
 def read_epoch_log(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(EPOCH_LOG).json(path)
+    """The epochs of all runs that were logged in ``path``."""
+    return spark.read.schema(EPOCH_LOG).json(path).select(*EPOCH_LOG.names)
 
 
 def read_test_report(spark: SparkSession, path: str) -> DataFrame:

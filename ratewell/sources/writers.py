@@ -52,15 +52,25 @@ def _metrics(values: Mapping[str, float]) -> tuple:
 
 
 def append_log(rows: DataFrame, path: str) -> None:
-    """Append rows as JSON lines, one per epoch."""
-    rows.write.mode("append").option("ignoreNullFields", "false").json(path)
+    """Add rows to a log as JSON lines, in a folder per ``run`` and ``epoch``.
+
+    An epoch that is written again, by a job that was repeated or a run that went on from an earlier
+    state, takes the place of what the run had logged for it. Other epochs and runs stay.
+    """
+    (
+        rows.write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .option("ignoreNullFields", "false")
+        .partitionBy("run", "epoch")
+        .json(path)
+    )
 
 
 def append_epoch_log(
-    spark: SparkSession, path: str, epoch: int, train: Mapping, val: Mapping, lr: float
+    spark: SparkSession, path: str, run: str, epoch: int, train: Mapping, val: Mapping, lr: float
 ) -> None:
-    """Append one JSON line for an epoch."""
-    row = (epoch, _metrics(train), _metrics(val), float(lr))
+    """Add one JSON line for an epoch of a run."""
+    row = (run, epoch, _metrics(train), _metrics(val), float(lr))
     append_log(spark.createDataFrame([row], EPOCH_LOG).coalesce(1), path)
 
 

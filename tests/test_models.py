@@ -192,6 +192,7 @@ def test_training_learns_and_resumes(spark, tmp_path, kind):
     assert result.test["combined_auc"] > 0.8
     log = read_epoch_log(spark, f"{out}/metrics").orderBy("epoch").collect()
     assert [r["epoch"] for r in log] == [1, 2, 3]
+    assert {r["run"] for r in log} == {result.run}
     assert log[-1]["lr"] == pytest.approx(0.0, abs=1e-12)
     assert log[0]["val"]["combined_auc"] == pytest.approx(result.log[0]["val"]["combined_auc"])
     report = read_test_report(spark, f"{out}/report").first()

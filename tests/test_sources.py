@@ -9,6 +9,7 @@ from ratewell.operators.columns import column_kinds
 from ratewell.operators.features import FeatureEncoder
 from ratewell.plans.prepare import PrepareConfig, prepare
 from ratewell.schemas import CENSUS_COLUMNS
+from ratewell.operators.runs import early_stop
 from ratewell.sources.readers import (
     first_available,
     join_target,
@@ -154,14 +155,27 @@ def test_metadata_files(spark, tmp_path):
 
 def test_log_keeps_undefined_scores(spark, tmp_path):
     path = str(tmp_path / "log")
-    append_epoch_log(spark, path, 1, {"loss": 1.0}, {"combined_auc": float("nan")}, 0.1)
-    append_epoch_log(spark, path, 2, {"loss": 0.5}, {"combined_auc": 0.75}, 0.0)
+    append_epoch_log(spark, path, "a", 1, {"loss": 1.0}, {"combined_auc": float("nan")}, 0.1)
+    append_epoch_log(spark, path, "a", 2, {"loss": 0.5}, {"combined_auc": 0.75}, 0.0)
     rows = read_epoch_log(spark, path).orderBy("epoch").collect()
     assert [r["train"]["loss"] for r in rows] == [1.0, 0.5]
     assert rows[0]["val"]["combined_auc"] != rows[0]["val"]["combined_auc"]
     assert rows[0]["train"]["inc_acc"] is None and rows[1]["val"]["combined_auc"] == 0.75
 
 
+def test_log_tells_runs_apart_and_replaces_repeated_epochs(spark, tmp_path):
+    """Two runs into one folder, the first of which repeats its second epoch; ids may look like numbers."""
+    path = str(tmp_path / "log")
+    for run, epoch, score in [("007", 1, 0.9), ("007", 2, 0.1), ("b c/d", 1, 0.2), ("007", 2, 0.8), ("b c/d", 2, 0.7)]:
+        append_epoch_log(spark, path, run, epoch, {"loss": score}, {"combined_auc": score}, 0.1)
+    log = read_epoch_log(spark, path)
+    got = sorted((r["run"], r["epoch"], r["train"]["loss"]) for r in log.collect())
+    assert got == [("007", 1, 0.9), ("007", 2, 0.8), ("b c/d", 1, 0.2), ("b c/d", 2, 0.7)]
+    scored = log.select("run", "epoch", "val.combined_auc")
+    best = {r["run"]: r["best_epoch"] for r in early_stop(scored, run=["run"]).collect()}
+    assert best == {"007": 1, "b c/d": 2}
+
+
 @pytest.mark.parametrize("stage", [True, False])
 def test_preparation_from_raw_files(spark, census_folder, tmp_path, stage):
     raw = load_census(spark, [], [census_folder])
