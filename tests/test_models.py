@@ -391,6 +391,7 @@ def test_two_and_two_epochs_are_four(spark, tmp_path):
     state = TrainState.load(spark, f"{out}/model", config)
     assert state.epoch == 2 and state.optimizer.steps == 4
     second = trainer.fit(train, val, init=state)
+    assert second.run == first.run != whole.run
     assert [e["epoch"] for e in second.log] == [3, 4]
     assert all((second.last.params[n] == whole.last.params[n]).all() for n in whole.last.params)
     assert all((second.model.params[n] == whole.model.params[n]).all() for n in whole.model.params)
