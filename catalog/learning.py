@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from catalog.networks import fit_sql, named_sql, network_sql, start_sql, step_sql, weights_sql
 from catalog.tables import ROUNDED_METRICS, flag_sql, metrics_sql, never_sql
 from catalog.views import (
     CENSUS_SQL,
@@ -27,7 +28,14 @@ from catalog.views import (
 from ratewell.functions import metrics as m
 from ratewell.models.network import TASKS, NetworkConfig
 from ratewell.models.scoring import MultiTaskModel, evaluate
-from ratewell.models.training import AdamW, MultiTaskTrainer, TrainConfig, batch_gradient
+from ratewell.models.training import (
+    AdamW,
+    FitResult,
+    MultiTaskTrainer,
+    TrainConfig,
+    TrainState,
+    batch_gradient,
+)
 from ratewell.operators import features
 from ratewell.operators.evaluate import (
     auroc,
@@ -423,94 +431,6 @@ STACKED = MultiTaskModel.fresh(NetworkConfig("mmoe", WIDTH, 4, 3, 2, num_experts
 POS_WEIGHTS = (3.0, 2.0)
 
 
-def _number(v: float) -> str:
-    text = repr(float(v))
-    return text if "e" in text else text + "e0"
-
-
-def _dot(names: list[str], weights, bias: float) -> str:
-    return " + ".join([f"{n} * {_number(w)}" for n, w in zip(names, weights)] + [_number(bias)])
-
-
-def _dot_x(weights, bias: float) -> str:
-    return f"list_dot_product(x, [{', '.join(_number(w) for w in weights)}]) + {_number(bias)}"
-
-
-def network_sql(model: MultiTaskModel, prefix: str = "n") -> str:
-    """CTEs that run a network over ``vectors``, ending in ``{prefix}_out`` with every number named:
-    ``o{level}_{expert}_{k}``, ``w{level}_{task}_{expert}``, ``mix{level}_{task}_{k}``, ``u{task}_{k}``,
-    ``z1`` and ``z2``."""
-    c, p = model.config, model.params
-    experts, hidden, width = range(c.experts), range(c.expert_hidden), range(c.d_model)
-    ctes, last = [], f"{prefix}_in"
-    ctes.append(
-        f"{last} AS (SELECT key, CAST(x AS DOUBLE[]) AS x, y_income AS y1, y_never_married AS y2 FROM vectors)"
-    )
-
-    def add(cells: list[str]) -> None:
-        nonlocal last
-        name = f"{prefix}_{len(ctes)}"
-        ctes.append(f"{name} AS (SELECT *, {', '.join(cells)} FROM {last})")
-        last = name
-
-    for level in range(1, c.num_levels + 1):
-        w1, b1 = p[f"{level}.hidden.weight"], p[f"{level}.hidden.bias"]
-        w2, b2 = p[f"{level}.out.weight"], p[f"{level}.out.bias"]
-        g, b = p[f"{level}.norm.weight"], p[f"{level}.norm.bias"]
-        add([
-            f"greatest(0e0, {_dot_x(w1[e, :, j], b1[e, 0, j])}) AS h{level}_{e}_{j}"
-            for e in experts for j in hidden
-        ])
-        add([
-            f"{_dot([f'h{level}_{e}_{j}' for j in hidden], w2[e, :, k], b2[e, 0, k])} AS r{level}_{e}_{k}"
-            for e in experts for k in width
-        ])
-        add([
-            f"({' + '.join(f'r{level}_{e}_{k}' for k in width)}) / {len(width)} AS mu{level}_{e}"
-            for e in experts
-        ])
-        add([
-            f"sqrt(({' + '.join(f'pow(r{level}_{e}_{k} - mu{level}_{e}, 2)' for k in width)}) / {len(width)}"
-            f" + 1e-5) AS sd{level}_{e}"
-            for e in experts
-        ])
-        add([
-            f"(r{level}_{e}_{k} - mu{level}_{e}) / sd{level}_{e} * {_number(g[e, 0, k])} + {_number(b[e, 0, k])}"
-            f" AS o{level}_{e}_{k}"
-            for e in experts for k in width
-        ])
-        cells = []
-        for i, t in enumerate(TASKS, 1):
-            wg, bg = p[f"{level}.gate.{t}.weight"], p[f"{level}.gate.{t}.bias"]
-            for e in experts:
-                before = [f"mix{level - 1}_{i}_{k}" for k in width]
-                a = _dot_x(wg[:, e], bg[e]) if level == 1 else _dot(before, wg[:, e], bg[e])
-                cells.append(f"exp({a}) AS a{level}_{i}_{e}")
-        add(cells)
-        add([
-            f"a{level}_{i}_{e} / ({' + '.join(f'a{level}_{i}_{f}' for f in experts)}) AS w{level}_{i}_{e}"
-            for i in (1, 2) for e in experts
-        ])
-        add([
-            f"{' + '.join(f'w{level}_{i}_{e} * o{level}_{e}_{k}' for e in experts)} AS mix{level}_{i}_{k}"
-            for i in (1, 2) for k in width
-        ])
-    units = range(max(1, c.d_model // 2))
-    top = {i: [f"mix{c.num_levels}_{i}_{k}" for k in width] for i in (1, 2)}
-    add([
-        f"greatest(0e0, {_dot(top[i], p[f'tower.{t}.hidden.weight'][:, j], p[f'tower.{t}.hidden.bias'][j])})"
-        f" AS u{i}_{j}"
-        for i, t in enumerate(TASKS, 1) for j in units
-    ])
-    add([
-        f"{_dot([f'u{i}_{j}' for j in units], p[f'tower.{t}.out.weight'][:, 0], p[f'tower.{t}.out.bias'][0])}"
-        f" AS z{i}"
-        for i, t in enumerate(TASKS, 1)
-    ])
-    ctes.append(f"{prefix}_out AS (SELECT * FROM {last})")
-    return ", ".join(ctes)
-
-
 _SCORES_SQL = "SELECT key, round(z1, 6) AS logit_income, round(z2, 6) AS logit_never FROM n_out"
 
 
@@ -527,6 +447,64 @@ def n1_initial_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scores(model.score(df))
 
 
+def _start_values_sql() -> str:
+    """What each parameter of a fresh PLE network has to be: number of cells, fan-in, kind."""
+    e, h, w = 3, 3, 4
+    parts = []
+    for level, d in (("1", "d"), ("2", str(w))):
+        parts += [
+            (f"{level}.hidden.weight", f"{e} * d * {h}", "d"), (f"{level}.hidden.bias", f"{e} * {h}", "0"),
+            (f"{level}.out.weight", f"{e} * {h} * {w}", str(h)), (f"{level}.out.bias", f"{e} * {w}", "0"),
+            (f"{level}.norm.weight", f"{e} * {w}", "-1"), (f"{level}.norm.bias", f"{e} * {w}", "0"),
+        ]
+        for gate in ("income", "never", "shared"):
+            parts += [(f"{level}.gate.{gate}.weight", f"{d} * {e}", d), (f"{level}.gate.{gate}.bias", str(e), "0")]
+    for task in ("income", "never"):
+        parts += [
+            (f"tower.{task}.hidden.weight", f"{w} * 2", str(w)), (f"tower.{task}.hidden.bias", "2", "0"),
+            (f"tower.{task}.out.weight", "2", "2"), (f"tower.{task}.out.bias", "1", "0"),
+        ]
+    return " UNION ALL ".join(
+        f"SELECT '{p}' AS param, CAST({n} AS BIGINT) AS cells, CAST({fan} AS BIGINT) AS fan_in FROM width"
+        for p, n, fan in parts
+    )
+
+
+@query(
+    "n1_start_values",
+    f"""WITH {VECTORS_SQL}, width AS (SELECT max(len(x)) AS d FROM vectors), parts AS ({_start_values_sql()})
+    SELECT param, cells, CASE WHEN fan_in > 0 THEN cells ELSE 1 END AS different,
+      CASE WHEN fan_in > 0 THEN TRUE END AS within, CASE WHEN fan_in > 0 AND cells >= 100 THEN TRUE END AS fills,
+      CASE WHEN fan_in <= 0 THEN CAST(-fan_in AS DOUBLE) END AS "constant",
+      TRUE AS same_by_seed, fan_in > 0 AS other_by_seed
+    FROM parts""",
+)
+def n1_start_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a fresh network holds: weights drawn within 1/sqrt(fan-in), biases zero, scales one."""
+    d = vectors(spark, sf_dir).agg(F.max(F.size("x"))).first()[0]
+    config = NetworkConfig("ple", d, 4, 3, 2, 1, 1)
+    model, again, other = (MultiTaskModel.fresh(config, seed) for seed in (11, 11, 12))
+    fans = spark.createDataFrame([(p, f) for p, (_, f) in config.layout().items()], "param string, fan_in int")
+    cells = None
+    for name, each in (("v", model), ("v_again", again), ("v_other", other)):
+        one = each.table(spark).select("param", "chunk", F.posexplode("values").alias("i", name))
+        cells = one if cells is None else cells.join(one, ["param", "chunk", "i"])
+    drawn, bound = F.col("fan_in") > 0, F.first(1 / F.sqrt(F.when(F.col("fan_in") > 0, F.col("fan_in"))))
+    return cells.join(F.broadcast(fans), "param").groupBy("param", "fan_in").agg(
+        F.count(F.lit(1)).alias("cells"),
+        F.count_distinct("v").alias("different"),
+        F.when(drawn, F.max(F.abs("v")) <= bound).alias("within"),
+        # mean and deviation of a hundred and more even draws
+        F.when(
+            drawn & (F.count(F.lit(1)) >= 100),
+            (F.abs(F.avg("v")) < 0.3 * bound) & (F.stddev_pop("v") / bound).between(0.45, 0.7),
+        ).alias("fills"),
+        F.when(~drawn & (F.min("v") == F.max("v")), F.max("v") + 0.0).alias("constant"),
+        F.every(F.col("v") == F.col("v_again")).alias("same_by_seed"),
+        F.bool_or(F.col("v") != F.col("v_other")).alias("other_by_seed"),
+    ).drop("fan_in")
+
+
 @query(
     "n2_expert_outputs",
     f"""WITH {VECTORS_SQL}, {network_sql(PLE)} """
@@ -641,100 +619,94 @@ def n11_compare_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-# d loss / d logit of each row, from which the gradients of the output layers follow.
-_SLOPES_SQL = """
-slopes AS (SELECT *,
-  (1 - y1) - (1 + 2 * y1) / (1 + exp(z1)) AS s1, (1 - y2) - (1 + y2) / (1 + exp(z2)) AS s2 FROM n_out),
-grads AS ("""
-_SLOPES_SQL += " UNION ALL ".join(
-    f"SELECT 'tower.{t}.out.{part}' AS param, {place} AS place, avg({cell}) AS g FROM slopes"
-    for i, t in enumerate(TASKS, 1)
-    for part, place, cell in (
-        ("bias", 0, f"s{i}"), ("weight", 0, f"s{i} * u{i}_0"), ("weight", 1, f"s{i} * u{i}_1"),
-    )
-)
-_SLOPES_SQL += ")"
-
-
-def _top_layers(spark: SparkSession, values: dict[str, np.ndarray], name: str) -> DataFrame:
-    rows = [
-        (param, i, float(v))
-        for param, value in values.items()
-        if param.startswith("tower.") and ".out." in param
-        for i, v in enumerate(value.ravel())
-    ]
-    return spark.createDataFrame(rows, f"param string, place int, {name} double")
-
-
 @query(
     "n8_gradient",
-    f"""WITH {VECTORS_SQL}, {network_sql(PLE)}, {_SLOPES_SQL}
-    SELECT param, place, round(g, 7) AS gradient FROM grads""",
+    f"""WITH {VECTORS_SQL}, {weights_sql(*POS_WEIGHTS)}, {start_sql(PLE)}, {step_sql(PLE, "n", "vectors", "start")}
+    SELECT param, place, round(g, 7) AS gradient FROM ({named_sql(PLE, "n_gradient", "g")})""",
 )
 def n8_gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One distributed gradient over the whole table; the output layers are shown."""
+    """One distributed gradient over the whole table, by every trained parameter."""
     found = batch_gradient(vectors(spark, sf_dir), PLE, POS_WEIGHTS)
-    return _top_layers(spark, found, "gradient").withColumn("gradient", rounded("gradient", 7))
+    return _cells(spark, found, "gradient").withColumn("gradient", rounded("gradient", 7))
 
 
-_START_SQL = "starts AS (" + " UNION ALL ".join(
-    f"SELECT '{param}' AS param, {i} AS place, {_number(v)} AS v"
-    for param, value in PLE.params.items()
-    if param.startswith("tower.") and ".out." in param
-    for i, v in enumerate(value.ravel())
-) + ")"
+def _cells(spark: SparkSession, values: dict[str, np.ndarray], name: str) -> DataFrame:
+    """Every trained parameter, cell by cell; they are as many as the model has."""
+    rows = [(p, i, float(v)) for p in PLE.config.trained() for i, v in enumerate(values[p].ravel())]
+    return spark.createDataFrame(rows, f"param string, place bigint, {name} double")
+
+
+_CLIP = 0.05  # below the norm of the gradients, so that they are clipped
 
 
 @query(
     "n9_optimizer_step",
-    f"""WITH {VECTORS_SQL}, {network_sql(PLE)}, {_SLOPES_SQL}, {_START_SQL}
-    SELECT g.param, g.place, round(v * (1 - 0.002 * 0.0001) - 0.002 * g / (abs(g) + 1e-8), 9) AS value
-    FROM grads g JOIN starts s ON g.param = s.param AND g.place = s.place""",
+    f"""WITH {VECTORS_SQL}, {weights_sql(*POS_WEIGHTS)}, {start_sql(PLE)},
+    {step_sql(PLE, "s1", "vectors", "start", 1, "0.02", clip=_CLIP)},
+    {step_sql(PLE, "s2", "vectors", "s1_theta", 2, "0.01", clip=_CLIP)}
+    SELECT param, place, round(v, 8) AS value FROM ({named_sql(PLE, "s2_theta", "v")})""",
 )
 def n9_optimizer_step(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first update from the gradient of the whole table; the output layers are shown."""
-    found = batch_gradient(vectors(spark, sf_dir), PLE, POS_WEIGHTS)
-    names = list(found)
-    optimizer = AdamW(sum(v.size for v in found.values()), 1e-4, 0.0)
+    """Two clipped updates, each from the gradient of the whole table, of every trained parameter."""
+    rows = materialize(vectors(spark, sf_dir), "vectors")
+    names, model = PLE.config.trained(), PLE
+    optimizer = AdamW(sum(PLE.params[n].size for n in names), 1e-4, _CLIP)
     flat = lambda values: np.concatenate([values[n].ravel() for n in names])
-    moved, at, after = optimizer.step(flat(PLE.params), flat(found), 0.002), 0, {}
-    for n in names:
-        after[n] = moved[at : at + found[n].size]
-        at += found[n].size
-    return _top_layers(spark, after, "value").withColumn("value", rounded("value", 9))
+    for lr in (0.02, 0.01):
+        found = batch_gradient(rows, model, POS_WEIGHTS)
+        moved, params, at = optimizer.step(flat(model.params), flat(found), lr), dict(model.params), 0
+        for n in names:
+            params[n] = moved[at : at + found[n].size].reshape(found[n].shape)
+            at += found[n].size
+        model = MultiTaskModel(model.config, params)
+    return _cells(spark, model.params, "value").withColumn("value", rounded("value", 8))
+
+
+# Fits: two epochs of two batches, clipped, with every fifth row for validation. Dropout is off, since its
+# draws hang on hashes that the check doesn't have.
+
+_BUCKETS = 16
+
+
+def _fit_config(kind: str) -> TrainConfig:
+    return TrainConfig(
+        kind=kind, epochs=2, batches_per_epoch=2, buckets=_BUCKETS, lr=0.02, dropout=0.0, grad_clip=_CLIP
+    )
+
+
+def _fit_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = vectors(spark, sf_dir).withColumn("bucket", (F.col("key") % _BUCKETS).cast("int"))
+    rows = materialize(rows, "rows-to-fit")
+    return rows.where("key % 5 <> 4"), rows.where("key % 5 = 4").drop("bucket")
 
 
 def _fit_sql(model: MultiTaskModel) -> str:
-    """The first epoch's training metrics in one batch: those of the parameters it starts from."""
-    positive = [f"(SELECT sum(1 - {y}) * 1.0 / greatest(1, sum({y})) FROM n_out)" for y in ("y1", "y2")]
-    return f"""WITH {VECTORS_SQL}, {network_sql(model)}, {metrics_sql("1", "n_out", weights=positive)}
-    SELECT 1 AS epoch, 'train' AS part, CAST(0 AS DOUBLE) AS lr, {ROUNDED_METRICS} FROM metrics"""
-
-
-def _fit_log(spark: SparkSession, sf_dir: str, model: MultiTaskModel) -> DataFrame:
-    """One epoch of one batch over the whole table from given parameters, as its training metrics.
-
-    The rate logged is the one after the epoch, which for a single epoch is zero.
-    """
-    config = TrainConfig(kind=model.config.kind, epochs=1, batches_per_epoch=1, buckets=16, dropout=0.0)
-    rows = vectors(spark, sf_dir)
-    log = MultiTaskTrainer(config).fit(rows, rows, init=model).log
-    found = [(e["epoch"], "train", float(e["lr"]), *[e["train"][c] for c in METRIC_NAMES]) for e in log]
-    schema = "epoch int, part string, lr double, " + ", ".join(f"{c} double" for c in METRIC_NAMES)
+    return f"WITH {VECTORS_SQL}, {fit_sql(model, _fit_config(model.config.kind))}"
+
+
+def _fit_log(spark: SparkSession, result: FitResult) -> DataFrame:
+    found = [
+        (e["epoch"], part, float(e["lr"]), e["epoch"] == result.best_epoch, *[e[part][c] for c in METRIC_NAMES])
+        for e in result.log
+        for part in ("train", "val")
+    ]
+    schema = "epoch int, part string, lr double, best boolean, " + ", ".join(f"{c} double" for c in METRIC_NAMES)
     df = spark.createDataFrame(found, schema)
-    return df.select("epoch", "part", "lr", *[rounded(c).alias(c) for c in METRIC_NAMES])
+    return df.select("epoch", "part", rounded("lr", 9).alias("lr"), "best", *[rounded(c).alias(c) for c in METRIC_NAMES])
 
 
-@query("n10_fit", _fit_sql(PLE))
+@query("n10_fit", f"{_fit_sql(PLE)} SELECT * FROM log")
 def n10_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An epoch of PLE training over the table, as the epoch log."""
-    return _fit_log(spark, sf_dir, PLE)
+    """Two epochs of PLE training: metrics of the batches before their updates, and of validation after."""
+    train, val = _fit_rows(spark, sf_dir)
+    return _fit_log(spark, MultiTaskTrainer(_fit_config("ple")).fit(train, val, init=PLE))
 
 
-@query("n12_resume", _fit_sql(MMOE))
+@query("n12_resume", f"{_fit_sql(MMOE)} SELECT * FROM log WHERE epoch = 2")
 def n12_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An epoch from a saved model, as the epoch log; an older version lies beside it."""
-    path = scratch_path(spark, "resume")
-    MultiTaskModel.fresh(MMOE.config, 3).save(spark, path, "best", 9)
-    MMOE.save(spark, path, "best", 1)
-    return _fit_log(spark, sf_dir, MultiTaskModel.load(spark, path))
+    """The second epoch of a run that was saved after its first, moments and best score included."""
+    train, val = _fit_rows(spark, sf_dir)
+    path, config = scratch_path(spark, "resume"), _fit_config("mmoe")
+    MultiTaskTrainer(config).fit(train, val, out=path, init=MMOE, until=1)
+    state = TrainState.load(spark, f"{path}/model", config)
+    return _fit_log(spark, MultiTaskTrainer(config).fit(train, val, init=state))
