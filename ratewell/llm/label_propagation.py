@@ -2,29 +2,41 @@
 
 Documents with equal texts are linked. Each document starts in a shard that its number decides, so
 all shards are full but none is over its quota. In each round the members of a group look at how many
-of their neighbours are in which shard and ask to move to the shard that holds most. Requests between
-two shards that balance out are granted, and beyond them as many as the target has room for, so the
-quotas hold after every round. Documents without links want nothing and fill what is left, exactly.
+of their neighbours are in which shard and ask to move to the shard that holds most. Requests that
+close a ring of shards are granted, and beyond them those along a path that ends in a shard with room, so
+the quotas hold after every round. Documents without links want nothing and fill what is left, exactly.
+
+Rounds work on counts, how many members of a group are in a shard, and only on groups that are still
+cut. They end when none is, or when rounds bring nothing more: groups may not fit into full shards
+without a cut. Where a round brings nothing, groups ask in the next for any shard that holds some of them.
 
 A group larger than a part of a shard is dealt into hubs, which go to the shards that hold most of
-the group, one after the other: a group that can't fit into one shard takes up as few as it can.
+the group, one after the other: a group that can't fit into one shard takes up as few as it can. A hub
+has at most some ``HUB_ROWS`` rows.
 
 Only sums go to the driver: at most shards² · ``TICKETS`` rows in a round.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections import deque
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ratewell.llm.numbering import number_rows
 from ratewell.session import materialize
 
-#: Requests between two shards are granted in so many lots, whole lots at a time.
+#: Requests between two shards are granted in so many lots; of the last one a part may be granted.
 TICKETS = 64
-#: Hubs of a large group that fit into one shard.
+#: Least number of hubs of a large group that fit into one shard, and rows of a hub.
 HUBS_PER_SHARD = 2
-MAX_ROUNDS = 8
+HUB_ROWS = 50_000
+#: Rounds end when so many in a row leave more than 98 of 100 groups cut that were.
+PATIENCE = 6
+#: Rows of a digest meet in at least so many tasks, and in one per so many rows of the table.
+SLICES = 16
+SLICE_ROWS = 1_000_000
 
 
 def quotas(rows: int, shards: int) -> list[int]:
@@ -35,94 +47,130 @@ def quotas(rows: int, shards: int) -> list[int]:
 def grant(wanted: dict[tuple[int, int], int], room: list[int]) -> dict[tuple[int, int], int]:
     """How many rows may move from one shard to another.
 
-    What two shards ask of each other balances out. The rest is granted, largest first, while the
-    target has room.
+    Moves along a ring of shards change no shard's size. Beyond rings, moves along a path are granted
+    while the shard at its end has room. Short rings and paths, and pairs that want most, go first.
     """
-    out = {(i, j): min(n, wanted.get((j, i), 0)) for (i, j), n in wanted.items()}
-    room = list(room)
-    for (i, j), n in sorted(wanted.items(), key=lambda x: (-x[1], x[0])):
-        more = min(n - out[i, j], room[j])
-        out[i, j] += more
-        room[j] -= more
+    left, room = {k: n for k, n in wanted.items() if n > 0}, list(room)
+    out = dict.fromkeys(wanted, 0)
+
+    def way(i: int, j: int, longest: int) -> list[int] | None:
+        """The shortest way from j on that ends in i or in a shard with room."""
+        back, line = {j: (None, 1)}, deque([j])
+        while line:
+            at = line.popleft()
+            if at == i or room[at] > 0:
+                path = [at]
+                while (before := back[path[-1]][0]) is not None:
+                    path.append(before)
+                return path[::-1]
+            steps = back[at][1]
+            if steps < longest:
+                for to in sorted((k for (h, k), n in left.items() if h == at and n), key=lambda k: -left[at, k]):
+                    if to not in back:
+                        back[to] = (at, steps + 1)
+                        line.append(to)
+        return None
+
+    for longest in (2, 3, len(room) + 1):
+        for i, j in sorted(left, key=lambda k: (-left[k], k)):
+            while left[i, j] and (path := way(i, j, longest)):
+                steps = list(zip([i, *path], path))
+                n = min(left[x] for x in steps)
+                if path[-1] != i:
+                    n = min(n, room[path[-1]])
+                    room[path[-1]] -= n
+                    room[i] += n
+                for x in steps:
+                    left[x] -= n
+                    out[x] += n
     return out
 
 
-def propagate(linked: DataFrame, room: list[int], rounds: int = MAX_ROUNDS) -> DataFrame:
-    """Move the rows of ``linked`` (row, digest, hub, shard) to their neighbours' shards.
+def propagate(entries: DataFrame, room: list[int], per_shard: int, rounds: int | None = None) -> DataFrame:
+    """Move the members of groups to their neighbours' shards.
 
-    ``room`` is how many rows each shard may hold, and none holds more at the start.
+    ``entries`` (digest, hub, hubs, shard, n) say how many members of a group's hub are in a shard;
+    the result says the same after the moves. ``room`` is how many rows each shard may hold, and none
+    holds more at the start. ``per_shard`` hubs go into a shard.
     """
-    for turn in range(rounds):
-        held = linked.groupBy("digest", "shard").agg(F.count(F.lit(1)).alias("n"))
+    spark, columns = entries.sparkSession, entries.columns
+    used = {r["shard"]: r["n"] for r in entries.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
+    free = [c - used.get(s, 0) for s, c in enumerate(room)]
+    whole, active = None, entries
+    least, waited, any_shard, turn = float("inf"), 0, False, 0
+    while rounds is None or turn < rounds:
+        turn += 1
+        held = active.groupBy("digest", "hubs", "shard").agg(F.sum("n").alias("n"))
         tie = F.xxhash64("digest", "shard", F.lit(turn))  # else all would ask for the same shards
-        order = F.struct((-F.col("n")).alias("n"), tie.alias("tie"), "shard")
+        most = F.when((F.col("hubs") == 1) & F.lit(any_shard), 0).otherwise(-F.col("n"))
+        order = F.struct(most.alias("n"), tie.alias("tie"), "shard")
         best = held.groupBy("digest").agg(
             F.sort_array(F.collect_list(order)).shard.alias("best")  # at most one entry per shard
         )
-        place = F.floor(F.col("hub") / HUBS_PER_SHARD)
+        place = F.floor(F.col("hub") / per_shard)
         target = F.try_element_at("best", (F.pmod(place, F.size("best")) + 1).cast("int"))
         ticket = F.pmod(F.xxhash64(F.lit(turn), "digest", "hub"), F.lit(TICKETS))
-        asked = linked.join(best, "digest").select(
-            "row", "digest", "hub", "shard", target.alias("target"), ticket.alias("ticket")
+        asked = active.join(best, "digest").select(
+            *columns, target.alias("target"), ticket.alias("ticket"),
+            ((F.col("hubs") == 1) & (F.size("best") == 1)).alias("whole"),
         )
         asked = materialize(asked, "requests")
-        sums = asked.groupBy("shard", "target", "ticket").count().collect()
+        done = asked.where("whole").select(*columns)
+        whole = done if whole is None else whole.unionByName(done)
+        asked = asked.where("not whole")
+        sums = asked.groupBy("shard", "target", "ticket").agg(
+            F.sum("n").alias("n"), F.count_if(F.col("hubs") == 1).alias("groups")
+        )
+        sums = sums.orderBy("shard", "target", "ticket").collect()
+        cut = sum(r["groups"] for r in sums if r["shard"] == r["target"])  # each asks for a shard it is in
         wanted: dict[tuple[int, int], int] = {}
-        used = [0] * len(room)
         for r in sums:
-            used[r["shard"]] += r["count"]
             if r["shard"] != r["target"]:
                 pair = r["shard"], r["target"]
-                wanted[pair] = wanted.get(pair, 0) + r["count"]
-        if not wanted:
+                wanted[pair] = wanted.get(pair, 0) + r["n"]
+        active = asked.select(*columns)
+        waited = 0 if turn == 1 or cut < 0.98 * least else waited + 1
+        least = min(least, cut)
+        if not wanted or waited >= PATIENCE:
             break
-        left = grant(wanted, [c - n for c, n in zip(room, used)])
-        lots = []
-        for r in sorted(sums, key=lambda r: (r["shard"], r["target"], r["ticket"])):
+        granted = grant(wanted, free)
+        left, lots = dict(granted), []
+        for r in sums:
             pair = r["shard"], r["target"]
-            if pair in left and r["count"] <= left[pair]:
-                left[pair] -= r["count"]
-                lots.append((*pair, r["ticket"]))
+            if left.get(pair):
+                take = min(left[pair], r["n"])
+                left[pair] -= take
+                lots.append((*pair, r["ticket"], take, take < r["n"]))
+        for (i, j), n in granted.items():
+            free[i] += n
+            free[j] -= n
+        any_shard = not lots
         if not lots:
-            break
-        # swaps count on the other side's whole lots: give back what that side could not use
-        lots = _balanced(lots, sums, used, room)
-        granted = linked.sparkSession.createDataFrame(
-            [(i, j, t, 1) for i, j, t in lots], "shard int, target int, ticket long, ok int"
-        )
-        moved = asked.join(F.broadcast(granted), ["shard", "target", "ticket"], "left")
-        linked = moved.select(
-            "row", "digest", "hub", F.when(F.col("ok") == 1, F.col("target")).otherwise(F.col("shard")).alias("shard")
+            continue
+        at = ["shard", "target", "ticket"]
+        lots = spark.createDataFrame(lots, "shard int, target int, ticket long, take long, part boolean")
+        met = asked.join(F.broadcast(lots), at, "left")  # bounded, see above
+        full = met.where("not coalesce(part, false)").withColumn("go", F.when(F.col("take") > 0, F.col("n")).otherwise(0))
+        before = Window.partitionBy(*at).orderBy("digest", "hub").rowsBetween(Window.unboundedPreceding, -1)
+        some = met.where("part").withColumn("past", F.coalesce(F.sum("n").over(before), F.lit(0)))
+        some = some.withColumn("go", F.greatest(F.lit(0), F.least("n", F.col("take") - F.col("past")))).drop("past")
+        both = F.array(
+            F.struct("shard", (F.col("n") - F.col("go")).alias("n")), F.struct(F.col("target").alias("shard"), F.col("go").alias("n"))
         )
-        linked = materialize(linked, "labels")
-    return linked
-
-
-def _balanced(lots: list, sums: list, used: list[int], room: list[int]) -> list:
-    """The lots, without those that would leave a shard with more rows than it may hold."""
-    size = {(r["shard"], r["target"], r["ticket"]): r["count"] for r in sums}
-    held = list(used)
-    for i, j, t in lots:
-        held[i] -= size[i, j, t]
-        held[j] += size[i, j, t]
-    lots = sorted(lots, key=lambda x: size[x])
-    while any(h > c for h, c in zip(held, room)):
-        over = next(s for s, (h, c) in enumerate(zip(held, room)) if h > c)
-        back = next(x for x in lots if x[1] == over)
-        lots.remove(back)
-        held[back[0]] += size[back]
-        held[back[1]] -= size[back]
-    return lots
+        moved = full.unionByName(some).select("digest", "hub", "hubs", F.explode(both).alias("e"))
+        moved = moved.groupBy("digest", "hub", "hubs", "e.shard").agg(F.sum("e.n").alias("n")).where("n > 0")
+        active = materialize(moved.select(*columns), "labels")
+    return active if whole is None else whole.unionByName(active)
 
 
 def shard(
-    docs: DataFrame, shards: int = 24, key: str = "doc_id", text: str = "text", rounds: int = MAX_ROUNDS
+    docs: DataFrame, shards: int = 24, key: str = "doc_id", text: str = "text", rounds: int | None = None
 ) -> DataFrame:
     """Every row with size, text_crc32, law (``rows``), shard, slot and grown_shard (null).
 
     Row counts of shards are at most one apart and slots run from 0 without gaps. A null text has no
     bytes and is linked with empty ones. Repeated rows and null keys are rows like others. Columns
-    other than key and text are ignored. An empty table gives no rows.
+    other than key and text are ignored. An empty table gives no rows. ``rounds`` ends the moves early.
     """
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(
@@ -135,28 +183,28 @@ def shard(
     rows = materialize(rows, "rows")
     n = rows.count()
     room = quotas(n, shards)
-    several = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("copies"))
-    several = materialize(several.where("copies > 1"), "groups")
-    m = several.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
-    hub_rows = max(1, n // shards // HUBS_PER_SHARD)
-    hubs = F.ceil(F.col("copies") / hub_rows)
-    linked = rows.select("row", "digest").join(several, "digest")
-    linked = linked.select("row", "digest", F.pmod(F.xxhash64("row"), hubs).alias("hub"))
+    hub_rows = min(HUB_ROWS, max(1, n // shards // HUBS_PER_SHARD))
+    per_shard = max(HUBS_PER_SHARD, n // shards // hub_rows)
+    copies = _with_copies(rows.select("row", "digest"), n)
+    copies = materialize(copies.withColumn("hubs", F.ceil(F.col("copies") / hub_rows)), "copies")
+    linked = copies.where("copies > 1")
+    m = linked.count()
+    linked = linked.select("row", "digest", "hubs", F.pmod(F.xxhash64("row"), F.col("hubs")).alias("hub"))
     linked = number_rows(linked, "row", "number", [], m)
-    linked = linked.select("row", "digest", "hub", F.pmod("number", F.lit(shards)).cast("int").alias("shard"))
-    linked = propagate(materialize(linked, "labels"), room, rounds)
+    start = F.pmod("number", F.lit(shards)).cast("int").alias("shard")
+    linked = materialize(linked.select("row", "digest", "hub", "hubs", start), "linked")
+    entries = linked.groupBy("digest", "hub", "hubs", "shard").agg(F.count(F.lit(1)).alias("n"))
+    entries = materialize(propagate(materialize(entries, "labels"), room, per_shard, rounds), "labels")
 
-    held = {r["shard"]: r["count"] for r in linked.groupBy("shard").count().collect()}
+    held = {r["shard"]: r["n"] for r in entries.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
     ends, end = [], 0
     for s in range(shards):
         end += room[s] - held.get(s, 0)
         ends.append(end)
-    single = rows.select("row", "digest").join(several, "digest", "left_anti").select("row")
-    single = number_rows(single, "row", "number", [], n - m)
+    single = number_rows(copies.where("copies = 1").select("row"), "row", "number", [], n - m)
     past = F.array(*[F.lit(e).cast("long") for e in ends])
     single = single.select("row", F.size(F.filter(past, lambda e: e <= F.col("number"))).alias("shard"))
-    placed = linked.select("row", "shard").unionByName(single)
-    placed = number_rows(placed, "row", "slot", ["shard"], n)
+    placed = number_rows(_dealt(linked, entries).unionByName(single), "row", "slot", ["shard"], n)
     return rows.join(placed, "row").select(
         F.col("id").alias(key),
         "size",
@@ -166,3 +214,29 @@ def shard(
         "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+def _with_copies(rows: DataFrame, n: int) -> DataFrame:
+    """Add ``copies``: rows with the same digest. Rows meet by digest and slice, so none is hot."""
+    slices = max(SLICES, n // SLICE_ROWS)
+    rows = rows.withColumn("slice", F.pmod(F.xxhash64("row"), F.lit(slices)))
+    parts = rows.groupBy("digest", "slice").agg(F.count(F.lit(1)).alias("n"))
+    totals = parts.groupBy("digest").agg(F.sum("n").alias("copies"))
+    return rows.join(parts.drop("n").join(totals, "digest"), ["digest", "slice"]).drop("slice")
+
+
+def _dealt(linked: DataFrame, entries: DataFrame) -> DataFrame:
+    """(row, shard): the rows of each hub, which are of bounded number, dealt by its entries."""
+    ends = entries.groupBy("digest", "hub").agg(
+        F.sort_array(F.collect_list(F.struct("shard", "n"))).alias("ends")  # at most one per shard
+    )
+    turn = F.row_number().over(Window.partitionBy("digest", "hub").orderBy("row")) - 1
+    ranked = linked.select("row", "digest", "hub", turn.alias("turn")).join(ends, ["digest", "hub"])
+    none = F.struct(F.lit(0).cast("long").alias("past"), F.lit(-1).alias("shard"))
+    last = F.aggregate(
+        "ends", none,
+        lambda a, e: F.when(
+            a["past"] <= F.col("turn"), F.struct((a["past"] + e["n"]).alias("past"), e["shard"].alias("shard"))
+        ).otherwise(a),
+    )
+    return ranked.select("row", last["shard"].alias("shard"))

@@ -58,6 +58,26 @@ def test_odd_rows(spark):
     assert lp.shard(docs, 6).collect() == []
 
 
+def test_triples_that_fill_all_shards(spark):
+    groups = run(spark, [(i, f"triple {i // 3}") for i in range(2400)], 24)
+    # 100 rows a shard: one row in each is over, so at least 8 groups of 800 are cut
+    assert 8 <= sum(len(s) > 1 for s in groups.values()) <= 32
+
+
+def test_large_groups_take_few_shards(spark, monkeypatch):
+    monkeypatch.setattr(lp, "HUB_ROWS", 20)  # several windows a group, as in large tables
+    texts = [(i, "same" if i < 400 else f"pair {i // 2}" if i < 600 else f"own {i}") for i in range(1200)]
+    groups = run(spark, texts)
+    assert len(groups["same"]) <= 3
+    assert all(len(s) == 1 for t, s in groups.items() if t != "same")
+
+
+def test_rings_are_granted():
+    assert lp.grant({(0, 1): 2, (1, 2): 2, (2, 0): 3}, [0, 0, 0]) == {(0, 1): 2, (1, 2): 2, (2, 0): 2}
+    assert lp.grant({(0, 1): 2, (1, 2): 2}, [0, 0, 1]) == {(0, 1): 1, (1, 2): 1}
+    assert lp.grant({(0, 1): 2, (1, 2): 2}, [5, 0, 0]) == {(0, 1): 0, (1, 2): 0}
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_grants_never_overfill(seed):
     random.seed(seed)
