@@ -10,9 +10,9 @@ Rounds work on counts, how many members of a group are in a shard, and only on g
 cut. They end when none is, or when rounds bring nothing more: groups may not fit into full shards
 without a cut. Where a round brings nothing, groups ask in the next for any shard that holds some of them.
 
-A group larger than a part of a shard is dealt into hubs, which go to the shards that hold most of
-the group, one after the other: a group that can't fit into one shard takes up as few as it can. A hub
-has at most some ``HUB_ROWS`` rows.
+Groups larger than half a shard, or than ``GROUP_ROWS``, start together: they are laid side by side over
+the shards and stay there, so one that can't fit into one shard takes up one more than it has to at most.
+The others start spread over the room that is left, and move.
 
 Only sums go to the driver: at most shards² · ``TICKETS`` rows in a round.
 """
@@ -29,9 +29,8 @@ from ratewell.session import materialize
 
 #: Requests between two shards are granted in so many lots; of the last one a part may be granted.
 TICKETS = 64
-#: Least number of hubs of a large group that fit into one shard, and rows of a hub.
-HUBS_PER_SHARD = 2
-HUB_ROWS = 50_000
+#: Rows of a group that moves: what a task holds of a digest when they are dealt in the end.
+GROUP_ROWS = 50_000
 #: Rounds end when so many in a row leave more than 98 of 100 groups cut that were.
 PATIENCE = 6
 #: Rows of a digest meet in at least so many tasks, and in one per so many rows of the table.
@@ -86,40 +85,34 @@ def grant(wanted: dict[tuple[int, int], int], room: list[int]) -> dict[tuple[int
     return out
 
 
-def propagate(entries: DataFrame, room: list[int], per_shard: int, rounds: int | None = None) -> DataFrame:
+def propagate(entries: DataFrame, room: list[int], rounds: int | None = None) -> DataFrame:
     """Move the members of groups to their neighbours' shards.
 
-    ``entries`` (digest, hub, hubs, shard, n) say how many members of a group's hub are in a shard;
-    the result says the same after the moves. ``room`` is how many rows each shard may hold, and none
-    holds more at the start. ``per_shard`` hubs go into a shard.
+    ``entries`` (digest, shard, n) say how many members of a group are in a shard; the result says the
+    same after the moves. ``room`` is how many of them each shard may hold, and none holds more at the
+    start.
     """
-    spark, columns = entries.sparkSession, entries.columns
+    spark, columns = entries.sparkSession, ["digest", "shard", "n"]
     used = {r["shard"]: r["n"] for r in entries.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
     free = [c - used.get(s, 0) for s, c in enumerate(room)]
     whole, active = None, entries
     least, waited, any_shard, turn = float("inf"), 0, False, 0
     while rounds is None or turn < rounds:
         turn += 1
-        held = active.groupBy("digest", "hubs", "shard").agg(F.sum("n").alias("n"))
         tie = F.xxhash64("digest", "shard", F.lit(turn))  # else all would ask for the same shards
-        most = F.when((F.col("hubs") == 1) & F.lit(any_shard), 0).otherwise(-F.col("n"))
+        most = F.lit(0).cast("long") if any_shard else -F.col("n")
         order = F.struct(most.alias("n"), tie.alias("tie"), "shard")
-        best = held.groupBy("digest").agg(
-            F.sort_array(F.collect_list(order)).shard.alias("best")  # at most one entry per shard
-        )
-        place = F.floor(F.col("hub") / per_shard)
-        target = F.try_element_at("best", (F.pmod(place, F.size("best")) + 1).cast("int"))
-        ticket = F.pmod(F.xxhash64(F.lit(turn), "digest", "hub"), F.lit(TICKETS))
+        best = active.groupBy("digest").agg(F.min(order)["shard"].alias("target"), F.count(F.lit(1)).alias("held"))
+        ticket = F.pmod(F.xxhash64(F.lit(turn), "digest"), F.lit(TICKETS))
         asked = active.join(best, "digest").select(
-            *columns, target.alias("target"), ticket.alias("ticket"),
-            ((F.col("hubs") == 1) & (F.size("best") == 1)).alias("whole"),
+            *columns, "target", ticket.alias("ticket"), (F.col("held") == 1).alias("whole")
         )
         asked = materialize(asked, "requests")
         done = asked.where("whole").select(*columns)
         whole = done if whole is None else whole.unionByName(done)
         asked = asked.where("not whole")
         sums = asked.groupBy("shard", "target", "ticket").agg(
-            F.sum("n").alias("n"), F.count_if(F.col("hubs") == 1).alias("groups")
+            F.sum("n").alias("n"), F.count(F.lit(1)).alias("groups")
         )
         sums = sums.orderBy("shard", "target", "ticket").collect()
         cut = sum(r["groups"] for r in sums if r["shard"] == r["target"])  # each asks for a shard it is in
@@ -151,14 +144,14 @@ def propagate(entries: DataFrame, room: list[int], per_shard: int, rounds: int |
         lots = spark.createDataFrame(lots, "shard int, target int, ticket long, take long, part boolean")
         met = asked.join(F.broadcast(lots), at, "left")  # bounded, see above
         full = met.where("not coalesce(part, false)").withColumn("go", F.when(F.col("take") > 0, F.col("n")).otherwise(0))
-        before = Window.partitionBy(*at).orderBy("digest", "hub").rowsBetween(Window.unboundedPreceding, -1)
+        before = Window.partitionBy(*at).orderBy("digest").rowsBetween(Window.unboundedPreceding, -1)
         some = met.where("part").withColumn("past", F.coalesce(F.sum("n").over(before), F.lit(0)))
         some = some.withColumn("go", F.greatest(F.lit(0), F.least("n", F.col("take") - F.col("past")))).drop("past")
         both = F.array(
             F.struct("shard", (F.col("n") - F.col("go")).alias("n")), F.struct(F.col("target").alias("shard"), F.col("go").alias("n"))
         )
-        moved = full.unionByName(some).select("digest", "hub", "hubs", F.explode(both).alias("e"))
-        moved = moved.groupBy("digest", "hub", "hubs", "e.shard").agg(F.sum("e.n").alias("n")).where("n > 0")
+        moved = full.unionByName(some).select("digest", F.explode(both).alias("e"))
+        moved = moved.groupBy("digest", "e.shard").agg(F.sum("e.n").alias("n")).where("n > 0")
         active = materialize(moved.select(*columns), "labels")
     return active if whole is None else whole.unionByName(active)
 
@@ -183,28 +176,24 @@ def shard(
     rows = materialize(rows, "rows")
     n = rows.count()
     room = quotas(n, shards)
-    hub_rows = min(HUB_ROWS, max(1, n // shards // HUBS_PER_SHARD))
-    per_shard = max(HUBS_PER_SHARD, n // shards // hub_rows)
-    copies = _with_copies(rows.select("row", "digest"), n)
-    copies = materialize(copies.withColumn("hubs", F.ceil(F.col("copies") / hub_rows)), "copies")
-    linked = copies.where("copies > 1")
-    m = linked.count()
-    linked = linked.select("row", "digest", "hubs", F.pmod(F.xxhash64("row"), F.col("hubs")).alias("hub"))
-    linked = number_rows(linked, "row", "number", [], m)
-    start = F.pmod("number", F.lit(shards)).cast("int").alias("shard")
-    linked = materialize(linked.select("row", "digest", "hub", "hubs", start), "linked")
-    entries = linked.groupBy("digest", "hub", "hubs", "shard").agg(F.count(F.lit(1)).alias("n"))
-    entries = materialize(propagate(materialize(entries, "labels"), room, per_shard, rounds), "labels")
-
-    held = {r["shard"]: r["n"] for r in entries.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
-    ends, end = [], 0
-    for s in range(shards):
-        end += room[s] - held.get(s, 0)
-        ends.append(end)
-    single = number_rows(copies.where("copies = 1").select("row"), "row", "number", [], n - m)
-    past = F.array(*[F.lit(e).cast("long") for e in ends])
-    single = single.select("row", F.size(F.filter(past, lambda e: e <= F.col("number"))).alias("shard"))
-    placed = number_rows(_dealt(linked, entries).unionByName(single), "row", "slot", ["shard"], n)
+    copies = _with_copies(rows.select("row", "digest"), n, min(GROUP_ROWS, max(1, n // shards // 2)))
+    copies = materialize(copies, "copies")
+    large, linked = copies.where("start is not null"), copies.where("start is null and copies > 1")
+    large_rows, m = large.count(), linked.count()
+    large = number_rows(large, "row", "number", ["digest"], large_rows)
+    large = materialize(large.select("row", _shard_at(F.col("start") + F.col("number"), room).alias("shard")), "large")
+    room = _left(room, large.groupBy("shard").agg(F.count(F.lit(1)).alias("n")))
+
+    linked = number_rows(linked.select("row", "digest"), "row", "number", [], m)
+    spread = F.expr(f"cast(number as decimal(18, 0)) * cast({sum(room)} as decimal(18, 0)) div {max(1, m)}")
+    linked = materialize(linked.select("row", "digest", _shard_at(spread, room).alias("shard")), "linked")
+    entries = linked.groupBy("digest", "shard").agg(F.count(F.lit(1)).alias("n"))
+    entries = materialize(propagate(materialize(entries, "labels"), room, rounds), "labels")
+    room = _left(room, entries.groupBy("shard").agg(F.sum("n").alias("n")))
+
+    single = number_rows(copies.where("copies = 1").select("row"), "row", "number", [], n - m - large_rows)
+    single = single.select("row", _shard_at(F.col("number"), room).alias("shard"))
+    placed = number_rows(_dealt(linked, entries).unionByName(single).unionByName(large), "row", "slot", ["shard"], n)
     return rows.join(placed, "row").select(
         F.col("id").alias(key),
         "size",
@@ -216,22 +205,42 @@ def shard(
     )
 
 
-def _with_copies(rows: DataFrame, n: int) -> DataFrame:
-    """Add ``copies``: rows with the same digest. Rows meet by digest and slice, so none is hot."""
+def _shard_at(place, room: list[int]):
+    """The shard of a place, where the places of all shards lie side by side."""
+    ends = [sum(room[: s + 1]) for s in range(len(room))]
+    return F.size(F.filter(F.array(*[F.lit(e).cast("long") for e in ends]), lambda e: e <= place))
+
+
+def _left(room: list[int], used: DataFrame) -> list[int]:
+    held = {r["shard"]: r["n"] for r in used.collect()}
+    return [c - held.get(s, 0) for s, c in enumerate(room)]
+
+
+def _with_copies(rows: DataFrame, n: int, limit: int) -> DataFrame:
+    """Add ``copies``, rows with the same digest, and ``start``: rows in larger groups before a group of
+    more than ``limit``, null for others. Rows meet by digest and slice, so none is hot.
+
+    Starts are summed up in one task, over at most rows / ``limit`` groups.
+    """
     slices = max(SLICES, n // SLICE_ROWS)
     rows = rows.withColumn("slice", F.pmod(F.xxhash64("row"), F.lit(slices)))
-    parts = rows.groupBy("digest", "slice").agg(F.count(F.lit(1)).alias("n"))
+    parts = materialize(rows.groupBy("digest", "slice").agg(F.count(F.lit(1)).alias("n")), "parts")
     totals = parts.groupBy("digest").agg(F.sum("n").alias("copies"))
-    return rows.join(parts.drop("n").join(totals, "digest"), ["digest", "slice"]).drop("slice")
+    before = Window.orderBy("digest").rowsBetween(Window.unboundedPreceding, -1)
+    large = totals.where(F.col("copies") > limit)
+    large = large.withColumn("start", F.coalesce(F.sum("copies").over(before), F.lit(0)))
+    small = totals.where(F.col("copies") <= limit).withColumn("start", F.lit(None).cast("long"))
+    totals = parts.drop("n").join(large.unionByName(small), "digest")
+    return rows.join(totals, ["digest", "slice"]).drop("slice")
 
 
 def _dealt(linked: DataFrame, entries: DataFrame) -> DataFrame:
-    """(row, shard): the rows of each hub, which are of bounded number, dealt by its entries."""
-    ends = entries.groupBy("digest", "hub").agg(
+    """(row, shard): the rows of each group, which are at most ``GROUP_ROWS``, dealt by its entries."""
+    ends = entries.groupBy("digest").agg(
         F.sort_array(F.collect_list(F.struct("shard", "n"))).alias("ends")  # at most one per shard
     )
-    turn = F.row_number().over(Window.partitionBy("digest", "hub").orderBy("row")) - 1
-    ranked = linked.select("row", "digest", "hub", turn.alias("turn")).join(ends, ["digest", "hub"])
+    turn = F.row_number().over(Window.partitionBy("digest").orderBy("row")) - 1
+    ranked = linked.select("row", "digest", turn.alias("turn")).join(ends, "digest")
     none = F.struct(F.lit(0).cast("long").alias("past"), F.lit(-1).alias("shard"))
     last = F.aggregate(
         "ends", none,

@@ -65,7 +65,7 @@ def test_triples_that_fill_all_shards(spark):
 
 
 def test_large_groups_take_few_shards(spark, monkeypatch):
-    monkeypatch.setattr(lp, "HUB_ROWS", 20)  # several windows a group, as in large tables
+    monkeypatch.setattr(lp, "GROUP_ROWS", 20)  # far below a shard, as in large tables
     texts = [(i, "same" if i < 400 else f"pair {i // 2}" if i < 600 else f"own {i}") for i in range(1200)]
     groups = run(spark, texts)
     assert len(groups["same"]) <= 3
