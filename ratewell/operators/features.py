@@ -21,7 +21,7 @@ from ratewell.session import materialize
 _INLINE_CATEGORIES = 64  # searched in line, faster than a join
 _BROADCAST_CATEGORIES = 500_000  # most rows and bytes of text that a lookup may broadcast
 _BROADCAST_BYTES = 64 << 20
-_HOT_SHARE = 10_000  # a value above 1/10,000 of the rows is looked up before the shuffle
+_HOT_VALUES = 10_000  # so many of the most frequent values are looked up before the shuffle
 _FEW_CATEGORIES = 100_000  # of all columns: more are written out before they are read again
 # These choose between plans with equal results.
 
@@ -185,6 +185,22 @@ def with_vectors(df: DataFrame, output: str = "x") -> DataFrame:
     return df.withColumn(output, dense(*[F.col(c) for c in SPARSE]))
 
 
+def hot_digests(df: DataFrame, value: Column) -> DataFrame:
+    """``_hot``: the digests of the values that most rows have; every value above a 1/``_HOT_VALUES`` share
+    is among them. Counted map-side first, so a hot value is one row per task."""
+    counts = df.groupBy(F.sha2(value, 256).alias("_hot")).agg(F.count(F.lit(1)).alias("_n"))
+    return counts.orderBy(F.desc("_n"), "_hot").limit(_HOT_VALUES).select("_hot")
+
+
+def spread_hot(df: DataFrame, value: Column, often: DataFrame) -> DataFrame:
+    """Add the columns of ``often`` by its ``_hot`` digest, and ``_join``: the value, or for rows found
+    there a key that differs by row. ``_cold`` tells the two apart."""
+    marked = df.join(F.broadcast(often), F.sha2(value, 256) == F.col("_hot"), "left")  # at most _HOT_VALUES rows
+    cold = F.col("_hot").isNull()
+    spread = F.xxhash64(*[quoted(c) for c in df.columns]).cast("string")
+    return marked.withColumn("_join", F.when(cold, value).otherwise(spread)).withColumn("_cold", cold)
+
+
 @dataclass
 class FeatureModel:
     """A fitted encoding."""
@@ -200,11 +216,10 @@ class FeatureModel:
         return len(self.numeric) + sum(c.width for c in self.text)
 
     def _lookup(self, column: TextColumn) -> DataFrame:
-        """``(value, slot, count)`` of one column, the rare ones at the shared last slot."""
+        """``(value, slot)`` of one column, the rare ones at the shared last slot."""
         return self.table.where(F.col("column") == column.name).select(
             F.col("value").alias("_value"),
             F.coalesce("slot", F.lit(column.frequent)).alias("_slot"),
-            "count",
         )
 
     def _with_slot(self, df: DataFrame, column: TextColumn, name: str) -> DataFrame:
@@ -217,31 +232,23 @@ class FeatureModel:
         if column.categories <= _BROADCAST_CATEGORIES and column.text_bytes <= _BROADCAST_BYTES:
             side = F.broadcast(found.select("_value", F.col("_slot").alias(name)))
             return df.join(side, value == F.col("_value"), "left").drop("_value")
-        return self._with_slot_by_shuffle(df, column, value, found, name)
+        return self._with_slot_by_shuffle(df, value, found, name)
 
     def _with_slot_by_shuffle(
-        self, df: DataFrame, column: TextColumn, value: Column, found: DataFrame, name: str
+        self, df: DataFrame, value: Column, found: DataFrame, name: str
     ) -> DataFrame:
         """The slot where the categories are too many to broadcast.
 
-        Values above a fixed share of the training rows, of which there can only be so many, are
-        looked up by broadcast of their digests, whose size doesn't depend on the values. Their rows then join on a spread key that matches nothing, so no
-        hot value meets in one task. The key is spread by the whole row, its identifier included.
+        The values that most rows of ``df`` have, seen in training or not, are looked up first, and go
+        out by broadcast of their digests, whose number and size have a bound. Their rows then join on a
+        spread key that matches nothing, so no hot value meets in one task. The key is spread by the
+        whole row, its identifier included. It takes one more scan of the column.
         """
-        often = F.col("count") * _HOT_SHARE >= column.rows
-        hot = found.where(often).select(
-            F.sha2("_value", 256).alias("_hot"), F.col("_slot").alias("_hot_slot")
-        )
-        others = [quoted(c) for c in df.columns]
-        marked = df.join(F.broadcast(hot), F.sha2(value, 256) == F.col("_hot"), "left")
-        is_hot = F.col("_hot").isNotNull()
-        spread = F.xxhash64(*others).cast("string")
-        keyed = marked.withColumn("_join", F.when(is_hot, spread).otherwise(value)).withColumn(
-            "_cold", ~is_hot
-        )
-        cold = found.where(~often).select(
-            F.col("_value").alias("_join"), F.lit(True).alias("_cold"), "_slot"
+        often = hot_digests(df, value).join(
+            found.select(F.sha2("_value", 256).alias("_hot"), F.col("_slot").alias("_hot_slot")), "_hot", "left"
         )
+        keyed = spread_hot(df, value, often)
+        cold = found.select(F.col("_value").alias("_join"), F.lit(True).alias("_cold"), "_slot")
         return (
             keyed.join(cold, ["_join", "_cold"], "left")
             .withColumn(name, F.coalesce("_hot_slot", "_slot"))

@@ -44,8 +44,29 @@ def test_one_hot_by_broadcast_and_by_shuffle(spark, monkeypatch):
     monkeypatch.setattr(features, "_INLINE_CATEGORIES", 0)
     assert encode_case(spark) == ENCODED
     monkeypatch.setattr(features, "_BROADCAST_CATEGORIES", 0)
-    monkeypatch.setattr(features, "_HOT_SHARE", 4)
-    assert encode_case(spark) == ENCODED
+    for hot in (1, 2, 10_000):
+        monkeypatch.setattr(features, "_HOT_VALUES", hot)
+        assert encode_case(spark) == ENCODED
+
+
+def test_a_hot_value_that_training_has_not_seen_is_spread(spark, monkeypatch):
+    monkeypatch.setattr(features, "_INLINE_CATEGORIES", 0)
+    monkeypatch.setattr(features, "_BROADCAST_CATEGORIES", 0)
+    monkeypatch.setattr(features, "_HOT_VALUES", 2)
+    train = spark.range(200).select("id", F.concat(F.lit("v"), F.col("id") % 50).alias("t"))
+    model = FeatureEncoder([], ["t"], min_freq=1).fit(train)
+    rows = spark.range(2000)  # half of them one unseen value, a quarter the most frequent of training
+    seen = F.when(F.col("id") % 4 == 0, F.lit("v7")).otherwise(F.concat(F.lit("v"), F.col("id") % 50))
+    new = rows.select("id", F.when(F.col("id") % 2 == 1, F.lit("new")).otherwise(seen).alias("t"))
+    often = features.hot_digests(new, F.col("t"))
+    keyed = features.spread_hot(new, F.col("t"), often)
+    assert often.count() == 2
+    assert keyed.where("not _cold").count() == 1500
+    assert keyed.groupBy("_join").count().agg(F.max("count")).first()[0] <= 40
+    found = {r["id"]: r["slots"] for r in model.encode(new, ["id"]).collect()}
+    names = sorted(f"v{i}" for i in range(50))
+    for r in new.collect():
+        assert found[r["id"]] == ([] if r["t"] == "new" else [names.index(r["t"])])
 
 
 def test_constant_and_empty_columns(spark):
