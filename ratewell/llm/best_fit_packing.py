@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ratewell.llm import trie_bpe
 from ratewell.llm.numbering import number_rows
-from ratewell.session import materialize
+from ratewell.session import ARROW_BYTES, materialize
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
@@ -124,7 +124,7 @@ def pack(pieces: DataFrame, capacity: int, length: str = "length") -> DataFrame:
     spark = pieces.sparkSession
     whole = F.struct(*[F.col(f"`{c}`") for c in pieces.columns])  # one column: no name can clash
     held = pieces.select(whole.alias("piece"), F.col(length).cast("long").alias("length"))
-    held = materialize(held.withColumn("_row", F.monotonically_increasing_id()), "pieces")
+    held = materialize(held.withColumn("_row", F.monotonically_increasing_id()), "pieces", arrow_bytes=ARROW_BYTES)
     counts = {r[0]: r[1] for r in held.groupBy("length").count().collect()}
     if any(x is None or not 1 <= x <= capacity for x in counts):
         raise ValueError(f"lengths must be from 1 to {capacity}")

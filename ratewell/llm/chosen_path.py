@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ratewell.llm import words
 from ratewell.llm.components import components
-from ratewell.session import materialize
+from ratewell.session import ARROW_BYTES, materialize
 
 TOKENS = 64
 BUCKET = 256
@@ -274,7 +274,7 @@ def links(docs: DataFrame, sets: DataFrame, similarity: float, width: int, recal
                 yield pa.RecordBatch.from_arrays([c.take(take) for c in columns], names=list(g))
 
     shape = "path long, i int, j int, digest binary, block int, tokens binary, paths array<long>"
-    likely_rows = materialize(_by_block(spread, likely, shape), "candidates")
+    likely_rows = materialize(_by_block(spread, likely, shape), "candidates", arrow_bytes=ARROW_BYTES)
 
     one = likely_rows.select("digest").distinct().join(sets.select("digest", "id", "body"), "digest")
     body = docs.select(F.col(key).alias("_id"), F.xxhash64(F.col(text)).alias("_body"), F.col(text).cast("string").alias("t"))
@@ -289,7 +289,7 @@ def links(docs: DataFrame, sets: DataFrame, similarity: float, width: int, recal
             out = [s.astype("<u8").tobytes() for _, cut in words.split_batches(texts) for s in shingle_sets(cut, seen, width)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["digest", "shingles"])
 
-    shingles = materialize(chosen.mapInArrow(whole, "digest binary, shingles binary"), "shingles")
+    shingles = materialize(chosen.mapInArrow(whole, "digest binary, shingles binary"), "shingles", arrow_bytes=ARROW_BYTES)
 
     def verify(batches):
         import pyarrow as pa
@@ -320,7 +320,7 @@ def links(docs: DataFrame, sets: DataFrame, similarity: float, width: int, recal
 
     ready = likely_rows.join(shingles, "digest").select(*likely_rows.columns, "shingles")
     verified = _by_block(ready, verify, "digest binary, links long, hub binary")
-    return materialize(verified, "verified")
+    return materialize(verified, "verified", arrow_bytes=ARROW_BYTES)
 
 
 def _types(pa) -> list:
@@ -339,7 +339,7 @@ def join(
     Null and empty texts have the empty set: they are copies of each other and linked to nothing. A
     null key is the largest. An empty table gives no rows.
     """
-    signed = materialize(signatures(docs, width, key, text), "signatures")
+    signed = materialize(signatures(docs, width, key, text), "signatures", arrow_bytes=ARROW_BYTES)
     first = F.min(F.struct(F.col("id").isNull().alias("no"), "id", "body"))
     sets = signed.groupBy("digest").agg(
         first.alias("first"), F.count(F.lit(1)).alias("copies"), F.min("size").alias("size"), F.min("tokens").alias("tokens")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager, nullcontext
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,13 +55,38 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/ratewell/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+#: For tables of texts or sets: what a Python worker, and Spark beside it, holds of one at a time.
+ARROW_BYTES = 4 << 20
+_ARROW = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@contextmanager
+def arrow_batches(spark: SparkSession, most: int) -> Iterator[None]:
+    """What runs meanwhile sends rows to Python workers in batches of some ``most`` bytes.
+
+    By itself Spark counts rows, 10,000 a batch, however long they are. Only what is in memory at a
+    time changes, for other jobs of the session too; the session's own setting is put back.
+    """
+    was = spark.conf.get(_ARROW, None)
+    spark.conf.set(_ARROW, str(most))
+    try:
+        yield
+    finally:
+        if was is None:
+            spark.conf.unset(_ARROW)
+        else:
+            spark.conf.set(_ARROW, was)
+
+
+def materialize(df: DataFrame, name: str, path: str | None = None, arrow_bytes: int | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     Used where a result feeds several jobs: it is computed once, its lineage is cut, and a lost
     executor costs a re-read and not a recomputation. A caller that knows when nothing reads it any
-    more names the ``path`` itself, from :func:`scratch_path`, and then calls :func:`remove`.
+    more names the ``path`` itself, from :func:`scratch_path`, and then calls :func:`remove`. With
+    ``arrow_bytes``, rows go to Python as :func:`arrow_batches` says.
     """
     path = path or scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with arrow_batches(df.sparkSession, arrow_bytes) if arrow_bytes else nullcontext():
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -164,3 +164,20 @@ def test_keep_first_with_clashing_names(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, _id string, _body string, _rows int, row string")
     got = cp.keep_first(docs)
     assert got.columns == docs.columns and [tuple(r) for r in got.collect()] == [rows[1]]
+
+
+def test_texts_and_sets_go_to_python_in_small_batches(spark, monkeypatch):
+    """What workers hold of a table at a time is bounded in bytes, not in rows."""
+    from pyspark.sql import DataFrameWriter
+
+    key, held, write = "spark.sql.execution.arrow.maxBytesPerBatch", {}, DataFrameWriter.parquet
+
+    def parquet(self, path, *a, **b):
+        held[path.rpartition("/")[2].partition("-")[0]] = int(spark.conf.get(key, None) or 1 << 40)
+        return write(self, path, *a, **b)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", parquet)
+    words = [f"w{i}" for i in range(100)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join([*words, "x"]))], "doc_id long, text string")
+    assert [r.doc_id for r in cp.keep_first(docs).collect()] == [1]
+    assert max(held[k] for k in ("signatures", "candidates", "shingles", "verified")) <= 4 << 20

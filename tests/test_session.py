@@ -2,7 +2,7 @@ from types import SimpleNamespace
 
 import pytest
 
-from ratewell.session import materialize, scratch_path, shared_folder
+from ratewell.session import arrow_batches, materialize, scratch_path, shared_folder
 
 
 def session(folder, master, context_folder=None):
@@ -36,3 +36,24 @@ def test_materialized_rows_keep_schema_and_lose_lineage(spark):
     assert sorted(kept.collect()) == sorted(df.collect())
     assert "Range" not in kept._jdf.queryExecution().executedPlan().toString()
     assert scratch_path(spark, "a") != scratch_path(spark, "a")
+
+
+def test_long_rows_reach_python_in_small_batches(spark):
+    df = spark.range(4000).repartition(1).selectExpr("id", "repeat('x', 4000) t")
+
+    def measure(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"rows": [b.num_rows], "bytes": [b.nbytes]})
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    was = spark.conf.get(key, None)
+    seen = df.mapInArrow(measure, "rows long, bytes long")
+    got = materialize(seen, "test", arrow_bytes=1 << 20).collect()
+    assert sum(r.rows for r in got) == 4000 and max(r.bytes for r in got) < 2 << 20
+    assert spark.conf.get(key, None) == was
+    with pytest.raises(ZeroDivisionError), arrow_batches(spark, 5_000):
+        assert spark.conf.get(key) == "5000"
+        raise ZeroDivisionError
+    assert spark.conf.get(key, None) == was
