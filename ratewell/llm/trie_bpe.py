@@ -11,13 +11,16 @@ encoding of its text exactly if every two neighbours encode to themselves.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import sys
 import types
 import unicodedata
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from functools import lru_cache
+from operator import itemgetter
 
 import numpy as np
 import regex
@@ -46,6 +49,18 @@ def worker_memo(name: str, make):
     return getattr(kept, name)
 
 
+@contextmanager
+def uncollected():
+    """No search for cycles meanwhile: it would look through all remembered words, and finds none."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 def byte_letters() -> list[str]:
     """The letter that stands for each byte: itself where it prints, else the next from 256 on."""
     prints = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -138,21 +153,21 @@ class TrieEncoder:
 
         def place(piece: str, n: int, mark: str) -> tuple[int, int]:
             """The last token of the prefix of length n, and where it begins."""
-            first = start[n - 1]
-            for i in (first, n - 1, *range(max(0, n - longest), n)):
-                t = vocab.get(piece[i:n] + mark)
-                if t is not None:
-                    if not i:
-                        if stands(t):
-                            return t, 0
-                        continue
-                    ok = fits.get(key := (last[i], t))
-                    if ok is None:
-                        if len(fits) > WORDS_KEPT:
-                            fits.clear()
-                        ok = fits[key] = follows(*key)
-                    if ok:
-                        return t, i
+            for likely in ((start[n - 1], n - 1), range(max(0, n - longest), n)):
+                for i in likely:
+                    t = vocab.get(piece[i:n] + mark)
+                    if t is not None:
+                        if not i:
+                            if stands(t):
+                                return t, 0
+                            continue
+                        ok = fits.get(key := (last[i], t))
+                        if ok is None:
+                            if len(fits) > WORDS_KEPT:
+                                fits.clear()
+                            ok = fits[key] = follows(*key)
+                        if ok:
+                            return t, i
             raise ValueError(f"no token ends {piece[:n]!r}")
 
         before = ""
@@ -203,24 +218,31 @@ def shared(a: str, b: str) -> int:
     return low
 
 
-def fill(encoder: TrieEncoder, render, known: dict, by_word: dict, missing: set[str]) -> None:
-    """Add ``render(ids)`` of the missing chunks to ``known``, encoding words not in ``by_word``."""
+def fill(encoder: TrieEncoder, render, join, known: dict, by_word: dict, missing: set[str]) -> None:
+    """Add the missing chunks to ``known``: ``render(ids)`` of a word, ``join`` of several such.
+
+    A word is rendered once, however many chunks it stands in; words not in ``by_word`` are encoded.
+    """
     find, added = encoder.words.findall, encoder.added
-    pieces = {c: [c] if c.isalpha() or c in added else find(c) for c in missing}
     if len(by_word) > WORDS_KEPT:
         by_word.clear()
-    by_word.update((c, (i,)) for c, i in added.items())
-    fresh = sorted({w for ws in pieces.values() for w in ws if w not in by_word})
+    by_word.update((c, render((i,))) for c, i in added.items())
+    plain = {c for c in missing if c.isalpha() or c in added}
+    pieces = {c: find(c) for c in missing - plain}
+    fresh = sorted(plain.union(*pieces.values()).difference(by_word))
     for k in range(0, len(fresh), TRIE_WORDS):
-        by_word.update(encoder.encode_words(fresh[k : k + TRIE_WORDS]))
-    for c, ws in pieces.items():
-        known[c] = render(by_word[ws[0]] if len(ws) == 1 else [i for w in ws for i in by_word[w]])
+        by_word.update((w, render(ids)) for w, ids in encoder.encode_words(fresh[k : k + TRIE_WORDS]))
+    known.update((c, by_word[c]) for c in plain)
+    known.update((c, by_word[ws[0]] if len(ws) == 1 else join([by_word[w] for w in ws])) for c, ws in pieces.items())
 
 
-def encode_batches(path: str, render, texts: Iterable[list[str | None]]):
-    """For each list of texts, a list that holds per text the rendered ids of its chunks, in order."""
+def encode_batches(path: str, name: str, render, join, texts: Iterable[list[str | None]]):
+    """For each list of texts, a list that holds per text what its chunks are rendered to, in order.
+
+    ``name`` tells apart what a worker remembers of words that are rendered differently.
+    """
     encoder = worker_memo(f"encoder {path}", lambda: TrieEncoder(path))
-    by_word = worker_memo(f"words {path}", dict)
+    by_word = worker_memo(f"{name} of words {path}", dict)
     known: dict = {}
     for batch in texts:
         # a few texts at a time: their chunks are held until the missing ones are known
@@ -230,15 +252,17 @@ def encode_batches(path: str, render, texts: Iterable[list[str | None]]):
             while end < len(batch) and (end == at or size < BATCH_CHARS):
                 size += len(batch[end] or "")
                 end += 1
-            cut = [encoder.chunks(t) if t else [] for t in batch[at:end]]
-            missing = {c for cs in cut for c in cs if c not in known}
-            if len(known) + len(missing) > CHUNKS_KEPT:
-                known.clear()
-                missing = {c for cs in cut for c in cs}
-            if missing:
-                fill(encoder, render, known, by_word, missing)
-            get = known.__getitem__
-            out += [list(map(get, cs)) for cs in cut]
+            with uncollected():
+                cut = [encoder.chunks(t) if t else [] for t in batch[at:end]]
+                met = set().union(*cut)
+                missing = met.difference(known)
+                if len(known) + len(missing) > CHUNKS_KEPT:
+                    known.clear()
+                    missing = met
+                if missing:
+                    fill(encoder, render, join, known, by_word, missing)
+                get = known.__getitem__
+                out += [list(map(get, cs)) for cs in cut]
             at = end
         yield out, encoder
 
@@ -262,7 +286,7 @@ def encode_decode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "
                     held.append(b.slice(s, 2048))
                     yield held[-1].column(1).to_pylist()
 
-        for out, encoder in encode_batches(path, tuple, texts()):
+        for out, encoder in encode_batches(path, "ids", tuple, lambda words: [i for w in words for i in w], texts()):
             b = held.pop()
             ids = [[i for c in cs for i in c] for cs in out]
             yield pa.RecordBatch.from_arrays(
@@ -290,7 +314,7 @@ def digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
     def run(batches):
         import pyarrow as pa
 
-        held, token = [], {}
+        held = []
 
         def texts():
             for b in batches:
@@ -298,18 +322,26 @@ def digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
                     held.append(b.slice(s, 2048))
                     yield held[-1].column(1).to_pylist()
 
+        # the decimal number of every id, and its token
+        token = worker_memo(f"encoder {path}", lambda: TrieEncoder(path)).token
+        number = worker_memo(f"numbers {path}", lambda: {i: str(i) for i in token})
+
         def render(ids):
-            return len(ids), " ".join(map(str, ids)), " ".join(map(token.__getitem__, ids))
+            return " ".join(map(number.__getitem__, ids)), " ".join(map(token.__getitem__, ids))
+
+        def join(words):
+            return " ".join(map(first, words)), " ".join(map(second, words))
 
-        token.update(worker_memo(f"encoder {path}", lambda: TrieEncoder(path)).token)
-        for out, _ in encode_batches(path, render, texts()):
+        first, second = itemgetter(0), itemgetter(1)
+        for out, _ in encode_batches(path, "digests", render, join, texts()):
             b = held.pop()
+            ids = [" ".join(map(first, cs)) for cs in out]
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column(0),
-                    pa.array([sum(c[0] for c in cs) for cs in out], pa.int64()),
-                    pa.array([_sha(" ".join([c[1] for c in cs])) for cs in out], pa.string()),
-                    pa.array([_sha(" ".join([c[2] for c in cs])) for cs in out], pa.string()),
+                    pa.array([x.count(" ") + 1 if x else 0 for x in ids], pa.int64()),
+                    pa.array(list(map(_sha, ids)), pa.string()),
+                    pa.array([_sha(" ".join(map(second, cs))) for cs in out], pa.string()),
                 ],
                 names=["k", "n_tokens", "ids_sha256", "decoded_sha256"],
             )

@@ -71,6 +71,24 @@ def test_digests_are_those_of_the_ids(spark, tokenizer, sf):
         assert r.decoded_sha256 == hashlib.sha256(decoded.encode()).hexdigest()
 
 
+def test_a_word_is_rendered_once(tokenizer):
+    """However many chunks it stands in, and in whichever batch."""
+    trie_bpe.sys.modules.pop("ratewell_worker_memo", None)
+    rendered = []
+
+    def render(ids):
+        rendered.append(ids)
+        return ids
+
+    texts = [["Rain, rain. (rain) rain!", "sun rain-sun"], [None, "", "sun, 'rain'"]]
+    got = []
+    for out, encoder in trie_bpe.encode_batches(PATH, "test", render, lambda words: sum(words, ()), texts):
+        got += [[i for c in cs for i in c] for cs in out]
+    words = [ids for ids in rendered if len(ids) > 1 or ids[0] not in encoder.added.values()]
+    assert len(words) == len(set(words))
+    assert got == [tokenizer.encode(t or "", add_special_tokens=False).ids for ts in texts for t in ts]
+
+
 def test_no_rows(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert trie_bpe.digests(docs, PATH).collect() == []
