@@ -21,6 +21,10 @@ from pyspark.sql import functions as F
 from ratewell.llm import words
 
 SAMPLE_PER_CLASS = 2_500
+#: What training, on the driver, works on together: characters of texts, distinct words, rows of n-grams.
+PART_CHARS = 1_000_000
+WORDS_TOGETHER = 5_000
+ROWS_TOGETHER = 8_192
 
 
 @dataclass
@@ -110,6 +114,38 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
+def part_gradient(
+    of_word: np.ndarray, bias: float, ids: np.ndarray, sizes: np.ndarray, y: np.ndarray, heavy: np.ndarray, width: int, every: bool
+) -> tuple[np.ndarray, float]:
+    """Of the loss of some texts: for each of their words in turn, and for the bias.
+
+    ``every``: all windows of a text count, and together as one; else only the one that scores
+    highest, the first of several.
+    """
+    begin, end, text = windows(sizes, width)
+    score = width * window_means(of_word[ids], begin, end) + bias
+    first = np.flatnonzero(np.diff(text, prepend=-1))
+    if every:
+        share = (1 / np.diff(first, append=len(text))).astype(np.float32)[text]
+    else:
+        best = np.maximum.reduceat(score, first)
+        hit = np.flatnonzero(score == best[text])
+        pick = hit[np.flatnonzero(np.diff(text[hit], prepend=-1))]
+        begin, end, text, score = begin[pick], end[pick], text[pick], score[pick]
+        share = np.ones(len(pick))
+    error = (sigmoid(score) - y[text]) * share * heavy[text]
+    per = width * error / np.maximum(1, end - begin)
+    change = np.bincount(begin, per, len(ids) + 1) - np.bincount(end, per, len(ids) + 1)
+    return np.cumsum(change)[:-1], error.sum()
+
+
+def adam(value: np.ndarray, gradient: np.ndarray, m: np.ndarray, q: np.ndarray, rate: float, turn: int) -> None:
+    """One step of Adam, in place."""
+    m += 0.1 * (gradient - m)
+    q += 0.001 * (gradient * gradient - q)
+    value -= rate * (m / (1 - 0.9**turn)) / (np.sqrt(q / (1 - 0.999**turn)) + 1e-8)
+
+
 def train(
     sample: list[tuple[str, object]], settings: Settings | None = None, shares: dict[int, float] | None = None
 ) -> Toxicity:
@@ -127,35 +163,34 @@ def train(
         share = (y.sum() + 0.5) / (len(y) + 1)
         return Toxicity(s, np.zeros_like(rows), softmax, float(np.log(share / (1 - share))))
     seen = words.WordRows(lambda ws: np.array(ws, object), bound=None)
-    parts = [without_runs(*seen.rows(cut)) for _, cut in words.split_batches([t for t, _ in sample], 1_000_000)]
+    parts = [without_runs(*seen.rows(cut)) for _, cut in words.split_batches([t for t, _ in sample], PART_CHARS)]
     del sample
-    ids, sizes = (np.concatenate(x) for x in zip(*parts))
-    del parts
     seen.known.clear()
     blocks: list[tuple[slice, np.ndarray, np.ndarray]] = []  # n-grams are kept a block of words at a time
-    per_word = np.zeros(len(seen.table))
     n_words = len(seen.table)
-    in_text = np.unique(np.repeat(np.arange(len(sizes)) * n_words, sizes) + ids)
-    texts_of = np.bincount(in_text % n_words, minlength=n_words)
-    del in_text
+    per_word = np.zeros(n_words)
+    texts_of = np.zeros(n_words, np.int64)
+    for ids, sizes in parts:
+        in_text = np.unique(np.repeat(np.arange(len(sizes)) * n_words, sizes) + ids)
+        texts_of += np.bincount(in_text % n_words, minlength=n_words)
+        del in_text
     spread = np.zeros(s.buckets)  # texts of the words that an n-gram is in
-    for k in range(0, len(seen.table), 20_000):
-        gram, word = subwords(list(seen.table[k : k + 20_000]), s)
-        at = slice(k, k + len(seen.table[k : k + 20_000]))
+    for k in range(0, n_words, WORDS_TOGETHER):
+        gram, word = subwords(list(seen.table[k : k + WORDS_TOGETHER]), s)
+        at = slice(k, min(n_words, k + WORDS_TOGETHER))
         spread += np.bincount(gram, texts_of[at][word], s.buckets)
         per_word[at] = np.bincount(word, minlength=at.stop - k)
-        blocks.append((at, gram.astype(np.int32), word.astype(np.int32)))
+        blocks.append((at, gram.astype(np.int32), word.astype(np.int16)))  # fewer than 2^15 words
     seen.table = None
     used = np.flatnonzero(spread >= s.rare)
     place = np.full(s.buckets, -1, np.int32)
     place[used] = np.arange(len(used))
-    blocks = [(at, place[gram][there], word[there]) for at, gram, word in blocks for there in [place[gram] >= 0]]
-    begin, end, text = (x.astype(np.int32) for x in windows(sizes, s.window))  # some 2^31 words are enough
-    first = np.flatnonzero(np.diff(text, prepend=-1))
+    for k, (at, gram, word) in enumerate(blocks):
+        there = place[gram] >= 0
+        blocks[k] = at, place[gram[there]], word[there]
     moments = [np.zeros((len(used), s.width)), np.zeros((len(used), s.width)), np.zeros(s.width), np.zeros(s.width)]
     bias, bias_m, bias_v, turn = 0.0, 0.0, 0.0, 0
     e = rows[used]
-    weight_of = (1 / np.bincount(text)).astype(np.float32)[text]  # every text counts once while all windows count
     v = softmax[:, 1] - softmax[:, 0]
     heavy = np.where(y == 1, s.positive, 1.0)
     for k, share in (shares or {}).items():
@@ -163,32 +198,25 @@ def train(
     for epoch in range(s.warm + s.epochs):
         u = e @ v
         of_word = np.concatenate([np.bincount(w, u[g], at.stop - at.start) for at, g, w in blocks]) / per_word
-        score = s.window * window_means(of_word[ids], begin, end) + bias
-        if epoch < s.warm:
-            pick = slice(None)
-            share = weight_of
-        else:
-            best = np.maximum.reduceat(score, first)
-            hit = np.flatnonzero(score == best[text])
-            pick = hit[np.flatnonzero(np.diff(text[hit], prepend=-1))]
-            share = np.ones(len(pick))
-        error = (sigmoid(score[pick]) - y[text[pick]]) * share * heavy[text[pick]] / len(y)
-        per = s.window * error / np.maximum(1, end[pick] - begin[pick])
-        change = np.bincount(begin[pick], per, len(ids) + 1) - np.bincount(end[pick], per, len(ids) + 1)
-        to_word = np.bincount(ids, np.cumsum(change)[:-1], len(per_word)) / per_word
+        to_word, to_bias, done = np.zeros(n_words), 0.0, 0
+        for ids, sizes in parts:  # sums over all texts, with the windows of one part at a time
+            mine = slice(done, done + len(sizes))
+            done = mine.stop
+            change, slope = part_gradient(of_word, bias, ids, sizes, y[mine], heavy[mine] / len(y), s.window, epoch < s.warm)
+            to_word += np.bincount(ids, change, n_words)
+            to_bias += slope
+        to_word /= per_word
         to_gram = np.zeros(len(used))
         for at, g, w in blocks:
             to_gram += np.bincount(g, to_word[at][w], len(used))
-        grads = [to_gram[:, None] * v + s.decay * e, to_gram @ e]
+        to_v = to_gram @ e
         turn += 1
-        for k, (value, g) in enumerate(zip((e, v), grads)):
-            m, q = moments[2 * k], moments[2 * k + 1]
-            m += 0.1 * (g - m)
-            q += 0.001 * (g * g - q)
-            value -= s.rate * (m / (1 - 0.9**turn)) / (np.sqrt(q / (1 - 0.999**turn)) + 1e-8)
-        g = error.sum()
-        bias_m += 0.1 * (g - bias_m)
-        bias_v += 0.001 * (g * g - bias_v)
+        for k in range(0, len(used), ROWS_TOGETHER):
+            at = slice(k, k + ROWS_TOGETHER)
+            adam(e[at], to_gram[at, None] * v + s.decay * e[at], moments[0][at], moments[1][at], s.rate, turn)
+        adam(v, to_v, moments[2], moments[3], s.rate, turn)
+        bias_m += 0.1 * (to_bias - bias_m)
+        bias_v += 0.001 * (to_bias * to_bias - bias_v)
         bias -= s.rate * (bias_m / (1 - 0.9**turn)) / (np.sqrt(bias_v / (1 - 0.999**turn)) + 1e-8)
     rows[:] = 0  # n-grams that were hardly seen say nothing
     rows[used] = e

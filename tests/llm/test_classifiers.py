@@ -166,3 +166,28 @@ def test_shares_of_classes_move_the_bias():
         for m in (st.train(sample, st.Settings(rare=1), {0: 1 - p, 1: p}) for p in (0.01, 0.6))
     )
     assert rare[1] < common[1]
+
+
+def test_training_holds_little_beside_its_words():
+    """The driver works on one part of the sample at a time; of all texts it holds numbers of words."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    sample = [(" ".join(rng.choice([f"w{i}" for i in range(500)], 5_000)), k % 2) for k in range(200)]
+    tracemalloc.start()
+    subword_toxicity.train(sample, subword_toxicity.Settings(buckets=1 << 12, warm=1, epochs=1))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60 * 1_000_000  # bytes, for a million words
+
+
+def test_parts_of_the_sample_give_the_model_of_the_whole(monkeypatch):
+    rng = np.random.default_rng(6)
+    pool = [f"word{i}" for i in range(40)] + ["moron", "idiot"]
+    sample = [(" ".join(rng.choice(pool, n)), int(n % 3 == 0)) for n in rng.integers(0, 12, 90)]
+    some = subword_toxicity.Settings(buckets=1 << 10, rare=2, warm=5, epochs=10)
+    whole = subword_toxicity.train(sample, some, {0: 0.8, 1: 0.2})
+    for name, n in (("PART_CHARS", 60), ("WORDS_TOGETHER", 7), ("ROWS_TOGETHER", 16)):
+        monkeypatch.setattr(subword_toxicity, name, n)
+    parts = subword_toxicity.train(sample, some, {0: 0.8, 1: 0.2})
+    assert np.allclose(whole.weight, parts.weight, atol=1e-6) and abs(whole.bias - parts.bias) < 1e-6
